@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,19 +123,12 @@ def fill(template: TaskTemplate, columns: Sequence[str]) -> Column:
     if missing:
         raise ValueError(f"task {template.task_id!r} lacks columns {missing}")
     parts: list[Column] = []
-    rest = template.template
-    while rest:
-        hits = [(rest.find(f"{{{k}}}"), k) for k in template.required_keys]
-        hits = [h for h in hits if h[0] >= 0]
-        at, key = min(hits) if hits else (len(rest), None)
-        literal = rest[:at].replace("{{", "{").replace("}}", "}")
+    for literal, slot, _, _ in Formatter().parse(template.template):
         if literal:
             parts.append(F.lit(literal))
-        if key is None:
-            break
-        parts.append(F.coalesce(F.col(key).cast("string"), F.lit("")))
-        rest = rest[at + len(key) + 2 :]
-    return F.concat(*parts) if parts else F.lit("")
+        if slot is not None:
+            parts.append(F.coalesce(F.col(slot).cast("string"), F.lit("")))
+    return F.concat(F.lit(""), *parts)
 
 
 def render_user(

@@ -22,8 +22,16 @@ BUCKETS = 4096
 SKETCH_ACCURACY = 10_000
 
 
-def _join_groups(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach per-group columns; null group keys match each other."""
+def join_groups(
+    rows: DataFrame, groups: DataFrame, by: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Attach per-group columns; null group keys match each other.
+
+    Without group columns ``groups`` is a handful of rows and travels as literals.
+    """
+    if not by:
+        literal = groups.agg(F.collect_list(F.struct(*groups.columns))).scalar()
+        return rows.select("*", F.explode(literal).alias("__g")).select(*rows.columns, "__g.*")
     renamed = groups.select(
         *[F.col(n).alias(f"__g_{n}") for n in by],
         *[c for c in groups.columns if c not in by],
@@ -31,7 +39,7 @@ def _join_groups(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataF
     condition = F.lit(True)
     for name in by:
         condition = condition & rows[name].eqNullSafe(renamed[f"__g_{name}"])
-    return rows.join(renamed, condition).drop(*[f"__g_{n}" for n in by])
+    return rows.join(renamed, condition, how).drop(*[f"__g_{n}" for n in by])
 
 
 def _bucket(value: Column, low: Column, high: Column) -> Column:
@@ -58,7 +66,7 @@ def _close_in(
     running = Window.partitionBy(*keys).orderBy("bucket")
     for _ in range(max_rounds):
         counts = (
-            _join_groups(rows, targets, by)
+            join_groups(rows, targets, by)
             .withColumn("bucket", _bucket(F.col("value"), F.col("low"), F.col("high")))
             .groupBy(*keys, "rank", "bucket")
             .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
@@ -83,7 +91,7 @@ def _values_at(rows: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFr
     keys = [*by, "target"]
     running = Window.partitionBy(*keys).orderBy("value")
     return (
-        _join_groups(rows, targets, by)
+        join_groups(rows, targets, by)
         .where(F.col("value").between(F.col("low"), F.col("high")))
         .groupBy(*keys, "rank", "below", "value")
         .agg(F.count("*").alias("n"))
@@ -133,7 +141,7 @@ def exact_percentile(
         F.max(F.when(F.col("target") == 1, F.col("value"))).alias("upper"),
     )
     fraction = position - F.floor(position)
-    return _join_groups(pair, groups.select(*by, "n"), by).select(
+    return join_groups(pair, groups.select(*by, "n"), by).select(
         *by, (F.col("lower") + (F.col("upper") - F.col("lower")) * fraction).alias(out)
     )
 
