@@ -300,9 +300,28 @@ def with_normalized(df: DataFrame, raw: str, out: str = "normalized") -> DataFra
     )
 
 
+def json_text(**fields: Column) -> Column:
+    """Object text of the given fields with ``", "`` and ``": "`` between the parts.
+
+    Nulls are kept and non-ASCII stays readable. The spacing matters: an answer
+    without a decision is read as free text, and only its first characters count.
+    """
+
+    def member(name: str, value: Column) -> Column:
+        alone = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+        return F.concat(F.lit(f'"{name}": '), F.substr(alone, F.lit(6), F.length(alone) - 6))
+
+    return F.concat(
+        F.lit("{"), F.concat_ws(", ", *[member(n, v) for n, v in fields.items()]), F.lit("}")
+    )
+
+
+RECORD_FIELDS = ("contains_pii", "label", "confidence", "reason", "raw_text")
+
+
 def record_json(record: Column) -> Column:
-    """Record as JSON text, null fields kept and non-ASCII left readable."""
-    return F.to_json(record, {"ignoreNullFields": "false"})
+    """Uniform record as JSON text."""
+    return json_text(**{name: record[name] for name in RECORD_FIELDS})
 
 
 # --- free text ------------------------------------------------------------------

@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.functions.answers import label_of
+from sievemark.functions.answers import LABEL_UNPARSEABLE, json_text, label_of
 from sievemark.functions.guard import (
+    PII_CATEGORY,
     categories_in,
     first_pii_index,
     has_pii_category,
@@ -25,7 +26,7 @@ from sievemark.functions.guard import (
     refusal_label,
     safety_label,
 )
-from sievemark.functions.text import clean
+from sievemark.functions.text import clean, words
 from sievemark.session import require_columns
 
 MODE_TOKENS, MODE_FULL = "token_by_token", "full_sequence_fallback"
@@ -33,6 +34,21 @@ MODE_TOKENS, MODE_FULL = "token_by_token", "full_sequence_fallback"
 # --- long table of steps -------------------------------------------------------
 
 
+def steps_from_texts(
+    df: DataFrame,
+    is_pii: Callable[[Column], Column],
+    id_col: str = "sample_id",
+    content_col: str = "content",
+) -> DataFrame:
+    """Long steps table of whole texts: one row per token, PII where ``is_pii`` holds."""
+    tokens = df.select(F.col(id_col), F.posexplode(words(F.col(content_col))))
+    return tokens.select(
+        id_col,
+        F.col("pos").cast("bigint").alias("token_index"),
+        F.when(is_pii(F.col("col")), F.lit(PII_CATEGORY)).otherwise(F.lit("None")).alias("category"),
+    )
+
+
 def early_stop(steps: DataFrame, id_col: str = "sample_id") -> DataFrame:
     """(id, processed_tokens, total_tokens, trigger_index, early_stopped) per text.
 
@@ -145,7 +161,8 @@ def final_decision(
     contents: str = "content",
     out: str = "decision",
 ) -> DataFrame:
-    """Add struct ``out`` (risk_level, category, refusal, contains_pii, label, reason).
+    """Add struct ``out``: risk_level, category, refusal, text_output, contains_pii,
+    label and reason.
 
     The last element of each array counts. A labelled text in ``contents`` overrides
     risk level and category; PII follows the parsed list, else the category; without
@@ -182,6 +199,7 @@ def final_decision(
             risk.alias("risk_level"),
             category.alias("category"),
             refusal.alias("refusal"),
+            F.col(text).alias("text_output"),
             flag.alias("contains_pii"),
             label_of(flag).alias("label"),
             reason_text(risk, category, refusal).alias("reason"),
@@ -199,7 +217,7 @@ def moderate_arrays(
     stopped = early_stop_arrays(df, categories)
     at = F.greatest(F.col("processed_tokens") - 1, F.lit(0)).cast("int")
 
-    def seen(name: str):
+    def seen(name: str) -> Column:
         return F.when(F.size(name) > 0, F.array(pick(F.col(name), at))).otherwise(
             F.array().cast("array<string>")
         )
@@ -216,6 +234,43 @@ def moderate_arrays(
     return decided.drop("__risk", "__category", "__content")
 
 
+STREAM_FIELDS = (
+    "stream_mode", "early_stopped", "trigger_index", "inferred_pii",
+    "inferred_trigger_index", "processed_tokens", "total_tokens",
+)
+
+
+def with_guard_output(df: DataFrame) -> DataFrame:
+    """Add contains_pii and output_json to moderated texts (``decision`` and the
+    stream columns), ready for the result rows and the run metrics."""
+    d = {n: F.col(f"decision.{n}") for n in ("risk_level", "category", "refusal")}
+    stream = {n: F.col(n) for n in STREAM_FIELDS}
+    detail = json_text(**d, text_output=F.col("decision.text_output"), **stream)
+    record = json_text(
+        contains_pii=F.col("decision.contains_pii"),
+        label=F.col("decision.label"),
+        confidence=F.lit(None).cast("double"),
+        reason=F.col("decision.reason"),
+        raw_text=F.col("__detail"),
+        **d,
+        **stream,
+    )
+    error = F.col("step_error")
+    failed = json_text(
+        contains_pii=F.lit(None).cast("boolean"),
+        label=F.lit(LABEL_UNPARSEABLE),
+        confidence=F.lit(None).cast("double"),
+        reason=F.concat(F.lit("model_error: "), error),
+        raw_text=F.lit(""),
+    )
+    return (
+        df.withColumn("__detail", detail)
+        .withColumn("contains_pii", F.when(error.isNull(), F.col("decision.contains_pii")))
+        .withColumn("output_json", F.when(error.isNull(), record).otherwise(failed))
+        .drop("__detail")
+    )
+
+
 def early_stop_savings(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Processed and total tokens, stopped texts and the share of tokens processed."""
     processed, total = F.sum("processed_tokens"), F.sum("total_tokens")
@@ -237,7 +292,7 @@ def moderation_events(df: DataFrame, id_col: str = "sample_id") -> DataFrame:
     """
     names = set(df.columns)
 
-    def event(name: str, index, detail, when) -> F.Column:
+    def event(name: str, index: Column, detail: Column, when: Column) -> Column:
         return F.when(
             when,
             F.struct(

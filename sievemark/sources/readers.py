@@ -82,3 +82,8 @@ def read_metrics(
     good = raw.where(F.col("_broken").isNull()).drop("_broken")
     bad = raw.where(F.col("_broken").isNotNull()).select("_source_file", "_broken")
     return good, bad
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """All appended runs of a comparison table, columns merged by name."""
+    return spark.read.option("mergeSchema", True).parquet(path)

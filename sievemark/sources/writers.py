@@ -35,7 +35,13 @@ def write_generated(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     _write(df, path, fmt, append=False)
 
 
-def write_comparison(df: DataFrame, path: str, append: bool = False, fmt: str = "csv") -> None:
+def write_comparison(
+    df: DataFrame, path: str, append: bool = False, fmt: str = "parquet"
+) -> None:
+    """Comparison table. Appended runs may differ in columns, so history needs a
+    self-describing format; ``csv`` is for single exports."""
+    if append and fmt == "csv":
+        raise ValueError("append needs a self-describing format such as parquet")
     _write(df, path, fmt, append)
 
 
