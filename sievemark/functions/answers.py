@@ -243,13 +243,13 @@ def _text_to_double(text: Column) -> Column:
 
 
 def unit_interval(number: Column) -> Column:
-    """Clamp into [0, 1]; NaN becomes 0."""
-    return F.when(F.isnan(number), F.lit(0.0)).otherwise(
-        F.least(F.lit(1.0), F.greatest(F.lit(0.0), number))
-    )
+    """Clamp into [0, 1]; NaN becomes 0 and null stays null."""
+    clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.nanvl(number, F.lit(0.0))))
+    return F.when(number.isNotNull(), clamped)
 
 
-def confidence_of(payload: Column, raw: Column) -> Column:
+def stated_confidence(payload: Column, raw: Column) -> Column:
+    """Confidence as stated, else the one of a cut-off answer; not yet clamped."""
     value = payload["confidence"]
     kind = F.schema_of_variant(value)
     stated = (
@@ -257,8 +257,7 @@ def confidence_of(payload: Column, raw: Column) -> Column:
         .when(kind == "STRING", _text_to_double(F.try_variant_get(value, "$", "string")))
         .when(_is_number(kind), F.try_variant_get(value, "$", "double"))
     )
-    number = F.coalesce(stated, partial_number(raw, "confidence"))
-    return F.when(number.isNotNull(), unit_interval(number))
+    return F.coalesce(stated, partial_number(raw, "confidence"))
 
 
 def reason_of(payload: Column, raw: Column) -> Column:
@@ -281,22 +280,23 @@ def reason_of(payload: Column, raw: Column) -> Column:
 
 def with_normalized(df: DataFrame, raw: str, out: str = "normalized") -> DataFrame:
     """Add ``out``, the uniform record of a raw model answer."""
-    payload, flag = f"__{out}_payload", f"__{out}_flag"
+    payload, flag, number = f"__{out}_payload", f"__{out}_flag", f"__{out}_number"
     text = F.coalesce(F.col(raw), F.lit(""))
     return (
         with_json_object(df, text, payload)
         .withColumn(flag, F.coalesce(decision(F.col(payload)), partial_decision(text)))
+        .withColumn(number, stated_confidence(F.col(payload), text))
         .withColumn(
             out,
             F.struct(
                 F.col(flag).alias("contains_pii"),
                 label_of(F.col(flag)).alias("label"),
-                confidence_of(F.col(payload), text).alias("confidence"),
+                unit_interval(F.col(number)).alias("confidence"),
                 reason_of(F.col(payload), text).alias("reason"),
                 text.alias("raw_text"),
             ),
         )
-        .drop(payload, flag)
+        .drop(payload, flag, number)
     )
 
 
@@ -309,7 +309,7 @@ def json_text(**fields: Column) -> Column:
 
     def member(name: str, value: Column) -> Column:
         alone = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
-        return F.concat(F.lit(f'"{name}": '), F.substr(alone, F.lit(6), F.length(alone) - 6))
+        return F.concat(F.lit(f'"{name}": '), F.regexp_replace(alone, r'^\{"v":|\}$', ""))
 
     return F.concat(
         F.lit("{"), F.concat_ws(", ", *[member(n, v) for n, v in fields.items()]), F.lit("}")

@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievemark.functions.answers import variant_text, with_json_object
 from sievemark.functions.flags import has_obvious_pii
@@ -91,7 +92,7 @@ def _weave(text: str, hits: list | None) -> str:
     return "".join(out) + text[at:]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _weave_all(texts: pd.Series, hits: pd.Series) -> pd.Series:
     return pd.Series([_weave(t, h) for t, h in zip(texts, hits)], dtype="object")
 

@@ -65,15 +65,20 @@ def read_non_pii(spark: SparkSession, path: str, content_col: str = CONTENT) ->
 
 
 def read_metrics(
-    spark: SparkSession, folder: str, pattern: str = "*_metrics.json", schema: str = METRICS_SCHEMA
+    spark: SparkSession,
+    folder: str,
+    pattern: str = "*_metrics.json",
+    lines: bool = False,
+    schema: str = METRICS_SCHEMA,
 ) -> tuple[DataFrame, DataFrame]:
-    """Metrics files of a folder: (metrics with ``_source_file``, unreadable files).
+    """Metrics files of a folder: (metrics with ``_source_file``, unreadable records).
 
-    The second table names the skipped files, so nothing is lost silently.
+    A file holds one object, possibly indented, or with ``lines`` one object per
+    line. The second table names what was skipped, so nothing is lost silently.
     """
     raw = (
         spark.read.schema(f"{schema}, _broken string")
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .option("columnNameOfCorruptRecord", "_broken")
         .option("pathGlobFilter", pattern)
         .json(folder)
