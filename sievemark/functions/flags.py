@@ -56,7 +56,8 @@ CARD_16_RULE = Rule("digits_16", r"(?<!\d)\d{16}(?!\d)", LONG_NUMBER)
 
 
 def _any(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+    parts = list(conditions)
+    return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
 
 
 def java_pattern(rule: Rule) -> str:
@@ -87,9 +88,21 @@ def any_rule(col: Column, rules: Iterable[Rule] = DEFAULT_RULES) -> Column:
 
 
 def any_keyword(col: Column, keywords: Iterable[str] = KEYWORDS) -> Column:
-    """Case-insensitive substring test for a list of keywords."""
-    lowered = F.lower(col)
-    return _any(F.contains(lowered, F.lit(k.lower())) for k in keywords)
+    """Case-insensitive substring test for a list of keywords.
+
+    Keywords of a script without case are searched in the text as it is, behind one
+    scan for the range of their first characters; only the others need the lowered text.
+    """
+    words = list(dict.fromkeys(k for k in keywords if k))
+    caseless = [k for k in words if k.lower() == k.upper()]
+    cased = [k.lower() for k in words if k.lower() != k.upper()]
+    found = _any(F.contains(F.lower(col), F.lit(k)) for k in cased)
+    if caseless:
+        # One character range is far cheaper for the regex engine than a list.
+        low, high = (f"\\x{{{ord(edge(k[0] for k in caseless)):x}}}" for edge in (min, max))
+        guard = col.rlike(f"[{low}-{high}]")
+        found = found | (guard & _any(F.contains(col, F.lit(k)) for k in caseless))
+    return found
 
 
 def has_obvious_pii(
@@ -98,8 +111,5 @@ def has_obvious_pii(
     keywords: Iterable[str] = KEYWORDS,
 ) -> Column:
     """Rule or keyword hit. An empty or null text counts as PII (never a safe sample)."""
-    return (
-        F.when(col.isNull() | (col == ""), F.lit(True))
-        .when(any_rule(col, rules), F.lit(True))
-        .otherwise(any_keyword(col, keywords))
-    )
+    text = F.coalesce(col, F.lit(""))
+    return (text == "") | any_rule(text, rules) | any_keyword(text, keywords)

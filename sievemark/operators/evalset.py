@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.functions.text import text_hash
-from sievemark.operators.ranks import take_smallest
+from sievemark.operators.ranks import TOP_K_ROWS, take_smallest
 from sievemark.session import require_columns
 
 # The safe sentences that replace a text, and the shuffle seed.
@@ -41,9 +41,16 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = SHUFFLE_SEED) -> DataF
     return take_smallest(df, n, seeded_key(key, seed), key)
 
 
-def shuffle(df: DataFrame, key: str, seed: int = SHUFFLE_SEED) -> DataFrame:
-    """Rows in a repeatable random order (a range-partitioned sort)."""
-    return df.orderBy(seeded_key(key, seed), key)
+def shuffle(
+    df: DataFrame, key: str, seed: int = SHUFFLE_SEED, at_most: int | None = None
+) -> DataFrame:
+    """Rows in a repeatable random order: a range-partitioned sort, which samples its
+    input first. A table known to have few rows (``at_most``) is sorted in one task
+    instead, sparing that extra pass."""
+    order = [seeded_key(key, seed), F.col(key)]
+    if at_most is not None and at_most <= TOP_K_ROWS:
+        return df.repartition(1).sortWithinPartitions(*order)
+    return df.orderBy(*order)
 
 
 def label(df: DataFrame, truth: bool, kind: str) -> DataFrame:
@@ -73,14 +80,19 @@ def redacted_samples(
 
 
 def top_up(
-    negatives: DataFrame, positives: DataFrame, n: int, id_col: str, content_col: str
+    negatives: DataFrame,
+    positives: DataFrame,
+    n: int,
+    id_col: str,
+    content_col: str,
+    have: int | None = None,
 ) -> DataFrame:
     """Negatives plus redacted positives up to n rows.
 
     Still short of n when there are too few positives. ``negatives`` must hold at
-    most n rows; they are counted up front.
+    most n rows; ``have`` is their number where it is known, else they are counted.
     """
-    needed = n - negatives.limit(n).count()
+    needed = n - (negatives.count() if have is None else have)
     result = _samples(negatives, id_col, content_col, KIND_NEGATIVE)
     if needed <= 0:
         return result
@@ -111,9 +123,10 @@ def build_eval_set(
         return positives.orderBy("sample_id")
     if non_pii is not None and content_col in non_pii.columns:
         usable = non_pii.na.drop(subset=[content_col])
-        negatives = top_up(sample_n(usable, n, id_col, seed), source, n, id_col, content_col)
+        have = usable.limit(n).count()  # stops as soon as n rows are seen
+        chosen = sample_n(usable, n, id_col, seed)
+        negatives = top_up(chosen, source, n, id_col, content_col, have)
     else:
         negatives = redacted_samples(source, n, id_col, content_col)
-    return shuffle(
-        positives.unionByName(label(negatives, False, "negative")), "sample_id", seed
-    )
+    mixed = positives.unionByName(label(negatives, False, "negative"))
+    return shuffle(mixed, "sample_id", seed, at_most=2 * n)

@@ -52,19 +52,21 @@ def _map_with_literals(df: DataFrame, col: str, phrases: Mapping[str, str]) -> D
     return staged.withColumn(col, F.when(text.isNotNull(), joined)).drop("__between", "__hits")
 
 
-def _longest_match(text: str, by_length: list[tuple[int, dict[str, str]]]) -> str:
-    out, at = [], 0
-    while at < len(text):
+def _longest_match(text: str, by_length: list[tuple[int, dict]], starts: re.Pattern) -> str:
+    """Left to right; text that starts no phrase is copied in whole runs."""
+    out, copied, at = [], 0, 0
+    while (found := starts.search(text, at)) is not None:
+        at = found.start()
         for length, table in by_length:
             target = table.get(text[at : at + length])
             if target is not None:
-                out.append(target)
+                out += [text[copied:at], target]
                 at += length
+                copied = at
                 break
         else:
-            out.append(text[at])
             at += 1
-    return "".join(out)
+    return "".join(out) + text[copied:]
 
 
 def _map_with_broadcast(df: DataFrame, col: str, phrases: Mapping[str, str]) -> DataFrame:
@@ -73,11 +75,13 @@ def _map_with_broadcast(df: DataFrame, col: str, phrases: Mapping[str, str]) ->
         tables.setdefault(len(phrase), {})[phrase] = target
     shared = df.sparkSession.sparkContext.broadcast(sorted(tables.items(), reverse=True))
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def convert(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         by_length = shared.value
+        heads = {phrase[0] for _, table in by_length for phrase in table}
+        starts = re.compile("[" + "".join(map(re.escape, sorted(heads))) + "]")
         for texts in batches:
-            yield texts.map(lambda t: _longest_match(t, by_length), na_action="ignore")
+            yield texts.map(lambda t: _longest_match(t, by_length, starts), na_action="ignore")
 
     return df.withColumn(col, convert(F.col(col)))
 

@@ -35,7 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    """The texts; a file too small to occupy all cores is spread over them, because
+    regex work costs far more than moving a few megabytes. Large inputs come in more
+    splits than there are cores and are left as they are."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        return docs.repartition(cores, "doc_id")
+    return docs
 
 
 def wide_truth(text: Column) -> Column:

@@ -135,8 +135,9 @@ def eval_set_positive_only(spark, sf_dir):
 @query
 def top_up(spark, sf_dir):
     few, many = _sources(spark, sf_dir)
+    n = 2 * SAMPLES
     filled = evalset.top_up(
-        evalset.sample_n(few, 2 * SAMPLES, "doc_id"), many, 2 * SAMPLES, "doc_id", "text"
+        evalset.sample_n(few, n, "doc_id"), many, n, "doc_id", "text", few.limit(n).count()
     )
     return filled.select("sample_id", md5(F.col("content")).alias("md5"))
 
