@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.functions.text import JSON_WHITESPACE, WS, clean, strip
+from sievemark.functions.text import JSON_WHITESPACE, WHITESPACE, WS, clean, strip
 
 # Answer keys in order of priority, accepted words, labels.
 DECISION_KEYS = ("contains_pii", "has_pii", "pii", "prediction", "label", "result")
@@ -160,23 +160,33 @@ def coerce_text(col: Column) -> Column:
     return F.when(word.isin(*YES_WORDS), F.lit(True)).when(word.isin(*NO_WORDS), F.lit(False))
 
 
-def coerce_variant(value: Column) -> Column:
-    """Boolean meaning of a JSON value: booleans, the numbers 1 and 0, yes/no words."""
-    kind = F.schema_of_variant(value)
-    number = F.try_variant_get(value, "$", "double")
-    return (
-        F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        .when(kind == "STRING", coerce_text(F.try_variant_get(value, "$", "string")))
-        .when(
-            _is_number(kind),
-            F.when(number == 1, F.lit(True)).when(number == 0, F.lit(False)),
-        )
-    )
+def _sql_words(words: tuple[str, ...]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def decision(payload: str) -> Column:
+    """First decision key of the payload column whose value has a boolean meaning:
+    booleans, the numbers 1 and 0, yes/no words.
+
+    Written as one SQL text: six keys as column calls would cost more time to build
+    than to run on a small table.
+    """
 
+    def meaning(key: str) -> str:
+        value = f"{payload}.{key}"
+        word = f"lower(btrim(try_variant_get({value}, '$', 'string'), '{WHITESPACE}'))"
+        number = f"try_variant_get({value}, '$', 'double')"
+        return f"""CASE
+            WHEN schema_of_variant({value}) = 'BOOLEAN' THEN try_variant_get({value}, '$', 'boolean')
+            WHEN schema_of_variant({value}) = 'STRING' THEN
+              CASE WHEN {word} IN ({_sql_words(YES_WORDS)}) THEN true
+                   WHEN {word} IN ({_sql_words(NO_WORDS)}) THEN false END
+            WHEN schema_of_variant({value}) IN ('BIGINT', 'DOUBLE', 'FLOAT')
+              OR startswith(schema_of_variant({value}), 'DECIMAL') THEN
+              CASE WHEN {number} = 1 THEN true WHEN {number} = 0 THEN false END
+            END"""
 
-def decision(payload: Column) -> Column:
-    """First decision key whose value has a boolean meaning."""
-    return F.coalesce(*[coerce_variant(payload[k]) for k in DECISION_KEYS])
+    return F.expr(f"coalesce({', '.join(map(meaning, DECISION_KEYS))})")
 
 
 def truth_from_text(col: Column) -> Column:
@@ -284,7 +294,7 @@ def with_normalized(df: DataFrame, raw: str, out: str = "normalized") -> DataFra
     text = F.coalesce(F.col(raw), F.lit(""))
     return (
         with_json_object(df, text, payload)
-        .withColumn(flag, F.coalesce(decision(F.col(payload)), partial_decision(text)))
+        .withColumn(flag, F.coalesce(decision(payload), partial_decision(text)))
         .withColumn(number, stated_confidence(F.col(payload), text))
         .withColumn(
             out,
@@ -336,7 +346,9 @@ def free_text_decision(raw: Column) -> Column:
 
     The words ``no``, ``yes``, ``true`` and ``false`` match inside longer words.
     """
-    head = strip(F.substring(F.lower(strip(raw)), 1, FREE_TEXT_CHARS))
+    # Lowering can lengthen a text, never shorten it: cut first, and once more after.
+    start = F.lower(F.substring(strip(raw), 1, FREE_TEXT_CHARS))
+    head = strip(F.substring(start, 1, FREE_TEXT_CHARS))
     return (
         F.when(head.rlike(_alternation(NO_PATTERNS)), F.lit(False))
         .when(head.rlike(_alternation(YES_PATTERNS)), F.lit(True))
@@ -357,7 +369,7 @@ def with_parsed_decision(df: DataFrame, raw: str, out: str = "parsed", depth: in
     for level in range(depth):
         name = f"__{out}_level{level}"
         df = with_strict_object(df, F.btrim(texts[-1], F.lit(JSON_WHITESPACE)), name)
-        payloads.append(F.col(name))
+        payloads.append(name)
         temporary.append(name)
         if level + 1 < depth:
             inner_name = f"__{out}_text{level + 1}"

@@ -52,10 +52,11 @@ def with_params(
     if not isinstance(params, DataFrame):
         known = {**MODEL_PARAMS, **(params or {})}
         params = spark.createDataFrame(list(known.items()), "model_id string, params_b double")
+    params = small_or_materialized(params.select("model_id", "params_b"), "params")
     given = F.col("model_params_b") if "model_params_b" in df.columns else F.lit(None)
     filled = F.coalesce(F.nullif(given.cast("double"), F.lit(0.0)), F.col("params_b"))
     return (
-        df.join(params.select("model_id", "params_b"), "model_id", "left")
+        df.join(params, "model_id", "left")
         .withColumn("model_params_b", filled)
         .drop("params_b")
     )
@@ -154,9 +155,8 @@ def select_models(
 ) -> DataFrame:
     """Result facts of the selected models."""
     chosen = resolve_models(models, selectors)
-    return facts.join(
-        chosen.select(F.col("key").alias(key_col)).distinct(), key_col, "left_semi"
-    )
+    keys = small_or_materialized(chosen.select(F.col("key").alias(key_col)), "model-keys")
+    return facts.join(keys, key_col, "left_semi")
 
 
 def history(*runs: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievemark.session import small_or_materialized
+
 PRICE_LIST_TYPE = (
     "struct<data: array<struct<id: string, pricing: struct<prompt: string, completion: string>>>>"
 )
@@ -51,11 +53,12 @@ def cost_column(
 
 
 def with_cost(df: DataFrame, pricing: DataFrame, reported_col: str | None = None) -> DataFrame:
-    """Add ``cost_usd``. The price list joins on ``model_id``; Catalyst broadcasts it
-    when its measured size allows and otherwise splits skewed models at run time."""
+    """Add ``cost_usd``. A price list of checked small size is broadcast, so usage rows
+    stay in place however many of them one model has."""
     reported = F.col(reported_col) if reported_col else F.lit(None)
+    prices = pricing.select("model_id", "prompt_price", "completion_price")
     return (
-        df.join(pricing, "model_id", "left")
+        df.join(small_or_materialized(prices, "prices"), "model_id", "left")
         .withColumn(
             "cost_usd",
             cost_column(

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Upper bound on the rows of a table that may pass through the driver or be
 # turned into a literal relation (run dimensions, per-group metrics, ...).
@@ -45,15 +46,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def small_or_materialized(df: DataFrame, name: str = "small") -> DataFrame:
-    """Pin a table expected to be small.
+    """Pin a table expected to be small (a dimension, one row per group, ...).
 
-    Up to ``SMALL_TABLE_ROWS`` rows become a literal relation, whose exact size
-    Catalyst knows, so joins against it broadcast. A larger table is written out
-    and joined by shuffle instead; nothing is dropped either way.
+    Its size is checked first: up to ``SMALL_TABLE_ROWS`` rows it becomes a literal
+    table marked for broadcast, so the large side of a join is not shuffled on a
+    possibly hot key. A larger table is written out and joined by shuffle; nothing is
+    dropped either way.
     """
     rows = df.limit(SMALL_TABLE_ROWS + 1).collect()
     if len(rows) <= SMALL_TABLE_ROWS:
-        return df.sparkSession.createDataFrame(rows, df.schema)
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
     return materialize(df, name)
 
 
