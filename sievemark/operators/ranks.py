@@ -140,10 +140,13 @@ def exact_percentile(
         F.max(F.when(F.col("target") == 0, F.col("value"))).alias("lower"),
         F.max(F.when(F.col("target") == 1, F.col("value"))).alias("upper"),
     )
-    fraction = position - F.floor(position)
-    return join_groups(pair, groups.select(*by, "n"), by).select(
-        *by, (F.col("lower") + (F.col("upper") - F.col("lower")) * fraction).alias(out)
+    # Same order of operations as the built-in, so both routes agree to the last bit.
+    above, below = F.ceil(position) - position, position - F.floor(position)
+    between = above * F.col("lower") + below * F.col("upper")
+    exact = F.when(F.col("lower") == F.col("upper"), F.col("lower")).otherwise(
+        F.when(below == 0, F.col("lower")).otherwise(between)
     )
+    return join_groups(pair, groups.select(*by, "n"), by).select(*by, exact.alias(out))
 
 
 def largest_group(df: DataFrame, by: Sequence[str] = ()) -> int:

@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = os.pathsep.join(
-    [str(ROOT), *filter(None, [os.environ.get("PYTHONPATH")])]
+    [str(ROOT), str(ROOT / "tests"), *filter(None, [os.environ.get("PYTHONPATH")])]
 )
 
 
