@@ -117,23 +117,20 @@ def _map_with_join(df: DataFrame, col: str, mapping: DataFrame) -> DataFrame:
         .dropDuplicates([key])
     )
     chars = F.split(F.col("text"), "")
-    windows = F.flatten(
-        F.array(
-            *[
-                F.when(
-                    F.length("text") >= n,
-                    F.transform(
-                        F.sequence(F.lit(1), F.length("text") - (n - 1)),
-                        lambda at, n=n: F.struct(
-                            (at - 1).alias("at"),
-                            F.array_join(F.slice(F.col("chars"), at, F.lit(n)), "").alias("phrase"),
-                        ),
-                    ),
-                ).otherwise(F.array().cast("array<struct<at: int, phrase: string>>"))
-                for n in lengths
-            ]
+
+    def substrings(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("text") - (n - 1))
+        found = F.transform(
+            starts,
+            lambda at: F.struct(
+                (at - 1).alias("at"),
+                F.array_join(F.slice(F.col("chars"), at, F.lit(n)), "").alias("phrase"),
+            ),
         )
-    )
+        none = F.array().cast("array<struct<at: int, phrase: string>>")
+        return F.when(F.length("text") >= n, found).otherwise(none)
+
+    windows = F.flatten(F.array(*map(substrings, lengths)))
     candidates = texts.select(key, "text", chars.alias("chars")).select(
         key, F.inline(windows)
     )
