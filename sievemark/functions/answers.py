@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.functions.text import JSON_WHITESPACE, WHITESPACE, WS, clean, strip
+from sievemark.session import with_computed
 
 # Answer keys in order of priority, accepted words, labels.
 DECISION_KEYS = ("contains_pii", "has_pii", "pii", "prediction", "label", "result")
@@ -292,22 +293,19 @@ def with_normalized(df: DataFrame, raw: str, out: str = "normalized") -> DataFra
     """Add ``out``, the uniform record of a raw model answer."""
     payload, flag, number = f"__{out}_payload", f"__{out}_flag", f"__{out}_number"
     text = F.coalesce(F.col(raw), F.lit(""))
-    return (
+    staged = (
         with_json_object(df, text, payload)
         .withColumn(flag, F.coalesce(decision(payload), partial_decision(text)))
         .withColumn(number, stated_confidence(F.col(payload), text))
-        .withColumn(
-            out,
-            F.struct(
-                F.col(flag).alias("contains_pii"),
-                label_of(F.col(flag)).alias("label"),
-                unit_interval(F.col(number)).alias("confidence"),
-                reason_of(F.col(payload), text).alias("reason"),
-                text.alias("raw_text"),
-            ),
-        )
-        .drop(payload, flag, number)
     )
+    record = F.struct(
+        F.col(flag).alias("contains_pii"),
+        label_of(F.col(flag)).alias("label"),
+        unit_interval(F.col(number)).alias("confidence"),
+        reason_of(F.col(payload), text).alias("reason"),
+        text.alias("raw_text"),
+    )
+    return with_computed(staged, out, record).drop(payload, flag, number)
 
 
 def json_text(**fields: Column) -> Column:
@@ -382,7 +380,7 @@ def with_parsed_decision(df: DataFrame, raw: str, out: str = "parsed", depth: in
     result = F.lit(None).cast("boolean")
     for text, payload in reversed(list(zip(texts, payloads))):
         result = F.coalesce(decision(payload), result, free_text_decision(text))
-    return df.withColumn(out, result).drop(*temporary)
+    return with_computed(df, out, result).drop(*temporary)
 
 
 # --- answer contract ----------------------------------------------------------------
@@ -410,7 +408,8 @@ def with_contract(df: DataFrame, raw: str, out: str = "contract") -> DataFrame:
     def holds(condition: Column) -> Column:
         return F.coalesce(condition, F.lit(False))
 
-    return df.withColumn(
+    return with_computed(
+        df,
         out,
         F.struct(
             p.isNotNull().alias("is_object"),

@@ -17,7 +17,7 @@ from sievemark.functions.text import clean, strip
 from sievemark.operators.evalset import take_first
 from sievemark.operators.prompts import MESSAGE_TYPE, rewrite_messages
 from sievemark.operators.ranks import number_rows
-from sievemark.session import materialize, require_columns
+from sievemark.session import materialize, require_columns, with_computed
 
 STATUS_OK, STATUS_FAILED = "ok", "failed"
 
@@ -226,13 +226,9 @@ def with_accepted(df: DataFrame, raw: str, out: str = "candidate") -> DataFrame:
     stated = F.when(
         F.schema_of_variant(value) == "VOID", F.lit("None")
     ).otherwise(F.try_variant_get(value, "$", "string"))
-    return (
-        found.withColumn(text, strip(stated))
-        .withColumn(
-            out, F.when((F.col(text) != "") & ~has_obvious_pii(F.col(text)), F.col(text))
-        )
-        .drop(payload, text)
-    )
+    staged = found.withColumn(text, strip(stated))
+    usable = F.when((F.col(text) != "") & ~has_obvious_pii(F.col(text)), F.col(text))
+    return with_computed(staged, out, usable).drop(payload, text)
 
 
 def rewrite_until_clean(

@@ -123,12 +123,17 @@ def _with_p95(
     columns: dict[str, Column],
     latency: str,
     single_task_rows: int,
+    sized: DataFrame | None = None,
 ) -> DataFrame:
-    """One aggregation; only a group too large for one buffer adds the rank search."""
+    """One aggregation; only a group too large for one buffer adds the rank search.
+
+    ``sized`` is a cheaper table with the same rows, for counting the groups.
+    """
     name = "overhead_latency_ms_p95"
-    if largest_group(df, by) <= single_task_rows:
+    if largest_group(df if sized is None else sized, by) <= single_task_rows:
         return _agg(df, by, {**columns, name: _p95(F.percentile(latency, 0.95))})
-    p95 = exact_percentile(df, latency, 0.95, by, "__p95", single_task_rows)
+    rows = df if sized is None else sized
+    p95 = exact_percentile(rows, latency, 0.95, by, "__p95", single_task_rows)
     stats = _agg(df, by, columns)
     if by:
         joined = join_groups(stats, p95, by, how="left")
@@ -284,7 +289,7 @@ def run_metrics(
         **cost_columns("cost_usd"),
         "decision_disagreements": _count(~F.col("contains_pii").eqNullSafe(F.col("__reread"))),
     }
-    m = with_binary_rates(_with_p95(reread, by, columns, "latency_ms", single_task_rows))
+    m = with_binary_rates(_with_p95(reread, by, columns, "latency_ms", single_task_rows, scored))
     tp, tn, fp, fn = (F.col(f"__flag_{k}") for k in ("tp", "tn", "fp", "fn"))
     return m.select(
         *by,

@@ -27,7 +27,7 @@ from sievemark.functions.guard import (
     safety_label,
 )
 from sievemark.functions.text import clean, words
-from sievemark.session import require_columns
+from sievemark.session import require_columns, with_computed
 
 MODE_TOKENS, MODE_FULL = "token_by_token", "full_sequence_fallback"
 
@@ -193,7 +193,8 @@ def final_decision(
         f"__{out}_flag", F.when(category != "", has_pii_category(category, parsed))
     )
     flag = F.col(f"__{out}_flag")
-    return staged.withColumn(
+    return with_computed(
+        staged,
         out,
         F.struct(
             risk.alias("risk_level"),

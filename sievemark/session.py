@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Upper bound on the rows of a table that may pass through the driver or be
@@ -63,3 +63,14 @@ def require_columns(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; available: {df.columns}")
+
+
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed once, whatever later filters ask of it.
+
+    A filter on a plain derived column is pushed down by copying the expression into
+    the filter, several times over. A one-element generator is not unfolded that way,
+    while filters and projections on all other columns still pass through it.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.array(value)).alias(name))

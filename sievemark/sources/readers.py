@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.operators.generation import STATUS_OK
-from sievemark.session import require_columns
+from sievemark.session import materialize, require_columns
 
 CONTENT = "naturalParagraph"
 
@@ -84,8 +84,10 @@ def read_metrics(
         .json(folder)
         .withColumn("_source_file", F.col("_metadata.file_name"))
     )
-    good = raw.where(F.col("_broken").isNull()).drop("_broken")
-    bad = raw.where(F.col("_broken").isNotNull()).select("_source_file", "_broken")
+    # Parsed once and stored: Spark refuses to query the broken records alone.
+    parsed = materialize(raw, "metrics")
+    good = parsed.where(F.col("_broken").isNull()).drop("_broken")
+    bad = parsed.where(F.col("_broken").isNotNull()).select("_source_file", "_broken")
     return good, bad
 
 

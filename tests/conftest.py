@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = os.pathsep.join(
     [str(ROOT), str(ROOT / "tests"), *filter(None, [os.environ.get("PYTHONPATH")])]
@@ -30,7 +31,3 @@ def spark(tmp_path_factory):
     yield session
     session.stop()
 
-
-@pytest.fixture(scope="session")
-def data_dir():
-    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
