@@ -34,16 +34,21 @@ def read_people(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PEOPLE_SCHEMA).option("multiLine", True).json(path)
 
 
-def _read_csv(spark: SparkSession, path: str) -> DataFrame:
+def _read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     # Quotes are doubled inside cells, and cells may hold line breaks.
-    return (
-        spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
-    )
+    reader = spark.read.option("header", True).option("escape", '"')
+    return reader.option("multiLine", multi_line).csv(path)
+
 
+def read_texts(
+    spark: SparkSession, path: str, content_col: str = CONTENT, multi_line: bool = True
+) -> DataFrame:
+    """CSV with a header, all columns as text; the content column must exist.
 
-def read_texts(spark: SparkSession, path: str, content_col: str = CONTENT) -> DataFrame:
-    """CSV with a header, all columns as text; the content column must exist."""
-    df = _read_csv(spark, path)
+    Cells with line breaks keep a file from being split, so one file is one task.
+    Turn ``multi_line`` off for large files known to have none.
+    """
+    df = _read_csv(spark, path, multi_line)
     require_columns(df, content_col)
     return df
 

@@ -40,15 +40,16 @@ STATE_TYPE = "trigger bigint, top bigint"
 
 def _result(sample_id: int, trigger: int, top: int, closed: bool) -> pd.DataFrame:
     hit = trigger >= 0
-    row = {
-        "sample_id": sample_id,
-        "processed_tokens": trigger + 1 if hit else top + 1,
-        "total_tokens": top + 1,
-        "trigger_index": trigger if hit else None,
-        "early_stopped": hit,
-        "closed": closed,
-    }
-    return pd.DataFrame([row]).astype({"trigger_index": "Int64"})
+    return pd.DataFrame(
+        {
+            "sample_id": [sample_id],
+            "processed_tokens": [trigger + 1 if hit else top + 1],
+            "total_tokens": [top + 1],
+            "trigger_index": pd.array([trigger if hit else pd.NA], dtype="Int64"),
+            "early_stopped": [hit],
+            "closed": [closed],
+        }
+    )
 
 
 def _advance(
