@@ -154,18 +154,24 @@ def largest_group(df: DataFrame, by: Sequence[str] = ()) -> int:
     return df.groupBy(*by).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
 
 
-# Up to this many rows a plain top-k is used (n rows per input partition).
-TOP_K_ROWS = 10_000
+# A plain top-k sends n rows of every input partition to one task; above this n the
+# table is counted first to see whether that is affordable.
+TOP_K_ROWS = 1_000
 
 
 def take_smallest(
-    df: DataFrame, n: int, order: str | Column, unique: str, top_k_rows: int = TOP_K_ROWS
+    df: DataFrame,
+    n: int,
+    order: str | Column,
+    unique: str,
+    top_k_rows: int = TOP_K_ROWS,
+    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """The ``n`` rows with the smallest ``order`` value, ties broken by ``unique``.
 
     Only the narrow ordering columns are ranked; the cut-off then filters the table,
-    so wide rows (texts) are never shuffled. Small ``n`` uses Spark's top-k for the
-    cut-off, larger ``n`` the bucketed rank search. ``order`` must be numeric.
+    so wide rows (texts) are never shuffled. Small ``n`` and small tables use Spark's
+    top-k for the cut-off, the rest the bucketed rank search. ``order`` must be numeric.
     """
     if n <= 0:
         raise ValueError("n must be positive")
@@ -173,15 +179,15 @@ def take_smallest(
     narrow = df.select(order_col.alias("value"), F.col(unique).alias("tie")).where(
         F.col("value").isNotNull()
     )
+    n_left = n
     if n > top_k_rows:
         total = narrow.count()
         if total <= n:
             return df.where(order_col.isNotNull())
-        low, below = _rank_bracket(narrow, n - 1, total, top_k_rows)
-        narrow = narrow.where(F.col("value") >= low)
-        n_left = n - below
-    else:
-        n_left = n
+        if total > single_task_rows:
+            low, high, below = _rank_bracket(narrow, n - 1, total, top_k_rows)
+            narrow = narrow.where(F.col("value").between(low, high))
+            n_left = n - below
     cutoff = (
         narrow.orderBy("value", "tie")
         .limit(n_left)
@@ -193,7 +199,10 @@ def take_smallest(
     return df.where(F.struct(order_col.alias("value"), F.col(unique).alias("tie")) <= last)
 
 
-def _rank_bracket(narrow: DataFrame, rank: int, total: int, limit: int) -> tuple[float, int]:
+def _rank_bracket(
+    narrow: DataFrame, rank: int, total: int, limit: int
+) -> tuple[float, float, int]:
+    """(low, high, rows below low): the row of this rank lies within [low, high]."""
     q, eps = rank / total, 2.0 / SKETCH_ACCURACY
     guess = narrow.agg(
         F.percentile_approx("value", [max(0.0, q - eps), min(1.0, q + eps)], SKETCH_ACCURACY)
@@ -208,7 +217,7 @@ def _rank_bracket(narrow: DataFrame, rank: int, total: int, limit: int) -> tuple
         F.lit(guess[1]).alias("high"),
     )
     found = _close_in(rows, targets, [], limit).first()
-    return found["low"], found["below"]
+    return found["low"], found["high"], found["below"]
 
 
 def number_rows(

@@ -45,7 +45,7 @@ def test_take_smallest_routes_agree(spark):
     df = spark.range(2000).select((F.col("id") * 7 % 2000).alias("k"), F.lit("t").alias("text"))
     for n in (1, 10, 333, 1999, 2000, 5000):
         for limit in (5, 10_000):
-            got = R.take_smallest(df, n, "k", "k", top_k_rows=limit).select("k").collect()
+            got = R.take_smallest(df, n, "k", "k", limit, 20).select("k").collect()
             assert sorted(r.k for r in got) == list(range(min(n, 2000))), (n, limit)
     with pytest.raises(ValueError):
         R.take_smallest(df, 0, "k", "k")
@@ -54,7 +54,7 @@ def test_take_smallest_routes_agree(spark):
 def test_take_smallest_breaks_ties_by_id(spark):
     df = spark.range(100).select("id", (F.col("id") % 2).alias("k"))
     for limit in (3, 10_000):
-        got = R.take_smallest(df, 60, "k", "id", top_k_rows=limit).collect()
+        got = R.take_smallest(df, 60, "k", "id", limit, 20).collect()
         assert len(got) == 60
         assert sorted(r.id for r in got if r.k == 1) == list(range(1, 20, 2))
 
