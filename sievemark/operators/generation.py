@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievemark.functions.answers import variant_text, with_json_object
+from sievemark.functions.answers import with_json_object
 from sievemark.functions.flags import has_obvious_pii
 from sievemark.functions.text import clean, strip
 from sievemark.operators.evalset import take_first
