@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm import decontamination, quality_bands
+from sievemark.llm import decontamination, near_dedup, quality_bands, secret_owners
 from sievemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +31,15 @@ def op4_decontamination(spark, sf_dir):
     return decontamination.hits(docs, table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
     )
+
+
+@query
+def op6_near_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs)
+
+
+@query
+def op10_secret_owners(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secret_owners.report(secret_owners.secret_spans(docs))
