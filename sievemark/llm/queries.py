@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sievemark.llm import decontamination, near_dedup, quality_bands, secret_owners
-from sievemark.llm.common import table
+from sievemark.llm import (
+    decontamination,
+    near_dedup,
+    quality_bands,
+    secret_owners,
+    token_files,
+    warc_writer,
+)
+from sievemark.llm.common import new_scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+WORD_TOKENIZER = "word_bpe_49k.json"
+END_ID = 1
 
 
 def query(function: Query) -> Query:
@@ -25,6 +34,15 @@ def op1_quality_bands(spark, sf_dir):
     return quality_bands.quality_bands(docs).select("doc_id", "bands.*")
 
 
+@query
+def op3_token_files(spark, sf_dir):
+    tokenizer = public_tokenizers.path(WORD_TOKENIZER)
+    spec = token_files.TokenSpec(tokenizer, END_ID, token_files.splits_at_space(tokenizer))
+    folder = new_scratch_path(spark, "token-files")
+    token_files.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, spec)
+    return token_files.id_digest(token_files.read_tokens(spark, folder))
+
+
 @query
 def op4_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,6 +57,13 @@ def op6_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(docs)
 
 
+@query
+def op9_warc_writer(spark, sf_dir):
+    folder = new_scratch_path(spark, "warc")
+    warc_writer.write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return warc_writer.read_warc(spark, folder, payloads=False).drop("url", "payload")
+
+
 @query
 def op10_secret_owners(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
