@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sievemark.llm import (
     decontamination,
     near_dedup,
+    piece_nbest,
     quality_bands,
     secret_owners,
     token_files,
@@ -21,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def query(function: Query) -> Query:
@@ -51,6 +54,30 @@ def op4_decontamination(spark, sf_dir):
     )
 
 
+def piece_report(docs: DataFrame) -> DataFrame:
+    """Best segmentation, scores of the n best, and whether decoding gives the text."""
+    model = public_tokenizers.path(PIECE_MODEL)
+    cut = docs.select("doc_id", "text", piece_nbest.n_best_pieces(F.col("text"), model).alias("p"))
+    back = piece_nbest.decoded_pieces(F.col("p.ids"), model)
+    text = F.coalesce("text", F.lit(""))
+    return cut.select(
+        "doc_id",
+        F.octet_length(text).cast("long").alias("n_bytes"),
+        "p.n_pieces",
+        "p.n_bytes_spelled",
+        F.crc32("p.ids").alias("ids_crc32"),
+        F.get("p.scores", F.lit(0)).alias("best_score"),
+        F.array_join(F.col("p.scores").cast("array<string>"), ",").alias("scores"),
+        F.crc32(F.to_json("p.alternatives").cast("binary")).alias("alternatives_crc32"),
+        (back == F.translate(text, piece_nbest.SPACE, " ")).alias("round_trip"),
+    )
+
+
+@query
+def op5_piece_nbest(spark, sf_dir):
+    return piece_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op6_near_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
