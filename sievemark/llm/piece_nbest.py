@@ -39,9 +39,10 @@ from sievemark.llm.common import blobs
 SPACE = "▁"
 SCALE = 1_000_000
 BYTE_COST = 4.0  # of a byte piece, below the rarest piece, as a log probability
-CACHE_SEGMENTS = 150_000
+CACHE_SEGMENTS = 200_000
 LONGEST_CACHED = 64
 NEVER = np.iinfo(np.int64).max
+UNREACHED = np.iinfo(np.int64).min // 2
 
 RESULT = (
     "ids binary, n_pieces bigint, n_bytes_spelled bigint, scores array<bigint>, "
@@ -112,13 +113,53 @@ class Pieces:
         cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joined]
         return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
 
+    def best(self, text: str) -> tuple[tuple[int, ...], int, int]:
+        """Ids and score of the best segmentation, and what the second best costs.
+
+        Seen from the end, the second best leaves the best path at one place, by an edge
+        behind which it is the best again.
+        """
+        size = len(text)
+        first, second = [0] + [UNREACHED] * size, [UNREACHED] * (size + 1)
+        back: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (size + 1)
+        get = self.begins.get
+        for start in range(size):
+            here, single = first[start], False
+            for end in range(start + 1, size + 1):
+                piece = get(text[start:end], False)
+                if piece is False:
+                    break
+                if piece is not None:
+                    single = single or end == start + 1
+                    score = here + piece[1]
+                    if score > first[end]:
+                        second[end], first[end] = first[end], score
+                        back[end] = (start, piece[0])
+                    elif score > second[end]:
+                        second[end] = score
+            if not single:
+                ids, score = self.spelled(text[start])
+                score += here
+                if score > first[start + 1]:
+                    second[start + 1], first[start + 1] = first[start + 1], score
+                    back[start + 1] = (start, ids)
+                elif score > second[start + 1]:
+                    second[start + 1] = score
+        cost, place, path = NEVER, size, []
+        while place:
+            if second[place] != UNREACHED:
+                cost = min(cost, first[place] - second[place])
+            place, ids = back[place]
+            path.append(ids)
+        return tuple(i for ids in reversed(path) for i in ids), first[size], cost
+
     def n_best(self, text: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The ``n`` best (score, ids) of a segment, best first."""
         into = self.edges(text)
         best = [0] * (len(text) + 1)
         for end in range(1, len(text) + 1):
             best[end] = max(best[start] + score for start, _, score in into[end])
-        order = count()
+        order = count(0, -1)  # of equal scores the latest: depth first, as ``best`` goes
         # (minus the score of the best path through it, order, place, score behind, path)
         queue = [(-best[-1], next(order), len(text), 0, None)]
         visits = [0] * (len(text) + 1)
@@ -135,7 +176,7 @@ class Pieces:
             if visits[place] == n:  # n better ways from here to the end are known
                 continue
             visits[place] += 1
-            for start, ids, score in into[place]:
+            for start, ids, score in reversed(into[place]):
                 total = behind + score
                 heapq.heappush(queue, (-(best[start] + total), next(order), start, total, (ids, path)))
         return results
@@ -180,8 +221,9 @@ class Remembered(dict):
 class Segmenter:
     """N-best segmentations of whole texts.
 
-    A part, a segment and a text have results of one form: packed best ids, score, cost
-    of the second best, byte pieces, and (cost, packed ids) of the others.
+    Results have one form: packed best ids, score, cost of the second best, byte pieces.
+    The further segmentations of a part are searched for only where its second best is
+    among the cheapest changes of a whole text.
     """
 
     def __init__(self, path: str, n: int) -> None:
@@ -190,29 +232,39 @@ class Segmenter:
         self.parts = Remembered(self.part, CACHE_SEGMENTS)
 
     def part(self, text: str) -> tuple:
-        (score, ids), *rest = self.pieces.n_best(text, self.n)
-        others = tuple((score - s, np.array(i, "<u4").tobytes()) for s, i in rest)
-        spelled = sum(i in self.pieces.byte_of for i in ids)
-        return np.array(ids, "<u4").tobytes(), score, others[0][0] if others else NEVER, spelled, others
+        ids, score, second = self.pieces.best(text)
+        spelled = sum([i in self.pieces.byte_of for i in ids])
+        return np.array(ids, "<u4").tobytes(), score, second, spelled
 
     def segment(self, text: str) -> tuple:
         found = [self.parts[p] for p in self.pieces.parts(text)]
         if len(found) == 1:
             return found[0]
-        others = []
-        for cost, chosen in self.combined(found)[1:]:
-            ids = [f[0] for f in found]
-            for p, k in chosen:
-                ids[p] = found[p][4][k][1]
-            others.append((cost, b"".join(ids)))
         return (
             b"".join([f[0] for f in found]),
             sum([f[1] for f in found]),
-            others[0][0] if others else NEVER,
+            min([f[2] for f in found]),
             sum([f[3] for f in found]),
-            tuple(others),
         )
 
+    def other_parts(self, text: str) -> list[tuple[int, bytes]]:
+        """(cost, packed ids) of the second to n-th best of a part."""
+        (score, _), *rest = self.pieces.n_best(text, self.n)
+        return [(score - s, np.array(ids, "<u4").tobytes()) for s, ids in rest]
+
+    def other_segments(self, text: str) -> list[tuple[int, bytes]]:
+        """The same of a segment."""
+        parts = self.pieces.parts(text)
+        found = [self.parts[p] for p in parts]
+        places, combos = self.combined(parts, found, self.other_parts)
+        others = []
+        for cost, chosen in combos[1:]:
+            ids = [f[0] for f in found]
+            for p, k in chosen:
+                ids[p] = places[p][k][1]
+            others.append((cost, b"".join(ids)))
+        return others
+
     def of(self, data: bytes) -> tuple:
         """The result columns of one text."""
         text = data.decode("utf-8", "replace")
@@ -222,11 +274,11 @@ class Segmenter:
         found = list(map(self.segments.__getitem__, parts))
         ids = b"".join([f[0] for f in found])
         total = sum([f[1] for f in found])
-        combos = self.combined(found)
+        others, combos = self.combined(parts, found, self.other_segments)
         sizes = np.cumsum([0] + [len(f[0]) // 4 for f in found])
         alternatives = [
             [
-                {"at": int(sizes[p]), "length": len(found[p][0]) // 4, "ids": found[p][4][k][1]}
+                {"at": int(sizes[p]), "length": len(found[p][0]) // 4, "ids": others[p][k][1]}
                 for p, k in sorted(chosen)
             ]
             for _, chosen in combos
@@ -234,19 +286,23 @@ class Segmenter:
         spelled = sum([f[3] for f in found])
         return ids, len(ids) // 4, spelled, [total - c for c, _ in combos], alternatives
 
-    def combined(self, found: list[tuple]) -> list[tuple[int, tuple]]:
-        """The ``n`` cheapest (cost, ((place, choice), ...)), the best itself first."""
+    def combined(
+        self, texts: list[str], found: list[tuple], search: Callable[[str], list]
+    ) -> tuple[dict[int, list], list[tuple[int, tuple]]]:
+        """The others at the places that matter, and the ``n`` cheapest combinations
+        (cost, ((place, choice), ...)), the best itself first."""
         n = self.n
-        places = range(len(found))
-        if len(found) > 4 * n:  # the n places with the cheapest changes, of equal ones the first
-            costs = np.array([f[2] for f in found], np.int64)
-            limit = np.partition(costs, n - 1)[n - 1]
+        costs = np.fromiter([f[2] for f in found], np.int64, len(found))
+        if len(found) >= n:  # the n - 1 cheapest places, of equal ones the first
+            limit = np.partition(costs, n - 2)[n - 2]
             below = np.flatnonzero(costs < limit)
-            places = np.concatenate([below, np.flatnonzero(costs == limit)[: n - len(below)]])
+            equal = np.flatnonzero(costs == limit)[: n - 1 - len(below)]
+            chosen_places = np.concatenate([below, equal]).tolist()
+        else:
+            chosen_places = list(range(len(found)))
+        others = {p: search(texts[p]) for p in chosen_places if found[p][2] != NEVER}
         singles = sorted(
-            (cost, int(p), k)
-            for p in places
-            for k, (cost, _) in enumerate(found[p][4])
+            (cost, p, k) for p, more in others.items() for k, (cost, _) in enumerate(more)
         )[: n - 1]
         queue: list[tuple[int, tuple, int]] = [(0, (), 0)]
         results = []
@@ -258,7 +314,7 @@ class Segmenter:
                 more, p, k = singles[j]
                 if p not in taken:
                     heapq.heappush(queue, (cost + more, (*chosen, (p, k)), j + 1))
-        return results
+        return others, results
 
 
 def _binary(texts: pa.Array) -> list[bytes]:
@@ -266,7 +322,7 @@ def _binary(texts: pa.Array) -> list[bytes]:
 
 
 def n_best_pieces(text: Column, model: str, n: int = 4) -> Column:
-    """Struct column: ``ids`` of the best segmentation (little-endian unsigned 32-bit
+    """For ``n`` of 2 or more a struct column: ``ids`` of the best segmentation (little-endian unsigned 32-bit
     integers), their number, how many are byte pieces, the ``scores`` of the up to ``n``
     best, and for each the segments in which it differs from the best: ``length`` ids
     from ``at`` on become ``ids``."""
