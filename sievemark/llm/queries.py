@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from sievemark.llm import (
     decontamination,
+    language_spans,
     near_dedup,
     piece_nbest,
     quality_bands,
+    quality_trees,
     secret_owners,
     token_files,
     warc_writer,
@@ -37,6 +39,12 @@ def op1_quality_bands(spark, sf_dir):
     return quality_bands.quality_bands(docs).select("doc_id", "bands.*")
 
 
+@query
+def op2_quality_trees(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_trees.score_quality(docs, table(spark, sf_dir, "labels"))
+
+
 @query
 def op3_token_files(spark, sf_dir):
     tokenizer = public_tokenizers.path(WORD_TOKENIZER)
@@ -84,6 +92,12 @@ def op6_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(docs)
 
 
+@query
+def op8_language_spans(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_spans.identify(docs)
+
+
 @query
 def op9_warc_writer(spark, sf_dir):
     folder = new_scratch_path(spark, "warc")
