@@ -13,11 +13,24 @@ from sievemark.session import materialize, new_scratch_path
 
 __all__ = ["blobs", "fold_case", "materialize", "new_scratch_path", "table", "write_file"]
 
+# Arrow batches of long texts end at this size: Spark's own bound of 64 MB is held several
+# times over by a Python worker. A session that has set another bound keeps it.
+BATCH_BYTES = 16 << 20
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_DEFAULT = "67108864b"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bound_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session with Arrow batches bounded by bytes."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        conf.set(BATCH_KEY, str(BATCH_BYTES))
+    return df
 
 
 def fold_case(text: Column) -> Column:

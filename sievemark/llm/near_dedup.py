@@ -33,11 +33,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import UPPER, blobs, materialize
+from sievemark.llm.common import UPPER, blobs, bound_batches, materialize
 from sievemark.llm.components import connected_components
 
 FOLD = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
+PAIRS_AT_ONCE = 256
 
 
 @dataclass(frozen=True)
@@ -155,7 +156,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, spec: MinHash) -> Data
                 names=["row", "doc_id", "n_shingles", "set_key", "bands"],
             )
 
-    rows = docs.select(
+    rows = bound_batches(docs).select(
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).alias("text"),
@@ -195,16 +196,18 @@ def confirmed(pairs: DataFrame, texts: DataFrame, spec: MinHash) -> DataFrame:
         shingles, plain = Shingles(spec.shingle), zstandard.ZstdDecompressor()
         last, hub = None, np.empty(0, np.uint64)
         for batch in source:
-            a, b = batch.column("a"), batch.column("b")
             keep = []
-            for one, other in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True):
-                if one != last:
-                    last, hub = one, shingles.of(plain.decompress(one))
-                spoke = shingles.of(plain.decompress(other))
-                common = len(np.intersect1d(hub, spoke, assume_unique=True))
-                keep.append(100 * common >= spec.percent * (len(hub) + len(spoke) - common))
+            for first in range(0, batch.num_rows, PAIRS_AT_ONCE):
+                part = batch.slice(first, PAIRS_AT_ONCE)
+                for one, other in zip(part.column("of_a").to_pylist(), part.column("of_b").to_pylist(), strict=True):
+                    if one != last:
+                        last, hub = one, shingles.of(plain.decompress(one))
+                    spoke = shingles.of(plain.decompress(other))
+                    common = len(np.intersect1d(hub, spoke, assume_unique=True))
+                    keep.append(100 * common >= spec.percent * (len(hub) + len(spoke) - common))
             chosen = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(chosen), b.filter(chosen)], names=["a", "b"])
+            a, b = batch.column("a").filter(chosen), batch.column("b").filter(chosen)
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
     of_a = texts.select(F.col("node").alias("a"), F.col("packed").alias("of_a"))
     of_b = texts.select(F.col("node").alias("b"), F.col("packed").alias("of_b"))
