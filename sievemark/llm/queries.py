@@ -15,6 +15,7 @@ from sievemark.llm import (
     piece_nbest,
     quality_bands,
     quality_trees,
+    repeated_bytes,
     secret_owners,
     token_files,
     warc_writer,
@@ -92,6 +93,12 @@ def op6_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(docs)
 
 
+@query
+def op7_repeated_bytes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeated_bytes.remove_repeats(docs).drop("kept")
+
+
 @query
 def op8_language_spans(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
