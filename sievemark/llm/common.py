@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import json
+import sys
+from collections.abc import Callable
+from types import ModuleType
+from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -13,6 +17,8 @@ from sievemark.session import materialize, new_scratch_path
 
 __all__ = ["blobs", "fold_case", "materialize", "new_scratch_path", "table", "write_file"]
 
+T = TypeVar("T")
+
 # Arrow batches of long texts end at this size: Spark's own bound of 64 MB is held several
 # times over by a Python worker. A session that has set another bound keeps it.
 BATCH_BYTES = 16 << 20
@@ -44,6 +50,18 @@ def blobs(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if wide else pa.binary()).to_pylist()
 
 
+def process_wide(key: tuple, make: Callable[[], T]) -> T:
+    """A value kept for the life of a Python worker process, which serves many tasks.
+
+    Functions are shipped to the workers with their modules, so a global of a module
+    would last one task only.
+    """
+    store = sys.modules.setdefault("_sievemark_process", ModuleType("_sievemark_process"))
+    if key not in store.__dict__:
+        store.__dict__[key] = make()
+    return store.__dict__[key]
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a folder that all executors share."""
     if "://" not in uri:

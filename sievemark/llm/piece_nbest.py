@@ -34,7 +34,7 @@ import sentencepiece
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import blobs
+from sievemark.llm.common import blobs, process_wide
 
 SPACE = "▁"
 SCALE = 1_000_000
@@ -332,7 +332,7 @@ def n_best_pieces(text: Column, model: str, n: int = 4) -> Column:
 
     @F.arrow_udf(RESULT)
     def segmented(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        segmenter = Segmenter(model, n)
+        segmenter = process_wide(("segmenter", model, n), lambda: Segmenter(model, n))
         for batch in batches:
             rows = [segmenter.of(t) for t in _binary(batch)]
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
@@ -348,7 +348,7 @@ def decoded_pieces(ids: Column, model: str) -> Column:
 
     @F.arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = Pieces(model).texts()
+        table = process_wide(("pieces", model), lambda: Pieces(model).texts())
         for batch in batches:
             yield pa.array([decode(x or b"", table) for x in batch.to_pylist()], pa.string())
 

@@ -14,9 +14,9 @@ A shard is written under a name of the task attempt and then moved, so that a re
 task replaces a file by an equal one; only what the manifest lists is ever read.
 Readers map the files into memory.
 
-White space never joins two tokens of the tokenizer, so a text is encoded piece by piece
-at its ASCII white space, and frequent pieces are remembered. ``splits_at_space`` says
-whether a tokenizer allows that; others get their texts whole.
+No token of a word tokenizer goes across white space, or from a letter to a mark, so a
+text is encoded piece by piece and frequent pieces are remembered. ``splits_at_space``
+says whether a tokenizer allows that; others get their texts whole.
 
 Cases: a null text counts as empty, an empty text has the end id alone; documents of
 equal id follow each other in the order of their texts' hashes; a null id comes first;
@@ -27,8 +27,11 @@ read.
 from __future__ import annotations
 
 import json
+import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +40,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sievemark.llm.common import blobs, file_system, is_local, write_manifest
+from sievemark.llm.common import (
+    blobs,
+    bound_batches,
+    file_system,
+    is_local,
+    process_wide,
+    write_manifest,
+)
 
+WORD_END = re.compile(rb"(?<=[A-Za-z0-9])(?=[!-/:-@\[-`{-~])")
 NULL_ID = -(2**63)
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 LONGEST_CACHED = 48
+ENCODED_AT_ONCE = 20_000
+WRITE_DOCS = 512
 READ_DOCS = 4096
 
 
@@ -69,32 +82,55 @@ class Encoder:
     """Texts to packed ids."""
 
     def __init__(self, spec: TokenSpec, dtype: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(spec.tokenizer)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.spec, self.dtype = spec, dtype
+        with open(spec.tokenizer, encoding="utf-8") as file:
+            self.lowers = '"Lowercase"' in json.dumps(json.load(file).get("normalizer"))
         self.end = np.array([spec.end_id], dtype).tobytes()
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def packed(self, texts: list[bytes]) -> list[bytes]:
         plain = [t.decode("utf-8", "replace") for t in texts]
-        found = self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), self.dtype).tobytes()
+        ends = [0, *accumulate(len(x) * np.dtype(self.dtype).itemsize for x in ids)]
+        return [flat[a:b] for a, b in pairwise(ends)]
+
+    def cut(self, text: bytes) -> list[bytes]:
+        """The pieces of a text: at ASCII white space, and where a letter or digit meets
+        an ASCII mark, which no token goes across. A text in which a special token may
+        stand is one piece."""
+        if b"<|" in text:
+            return [text]
+        if self.lowers:  # the tokenizer does so as well: fewer different pieces
+            text = text.lower()
+        return WORD_END.sub(b" ", text).split()  # of bytes: at ASCII white space
 
     def documents(self, texts: list[bytes]) -> list[bytes]:
         if not self.spec.pieces:
             return [p + self.end for p in self.packed(texts)]
-        split = [t.split() for t in texts]  # of bytes: at ASCII white space
-        fresh = set().union(*split).difference(self.known)
-        new = [p for p in fresh if len(p) <= LONGEST_CACHED]
-        long = [p for p in fresh if len(p) > LONGEST_CACHED]
-        self.known.update(zip(new, self.packed(new), strict=True))
-        lookup = self.known
-        if long:
-            lookup = self.known | dict(zip(long, self.packed(long), strict=True))
-        done = [b"".join(map(lookup.__getitem__, pieces)) + self.end for pieces in split]
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
+        split = list(map(self.cut, texts))
+        known, old = self.known, self.old
+        fresh = set().union(*split).difference(known)
+        new = []
+        for piece in fresh:
+            if piece in old:
+                known[piece] = old[piece]
+            else:
+                new.append(piece)
+        for first in range(0, len(new), ENCODED_AT_ONCE):
+            some = new[first : first + ENCODED_AT_ONCE]
+            known.update(zip(some, self.packed(some), strict=True))
+        done = [b"".join(map(known.__getitem__, pieces)) + self.end for pieces in split]
+        for piece in fresh:
+            if len(piece) > LONGEST_CACHED:
+                del known[piece]
+        if len(known) > CACHE_PIECES:  # what was used since the last time stays at hand
+            self.known, self.old = {}, known
         return done
 
 
@@ -113,10 +149,10 @@ def write_tokens(
         mark = f".try-{task.taskAttemptId()}"
         encoder, outs, docs_done, ids_done = None, {}, 0, 0
         for batch in source:
-            for first in range(0, batch.num_rows, READ_DOCS):
-                part = batch.slice(first, READ_DOCS)
+            for first in range(0, batch.num_rows, WRITE_DOCS):
+                part = batch.slice(first, WRITE_DOCS)
                 if encoder is None:
-                    encoder = Encoder(spec, dtype)
+                    encoder = process_wide(("encoder", spec, dtype), lambda: Encoder(spec, dtype))
                     outs = {s: files.open_output_stream(f"{name}{s}{mark}") for s in (".bin", ".idx", ".doc")}
                     outs[".idx"].write(np.zeros(1, "<i8").tobytes())
                 packed = encoder.documents([t or b"" for t in blobs(part.column("text"))])
@@ -136,7 +172,7 @@ def write_tokens(
                 schema=pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]),
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     # One row per shard comes to the driver.
