@@ -7,8 +7,13 @@ so Catalyst evaluates it once however many fields are read from it.
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievemark.functions.text import JSON_WHITESPACE, WHITESPACE, WS, clean, strip
 from sievemark.session import with_computed
@@ -91,10 +96,10 @@ def _accepted(parsed: Column, text: Column) -> Column:
 
 def with_strict_object(df: DataFrame, text: Column, out: str) -> DataFrame:
     """Add ``out``: the known keys of ``text`` as variants, null unless ``text`` is
-    exactly one valid JSON object. A repeated key keeps its last value.
-
-    Known limit: an object value that itself repeats a key is rejected.
+    exactly one valid JSON object. A repeated key keeps its last value, at any depth:
+    for variants that is a setting of the session, which is turned on here.
     """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     tmp, src = f"__{out}_parsed", f"__{out}_text"
     return (
         df.withColumn(src, F.when(F.startswith(F.ltrim(text), F.lit("{")), text))
@@ -317,7 +322,8 @@ def json_text(**fields: Column) -> Column:
 
     def member(name: str, value: Column) -> Column:
         alone = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
-        return F.concat(F.lit(f'"{name}": '), F.regexp_replace(alone, r'^\{"v":|\}$', ""))
+        inner = F.substring(alone, F.lit(6), F.length(alone) - 6)  # between {"v": and }
+        return F.concat(F.lit(f'"{name}": '), inner)
 
     return F.concat(
         F.lit("{"), F.concat_ws(", ", *[member(n, v) for n, v in fields.items()]), F.lit("}")
@@ -355,32 +361,84 @@ def free_text_decision(raw: Column) -> Column:
     )
 
 
-def with_parsed_decision(df: DataFrame, raw: str, out: str = "parsed", depth: int = 3) -> DataFrame:
+def _meaning(value: object) -> bool | None:
+    """Boolean meaning of a parsed JSON value, as ``decision`` reads it."""
+    if isinstance(value, bool):
+        return value
+    if isinstance(value, int | float):
+        return {1: True, 0: False}.get(value)
+    if isinstance(value, str):
+        word = value.strip(WHITESPACE).lower()
+        return True if word in YES_WORDS else False if word in NO_WORDS else None
+    return None
+
+
+def _free_meaning(text: str) -> bool | None:
+    """``free_text_decision`` of one text."""
+    head = text.strip(WHITESPACE)[:FREE_TEXT_CHARS].lower()[:FREE_TEXT_CHARS].strip(WHITESPACE)
+    for patterns, said in ((NO_PATTERNS, False), (YES_PATTERNS, True)):
+        if any(re.search(p, head, re.IGNORECASE) for p in patterns):
+            return said
+    return True if head.startswith("是") else False if head.startswith("否") else None
+
+
+def _deep_decision(text: str | None) -> bool | None:
+    """Decision of an answer wrapped in ``raw_text`` any number of times."""
+    levels: list[tuple[str, object]] = []
+    while text is not None:
+        try:
+            found = json.loads(text.strip(JSON_WHITESPACE))
+        except ValueError:
+            found = None
+        found = found if isinstance(found, dict) else {}
+        levels.append((text, found))
+        inner = found.get("raw_text")
+        inner = inner.strip(WHITESPACE) if isinstance(inner, str) else ""
+        text = inner if inner and inner != text.strip(WHITESPACE) else None
+    result = None
+    for outer, found in reversed(levels):
+        stated = next((m for k in DECISION_KEYS if (m := _meaning(found.get(k))) is not None), None)
+        result = stated if stated is not None else result
+        result = _free_meaning(outer) if result is None else result
+    return result
+
+
+@F.pandas_udf(T.BooleanType())
+def _deep_decisions(texts: pd.Series) -> pd.Series:
+    return pd.Series([_deep_decision(t) for t in texts], dtype="object")
+
+
+def with_parsed_decision(df: DataFrame, raw: str, out: str = "parsed") -> DataFrame:
     """Add boolean ``out``: the decision in an answer of any shape.
 
-    JSON keys first; then the answer wrapped in ``raw_text``, down to ``depth``
-    wrappings (a normalised record wraps once); then the free-text reading of the
-    inner text, then of the outer one. A JSON object without a decision is read as
-    free text too, so a ``reason`` starting early in it may decide.
+    JSON keys first; then the answer wrapped in ``raw_text``, however often (a normalised
+    record wraps once); then the free-text reading of the inner text, then of the outer
+    one. A JSON object without a decision is read as free text too, so a ``reason``
+    starting early in it may decide. An inner text is parsed only where the outer one
+    states nothing; two levels are columns, deeper ones go to Python.
     """
-    texts, payloads, temporary = [F.col(raw)], [], []
-    for level in range(depth):
-        name = f"__{out}_level{level}"
-        df = with_strict_object(df, F.btrim(texts[-1], F.lit(JSON_WHITESPACE)), name)
-        payloads.append(name)
-        temporary.append(name)
-        if level + 1 < depth:
-            inner_name = f"__{out}_text{level + 1}"
-            inner = strip(variant_text(F.col(name)["raw_text"]))
-            df = df.withColumn(
-                inner_name, F.when((inner != "") & (inner != strip(texts[-1])), inner)
-            )
-            texts.append(F.col(inner_name))
-            temporary.append(inner_name)
-    result = F.lit(None).cast("boolean")
-    for text, payload in reversed(list(zip(texts, payloads))):
-        result = F.coalesce(decision(payload), result, free_text_decision(text))
-    return with_computed(df, out, result).drop(*temporary)
+    outer, inner = f"__{out}_outer", f"__{out}_inner"
+    text, deep = f"__{out}_text", f"__{out}_deep"
+    stated, stated_inner = f"__{out}_stated", f"__{out}_stated_inner"
+
+    def wrapped(payload: str, around: Column, told: str) -> Column:
+        found = strip(variant_text(F.col(payload)["raw_text"]))
+        return F.when(F.col(told).isNull() & (found != "") & (found != strip(around)), found)
+
+    df = with_strict_object(df, F.btrim(F.col(raw), F.lit(JSON_WHITESPACE)), outer)
+    df = df.withColumn(stated, decision(outer))
+    df = with_computed(df, text, wrapped(outer, F.col(raw), stated))
+    df = with_strict_object(df, F.btrim(F.col(text), F.lit(JSON_WHITESPACE)), inner)
+    df = df.withColumn(stated_inner, decision(inner))
+    df = df.withColumn(deep, wrapped(inner, F.col(text), stated_inner))
+    result = F.coalesce(
+        F.col(stated),
+        F.col(stated_inner),
+        _deep_decisions(F.col(deep)),
+        free_text_decision(F.col(text)),
+        free_text_decision(F.col(raw)),
+    )
+    return with_computed(df, out, result).drop(outer, inner, text, deep, stated, stated_inner)
 
 
 # --- answer contract ----------------------------------------------------------------

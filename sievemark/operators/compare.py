@@ -144,8 +144,8 @@ def resolve_models(models: DataFrame, selectors: Sequence[str]) -> DataFrame:
     return chosen
 
 
-def _known_models(models: DataFrame, shown: int = 100) -> str:
-    rows = models.select("key", "model_id").orderBy("key").limit(shown).collect()
+def _known_models(models: DataFrame) -> str:
+    rows = models.select("key", "model_id").distinct().collect()
     keys, ids = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
     return f"known keys: {keys}; known model ids: {ids}"
 

@@ -22,8 +22,10 @@ SAFE_TEMPLATES = (
 )
 SHUFFLE_SEED = 42
 
-# sample_id = 3 * source id + kind, unique across the three kinds of row.
+# sample_id = 3 * source id + kind, or "source id:kind" for ids that are text; unique
+# across the three kinds of row.
 KIND_POSITIVE, KIND_NEGATIVE, KIND_REDACTED = 0, 1, 2
+WHOLE_NUMBERS = ("tinyint", "smallint", "int", "bigint")
 
 
 def take_first(df: DataFrame, n: int, order_col: str) -> DataFrame:
@@ -64,19 +66,29 @@ def redact(col: Column) -> Column:
     return F.element_at(templates, (choice + 1).cast("int"))
 
 
-def _samples(df: DataFrame, id_col: str, content_col: str, kind: int) -> DataFrame:
+def text_ids(id_col: str, *tables: DataFrame | None) -> bool:
+    """Whether some table's ids are other than whole numbers."""
+    return any(dict(t.dtypes)[id_col] not in WHOLE_NUMBERS for t in tables if t is not None)
+
+
+def _samples(df: DataFrame, id_col: str, content_col: str, kind: int, textual: bool) -> DataFrame:
+    if textual:
+        sample_id = F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(kind)))
+    else:
+        sample_id = F.col(id_col).cast("bigint") * 3 + kind
     return df.select(
-        (F.col(id_col).cast("bigint") * 3 + kind).alias("sample_id"),
-        F.col(content_col).cast("string").alias("content"),
+        sample_id.alias("sample_id"), F.col(content_col).cast("string").alias("content")
     )
 
 
 def redacted_samples(
-    positives: DataFrame, n: int, id_col: str, content_col: str
+    positives: DataFrame, n: int, id_col: str, content_col: str, textual: bool | None = None
 ) -> DataFrame:
     """Redacted copies of the first n positives."""
+    if textual is None:
+        textual = text_ids(id_col, positives)
     copies = take_first(positives, n, id_col).withColumn(content_col, redact(F.col(content_col)))
-    return _samples(copies, id_col, content_col, KIND_REDACTED)
+    return _samples(copies, id_col, content_col, KIND_REDACTED, textual)
 
 
 def top_up(
@@ -93,10 +105,11 @@ def top_up(
     most n rows; ``have`` is their number where it is known, else they are counted.
     """
     needed = n - (negatives.count() if have is None else have)
-    result = _samples(negatives, id_col, content_col, KIND_NEGATIVE)
+    textual = text_ids(id_col, negatives, positives)
+    result = _samples(negatives, id_col, content_col, KIND_NEGATIVE, textual)
     if needed <= 0:
         return result
-    return result.unionByName(redacted_samples(positives, needed, id_col, content_col))
+    return result.unionByName(redacted_samples(positives, needed, id_col, content_col, textual))
 
 
 def build_eval_set(
@@ -112,21 +125,29 @@ def build_eval_set(
 
     Negatives come from ``non_pii`` (random n, topped up when short) or, without
     such a table, are redacted copies of the positives. Positives alone keep their
-    order; a mixed set is shuffled.
+    order; a mixed set is shuffled. Ids may be whole numbers or text.
+
+    Each text table is read twice, once for its ids and once for the chosen texts. A
+    table that is costly to compute should be narrow: (id, text) of stored rows.
     """
     if n <= 0:
         raise ValueError("the number of samples must be positive")
     require_columns(source, id_col, content_col)
     first = take_first(source, n, id_col)
-    positives = label(_samples(first, id_col, content_col, KIND_POSITIVE), True, "positive")
-    if not include_negative:
-        return positives.orderBy("sample_id")
+    usable = None
     if non_pii is not None and content_col in non_pii.columns:
+        require_columns(non_pii, id_col)
         usable = non_pii.na.drop(subset=[content_col])
+    textual = text_ids(id_col, source, usable if include_negative else None)
+    kept = _samples(first, id_col, content_col, KIND_POSITIVE, textual)
+    positives = label(kept, True, "positive")
+    if not include_negative:
+        return positives.orderBy("sample_id")
+    if usable is not None:
         have = usable.limit(n).count()  # stops as soon as n rows are seen
         chosen = sample_n(usable, n, id_col, seed)
         negatives = top_up(chosen, source, n, id_col, content_col, have)
     else:
-        negatives = redacted_samples(source, n, id_col, content_col)
+        negatives = redacted_samples(source, n, id_col, content_col, textual)
     mixed = positives.unionByName(label(negatives, False, "negative"))
     return shuffle(mixed, "sample_id", seed, at_most=2 * n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import suppress
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,12 @@ from sievemark.functions.answers import with_json_object
 from sievemark.functions.flags import has_obvious_pii
 from sievemark.functions.text import clean, strip
 from sievemark.operators.evalset import take_first
-from sievemark.operators.prompts import MESSAGE_TYPE, rewrite_messages
+from sievemark.operators.prompts import (
+    REWRITE_NORMAL,
+    REWRITE_REQUEST,
+    REWRITE_STRICT,
+    REWRITE_SYSTEM,
+)
 from sievemark.operators.ranks import number_rows
 from sievemark.session import materialize, require_columns, with_computed
 
@@ -25,6 +31,9 @@ STATUS_OK, STATUS_FAILED = "ok", "failed"
 # it travels as one broadcast value; beyond that it stays a distributed table.
 LITERAL_PHRASES = 500
 BROADCAST_PHRASES = 500_000
+BROADCAST_CHARS = 20_000_000
+# First characters of phrases that starts are filtered by before they are joined.
+FIRST_CHARS = 5_000
 
 
 # --- phrase mapping -----------------------------------------------------------
@@ -101,42 +110,66 @@ def _weave_all(texts: pd.Series, hits: pd.Series) -> pd.Series:
     return pd.Series([_weave(t, h) for t, h in zip(texts, hits)], dtype="object")
 
 
-def _map_with_join(df: DataFrame, col: str, mapping: DataFrame) -> DataFrame:
-    """The mapping as a shuffled table: every text lists its substrings of a phrase
-    length, a join finds the phrases among them, and the hits go back to their text.
+# Phrases are found by their first 1, 2, 4, 8 or 16 characters, the most they have.
+HEADS = (1, 2, 4, 8, 16)
+
+
+def _head_length(phrase: Column) -> Column:
+    length = F.length(phrase)
+    size = F.lit(HEADS[0])
+    for n in HEADS[1:]:
+        size = F.when(length >= n, F.lit(n)).otherwise(size)
+    return size
+
+
+def _doubled(grams: Column, half: int) -> Column:
+    """Grams of 2 x ``half`` characters, put together from those of ``half``, so that
+    none is cut out of the text anew."""
+    last = F.size(grams) - half - 1
+    return F.when(
+        last >= 0,
+        F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.concat(F.get(grams, i), F.get(grams, i + half))
+        ),
+    ).otherwise(F.array().cast("array<string>"))
+
+
+def _placed(grams: Column) -> Column:
+    return F.transform(grams, lambda head, at: F.struct(at.alias("at"), head.alias("head")))
 
-    A repeated text is looked up once.
+
+def _map_with_join(df: DataFrame, col: str, mapping: DataFrame) -> DataFrame:
+    """The mapping as a shuffled table: every text lists its starts with the few
+    characters after them, a join finds the phrases that begin so, and those that
+    go on like the text are hits. A repeated text is looked up once.
     """
     key = "__text_key"
-    lengths = sorted(
-        r[0] for r in mapping.select(F.length("phrase")).distinct().limit(1000).collect()
+    phrases = mapping.select(
+        "phrase", "target", F.substring("phrase", F.lit(1), _head_length(F.col("phrase"))).alias("head")
     )
+    sizes = {r[0] for r in phrases.select(F.length("head")).distinct().collect()}  # of HEADS
+    first = F.substring("head", 1, 1)
+    starts = [r[0] for r in phrases.select(first).distinct().limit(FIRST_CHARS + 1).collect()]
     texts = (
         df.select(F.sha2(F.col(col), 256).alias(key), F.col(col).alias("text"))
         .where(F.length("text") > 0)
         .dropDuplicates([key])
     )
-    chars = F.split(F.col("text"), "")
-
-    def substrings(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length("text") - (n - 1))
-        found = F.transform(
-            starts,
-            lambda at: F.struct(
-                (at - 1).alias("at"),
-                F.array_join(F.slice(F.col("chars"), at, F.lit(n)), "").alias("phrase"),
-            ),
-        )
-        none = F.array().cast("array<struct<at: int, phrase: string>>")
-        return F.when(F.length("text") >= n, found).otherwise(none)
-
-    windows = F.flatten(F.array(*map(substrings, lengths)))
-    candidates = texts.select(key, "text", chars.alias("chars")).select(
-        key, F.inline(windows)
-    )
+    grams = texts.select(key, F.split("text", "").alias("g1"))
+    for n in HEADS[1:]:
+        if n <= max(sizes):
+            grams = grams.withColumn(f"g{n}", _doubled(F.col(f"g{n // 2}"), n // 2))
+    listed = F.concat(*[_placed(F.col(f"g{n}")) for n in sorted(sizes)])
+    places = grams.select(key, F.inline(listed))
+    if len(starts) <= FIRST_CHARS:  # else the join alone decides
+        places = places.where(first.isin(starts))
+    hit = F.substring("text", F.col("at") + 1, F.length("phrase")) == F.col("phrase")
     # One entry per hit of one text: bounded by the length of that text.
     hits = (
-        candidates.join(mapping.select("phrase", "target"), "phrase")
+        places.join(phrases, "head")
+        .select(key, "at", "phrase", "target")
+        .join(texts, key)
+        .where(hit)
         .groupBy(key)
         .agg(F.collect_list(F.struct("at", F.length("phrase").alias("len"), "target")).alias("hits"))
     )
@@ -155,21 +188,33 @@ def map_phrases(
     mapping: Mapping[str, str] | DataFrame,
     literal_phrases: int = LITERAL_PHRASES,
     broadcast_phrases: int = BROADCAST_PHRASES,
+    broadcast_chars: int = BROADCAST_CHARS,
 ) -> DataFrame:
     """Replace phrases from left to right, the longest match first.
 
-    ``mapping`` is a dict or a table (phrase, target) with unique phrases. Its size
-    picks the route; all routes give the same result.
+    ``mapping`` is a dict or a table (phrase, target). Its size in phrases and
+    characters picks the route; all routes give the same result. A phrase that is given
+    twice or has no target is an error; empty and null phrases are passed over.
     """
     if isinstance(mapping, DataFrame):
         require_columns(mapping, "phrase", "target")
         table = mapping.where(F.length("phrase") > 0)
-        rows = table.limit(broadcast_phrases + 1).collect()
-        if len(rows) > broadcast_phrases:
+        facts = table.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("target").isNull()).alias("without_target"),
+            F.coalesce(F.sum(F.length("phrase") + F.length("target")), F.lit(0)).alias("chars"),
+        ).first()
+        if facts["without_target"]:
+            raise ValueError("phrases without a target")
+        if not table.groupBy("phrase").count().where("count > 1").isEmpty():
+            raise ValueError("repeated phrases")
+        if facts["n"] > broadcast_phrases or facts["chars"] > broadcast_chars:
             return _map_with_join(df, col, table)
-        phrases = {r["phrase"]: r["target"] for r in rows}
+        phrases = {r["phrase"]: r["target"] for r in table.collect()}
     else:
         phrases = {k: v for k, v in mapping.items() if k}
+        if None in phrases.values():
+            raise ValueError("phrases without a target")
     if not phrases:
         return df
     if len(phrases) <= literal_phrases:
@@ -197,20 +242,25 @@ class Rewriter:
 
 
 def _raw_answers(rewriter: Rewriter, attempt: int) -> Callable:
+    opening = REWRITE_STRICT if attempt else REWRITE_NORMAL
+
     @F.pandas_udf("string")
-    def answers(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        def one(request: tuple) -> str:
-            chat, text = request
-            turns = [dict(m) if isinstance(m, Mapping) else m.asDict() for m in chat]
-            return rewriter.rewrite(turns, text, attempt) or ""
+    def answers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(text: str) -> str:
+            chat = [
+                {"role": "system", "content": REWRITE_SYSTEM},
+                {"role": "user", "content": opening + REWRITE_REQUEST + text},
+            ]
+            return rewriter.rewrite(chat, text, attempt) or ""
 
         rewriter.open()
         try:
             with ThreadPoolExecutor(max_workers=max(1, rewriter.concurrency)) as pool:
-                for chats, texts in batches:
-                    yield pd.Series(list(pool.map(one, zip(chats, texts))), dtype="object")
+                for texts in batches:
+                    yield pd.Series(list(pool.map(one, texts)), dtype="object")
         finally:
-            rewriter.close()
+            with suppress(Exception):  # answers already given stand
+                rewriter.close()
 
     return answers.asNondeterministic()
 
@@ -250,13 +300,10 @@ def rewrite_until_clean(
     pending = df.select(F.col(id_col).alias("id"), clean(F.col(text_col)).alias("source_text"))
     finished: list[DataFrame] = []
     for attempt in range(max_retries + 1):
-        asked = pending.withColumn(
-            "chat", rewrite_messages(F.col("source_text"), strict=attempt > 0).cast(MESSAGE_TYPE)
-        )
-        answered = asked.select(
+        answered = pending.select(
             "id",
             "source_text",
-            _raw_answers(rewriter, attempt)("chat", "source_text").alias("raw_response"),
+            _raw_answers(rewriter, attempt)("source_text").alias("raw_response"),
         )
         tried = materialize(with_accepted(answered, "raw_response"), f"rewrite-{attempt}")
         accepted = F.col("candidate").isNotNull()

@@ -103,18 +103,27 @@ def latency_stats(
     by: Sequence[str] = (),
     single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
-    """Mean and linearly interpolated p95 latency, 2 places, 0 for no rows."""
+    """Mean and linearly interpolated p95 latency, 2 places, 0 for no rows.
+
+    NaN and null latencies are left out; rows without any have a null figure.
+    """
     return _with_p95(
         df, by, {"overhead_latency_ms_avg": _mean(latency)}, latency, single_task_rows
     )
 
 
-def _mean(latency: str) -> Column:
-    return F.round(F.coalesce(F.avg(latency), F.lit(0.0)), 2)
+def _number(latency: str) -> Column:
+    """Latency as a double; NaN counts as missing."""
+    return F.nanvl(F.col(latency).cast("double"), F.lit(None))
 
 
-def _p95(column: Column) -> Column:
-    return F.round(F.coalesce(column, F.lit(0.0)), 2)
+def _unless_empty(figure: Column, rows: Column) -> Column:
+    """2 places; 0 for no rows, null for rows that were never timed."""
+    return F.round(F.when(rows == 0, F.lit(0.0)).otherwise(figure), 2)
+
+
+def _mean(latency: str) -> Column:
+    return _unless_empty(F.avg(_number(latency)), F.count(F.lit(1)))
 
 
 def _with_p95(
@@ -131,15 +140,18 @@ def _with_p95(
     """
     name = "overhead_latency_ms_p95"
     if largest_group(df if sized is None else sized, by) <= single_task_rows:
-        return _agg(df, by, {**columns, name: _p95(F.percentile(latency, 0.95))})
+        p95 = _unless_empty(F.percentile(_number(latency), 0.95), F.count(F.lit(1)))
+        return _agg(df, by, {**columns, name: p95})
     rows = df if sized is None else sized
     p95 = exact_percentile(rows, latency, 0.95, by, "__p95", single_task_rows)
-    stats = _agg(df, by, columns)
+    stats = _agg(df, by, {**columns, "__rows": F.count(F.lit(1))})
     if by:
         joined = join_groups(stats, p95, by, how="left")
     else:
         joined = stats.withColumn("__p95", p95.scalar())
-    return joined.withColumn(name, _p95(F.col("__p95"))).drop("__p95")
+    return joined.withColumn(name, _unless_empty(F.col("__p95"), F.col("__rows"))).drop(
+        "__p95", "__rows"
+    )
 
 
 def cost_columns(cost: str) -> dict[str, Column]:

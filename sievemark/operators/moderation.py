@@ -7,6 +7,7 @@ results, and a long table of steps (sample_id, token_index, risk_level, category
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from typing import Any
 
 import pandas as pd
@@ -405,7 +406,8 @@ def _moderate(scorer: StepScorer, content: str) -> tuple:
         error = str(e)
     finally:
         if state is not None:
-            scorer.finish(state)
+            with suppress(Exception):  # the result stands, whatever the clean-up does
+                scorer.finish(state)
     return (
         _listed(result.get("risk_level")), _listed(result.get("category")),
         _listed(result.get("content")), mode, trigger is not None, trigger,
@@ -431,7 +433,8 @@ def moderate_texts(
             for texts in batches:
                 yield pd.DataFrame([_moderate(scorer, t) for t in texts], columns=fields)
         finally:
-            scorer.close()
+            with suppress(Exception):
+                scorer.close()
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     moderated: Callable = F.pandas_udf(run, MODERATED_TYPE).asNondeterministic()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,6 @@ from sievemark.functions.flags import (
     Rule,
     any_keyword,
     any_rule,
-    has_obvious_pii,
     java_pattern,
     rule_flag,
 )
@@ -30,16 +31,20 @@ def pii_flags(
     rules: Iterable[Rule] = DEFAULT_RULES,
     keywords: Iterable[str] = KEYWORDS,
 ) -> DataFrame:
-    """Rule hit, keyword hit, and the union of both (empty text counts as PII)."""
+    """Rule hit, keyword hit, and the union of both (empty text counts as PII).
+
+    The union is taken of the two computed columns, and the rule hit of the columns of
+    ``pii_regex_flags`` where the table has them all, so no pattern runs twice.
+    """
     rules, keywords = tuple(rules), tuple(keywords)
     text = F.col(col)
+    flags = [f"has_{r.name}" for r in rules]
+    known = bool(flags) and all(dict(df.dtypes).get(f) == "boolean" for f in flags)
+    hit = reduce(or_, map(F.col, flags)) if known else any_rule(text, rules)
+    either = F.col("regex_pii") | F.col("keyword_pii")
     return df.withColumns(
-        {
-            "regex_pii": any_rule(text, rules),
-            "keyword_pii": any_keyword(text, keywords),
-            "obvious_pii": has_obvious_pii(text, rules, keywords),
-        }
-    )
+        {"regex_pii": hit, "keyword_pii": any_keyword(text, keywords)}
+    ).withColumn("obvious_pii", (F.coalesce(text, F.lit("")) == "") | either)
 
 
 def pii_spans(

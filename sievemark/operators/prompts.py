@@ -201,6 +201,30 @@ def flatten_messages(chat: Column) -> Column:
     )
 
 
+def flatten_turns(
+    df: DataFrame,
+    id_col: str,
+    turn_col: str = "turn",
+    role_col: str = "role",
+    content_col: str = "text",
+) -> DataFrame:
+    """(id, turns, chat): the turns of every conversation as one text, in their order.
+
+    A conversation becomes one value, so its turns meet in one task by definition.
+    """
+    require_columns(df, id_col, turn_col, role_col, content_col)
+    turn = F.struct(
+        F.col(turn_col).alias("turn"),
+        F.coalesce(F.col(role_col), F.lit("")).alias("role"),
+        F.coalesce(F.col(content_col), F.lit("")).alias("content"),
+    )
+    return df.groupBy(id_col).agg(F.array_sort(F.collect_list(turn)).alias("__turns")).select(
+        id_col,
+        F.size("__turns").cast("bigint").alias("turns"),
+        flatten_messages(F.col("__turns")).alias("chat"),
+    )
+
+
 def rewrite_messages(text: Column, strict: Column | bool) -> Column:
     """Chat request to rewrite a text without PII; ``strict`` from the second attempt on."""
     flag = F.lit(strict) if isinstance(strict, bool) else strict

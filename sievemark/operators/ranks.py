@@ -9,13 +9,12 @@ few rows, and only those are sorted. The result is exact in every case.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievemark.session import small_or_materialized
+from sievemark.session import materialize, small_or_materialized
 
 SINGLE_TASK_ROWS = 1_000_000
 BUCKETS = 4096
@@ -171,83 +170,78 @@ def take_smallest(
 
     Only the narrow ordering columns are ranked; the cut-off then filters the table,
     so wide rows (texts) are never shuffled. Small ``n`` and small tables use Spark's
-    top-k for the cut-off, the rest the bucketed rank search. ``order`` must be numeric.
+    top-k for the cut-off, larger ones a range-partitioned sort. Any orderable type will
+    do, nulls come last. If ``unique`` repeats, any of the equal rows at the cut-off
+    fill up to exactly ``n``.
     """
     if n <= 0:
         raise ValueError("n must be positive")
     order_col = F.col(order) if isinstance(order, str) else order
-    narrow = df.select(order_col.alias("value"), F.col(unique).alias("tie")).where(
-        F.col("value").isNotNull()
+    key = F.struct(
+        order_col.isNull().alias("no_value"),
+        order_col.alias("value"),
+        F.col(unique).isNull().alias("no_tie"),
+        F.col(unique).alias("tie"),
     )
-    n_left = n
+    narrow = df.select(key.alias("key"))
+    left = n
     if n > top_k_rows:
         total = narrow.count()
         if total <= n:
-            return df.where(order_col.isNotNull())
+            return df
         if total > single_task_rows:
-            low, high, below = _rank_bracket(narrow, n - 1, total, top_k_rows)
-            narrow = narrow.where(F.col("value").between(low, high))
-            n_left = n - below
-    cutoff = (
-        narrow.orderBy("value", "tie")
-        .limit(n_left)
-        .agg(F.max(F.struct("value", "tie")).alias("last"))
+            narrow, left = _partition_of(narrow, n)
+    # The last key taken and how many rows that have it are taken.
+    top = narrow.orderBy("key").limit(left).groupBy("key").agg(F.count("*").alias("n"))
+    last = top.orderBy(F.desc("key")).limit(1).collect()
+    if not last:
+        return df
+    cut, taken = last[0]["key"], last[0]["n"]
+    kind = narrow.schema["key"].dataType
+    literal = F.struct(
+        *[F.lit(cut[f.name]).cast(f.dataType).alias(f.name) for f in kind.fields]
     )
-    last = cutoff.scalar()
-    if isinstance(order, str) and order == unique:
-        return df.where(order_col <= cutoff.select(F.col("last")["value"]).scalar())
-    return df.where(F.struct(order_col.alias("value"), F.col(unique).alias("tie")) <= last)
-
-
-def _rank_bracket(
-    narrow: DataFrame, rank: int, total: int, limit: int
-) -> tuple[float, float, int]:
-    """(low, high, rows below low): the row of this rank lies within [low, high]."""
-    q, eps = rank / total, 2.0 / SKETCH_ACCURACY
-    guess = narrow.agg(
-        F.percentile_approx("value", [max(0.0, q - eps), min(1.0, q + eps)], SKETCH_ACCURACY)
-    ).first()[0]
-    if guess is None or any(isinstance(g, float) and math.isnan(g) for g in guess):
-        raise ValueError("the ordering column must be numeric")
-    rows = narrow.select("value")
-    targets = narrow.sparkSession.range(1).select(
-        F.lit(0).alias("target"),
-        F.lit(rank).cast("bigint").alias("rank"),
-        F.lit(guess[0]).alias("low"),
-        F.lit(guess[1]).alias("high"),
+    # Said once more for the plain column, this can be pushed to the scan.
+    near = order_col <= F.lit(cut["value"]) if cut["value"] is not None else F.lit(True)
+    if df.where(near & (key == literal)).count() <= taken:
+        return df.where(near & (key <= literal))
+    return df.where(near & (key < literal)).union(df.where(near & (key == literal)).limit(taken))
+
+
+def _in_ranges(df: DataFrame, *order: str) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """``df`` range-partitioned and stored, with its partition number in ``__part``;
+    and (partition, rows before it, rows), one entry per partition."""
+    parts = materialize(
+        df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges"
     )
-    found = _close_in(rows, targets, [], limit).first()
-    return found["low"], found["high"], found["below"]
+    counts = parts.groupBy("__part").count().orderBy("__part").collect()
+    before, listed = 0, []
+    for part, rows in counts:
+        listed.append((part, before, rows))
+        before += rows
+    return parts, listed
 
 
-def number_rows(
-    df: DataFrame, order: str, out: str, start: int = 1, single_task_rows: int = 100_000
-) -> DataFrame:
-    """Consecutive row numbers in the order of a unique numeric column.
+def _partition_of(narrow: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """The partition of the sorted keys that holds the n-th, and its place in there."""
+    parts, listed = _in_ranges(narrow, "key")
+    part, before, _ = next(x for x in listed if x[1] + x[2] >= n)
+    return parts.where(F.col("__part") == part).select("key"), n - before
+
+
+def number_rows(df: DataFrame, order: str, out: str, start: int = 1) -> DataFrame:
+    """Consecutive row numbers in the order of a unique column of any orderable type.
 
-    A small table uses one window. A larger one is cut into even ranges of the
-    ordering column: row number = rows in earlier ranges + position in the range.
+    The table is range-partitioned; row number = rows of earlier partitions + place in
+    the partition. One small row per partition passes the driver, whatever the size.
     """
-    total = df.count()
-    if total <= single_task_rows:
-        whole = Window.partitionBy(F.lit(0)).orderBy(order)
-        return df.withColumn(out, F.row_number().over(whole).cast("bigint") + (start - 1))
-    parts = math.ceil(2 * total / single_task_rows)
-    steps = [i / parts for i in range(1, parts)]
-    edges = df.agg(F.percentile_approx(order, steps, max(SKETCH_ACCURACY, 4 * parts))).first()[0]
-    cuts = F.array(*[F.lit(e) for e in sorted(set(edges))])
-    placed = df.withColumn("__range", F.size(F.filter(cuts, lambda e: e < F.col(order))))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("__range")
-    offsets = small_or_materialized(
-        placed.groupBy("__range").count().withColumn(
-            "__offset", F.sum("count").over(earlier) - F.col("count")
-        ).drop("count"),
-        "row-number-offsets",
+    parts, listed = _in_ranges(df, order)
+    offsets = df.sparkSession.createDataFrame(
+        [x[:2] for x in listed], "__part int, __before bigint"
     )
-    inside = Window.partitionBy("__range").orderBy(order)
+    inside = Window.partitionBy("__part").orderBy(order)
     return (
-        placed.withColumn("__pos", F.row_number().over(inside).cast("bigint"))
-        .join(offsets, "__range")
-        .withColumn(out, F.col("__offset") + F.col("__pos") + (start - 1))
-        .drop("__range", "__pos", "__offset")
+        parts.join(F.broadcast(offsets), "__part")  # one row per partition
+        .withColumn(out, F.col("__before") + F.row_number().over(inside) + (start - 1))
+        .drop("__part", "__before")
     )

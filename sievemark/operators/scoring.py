@@ -11,6 +11,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import suppress
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -121,7 +122,8 @@ def _answers(scorer: PythonScorer) -> Callable:
                     rows = list(pool.map(lambda c: _timed_answer(scorer, c), contents))
                     yield pd.DataFrame(rows, columns=names)
         finally:
-            scorer.close()
+            with suppress(Exception):  # answers already given stand
+                scorer.close()
 
     return answers.asNondeterministic()
 
@@ -161,7 +163,8 @@ def score(
                 "prompt_tokens": F.lit(0).cast("bigint"),
                 "completion_tokens": F.lit(0).cast("bigint"),
                 "cost_usd": F.lit(0.0),
-                "latency_ms": F.lit(0.0),
+                # Rules run inside the scan: there is no time to state for one row.
+                "latency_ms": F.lit(None).cast("double"),
                 "error": F.lit(None).cast("string"),
                 **model,
             }
@@ -232,7 +235,7 @@ def score_all(df: DataFrame, scorers: Sequence[Scorer], content_col: str = "cont
                 F.lit(0).cast("bigint").alias("prompt_tokens"),
                 F.lit(0).cast("bigint").alias("completion_tokens"),
                 F.lit(0.0).alias("cost_usd"),
-                F.lit(0.0).alias("latency_ms"),
+                F.lit(None).cast("double").alias("latency_ms"),
                 F.lit(None).cast("string").alias("error"),
                 F.col("__s.model_key"),
                 F.col("__s.model_id"),

@@ -15,7 +15,7 @@ from sievemark.operators.generation import Rewriter, generate_corpus
 from sievemark.operators.metrics import result_rows, run_id_of, run_metrics, with_run
 from sievemark.operators.scoring import Scorer, score
 from sievemark.session import materialize
-from sievemark.sources.readers import read_metrics
+from sievemark.sources.readers import METRICS_FILES, read_metrics
 from sievemark.sources.writers import (
     write_comparison,
     write_generated,
@@ -113,8 +113,9 @@ def compare_stored(
     spark: SparkSession,
     folder: str,
     sort_by: str | None = "f1",
-    pattern: str = "*_metrics.json",
+    pattern: str = METRICS_FILES,
 ) -> DataFrame:
-    """Comparison table over the metrics files of a folder."""
+    """Comparison table over the metrics files of a folder: single exports, or the
+    ``metrics`` folder of a run."""
     good, _bad = read_metrics(spark, folder, pattern)
     return comparison(good, sort_by)

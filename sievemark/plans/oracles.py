@@ -240,6 +240,12 @@ _MODERATED_JSON = """'{"contains_pii": ' || flag || ', "label": "' || lab || '",
   || '"reason": "risk_level=' || risk || '; category=' || cat || '", "raw_text": "{'
   || replace(detail, '"', '\\"') || '}", ' || head || ', ' || tail || '}'"""
 
+# Two rule scorers over every text, each taken to hold personal data.
+WHOLE_RUN = f"""t AS (SELECT {strip('text')} AS c FROM documents),
+    c AS (SELECT 'email' AS k, count(*) FILTER ({email('c')}) AS tp, count(*) AS total FROM t
+      UNION ALL SELECT 'obvious', count(*) FILTER ({obvious('c')}), count(*) FROM t)"""
+
+
 ORACLES: dict[str, str] = {
     "pii_flags_by_lang": f"""SELECT lang, count(*) AS docs,
         count(*) FILTER ({email('text')}) AS has_email, count(*) FILTER ({mobile('text')}) AS has_mobile_11,
@@ -309,6 +315,9 @@ ORACLES: dict[str, str] = {
         ELSE {q(prompts.REWRITE_NORMAL)} END || {q(prompts.REWRITE_REQUEST)} || text)
         AS request_md5 FROM documents""",
     "render_prompts": _RENDERED,
+    "flatten_turns": """SELECT conv_id, count(*) AS turns,
+        md5(string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10)
+          ORDER BY turn, role, text)) AS chat_md5 FROM conversations GROUP BY conv_id""",
     "flatten_chat": f"""SELECT conv_id, turn, md5('system: ' || {q(prompts.SYSTEM_PROMPT)} || chr(10)
         || 'user: ' || text) AS chat_md5 FROM conversations""",
     "score_rules": f"""WITH t AS (SELECT doc_id, {strip('text')} AS text FROM documents),
@@ -364,6 +373,27 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CASE WHEN shape IN (0, 2, 7) THEN yes
           ELSE coalesce({free_text('body')}, {free_text('outer_text')}) END AS decision
         FROM wrapped""",
+    "reread_deep": "SELECT doc_id, n_chars % 2 = 0 AS decision FROM documents",
+    "truth_words": "SELECT doc_id, n_chars % 9 < 5 AS truth FROM documents",
+    "people_json": """SELECT 'p' || doc_id AS name, (n_chars % 90)::INT AS age,
+        doc_id::VARCHAR AS "idCardNumbers", n_chars AS income, md5(text) AS md5 FROM documents""",
+    "eval_set_from_csv": f"""WITH f AS (SELECT {obvious("coalesce(text, '')")} AS found FROM documents),
+        c AS (SELECT count(*) FILTER (found) AS p, count(*) FILTER (NOT found) AS n FROM f),
+        s AS (SELECT least(p, {SAMPLES}) AS p, least({SAMPLES},
+          least(n, {SAMPLES}) + least(p, {SAMPLES} - least(n, {SAMPLES}))) AS n FROM c)
+        SELECT 'positive' AS sample_type, true AS ground_truth, p AS n, p AS ids FROM s
+        UNION ALL SELECT 'negative', false, n, n FROM s""",
+    "benchmark_run": f"""WITH {WHOLE_RUN} SELECT k AS model_key, 'rules' AS provider,
+          NULL::VARCHAR AS status, tp, total - tp AS fn, total, round(tp / total, 4) AS tpr,
+          '20240501T080000' AS run_id FROM c
+        UNION ALL SELECT 'unavailable', 'python', 'failed', NULL, NULL, NULL, NULL, '20240501T080000'""",
+    "benchmark_compare": f"""WITH {WHOLE_RUN} SELECT 'rules/' || k AS model_id,
+          round(tp / total, 4) AS accuracy, CASE WHEN tp > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS precision,
+          round(tp / total, 4) AS recall, round(2 * tp / (total + tp), 4) AS f1, total,
+          0::BIGINT AS unparseable FROM c
+        UNION ALL SELECT 'python/unavailable', NULL, NULL, NULL, NULL, NULL, NULL""",
+    "provider_registry": f"""WITH {WHOLE_RUN} SELECT k AS model_key, 'rules' AS provider,
+          total AS n, tp AS flagged FROM c""",
     "guard_text_parse": f"""WITH {_GUARD}
         cats AS (SELECT event_id, t, regexp_extract_all(t, {q(_CATEGORY)}, 1, 'i') AS c FROM texts),
         uniq AS (SELECT *, list_filter(c, lambda x, i: list_position(c, x) = i) AS u FROM cats)
@@ -431,15 +461,21 @@ ORACLES: dict[str, str] = {
         lang <> 'fr' AND trigger_index IS NOT NULL AS inferred_pii,
         CASE WHEN lang <> 'fr' THEN trigger_index END AS inferred_trigger_index FROM stops""",
     "moderation_events": f"""WITH {STEPS} SELECT doc_id, 'start_predict' AS event,
-          total_tokens AS token_index FROM stopped
-        UNION ALL SELECT doc_id, 'early_stop_triggered_by_pii_category', trigger_index
+          total_tokens AS token_index, NULL::VARCHAR AS detail FROM stopped
+        UNION ALL SELECT doc_id, 'early_stop_triggered_by_pii_category', trigger_index, NULL
           FROM stopped WHERE early_stopped""",
     "early_stop_stream": f"""WITH {STEPS} SELECT doc_id, processed_tokens, total_tokens,
         trigger_index, early_stopped FROM stopped WHERE total_tokens > 0""",
     "early_stop_sessions": """SELECT user_id AS sample_id,
         min(event_id) FILTER (event_type = 'error') AS trigger_index,
-        count(*) FILTER (event_type = 'error') > 0 AS early_stopped, max(event_id) + 1 AS total_tokens
-        FROM events GROUP BY user_id""",
+        count(*) FILTER (event_type = 'error') > 0 AS early_stopped, max(event_id) + 1 AS total_tokens,
+        coalesce(min(event_id) FILTER (event_type = 'error'), max(event_id)) + 1 AS processed_tokens,
+        false AS closed FROM events GROUP BY user_id""",
+    "early_stop_sessions_closed": """SELECT user_id AS sample_id,
+        min(event_id) FILTER (event_type = 'error') AS trigger_index,
+        count(*) FILTER (event_type = 'error') > 0 AS early_stopped, max(event_id) + 1 AS total_tokens,
+        coalesce(min(event_id) FILTER (event_type = 'error'), max(event_id)) + 1 AS processed_tokens,
+        true AS closed FROM events GROUP BY user_id""",
     "confusion_by_scorer": f"""WITH {SCORED} SELECT model_key, lang, {counts()}
         FROM scored GROUP BY model_key, lang""",
     "binary_metrics": f"""WITH {SCORED}, c AS (SELECT model_key, {counts()} FROM scored
@@ -468,15 +504,17 @@ ORACLES: dict[str, str] = {
           SELECT yes AS truth, 'by_flag' AS rule, flag AS pred FROM outcome
           UNION ALL SELECT yes, 'by_confidence', confidence > 0.5 FROM outcome),
         c AS (SELECT rule, {counts()} FROM r GROUP BY rule) SELECT *, {RATES} FROM c""",
-    "run_metrics": f"""WITH t AS (SELECT {wide('text')} AS truth, {strip('text')} AS c FROM documents),
-        s AS (SELECT truth, 'email' AS k, {email('c')} AS pred FROM t
-          UNION ALL SELECT truth, 'obvious', {obvious('c')} FROM t
-          UNION ALL SELECT truth, 'cascade', {free_text('c')} FROM t),
-        c AS (SELECT k, {counts()} FROM s GROUP BY k)
+    "run_metrics": f"""WITH t AS (SELECT {wide('text')} AS truth, {strip('text')} AS c,
+          (doc_id % 97) / 8.0 AS ms FROM documents),
+        s AS (SELECT truth, ms, 'email' AS k, {email('c')} AS pred FROM t
+          UNION ALL SELECT truth, ms, 'obvious', {obvious('c')} FROM t
+          UNION ALL SELECT truth, ms, 'cascade', {free_text('c')} FROM t),
+        c AS (SELECT k, {counts()}, round(avg(ms), 2)::DOUBLE AS mean_ms,
+          round(quantile_cont(ms::DOUBLE, 0.95), 2) AS p95_ms FROM s GROUP BY k)
         SELECT k AS model_key, 'rules/' || k AS model_id, 'rules' AS provider,
           0::BIGINT AS prompt_tokens_total, 0::BIGINT AS completion_tokens_total, {GUARD_RATES},
-          tp, tn, fp, fn, unparseable, 0.0::DOUBLE AS overhead_latency_ms_avg,
-          0.0::DOUBLE AS cost_usd_total, 0.0::DOUBLE AS cost_usd_avg, {RATES}, total,
+          tp, tn, fp, fn, unparseable, mean_ms AS overhead_latency_ms_avg,
+          p95_ms AS overhead_latency_ms_p95, 0.0::DOUBLE AS cost_usd_total, 0.0::DOUBLE AS cost_usd_avg, {RATES}, total,
           0::BIGINT AS decision_disagreements FROM c""",
     "result_rows": f"""WITH t AS (SELECT doc_id, text, {wide('text')} AS truth, {strip('text')} AS c
           FROM documents),
@@ -484,7 +522,8 @@ ORACLES: dict[str, str] = {
           UNION ALL SELECT doc_id, text, truth, 'obvious', {obvious('c')} FROM t
           UNION ALL SELECT doc_id, text, truth, 'cascade', {free_text('c')} FROM t)
         SELECT doc_id AS sample_id, k AS model_key, {label('p')} AS prediction,
-          p AS prediction_bool, truth AS ground_truth, md5(text) AS content_md5 FROM s""",
+          p AS prediction_bool, truth AS ground_truth, md5(text) AS content_md5,
+          'positive' AS sample_type, NULL::DOUBLE AS latency_ms, 0.0::DOUBLE AS cost_usd FROM s""",
     "process_results": f"""WITH {BODIES}, p AS (SELECT d.lang,
           CASE WHEN shape IN (0, 2, 7) THEN yes ELSE {free_text('body')} END AS pred
           FROM bodies JOIN documents d USING (doc_id))
@@ -519,3 +558,5 @@ ORACLES: dict[str, str] = {
         count(*) AS "rows", count(*) FILTER (pred) AS flagged FROM scored GROUP BY model_key""",
     "stored_metrics": f"WITH {BOARD} SELECT model_key, f1, total, tpr FROM metrics",
 }
+
+ORACLES["phrase_map_join"] = ORACLES["phrase_map"]

@@ -28,6 +28,7 @@ from sievemark.operators import (
     ranks,
     scoring,
 )
+from sievemark.plans import benchmark
 from sievemark.plans import derived as D
 from sievemark.session import materialize, new_scratch_path
 from sievemark.sources import readers, writers
@@ -88,9 +89,11 @@ SAMPLES = 100
 
 
 def _sources(spark, sf_dir):
+    """(positives, negatives), flagged in one pass and stored: the operators read ids and
+    texts several times."""
     docs = D.documents(spark, sf_dir).select("doc_id", "text")
-    found = has_obvious_pii(F.col("text"))
-    return docs.where(found), docs.where(~found)
+    flagged = materialize(docs.withColumn("found", has_obvious_pii(F.col("text"))), "flagged")
+    return tuple(flagged.where(F.col("found") == found).drop("found") for found in (True, False))
 
 
 def _eval_columns(df):
@@ -181,6 +184,16 @@ def phrase_map_broadcast(spark, sf_dir):
     return mapped.select("doc_id", md5(F.col("text")).alias("md5"))
 
 
+@query
+def phrase_map_join(spark, sf_dir):
+    """The same mapping as a table that is neither small nor broadcast."""
+    table = spark.createDataFrame(list(PHRASES.items()), "phrase string, target string")
+    mapped = generation.map_phrases(
+        D.documents(spark, sf_dir).select("doc_id", "text"), "text", table, 0, 0
+    )
+    return mapped.select("doc_id", md5(F.col("text")).alias("md5"))
+
+
 @query
 def resolve_attempts(spark, sf_dir):
     resolved = generation.resolve_attempts(D.attempts(spark, sf_dir))
@@ -257,6 +270,13 @@ def flatten_chat(spark, sf_dir):
     )
 
 
+@query
+def flatten_turns(spark, sf_dir):
+    """Whole conversations as ``role: text`` lines in the order of their turns."""
+    chats = prompts.flatten_turns(D.table(spark, sf_dir, "conversations"), "conv_id")
+    return chats.select("conv_id", "turns", md5(F.col("chat")).alias("chat_md5"))
+
+
 # --- scoring, tokens, cost ------------------------------------------------------------------
 
 
@@ -366,14 +386,37 @@ def free_text_cascade(spark, sf_dir):
 @query
 def reread_outputs(spark, sf_dir):
     """Stored records read again: the answer sits in their ``raw_text``."""
-    rows = A.with_normalized(D.answers(spark, sf_dir), "raw")
-    stored = rows.select(
+    stored = D.answers(spark, sf_dir).select(
         "doc_id",
         A.json_text(contains_pii=F.lit(None).cast("boolean"), raw_text=F.col("raw")).alias("raw"),
     )
     return A.with_parsed_decision(stored, "raw", "decision").select("doc_id", "decision")
 
 
+@query
+def reread_deep(spark, sf_dir):
+    """Answers wrapped one to six times, with a JSON object or a word at the core."""
+    yes = F.col("n_chars") % 2 == 0
+    stated = A.json_text(contains_pii=yes, reason=md5(F.col("text")))
+    word = F.when(yes, "yes, it does").otherwise("no")
+    rows = D.documents(spark, sf_dir).select(
+        "doc_id", F.when(F.col("doc_id") % 3 == 0, word).otherwise(stated).alias("raw")
+    )
+    for wraps in range(1, 7):
+        outer = A.json_text(contains_pii=F.lit(None).cast("boolean"), raw_text=F.col("raw"))
+        deep = F.col("doc_id") % 6 + 1 >= wraps
+        rows = rows.withColumn("raw", F.when(deep, outer).otherwise(F.col("raw")))
+    return A.with_parsed_decision(rows, "raw", "decision").select("doc_id", "decision")
+
+
+@query
+def truth_words(spark, sf_dir):
+    """Ground truth written as words."""
+    words = F.array(*[F.lit(w) for w in ("是", " YES ", "true", "1", "有", "no", "", "2")])
+    said = F.get(words, (F.col("n_chars") % 9).cast("int"))  # the ninth is null
+    return D.documents(spark, sf_dir).select("doc_id", A.truth_from_text(said).alias("truth"))
+
+
 @query
 def guard_text_parse(spark, sf_dir):
     kind = F.col("event_type")
@@ -465,8 +508,9 @@ def processed_steps(spark, sf_dir):
     )
 
 
-def _event_steps(events):
+def _event_steps(events, *more):
     return events.select(
+        *more,
         F.col("user_id").alias("sample_id"),
         F.col("event_id").alias("token_index"),
         F.when(F.col("event_type") == "error", "PII").otherwise("None").alias("category"),
@@ -541,7 +585,7 @@ def inferred_triggers(spark, sf_dir):
 @query
 def moderation_events(spark, sf_dir):
     rows = moderation.early_stop_arrays(_category_arrays(spark, sf_dir))
-    return moderation.moderation_events(rows, "doc_id").drop("detail")
+    return moderation.moderation_events(rows, "doc_id")
 
 
 # --- streaming ----------------------------------------------------------------------------------
@@ -558,15 +602,36 @@ def _stream_table(spark, sf_dir, name):
 def early_stop_stream(spark, sf_dir):
     docs = _stream_table(spark, sf_dir, "documents")
     steps = moderation.steps_from_texts(docs, D.email_token, "doc_id", "text")
-    return stream.drain(stream.early_stop_stream(steps, "doc_id"), "doc_id")
+    return stream.drain(stream.early_stop_stream(steps, "doc_id", unbounded=True), "doc_id")
 
 
 @query
 def early_stop_sessions(spark, sf_dir):
     events = _stream_table(spark, sf_dir, "events")
     steps = _event_steps(events)
-    sessions = stream.drain(stream.early_stop_sessions(steps))
-    return sessions.select("sample_id", "trigger_index", "early_stopped", "total_tokens")
+    sessions = stream.drain(stream.early_stop_sessions(steps, unbounded=True))
+    return sessions.select(
+        "sample_id", "trigger_index", "early_stopped", "processed_tokens", "total_tokens", "closed"
+    )
+
+
+@query
+def early_stop_sessions_closed(spark, sf_dir):
+    """Sessions that end at a marker: the last event of a user closes the session."""
+    events = D.table(spark, sf_dir, "events")
+    last = events.groupBy("user_id").agg(F.max("event_id").alias("last_id"))
+    marked = events.join(last, "user_id").select(
+        "user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"),
+        (F.col("event_id") == F.col("last_id")).alias("is_end"),
+    )
+    path = new_scratch_path(spark, "marked-events")
+    marked.write.parquet(path)
+    live = spark.readStream.schema(marked.schema).parquet(path)
+    steps = _event_steps(live, "is_end", "ts")
+    sessions = stream.early_stop_sessions(steps, end_col="is_end", ts_col="ts")
+    return stream.drain(sessions).select(
+        "sample_id", "trigger_index", "early_stopped", "processed_tokens", "total_tokens", "closed"
+    )
 
 
 # --- metrics ------------------------------------------------------------------------------------
@@ -657,15 +722,17 @@ def _scored_samples(spark, sf_dir):
 @query
 def run_metrics(spark, sf_dir):
     rows = _scored_samples(spark, sf_dir).drop("content")
-    return metrics.run_metrics(materialize(rows, "scored")).drop("overhead_latency_ms_p95")
+    # A latency that differs from row to row, so that the percentile is one.
+    timed = rows.withColumn("latency_ms", (F.col("sample_id") % 97) / 8)
+    return metrics.run_metrics(materialize(timed, "scored"))
 
 
 @query
 def result_rows(spark, sf_dir):
     rows = metrics.result_rows(_scored_samples(spark, sf_dir))
     return rows.select(
-        "sample_id", "model_key", "prediction", "prediction_bool", "ground_truth",
-        md5(F.col("content")).alias("content_md5"),
+        "sample_id", "model_key", "prediction", "prediction_bool", "ground_truth", "sample_type",
+        "latency_ms", "cost_usd", md5(F.col("content")).alias("content_md5"),
     )
 
 
@@ -684,7 +751,7 @@ _TIMES = (datetime(2024, 5, 1, 8, 0, 0), datetime(2024, 5, 1, 8, 0, 5), datetime
 
 
 def _model_metrics(spark, sf_dir):
-    rows = D.scored(spark, sf_dir)
+    rows = materialize(D.scored(spark, sf_dir), "scored")
     counts = metrics.binary_metrics(rows, "contains_pii", "ground_truth", ["model_key"])
     guard = metrics.guard_metrics(rows, by=["model_key"]).select(
         "model_key", "tpr", "fpr", "overhead_latency_ms_avg", "cost_usd_total"
@@ -726,7 +793,7 @@ def select_models(spark, sf_dir):
 def run_history(spark, sf_dir):
     """Two runs appended to one stored table, then compared by run."""
     path = new_scratch_path(spark, "history")
-    rows = D.scored(spark, sf_dir)
+    rows = materialize(D.scored(spark, sf_dir), "scored")
     for number, truth in enumerate(("ground_truth", None)):
         run = metrics.binary_metrics(rows, "contains_pii", truth, ["model_key"])
         started = _TIMES[0].replace(day=number + 1)
@@ -739,6 +806,50 @@ def run_history(spark, sf_dir):
     )
 
 
+class _Unavailable(scoring.PythonScorer):
+    """A model that cannot be loaded."""
+
+    key = "unavailable"
+    model_id = "python/unavailable"
+
+    def open(self) -> None:
+        raise RuntimeError("no such model")
+
+
+def _whole_run(spark, sf_dir):
+    """A run of two rule scorers and one that fails, over every document."""
+    docs = D.documents(spark, sf_dir).select("doc_id", "text")
+    return benchmark.run_benchmark(
+        docs, [*D.SCORERS[:2], _Unavailable()], new_scratch_path(spark, "run"), n=docs.count() or 1,
+        include_negative=False, id_col="doc_id", content_col="text", started=_TIMES[0],
+    )
+
+
+@query
+def benchmark_run(spark, sf_dir):
+    """What a run stores: one row per model, the failed one included."""
+    good, _bad = readers.read_metrics(spark, _whole_run(spark, sf_dir).metrics_path)
+    return good.select("model_key", "provider", "status", "tp", "fn", "total", "tpr", "run_id")
+
+
+@query
+def benchmark_compare(spark, sf_dir):
+    """The comparison of a run, from the folder it wrote."""
+    board = benchmark.compare_stored(spark, _whole_run(spark, sf_dir).metrics_path)
+    return board.select("model_id", "accuracy", "precision", "recall", "f1", "total", "unparseable")
+
+
+@query
+def provider_registry(spark, sf_dir):
+    """Scorers made by their provider names."""
+    registry = scoring.default_registry()
+    made = [registry.create(name) for name in ("email", "obvious")]
+    rows = scoring.score_all(D.labelled(spark, sf_dir).select("sample_id", "content"), made)
+    return rows.groupBy("model_key", "provider").agg(
+        F.count(F.lit(1)).alias("n"), count_true("contains_pii", "flagged")
+    )
+
+
 # --- sources and sinks ------------------------------------------------------------------------------
 
 
@@ -751,6 +862,53 @@ def csv_texts(spark, sf_dir):
     return back.groupBy(md5(strip(F.col("text"))).alias("md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def people_json(spark, sf_dir):
+    """Person records written as files that each hold one JSON array, and read back."""
+    path = new_scratch_path(spark, "people")
+    person = F.to_json(
+        F.struct(
+            F.concat(F.lit("p"), F.col("doc_id")).alias("name"),
+            (F.col("n_chars") % 90).cast("int").alias("age"),
+            F.col("doc_id").alias("idCardNumbers"),
+            F.col("n_chars").alias("income"),
+            F.col("text").alias("naturalParagraph"),
+        )
+    )
+    docs = D.documents(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    # An empty first element, so that every other one can follow a comma.
+    edges = docs.select("part").distinct()
+    lines = (
+        docs.select("part", F.lit(1).alias("place"), F.concat(F.lit(","), person).alias("line"))
+        .union(edges.select("part", F.lit(0), F.lit("[{}")))
+        .union(edges.select("part", F.lit(2), F.lit("]")))
+    )
+    ordered = lines.repartition("part").sortWithinPartitions("part", "place")
+    ordered.select("part", "line").write.partitionBy("part").text(path)
+    people = readers.read_people(spark, path).where(F.col("name").isNotNull())
+    return people.select(
+        "name", "age", "idCardNumbers", "income", md5(F.col("naturalParagraph")).alias("md5")
+    )
+
+
+@query
+def eval_set_from_csv(spark, sf_dir):
+    """CSV files to an evaluation set: texts and non-PII texts get ids from the files."""
+    positives, negatives = _sources(spark, sf_dir)
+    texts, others = new_scratch_path(spark, "texts"), new_scratch_path(spark, "others")
+    writers.write_texts(positives, texts, "text")
+    writers.write_texts(negatives, others, "text")
+    built = evalset.build_eval_set(
+        readers.read_texts(spark, texts, "text"),
+        SAMPLES,
+        non_pii=readers.read_non_pii(spark, others, "text"),
+        content_col="text",
+    )
+    return built.groupBy("sample_type", "ground_truth").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("sample_id").alias("ids")
+    )
+
+
 @query
 def non_pii_source(spark, sf_dir):
     """Generated rows as CSV, read as a non-PII source: successful rows only."""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,26 +15,51 @@ from pyspark.sql import functions as F
 # Upper bound on the rows of a table that may pass through the driver or be
 # turned into a literal relation (run dimensions, per-group metrics, ...).
 SMALL_TABLE_ROWS = 10_000
+SMALL_TABLE_BYTES = 8 << 20
+
+# Folders of the owners that are open, innermost last.
+_owned: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediates, taken from ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a private folder; on a cluster every
-    executor has to see the same path, so an unset folder is an error there.
+    Only a single-process master (``local``, ``local[n]``) may fall back to a folder of
+    its own, which goes when the process ends; wherever executors are processes of their
+    own they have to see the same path, so an unset folder is an error there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = os.path.join(tempfile.gettempdir(), "sievemark-scratch")
+    folder = tempfile.mkdtemp(prefix="sievemark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def new_scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    parent = _owned[-1] if _owned else scratch_dir(spark)
+    return f"{parent.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def owned_scratch(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """A folder for everything written to scratch inside the block, removed at its end.
+
+    Results have to be written elsewhere, or collected, before the block ends.
+    """
+    folder = new_scratch_path(spark, name)
+    _owned.append(folder)
+    try:
+        yield folder
+    finally:
+        _owned.remove(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -48,13 +76,14 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 def small_or_materialized(df: DataFrame, name: str = "small") -> DataFrame:
     """Pin a table expected to be small (a dimension, one row per group, ...).
 
-    Its size is checked first: up to ``SMALL_TABLE_ROWS`` rows it becomes a literal
-    table marked for broadcast, so the large side of a join is not shuffled on a
+    Its size is checked first: up to ``SMALL_TABLE_ROWS`` rows and ``SMALL_TABLE_BYTES``
+    bytes it becomes a literal table marked for broadcast, so the large side of a join is not shuffled on a
     possibly hot key. A larger table is written out and joined by shuffle; nothing is
     dropped either way.
     """
     rows = df.limit(SMALL_TABLE_ROWS + 1).collect()
-    if len(rows) <= SMALL_TABLE_ROWS:
+    few = len(rows) <= SMALL_TABLE_ROWS
+    if few and sum(len(str(tuple(r))) for r in rows) <= SMALL_TABLE_BYTES:
         return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
     return materialize(df, name)
 

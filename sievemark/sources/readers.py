@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievemark.operators.generation import STATUS_OK
@@ -19,6 +19,9 @@ PEOPLE_SCHEMA = (
     "transactionDetails string, creditScore int, income bigint, naturalParagraph string"
 )
 
+# Single exports, and the part files that a written table consists of.
+METRICS_FILES = "{*_metrics.json,part-*.json}"
+
 METRICS_SCHEMA = (
     "model_key string, model_id string, provider string, status string, error string, "
     "execution_time_sec double, model_params_b double, prompt_tokens_total bigint, "
@@ -40,55 +43,103 @@ def _read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFr
     return reader.option("multiLine", multi_line).csv(path)
 
 
+def with_row_ids(df: DataFrame, id_col: str) -> DataFrame:
+    """Add an id to rows read from files, unless they have one.
+
+    It is a hash of the file name, the place of the split and the row's cells, plus a
+    count among equal rows of that split. It depends on the files alone, and no group
+    is larger than a split.
+    """
+    if id_col in df.columns:
+        return df
+    cells = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    place = [F.col("_metadata.file_name"), F.col("_metadata.file_block_start").cast("string")]
+    digest = F.substring(F.sha2(F.concat_ws("|", *place, cells), 256), 1, 24)
+    equal = Window.partitionBy("__digest").orderBy("__digest")
+    return (
+        df.withColumn("__digest", digest)
+        .withColumn(id_col, F.concat_ws("-", "__digest", F.row_number().over(equal)))
+        .select(id_col, *df.columns)
+    )
+
+
 def read_texts(
-    spark: SparkSession, path: str, content_col: str = CONTENT, multi_line: bool = True
+    spark: SparkSession,
+    path: str,
+    content_col: str = CONTENT,
+    multi_line: bool = True,
+    id_col: str = "sample_id",
 ) -> DataFrame:
-    """CSV with a header, all columns as text; the content column must exist.
+    """CSV with a header, all columns as text; the content column must exist. A file
+    without ids gets some.
 
     Cells with line breaks keep a file from being split, so one file is one task.
     Turn ``multi_line`` off for large files known to have none.
     """
     df = _read_csv(spark, path, multi_line)
     require_columns(df, content_col)
-    return df
+    return with_row_ids(df, id_col)
 
 
-def read_non_pii(spark: SparkSession, path: str, content_col: str = CONTENT) -> DataFrame | None:
-    """Usable non-PII texts; None if the file or its content column is missing.
+def read_non_pii(
+    spark: SparkSession,
+    path: str,
+    content_col: str = CONTENT,
+    multi_line: bool = True,
+    id_col: str = "sample_id",
+) -> DataFrame | None:
+    """Usable non-PII texts with ids; None if the file or its content column is missing.
 
     With a ``generation_status`` column only successful rows are kept.
     """
     try:
-        df = _read_csv(spark, path)
-    except AnalysisException:
-        return None
+        df = _read_csv(spark, path, multi_line)
+    except AnalysisException as problem:
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
     if content_col not in df.columns:
         return None
+    df = with_row_ids(df, id_col)
     if "generation_status" in df.columns:
         df = df.where(F.col("generation_status") == STATUS_OK)
-    return df.na.drop(subset=[content_col]).select(content_col)
+    return df.na.drop(subset=[content_col]).select(id_col, content_col)
 
 
 def read_metrics(
     spark: SparkSession,
     folder: str,
-    pattern: str = "*_metrics.json",
+    pattern: str = METRICS_FILES,
     lines: bool = False,
     schema: str = METRICS_SCHEMA,
 ) -> tuple[DataFrame, DataFrame]:
     """Metrics files of a folder: (metrics with ``_source_file``, unreadable records).
 
-    A file holds one object, possibly indented, or with ``lines`` one object per
-    line. The second table names what was skipped, so nothing is lost silently.
+    A file holds one object, possibly indented, or one object per line; which of the two
+    is seen from its first line. With ``lines`` all files are taken to be of the second
+    kind, and large ones are split. The second table names what was skipped, so
+    nothing is lost silently.
     """
-    raw = (
-        spark.read.schema(f"{schema}, _broken string")
-        .option("multiLine", not lines)
-        .option("columnNameOfCorruptRecord", "_broken")
-        .option("pathGlobFilter", pattern)
-        .json(folder)
-        .withColumn("_source_file", F.col("_metadata.file_name"))
-    )
+    fields = f"{schema}, _broken string"
+    reader = spark.read.option("pathGlobFilter", pattern)
+    source = F.col("_metadata.file_name").alias("_source_file")
+    if lines:
+        raw = (
+            reader.schema(fields).option("columnNameOfCorruptRecord", "_broken").json(folder)
+            .select("*", source)
+        )
+    else:
+        options = {"columnNameOfCorruptRecord": "_broken"}
+        files = reader.text(folder, wholetext=True).select("value", source)
+        each = F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "")
+        by_line = F.try_parse_json(F.get(each, F.lit(0))).isNotNull()
+        records = F.when(by_line, each).otherwise(F.array("value"))
+        raw = (
+            files.select(F.explode(records).alias("text"), "_source_file")
+            .where(F.trim("text") != "")
+            .select(F.from_json("text", fields, options).alias("r"), "_source_file")
+            .select("r.*", "_source_file")
+        )
     # Parsed once and stored: Spark refuses to query the broken records alone.
     parsed = materialize(raw, "metrics")
     good = parsed.where(F.col("_broken").isNull()).drop("_broken")

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sievemark.functions.guard import is_pii_category
@@ -20,14 +21,20 @@ from sievemark.operators.moderation import early_stop
 from sievemark.session import new_scratch_path, require_columns
 
 
-def early_stop_stream(steps: DataFrame, id_col: str = "sample_id") -> DataFrame:
+def early_stop_stream(
+    steps: DataFrame, id_col: str = "sample_id", unbounded: bool = False
+) -> DataFrame:
     """Running result per text; write it in update mode.
 
     Same plan as the batch operator: smallest PII index, largest index. A trigger
-    that arrives late corrects the row of its text.
+    that arrives late corrects the row of its text. The state of a text is two numbers,
+    but it is never released, so a stream that goes on for ever needs
+    ``early_stop_sessions``; ``unbounded`` states that this one ends or may grow.
     """
     if not steps.isStreaming:
         raise ValueError("early_stop_stream needs a streaming DataFrame")
+    if not unbounded:
+        raise ValueError("state is never released: use early_stop_sessions, or set unbounded")
     return early_stop(steps, id_col)
 
 
@@ -88,13 +95,17 @@ def early_stop_sessions(
     ts_col: str | None = None,
     quiet_seconds: int = 600,
     watermark: str = "10 minutes",
+    unbounded: bool = False,
 ) -> DataFrame:
     """Early stop with session close; write it in update mode.
 
     State per text is its smallest PII index and its largest index. It is released
     at a step whose ``end_col`` is true, or, with ``ts_col``, once the watermark
-    passes ``quiet_seconds`` after the last step.
+    passes ``quiet_seconds`` after the last step. One of the two must be given, unless
+    ``unbounded`` states that the stream ends or its state may grow.
     """
+    if end_col is None and ts_col is None and not unbounded:
+        raise ValueError("state is never released: give end_col or ts_col, or set unbounded")
     require_columns(steps, id_col, "token_index", "category")
     timed = steps.withWatermark(ts_col, watermark) if ts_col else steps
     ts = F.unix_millis(F.col(ts_col).cast("timestamp")) if ts_col else F.lit(0).cast("bigint")
@@ -136,6 +147,19 @@ def write_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def write_event_stream(
+    stream: DataFrame, path: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Append moderation events to JSON lines as they come; the started query.
+
+    The file sink commits a micro-batch as a whole, so a restart repeats no event.
+    """
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.format("json").start(path)
+
+
 def latest(spark: SparkSession, path: str, id_col: str = "sample_id") -> DataFrame:
     """Last written row of every text."""
     updates = spark.read.parquet(path)

@@ -22,9 +22,9 @@ def normalized(spark, *raws):
     return [r.normalized for r in rows]
 
 
-def parsed(spark, *raws, depth=3):
+def parsed(spark, *raws):
     df = spark.createDataFrame(list(enumerate(raws)), "i int, raw string")
-    rows = A.with_parsed_decision(df, "raw", depth=depth).orderBy("i").collect()
+    rows = A.with_parsed_decision(df, "raw").orderBy("i").collect()
     return [r.parsed for r in rows]
 
 
@@ -208,3 +208,23 @@ def test_truth_words(spark):
     df = spark.createDataFrame([(w,) for w in words], "w string")
     got = [r[0] for r in df.select(A.truth_from_text(F.col("w"))).collect()]
     assert got == [True] * 5 + [False] * 5
+
+
+def test_any_number_of_wraps(spark):
+    import json
+
+    def wrapped(core, times):
+        for _ in range(times):
+            core = json.dumps({"contains_pii": None, "raw_text": core}, ensure_ascii=False)
+        return core
+
+    cores = [('{"contains_pii": true}', True), ("no", False), ('{"x": {"a": 1, "a": 2}, "pii": "0"}', False)]
+    raws = [wrapped(core, times) for core, _ in cores for times in range(8)]
+    assert parsed(spark, *raws) == [said for _, said in cores for _ in range(8)]
+
+
+def test_repeated_inner_keys_are_accepted(spark):
+    raw = '{"contains_pii": true, "confidence": 0.5, "reason": {"a": 1, "a": 2}}'
+    (record,) = normalized(spark, raw)
+    assert (record.contains_pii, record.confidence) == (True, 0.5)
+    assert record.reason == '{"a":2}'

@@ -89,8 +89,12 @@ def test_csv_round_trip_and_checks(spark, tmp_path):
     df = spark.createDataFrame([(t, "x") for t in TEXTS], "naturalParagraph string, other string")
     W.write_texts(df, str(tmp_path / "t"), "naturalParagraph")
     back = R.read_texts(spark, str(tmp_path / "t"))
-    assert back.columns == ["naturalParagraph"]
-    assert sorted(r[0] for r in back.collect()) == sorted(TEXTS)
+    assert back.columns == ["sample_id", "naturalParagraph"]
+    assert sorted(r[1] for r in back.collect()) == sorted(TEXTS)
+    W.write_texts(df.union(df), str(tmp_path / "twice"), "naturalParagraph")
+    twice = R.read_texts(spark, str(tmp_path / "twice"))
+    ids = [r[0] for r in twice.collect()]
+    assert len(set(ids)) == 8 and ids == [r[0] for r in twice.collect()]
     with pytest.raises(ValueError, match="missing"):
         R.read_texts(spark, str(tmp_path / "t"), "nope")
 
@@ -99,7 +103,8 @@ def test_non_pii_source(spark, tmp_path):
     rows = [("a", "ok"), ("b", "failed"), (None, "ok")]
     df = spark.createDataFrame(rows, "naturalParagraph string, generation_status string")
     W.write_generated(df, str(tmp_path / "g"), "csv")
-    assert [r[0] for r in R.read_non_pii(spark, str(tmp_path / "g")).collect()] == ["a"]
+    usable = R.read_non_pii(spark, str(tmp_path / "g")).collect()
+    assert [r.naturalParagraph for r in usable] == ["a"] and usable[0].sample_id
     assert R.read_non_pii(spark, str(tmp_path / "absent")) is None
     assert R.read_non_pii(spark, str(tmp_path / "g"), "other") is None
 
@@ -112,6 +117,11 @@ def test_metrics_folder(spark, tmp_path):
     ok, bad = R.read_metrics(spark, str(tmp_path))
     assert [(r.model_id, r.f1, r._source_file) for r in ok.collect()] == [("m", 0.5, "a_metrics.json")]
     assert [r._source_file for r in bad.collect()] == ["b_metrics.json"]
+    lines = json.dumps(good) + "\n" + json.dumps({**good, "model_id": "n"}) + "\n{cut\n"
+    (tmp_path / "d_metrics.json").write_text(lines)
+    ok, bad = R.read_metrics(spark, str(tmp_path))
+    assert sorted(r.model_id for r in ok.collect()) == ["m", "m", "n"]
+    assert sorted(r._broken for r in bad.collect())[1] == "{cut"
     assert B.compare_stored(spark, str(tmp_path)).first().model_id == "m"
 
 

@@ -113,3 +113,30 @@ def test_accepted_texts_show_no_pii(spark):
     assert [r.candidate for r in rows.collect()] == [None, "ok", "5", None, None, None]
     assert rows.where(has_obvious_pii(F.col("candidate")) & F.col("candidate").isNotNull()).isEmpty()
     assert rows.where(F.col("candidate").rlike(EMAIL)).isEmpty()
+
+
+def test_faulty_phrase_tables_are_refused_on_every_route(spark):
+    df = spark.createDataFrame([("abc",)], "t string")
+    for rows, problem in (([("a", None)], "without a target"), ([("a", "x"), ("a", "y")], "repeated")):
+        table = spark.createDataFrame(rows, "phrase string, target string")
+        for literal, shared in ((10, 10), (0, 10), (0, 0)):
+            with pytest.raises(ValueError, match=problem):
+                G.map_phrases(df, "t", table, literal, shared)
+    with pytest.raises(ValueError):
+        G.map_phrases(df, "t", {"a": None})
+
+
+def test_phrase_routes_agree_on_many_lengths(spark):
+    import random
+
+    random.seed(5)
+    text = "".join(random.choices("abé漢 ", k=4000))
+    phrases = {text[i : i + n]: f"<{n}>" for n in range(1, 1101) for i in [random.randrange(2800)]}
+    table = spark.createDataFrame(list(phrases.items()), "phrase string, target string")
+    df = spark.createDataFrame([(1, text), (2, text[::-1]), (3, ""), (4, None), (5, text)], "i int, t string")
+    results = [
+        [r.t for r in G.map_phrases(df, "t", table, 0, shared).orderBy("i").collect()]
+        for shared in (10**6, 0)
+    ]
+    assert results[0] == results[1]
+    assert results[0][0] != text and results[0][2:4] == ["", None]

@@ -61,9 +61,9 @@ def stream_of(spark, steps, path, files):
 
 def test_streams_equal_batch_over_many_micro_batches(spark, steps, tmp_path):
     source = stream_of(spark, steps, str(tmp_path / "in"), 5)
-    assert result(S.drain(S.early_stop_stream(source))) == brute_force()
+    assert result(S.drain(S.early_stop_stream(source, unbounded=True))) == brute_force()
     again = spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
-    assert result(S.drain(S.early_stop_sessions(again))) == brute_force()
+    assert result(S.drain(S.early_stop_sessions(again, unbounded=True))) == brute_force()
     with pytest.raises(ValueError):
         S.early_stop_stream(steps)
 

@@ -61,8 +61,8 @@ def test_take_smallest_breaks_ties_by_id(spark):
 
 def test_number_rows_routes_agree(spark):
     df = spark.range(500).select((F.col("id") * F.col("id")).alias("k"))
-    for rows in (20, 100_000):
-        got = R.number_rows(df, "k", "n", single_task_rows=rows).orderBy("k").collect()
+    for parts in (1, 13):
+        got = R.number_rows(df.repartition(parts), "k", "n").orderBy("k").collect()
         assert [r.n for r in got] == list(range(1, 501)), rows
 
 
@@ -123,3 +123,26 @@ def test_redaction_is_stable(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "t string")
     got = [r[0] for r in df.select(E.redact(F.col("t"))).collect()]
     assert got[0] == got[1] and all(g in E.SAFE_TEMPLATES for g in got)
+
+
+def test_repeated_and_text_keys_on_every_route(spark):
+    rows = [(1, "a")] * 7 + [(2, "b")] * 5 + [(None, "c")] * 2
+    df = spark.createDataFrame(rows, "k int, name string").withColumn("text", F.col("name"))
+    for n in (1, 2, 7, 8, 12, 13, 14, 20):
+        for top_k, single in ((1000, 10**6), (0, 3)):
+            got = R.take_smallest(df, n, "k", "k", top_k, single).collect()
+            by_text = R.take_smallest(df, n, "name", "name", top_k, single).collect()
+            expected = [r[1] for r in rows][:n]
+            assert sorted(r.name for r in got) == expected
+            assert sorted(r.name for r in by_text) == expected
+    words = spark.createDataFrame([(w,) for w in "the quick brown fox".split()], "w string")
+    numbered = R.number_rows(words, "w", "n").orderBy("n").collect()
+    assert [tuple(r) for r in numbered] == [("brown", 1), ("fox", 2), ("quick", 3), ("the", 4)]
+
+
+def test_evaluation_set_with_text_ids(spark):
+    texts = spark.createDataFrame([("x", "t1"), ("y", "t2")], "sample_id string, content string")
+    others = spark.createDataFrame([(7, "n1"), (8, "n2")], "sample_id bigint, content string")
+    built = E.build_eval_set(texts, 2, non_pii=others).collect()
+    assert sorted(r.sample_id for r in built) == ["7:1", "8:1", "x:0", "y:0"]
+    assert {r.content for r in built if not r.ground_truth} == {"n1", "n2"}

@@ -173,3 +173,15 @@ def test_disagreements_and_rescore(four):
     rules = {"flag": F.col("contains_pii"), "slow": F.col("latency_ms") > 25}
     got = {r.rule: (r.tp, r.tn, r.fp, r.fn) for r in M.rescore(four, rules, "ground_truth").collect()}
     assert got == {"flag": (1, 1, 1, 1), "slow": (0, 0, 2, 2)}
+
+
+def test_nan_latency_counts_as_missing_on_both_routes(spark):
+    from sievemark.operators import metrics as M
+
+    rows = [("a", float(v)) for v in range(20)] + [("a", float("nan")), ("a", None), ("b", None)]
+    df = spark.createDataFrame(rows, "k string, ms double")
+    found = [
+        {r.k: tuple(r)[1:] for r in M.latency_stats(df, "ms", ["k"], single_task_rows=n).collect()}
+        for n in (1000, 5)
+    ]
+    assert found[0] == found[1] == {"a": (9.5, 18.05), "b": (None, None)}
