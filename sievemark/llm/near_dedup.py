@@ -6,11 +6,14 @@
    (optimal densification). Groups of bins are hashed into bands.
 2. Texts with equal sets form one class, of which one member goes on.
 3. Classes that share a band form a bucket. A bucket contributes a star, not all pairs:
-   its smallest member is compared with every other one, on the full sets.
+   one member, its hub, is compared with every other one, on the full sets. The hub is
+   the member that shares most bands with others, so it lies amid its copies.
 4. Links make components. Where a bucket still holds two components, further members
    become hubs and are compared with the members of other components, until no bucket
-   has an untested pair across components. So links between spokes are not lost, and
-   pairs inside a component, which cannot change the result, are never listed.
+   has an untested pair across components that may be linked. Jaccard distance obeys the
+   triangle inequality: members whose distances to the first hub differ by more than
+   the threshold cannot be linked and are no pair. So links between spokes are not
+   lost, and pairs that cannot change the result are never listed.
 
 Full sets are compared exactly; the candidate search misses a pair at the threshold with
 a probability of (1 - 0.85^6)^40, about 6e-9.
@@ -189,14 +192,14 @@ def needed_texts(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame
     return found.mapInArrow(batches, "node bigint, packed binary").dropDuplicates(["node"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, spec: MinHash) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def measured(pairs: DataFrame, texts: DataFrame, spec: MinHash) -> DataFrame:
+    """(a, b, distance, linked): the pairs with the Jaccard distance of their full sets."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, plain = Shingles(spec.shingle), zstandard.ZstdDecompressor()
         last, hub = None, np.empty(0, np.uint64)
         for batch in source:
-            keep = []
+            distance, linked = [], []
             for first in range(0, batch.num_rows, PAIRS_AT_ONCE):
                 part = batch.slice(first, PAIRS_AT_ONCE)
                 for one, other in zip(part.column("of_a").to_pylist(), part.column("of_b").to_pylist(), strict=True):
@@ -204,15 +207,18 @@ def confirmed(pairs: DataFrame, texts: DataFrame, spec: MinHash) -> DataFrame:
                         last, hub = one, shingles.of(plain.decompress(one))
                     spoke = shingles.of(plain.decompress(other))
                     common = len(np.intersect1d(hub, spoke, assume_unique=True))
-                    keep.append(100 * common >= spec.percent * (len(hub) + len(spoke) - common))
-            chosen = pa.array(keep, pa.bool_())
-            a, b = batch.column("a").filter(chosen), batch.column("b").filter(chosen)
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+                    either = len(hub) + len(spoke) - common
+                    distance.append(1 - common / either)
+                    linked.append(100 * common >= spec.percent * either)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())],
+                names=["a", "b", "distance", "linked"],
+            )
 
     of_a = texts.select(F.col("node").alias("a"), F.col("packed").alias("of_a"))
     of_b = texts.select(F.col("node").alias("b"), F.col("packed").alias("of_b"))
     both = pairs.select("a", "b").join(of_b, "b").join(of_a, "a").select("a", "b", "of_a", "of_b")
-    return both.mapInArrow(batches, "a bigint, b bigint")
+    return both.mapInArrow(batches, "a bigint, b bigint, distance double, linked boolean")
 
 
 def ordered(one: str, n_one: str, other: str, n_other: str, spec: MinHash):
@@ -225,22 +231,33 @@ def ordered(one: str, n_one: str, other: str, n_other: str, spec: MinHash):
 def links_between_classes(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, spec: MinHash) -> DataFrame:
     """(a, b): links that connect exactly the classes that all links connect."""
     banded = classes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = materialize(banded.join(sizes, "bucket"), "near-shared")
+    weight = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    amid = F.struct("weight", (-F.col("node")).alias("minus"), "n_shingles")
     hubs = (
-        banded.groupBy("bucket")
-        .agg(F.min(F.struct("node", "n_shingles")).alias("hub"), F.count(F.lit(1)).alias("size"))
-        .where("size > 1")
-        .select("bucket", F.col("hub.node").alias("hub"), F.col("hub.n_shingles").alias("n_hub"))
+        shared.join(weight, "node")
+        .groupBy("bucket")
+        .agg(F.max(amid).alias("hub"))
+        .select("bucket", (-F.col("hub.minus")).alias("hub"), F.col("hub.n_shingles").alias("n_hub"))
     )
-    members = materialize(banded.join(hubs, "bucket"), "near-members")
+    members = materialize(shared.drop("size").join(hubs, "bucket"), "near-members")
     pair, near = ordered("hub", "n_hub", "node", "n_shingles", spec)
     pairs = materialize(members.where(near).select(*pair).distinct(), "near-pairs")
     needed = members.select("node").distinct()
     texts = materialize(
         needed_texts(docs, id_col, text_col, classes.join(needed, "node", "left_semi"), spec), "near-texts"
     )
-    links = materialize(confirmed(pairs, texts, spec), "near-links")
+    stars = materialize(measured(pairs, texts, spec), "near-stars")
+    links = stars.where("linked").select("a", "b")
 
-    tested, rest, turn = pairs, members.where("node <> hub").drop("hub", "n_hub"), 0
+    tested, turn = pairs, 0
+    to_hub = members.where("node <> hub").select(
+        "bucket", "node", "n_shingles", F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")
+    )
+    rest = to_hub.join(stars.select("a", "b", "distance"), ["a", "b"], "left").drop("a", "b")
+    reach = 1 - spec.percent / 100 + 1e-9
+    may_link = F.coalesce(F.abs(F.col("distance") - F.col("hub_distance")) <= reach, F.lit(True))
     while True:
         roots = connected_components(links)
         placed = rest.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -270,16 +287,18 @@ def links_between_classes(classes: DataFrame, docs: DataFrame, id_col: str, text
             F.col("node").alias("hub"),
             F.col("n_shingles").alias("n_hub"),
             F.col("root").alias("hub_root"),
+            F.col("distance").alias("hub_distance"),
         )
         fresh = (
             marked.join(chosen, "bucket")
-            .where(near & (F.col("root") != F.col("hub_root")))
+            .where(near & may_link & (F.col("root") != F.col("hub_root")))
             .select(*pair)
             .distinct()
             .join(tested, ["a", "b"], "left_anti")
         )
         fresh = materialize(fresh, "near-pairs")
-        links = materialize(links.union(confirmed(fresh, texts, spec)), "near-links")
+        found = measured(fresh, texts, spec).where("linked").select("a", "b")
+        links = materialize(links.union(found), "near-links")
         tested = tested.union(fresh)
         rest = marked.where("NOT is_hub").drop("is_hub")
         turn += 1
