@@ -39,7 +39,8 @@ from sievemark.llm.common import blobs, process_wide
 SPACE = "▁"
 SCALE = 1_000_000
 BYTE_COST = 4.0  # of a byte piece, below the rarest piece, as a log probability
-CACHE_SEGMENTS = 200_000
+CACHE_SEGMENTS = 80_000
+TEXTS_AT_ONCE = 256
 LONGEST_CACHED = 64
 NEVER = np.iinfo(np.int64).max
 UNREACHED = np.iinfo(np.int64).min // 2
@@ -334,11 +335,12 @@ def n_best_pieces(text: Column, model: str, n: int = 4) -> Column:
     def segmented(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         segmenter = process_wide(("segmenter", model, n), lambda: Segmenter(model, n))
         for batch in batches:
-            rows = [segmenter.of(t) for t in _binary(batch)]
-            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            yield pa.StructArray.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names)
-            )
+            for first in range(0, max(1, len(batch)), TEXTS_AT_ONCE):
+                rows = [segmenter.of(t) for t in _binary(batch.slice(first, TEXTS_AT_ONCE))]
+                columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+                yield pa.StructArray.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names)
+                )
 
     return segmented.asNondeterministic()(text)  # so that it is not computed twice
 
@@ -350,6 +352,8 @@ def decoded_pieces(ids: Column, model: str) -> Column:
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = process_wide(("pieces", model), lambda: Pieces(model).texts())
         for batch in batches:
-            yield pa.array([decode(x or b"", table) for x in batch.to_pylist()], pa.string())
+            for first in range(0, max(1, len(batch)), TEXTS_AT_ONCE):
+                some = batch.slice(first, TEXTS_AT_ONCE).to_pylist()
+                yield pa.array([decode(x or b"", table) for x in some], pa.string())
 
     return decoded(ids)
