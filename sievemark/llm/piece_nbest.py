@@ -25,8 +25,9 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections.abc import Callable, Iterator
-from itertools import count
+import struct
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from sievemark.llm.common import blobs, process_wide
 SPACE = "▁"
 SCALE = 1_000_000
 BYTE_COST = 4.0  # of a byte piece, below the rarest piece, as a log probability
-CACHE_SEGMENTS = 80_000
+CACHE_SEGMENTS = 150_000
 TEXTS_AT_ONCE = 256
 LONGEST_CACHED = 64
 NEVER = np.iinfo(np.int64).max
@@ -51,6 +52,10 @@ RESULT = (
 )
 
 
+def packed(*ids: int) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Pieces:
     """The pieces of a model with their ids and scores."""
 
@@ -76,10 +81,14 @@ class Pieces:
         known = {
             self.names[i]: (i, round(s * SCALE)) for i, s in zip(plain, logs, strict=True)
         }
-        # Beginnings of pieces: (ids, score) of a piece, None where it must go on.
-        self.begins: dict[str, tuple | None] = {
-            name[:k]: None for name in known for k in range(1, len(name))
-        } | {name: ((i,), score) for name, (i, score) in known.items()}
+        # Pieces character by character: (packed id and score, what may follow).
+        self.tree: dict[str, list] = {}
+        for name, (i, score) in known.items():
+            level = self.tree
+            for char in name:
+                node = level.setdefault(char, [None, {}])
+                level = node[1]
+            node[0] = (packed(i), score)
         self.neighbours = {name[k : k + 2] for name in known for k in range(len(name) - 1)}
         alone = "".join(re.escape(c) for c in sorted(set("".join(known)) - {SPACE}))
         # A character of no piece stands alone between segments.
@@ -87,75 +96,84 @@ class Pieces:
         if any(SPACE in p.lstrip(SPACE) for p in known):
             raise ValueError("pieces that go on behind a space are not supported")
 
-    def spelled(self, char: str) -> tuple[tuple[int, ...], int]:
+    def spelled(self, char: str) -> tuple[bytes, int, int]:
+        """Packed ids, score and number of the byte pieces of a character."""
         data = char.encode("utf-8", "replace")
         if not self.byte_ids:
-            return (self.unknown,), self.byte_score
-        return tuple(self.byte_ids[b] for b in data), self.byte_score * len(data)
+            return packed(self.unknown), self.byte_score, 0
+        return packed(*[self.byte_ids[b] for b in data]), self.byte_score * len(data), len(data)
 
-    def edges(self, text: str) -> list[list[tuple[int, tuple[int, ...], int]]]:
-        """For every end, the (start, ids, score) of the lattice edges that end there."""
-        into: list[list[tuple[int, tuple[int, ...], int]]] = [[] for _ in range(len(text) + 1)]
-        get = self.begins.get
+    def edges(self, text: str) -> list[list[tuple[int, bytes, int]]]:
+        """For every end, the (start, packed ids, score) of the edges that end there."""
+        into: list[list[tuple[int, bytes, int]]] = [[] for _ in range(len(text) + 1)]
         for start in range(len(text)):
-            for end in range(start + 1, len(text) + 1):
-                piece = get(text[start:end], False)
-                if piece is False:  # no piece begins like this
+            level = self.tree
+            for end in range(start, len(text)):
+                node = level.get(text[end])
+                if node is None:  # no piece begins like this
                     break
-                if piece is not None:
-                    into[end].append((start, *piece))
+                if node[0] is not None:
+                    into[end + 1].append((start, *node[0]))
+                level = node[1]
             if not into[start + 1] or into[start + 1][-1][0] != start:
-                into[start + 1].append((start, *self.spelled(text[start])))
+                into[start + 1].append((start, *self.spelled(text[start])[:2]))
         return into
 
     def parts(self, text: str) -> list[str]:
-        """``text`` cut where no edge of its lattice passes."""
+        """``text`` cut where no edge of its lattice passes. A plain word is not looked
+        at: cutting it would not make it easier to remember."""
+        if text[1:].isalpha():
+            return [text]
         joined = self.neighbours
         cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joined]
         return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
 
-    def best(self, text: str) -> tuple[tuple[int, ...], int, int]:
-        """Ids and score of the best segmentation, and what the second best costs.
+    def best(self, text: str) -> tuple[bytes, int, int, int]:
+        """Packed ids and score of the best segmentation, what the second best costs,
+        and the number of byte pieces.
 
         Seen from the end, the second best leaves the best path at one place, by an edge
         behind which it is the best again.
         """
         size = len(text)
         first, second = [0] + [UNREACHED] * size, [UNREACHED] * (size + 1)
-        back: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (size + 1)
-        get = self.begins.get
+        back: list[tuple] = [()] * (size + 1)
         for start in range(size):
-            here, single = first[start], False
-            for end in range(start + 1, size + 1):
-                piece = get(text[start:end], False)
-                if piece is False:
+            here, level, single = first[start], self.tree, False
+            for end in range(start, size):
+                node = level.get(text[end])
+                if node is None:
                     break
+                piece, level = node
                 if piece is not None:
-                    single = single or end == start + 1
                     score = here + piece[1]
-                    if score > first[end]:
-                        second[end], first[end] = first[end], score
-                        back[end] = (start, piece[0])
-                    elif score > second[end]:
-                        second[end] = score
+                    if score > first[end + 1]:
+                        second[end + 1], first[end + 1] = first[end + 1], score
+                        back[end + 1] = (start, piece[0], 0)
+                    elif score > second[end + 1]:
+                        second[end + 1] = score
+                    if end == start:
+                        single = True
             if not single:
-                ids, score = self.spelled(text[start])
+                ids, score, count = self.spelled(text[start])
                 score += here
                 if score > first[start + 1]:
                     second[start + 1], first[start + 1] = first[start + 1], score
-                    back[start + 1] = (start, ids)
+                    back[start + 1] = (start, ids, count)
                 elif score > second[start + 1]:
                     second[start + 1] = score
-        cost, place, path = NEVER, size, []
+        cost, place, path, spelled = NEVER, size, [], 0
         while place:
-            if second[place] != UNREACHED:
-                cost = min(cost, first[place] - second[place])
-            place, ids = back[place]
+            if second[place] != UNREACHED and first[place] - second[place] < cost:
+                cost = first[place] - second[place]
+            place, ids, count = back[place]
             path.append(ids)
-        return tuple(i for ids in reversed(path) for i in ids), first[size], cost
+            spelled += count
+        path.reverse()
+        return b"".join(path), first[size], cost, spelled
 
-    def n_best(self, text: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        """The ``n`` best (score, ids) of a segment, best first."""
+    def n_best(self, text: str, n: int) -> list[tuple[int, bytes]]:
+        """The ``n`` best (score, packed ids) of a segment, best first."""
         into = self.edges(text)
         best = [0] * (len(text) + 1)
         for end in range(1, len(text) + 1):
@@ -168,11 +186,11 @@ class Pieces:
         while queue and len(results) < n:
             _, _, place, behind, path = heapq.heappop(queue)
             if place == 0:
-                ids: list[int] = []
+                ids = []
                 while path is not None:
-                    ids.extend(path[0])
+                    ids.append(path[0])
                     path = path[1]
-                results.append((behind, tuple(ids)))
+                results.append((behind, b"".join(ids)))
                 continue
             if visits[place] == n:  # n better ways from here to the end are known
                 continue
@@ -229,38 +247,30 @@ class Segmenter:
 
     def __init__(self, path: str, n: int) -> None:
         self.pieces, self.n = Pieces(path), n
-        self.segments = Remembered(self.segment, CACHE_SEGMENTS)
-        self.parts = Remembered(self.part, CACHE_SEGMENTS)
-
-    def part(self, text: str) -> tuple:
-        ids, score, second = self.pieces.best(text)
-        spelled = sum([i in self.pieces.byte_of for i in ids])
-        return np.array(ids, "<u4").tobytes(), score, second, spelled
+        self.known = Remembered(self.segment, CACHE_SEGMENTS)
 
     def segment(self, text: str) -> tuple:
-        found = [self.parts[p] for p in self.pieces.parts(text)]
-        if len(found) == 1:
-            return found[0]
-        return (
-            b"".join([f[0] for f in found]),
-            sum([f[1] for f in found]),
-            min([f[2] for f in found]),
-            sum([f[3] for f in found]),
-        )
+        parts = self.pieces.parts(text)
+        if len(parts) == 1:
+            return self.pieces.best(text)
+        ids, scores, seconds, spelled = zip(*map(self.known.__getitem__, parts), strict=True)
+        return b"".join(ids), sum(scores), min(seconds), sum(spelled)
 
     def other_parts(self, text: str) -> list[tuple[int, bytes]]:
         """(cost, packed ids) of the second to n-th best of a part."""
         (score, _), *rest = self.pieces.n_best(text, self.n)
-        return [(score - s, np.array(ids, "<u4").tobytes()) for s, ids in rest]
+        return [(score - s, ids) for s, ids in rest]
 
     def other_segments(self, text: str) -> list[tuple[int, bytes]]:
         """The same of a segment."""
         parts = self.pieces.parts(text)
-        found = [self.parts[p] for p in parts]
-        places, combos = self.combined(parts, found, self.other_parts)
+        if len(parts) == 1:
+            return self.other_parts(text)
+        found, _, seconds, _ = zip(*map(self.known.__getitem__, parts), strict=True)
+        places, combos = self.combined(parts, seconds, self.other_parts)
         others = []
         for cost, chosen in combos[1:]:
-            ids = [f[0] for f in found]
+            ids = list(found)
             for p, k in chosen:
                 ids[p] = places[p][k][1]
             others.append((cost, b"".join(ids)))
@@ -272,36 +282,34 @@ class Segmenter:
         if not text:
             return b"", 0, 0, [0], [[]]
         parts = self.pieces.segment.findall(SPACE + text.replace(" ", SPACE))
-        found = list(map(self.segments.__getitem__, parts))
-        ids = b"".join([f[0] for f in found])
-        total = sum([f[1] for f in found])
-        others, combos = self.combined(parts, found, self.other_segments)
-        sizes = np.cumsum([0] + [len(f[0]) // 4 for f in found])
+        found, scores, seconds, spelled = zip(*map(self.known.__getitem__, parts), strict=True)
+        ids, total = b"".join(found), sum(scores)
+        others, combos = self.combined(parts, seconds, self.other_segments)
+        ends = list(accumulate(map(len, found), initial=0))
         alternatives = [
             [
-                {"at": int(sizes[p]), "length": len(found[p][0]) // 4, "ids": others[p][k][1]}
+                {"at": ends[p] // 4, "length": len(found[p]) // 4, "ids": others[p][k][1]}
                 for p, k in sorted(chosen)
             ]
             for _, chosen in combos
         ]
-        spelled = sum([f[3] for f in found])
-        return ids, len(ids) // 4, spelled, [total - c for c, _ in combos], alternatives
+        return ids, len(ids) // 4, sum(spelled), [total - c for c, _ in combos], alternatives
 
     def combined(
-        self, texts: list[str], found: list[tuple], search: Callable[[str], list]
+        self, texts: Sequence[str], seconds: Sequence[int], search: Callable[[str], list]
     ) -> tuple[dict[int, list], list[tuple[int, tuple]]]:
         """The others at the places that matter, and the ``n`` cheapest combinations
         (cost, ((place, choice), ...)), the best itself first."""
         n = self.n
-        costs = np.fromiter([f[2] for f in found], np.int64, len(found))
-        if len(found) >= n:  # the n - 1 cheapest places, of equal ones the first
+        if len(seconds) >= n:  # the n - 1 cheapest places, of equal ones the first
+            costs = np.fromiter(seconds, np.int64, len(seconds))
             limit = np.partition(costs, n - 2)[n - 2]
             below = np.flatnonzero(costs < limit)
             equal = np.flatnonzero(costs == limit)[: n - 1 - len(below)]
             chosen_places = np.concatenate([below, equal]).tolist()
         else:
-            chosen_places = list(range(len(found)))
-        others = {p: search(texts[p]) for p in chosen_places if found[p][2] != NEVER}
+            chosen_places = list(range(len(seconds)))
+        others = {p: search(texts[p]) for p in chosen_places if seconds[p] != NEVER}
         singles = sorted(
             (cost, p, k) for p, more in others.items() for k, (cost, _) in enumerate(more)
         )[: n - 1]

@@ -199,7 +199,7 @@ def test_pieces(spark, docs, nothing):
 
     def paths(text, end):
         if end == 0:
-            return [(0, ())]
+            return [(0, b"")]
         return [
             (s + score, before + ids)
             for start, ids, score in pieces.edges(text)[end]
