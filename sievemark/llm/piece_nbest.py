@@ -26,7 +26,7 @@ import heapq
 import math
 import re
 import struct
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import accumulate, count
 
 import numpy as np
@@ -81,11 +81,11 @@ class Pieces:
         known = {
             self.names[i]: (i, round(s * SCALE)) for i, s in zip(plain, logs, strict=True)
         }
-        # Pieces character by character: (packed id and score, what may follow).
+        # Pieces from their last character on: (packed id and score, what may precede).
         self.tree: dict[str, list] = {}
         for name, (i, score) in known.items():
             level = self.tree
-            for char in name:
+            for char in reversed(name):
                 node = level.setdefault(char, [None, {}])
                 level = node[1]
             node[0] = (packed(i), score)
@@ -104,19 +104,21 @@ class Pieces:
         return packed(*[self.byte_ids[b] for b in data]), self.byte_score * len(data), len(data)
 
     def edges(self, text: str) -> list[list[tuple[int, bytes, int]]]:
-        """For every end, the (start, packed ids, score) of the edges that end there."""
-        into: list[list[tuple[int, bytes, int]]] = [[] for _ in range(len(text) + 1)]
-        for start in range(len(text)):
-            level = self.tree
-            for end in range(start, len(text)):
-                node = level.get(text[end])
-                if node is None:  # no piece begins like this
+        """For every end, the (start, packed ids, score) of the edges that end there,
+        by start."""
+        into: list[list[tuple[int, bytes, int]]] = [[]]
+        for end in range(1, len(text) + 1):
+            level, found = self.tree, []
+            for start in range(end - 1, -1, -1):
+                node = level.get(text[start])
+                if node is None:  # no piece ends like this
                     break
                 if node[0] is not None:
-                    into[end + 1].append((start, *node[0]))
+                    found.append((start, *node[0]))
                 level = node[1]
-            if not into[start + 1] or into[start + 1][-1][0] != start:
-                into[start + 1].append((start, *self.spelled(text[start])[:2]))
+            if not found or found[0][0] != end - 1:
+                found.insert(0, (end - 1, *self.spelled(text[end - 1])[:2]))
+            into.append(found[::-1])
         return into
 
     def parts(self, text: str) -> list[str]:
@@ -128,49 +130,54 @@ class Pieces:
         cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joined]
         return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
 
-    def best(self, text: str) -> tuple[bytes, int, int, int]:
-        """Packed ids and score of the best segmentation, what the second best costs,
-        and the number of byte pieces.
+    def best_of_all(self, texts: Iterable[str]) -> dict[str, tuple[bytes, int, int, int]]:
+        """Of every text packed ids and score of the best segmentation, what the second
+        best costs, and the number of byte pieces.
 
-        Seen from the end, the second best leaves the best path at one place, by an edge
-        behind which it is the best again.
+        A Viterbi pass goes from left to right, so texts in order share the passes over
+        their common beginnings. Seen from the end, the second best leaves the best path
+        at one place, by an edge behind which it is the best again.
         """
-        size = len(text)
-        first, second = [0] + [UNREACHED] * size, [UNREACHED] * (size + 1)
-        back: list[tuple] = [()] * (size + 1)
-        for start in range(size):
-            here, level, single = first[start], self.tree, False
-            for end in range(start, size):
-                node = level.get(text[end])
-                if node is None:
+        found, last = {}, ""
+        first, second, back = [0], [UNREACHED], [()]
+        for text in sorted(texts):
+            known = 0
+            for one, other in zip(last, text, strict=False):
+                if one != other:
                     break
-                piece, level = node
-                if piece is not None:
-                    score = here + piece[1]
-                    if score > first[end + 1]:
-                        second[end + 1], first[end + 1] = first[end + 1], score
-                        back[end + 1] = (start, piece[0], 0)
-                    elif score > second[end + 1]:
-                        second[end + 1] = score
-                    if end == start:
-                        single = True
-            if not single:
-                ids, score, count = self.spelled(text[start])
-                score += here
-                if score > first[start + 1]:
-                    second[start + 1], first[start + 1] = first[start + 1], score
-                    back[start + 1] = (start, ids, count)
-                elif score > second[start + 1]:
-                    second[start + 1] = score
-        cost, place, path, spelled = NEVER, size, [], 0
-        while place:
-            if second[place] != UNREACHED and first[place] - second[place] < cost:
-                cost = first[place] - second[place]
-            place, ids, count = back[place]
-            path.append(ids)
-            spelled += count
-        path.reverse()
-        return b"".join(path), first[size], cost, spelled
+                known += 1
+            del first[known + 1 :], second[known + 1 :], back[known + 1 :]
+            for end in range(known + 1, len(text) + 1):
+                level, top, next_top, way = self.tree, UNREACHED, UNREACHED, ()
+                start = end - 1
+                node = level.get(text[start])
+                if node is None or node[0] is None:
+                    ids, score, spelled = self.spelled(text[start])
+                    top, way = first[start] + score, (start, ids, spelled)
+                while node is not None:
+                    piece, level = node
+                    if piece is not None:
+                        score = first[start] + piece[1]
+                        if score >= top:  # of equal ones that with the longest last piece
+                            next_top, top, way = top, score, (start, piece[0], 0)
+                        elif score > next_top:
+                            next_top = score
+                    start -= 1
+                    node = level.get(text[start]) if start >= 0 else None
+                first.append(top)
+                second.append(next_top)
+                back.append(way)
+            last = text
+            cost, place, path, total = NEVER, len(text), [], 0
+            while place:
+                if second[place] != UNREACHED and first[place] - second[place] < cost:
+                    cost = first[place] - second[place]
+                place, ids, spelled = back[place]
+                path.append(ids)
+                total += spelled
+            path.reverse()
+            found[text] = (b"".join(path), first[-1], cost, total)
+        return found
 
     def n_best(self, text: str, n: int) -> list[tuple[int, bytes]]:
         """The ``n`` best (score, packed ids) of a segment, best first."""
@@ -218,43 +225,44 @@ def decode(packed: bytes, table: np.ndarray) -> str:
     return b"".join(parts).removeprefix(b" ").decode("utf-8", "replace")
 
 
-class Remembered(dict):
-    """Results of ``make``. Of a full table the entries used since it was last full
-    stay, so memory is bounded and frequent keys are not made again."""
-
-    def __init__(self, make: Callable[[str], tuple], most: int) -> None:
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key: str) -> tuple:
-        if len(key) > LONGEST_CACHED:
-            return self.make(key)
-        value = self.old.get(key) or self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class Segmenter:
     """N-best segmentations of whole texts.
 
     Results have one form: packed best ids, score, cost of the second best, byte pieces.
-    The further segmentations of a part are searched for only where its second best is
-    among the cheapest changes of a whole text.
+    Those of segments and parts are remembered; once there are too many, those not used
+    since the last time go. The further segmentations of a part are searched for only
+    where its second best is among the cheapest changes of a whole text.
     """
 
     def __init__(self, path: str, n: int) -> None:
         self.pieces, self.n = Pieces(path), n
-        self.known = Remembered(self.segment, CACHE_SEGMENTS)
-
-    def segment(self, text: str) -> tuple:
-        parts = self.pieces.parts(text)
-        if len(parts) == 1:
-            return self.pieces.best(text)
-        ids, scores, seconds, spelled = zip(*map(self.known.__getitem__, parts), strict=True)
-        return b"".join(ids), sum(scores), min(seconds), sum(spelled)
+        self.known: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+
+    def learn(self, segments: set[str]) -> None:
+        """Make all of the segments known."""
+        known, old, pieces = self.known, self.old, self.pieces
+        alone, cut = set(), []
+        for text in segments.difference(known):
+            made = old.get(text)
+            if made is not None:
+                known[text] = made
+                continue
+            parts = pieces.parts(text)
+            if len(parts) == 1:
+                alone.add(text)
+            else:
+                cut.append((text, parts))
+                alone.update(parts)
+        known.update(pieces.best_of_all(alone.difference(known)))
+        for text, parts in cut:
+            ids, scores, seconds, spelled = zip(*map(known.__getitem__, parts), strict=True)
+            known[text] = (b"".join(ids), sum(scores), min(seconds), sum(spelled))
+
+    def forget(self) -> None:
+        if len(self.known) > CACHE_SEGMENTS:
+            kept = {k: v for k, v in self.known.items() if len(k) <= LONGEST_CACHED}
+            self.known, self.old = {}, kept
 
     def other_parts(self, text: str) -> list[tuple[int, bytes]]:
         """(cost, packed ids) of the second to n-th best of a part."""
@@ -266,6 +274,7 @@ class Segmenter:
         parts = self.pieces.parts(text)
         if len(parts) == 1:
             return self.other_parts(text)
+        self.learn(set(parts))
         found, _, seconds, _ = zip(*map(self.known.__getitem__, parts), strict=True)
         places, combos = self.combined(parts, seconds, self.other_parts)
         others = []
@@ -276,12 +285,23 @@ class Segmenter:
             others.append((cost, b"".join(ids)))
         return others
 
-    def of(self, data: bytes) -> tuple:
-        """The result columns of one text."""
-        text = data.decode("utf-8", "replace")
-        if not text:
+    def of_all(self, texts: list[bytes]) -> list[tuple]:
+        """The result columns of some texts."""
+        split = [
+            self.pieces.segment.findall(SPACE + t.decode("utf-8", "replace").replace(" ", SPACE)) if t else []
+            for t in texts
+        ]
+        self.learn(set().union(*split))
+        rows = [self.of_segments(segments) for segments in split]
+        self.forget()
+        return rows
+
+    def of(self, text: bytes) -> tuple:
+        return self.of_all([text])[0]
+
+    def of_segments(self, parts: list[str]) -> tuple:
+        if not parts:
             return b"", 0, 0, [0], [[]]
-        parts = self.pieces.segment.findall(SPACE + text.replace(" ", SPACE))
         found, scores, seconds, spelled = zip(*map(self.known.__getitem__, parts), strict=True)
         ids, total = b"".join(found), sum(scores)
         others, combos = self.combined(parts, seconds, self.other_segments)
@@ -344,7 +364,7 @@ def n_best_pieces(text: Column, model: str, n: int = 4) -> Column:
         segmenter = process_wide(("segmenter", model, n), lambda: Segmenter(model, n))
         for batch in batches:
             for first in range(0, max(1, len(batch)), TEXTS_AT_ONCE):
-                rows = [segmenter.of(t) for t in _binary(batch.slice(first, TEXTS_AT_ONCE))]
+                rows = segmenter.of_all(_binary(batch.slice(first, TEXTS_AT_ONCE)))
                 columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
                 yield pa.StructArray.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names)
