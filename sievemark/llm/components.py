@@ -22,15 +22,12 @@ def connected_components(links: DataFrame) -> DataFrame:
         links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
         "cc-links",
     )
-    roots = materialize(
-        edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")),
-        "cc-roots",
-    )
+    roots = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    roots = roots.withColumn("root", F.col("node"))
     edges = edges.where("a <> b")
     while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select("b", "a"))
         step = both.groupBy("a").agg(F.least("a", F.min("b")).alias("up"))
-        step = materialize(step, "cc-step")
         far = step.select(F.col("a").alias("up"), F.col("up").alias("top"))
         jump = materialize(
             step.join(far, "up", "left").select("a", F.coalesce("top", "up").alias("up")), "cc-jump"
@@ -44,10 +41,8 @@ def connected_components(links: DataFrame) -> DataFrame:
             .distinct(),
             "cc-links",
         )
-        roots = materialize(
-            roots.join(jump.withColumnRenamed("a", "root"), "root", "left").select(
-                "node", F.coalesce("up", "root").alias("root")
-            ),
-            "cc-roots",
+        # Only stored tables are joined, so the chain of joins has no depth to speak of.
+        roots = roots.join(jump.withColumnRenamed("a", "root"), "root", "left").select(
+            "node", F.coalesce("up", "root").alias("root")
         )
-    return roots
+    return materialize(roots, "cc-roots")

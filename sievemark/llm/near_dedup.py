@@ -52,7 +52,7 @@ class MinHash:
     percent: int = 85
     bands: int = 40
     rows: int = 6
-    hubs: int = 4
+    hubs: int = 8
 
     @property
     def bins(self) -> int:
@@ -275,7 +275,7 @@ def links_between_classes(classes: DataFrame, docs: DataFrame, id_col: str, text
             F.count(F.lit(1)).alias("size"), F.min("node").alias("node")
         )
         fewest = parts.groupBy("bucket").agg(F.min(F.struct("size", "node")).alias("least"))
-        every = F.greatest(F.lit(1), F.floor(F.col("size") / (spec.hubs * 2**turn)))
+        every = F.greatest(F.lit(1), F.floor(F.col("size") / (spec.hubs * 4**turn)))
         marked = rest.join(fewest, "bucket").withColumn(
             "is_hub",
             (F.col("node") == F.col("least.node"))
