@@ -270,18 +270,19 @@ def links_between_classes(classes: DataFrame, docs: DataFrame, id_col: str, text
         rest = materialize(placed.join(sizes, "bucket"), "near-rest")
         if rest.isEmpty():
             return links
-        # A few members drawn by hash and one of the smallest component are the next hubs.
+        # The next hubs are members of the bucket's largest component, one for certain and
+        # others drawn by hash: whoever links to one of them needs no further hub.
         parts = rest.groupBy("bucket", "root").agg(
             F.count(F.lit(1)).alias("size"), F.min("node").alias("node")
         )
-        fewest = parts.groupBy("bucket").agg(F.min(F.struct("size", "node")).alias("least"))
+        widest = parts.groupBy("bucket").agg(F.max(F.struct("size", "node", "root")).alias("most"))
         every = F.greatest(F.lit(1), F.floor(F.col("size") / (spec.hubs * 4**turn)))
-        marked = rest.join(fewest, "bucket").withColumn(
+        drawn = F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), every) == 0
+        marked = rest.join(widest, "bucket").withColumn(
             "is_hub",
-            (F.col("node") == F.col("least.node"))
-            | (F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), every) == 0),
+            (F.col("node") == F.col("most.node")) | (drawn & (F.col("root") == F.col("most.root"))),
         )
-        marked = materialize(marked.drop("least", "size"), "near-marked")
+        marked = materialize(marked.drop("most", "size"), "near-marked")
         chosen = marked.where("is_hub").select(
             "bucket",
             F.col("node").alias("hub"),
