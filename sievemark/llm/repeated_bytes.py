@@ -11,9 +11,13 @@ Sorting every position of the corpus at every offset is not needed for that:
 3. Ranks at 75 bytes. The rank triple at q - 25, q and q + 25 stands for all 50-byte
    strings around an anchor q. Spark groups equal triples; an anchor whose triple
    occurs in a smaller document is past the threshold: all 75 bytes go.
-4. Ranks at 50 bytes. Only where anchors of one rank have different surroundings (the
-   edges of a repeat), the pairs of ranks at p and p + 25 of all positions p around
-   them are grouped; a pair that a smaller document has marks its 50 bytes.
+4. Ranks at 38 bytes. Where anchors of one rank have different surroundings (the edges
+   of a repeat, or a few common words), the 38 bytes from an anchor on and those up to
+   its end are rank pairs at offset 13; every 50 bytes around the anchor hold the one or
+   the other. Sides that no other document has drop out.
+5. Ranks at 50 bytes. For the sides left, the pairs of ranks at p and p + 25 of the
+   positions p around them are grouped; a pair that a smaller document has marks its
+   50 bytes.
 
 What is left of one position after a round is 128 bits of rank, its document and place.
 Groups are reduced to their smallest document by partial aggregation and joined back, so
@@ -38,6 +42,7 @@ from sievemark.llm.common import blobs, bound_batches, materialize
 
 HALF = 25
 LENGTH = 2 * HALF
+SHIFT = 13  # half of HALF: strings that start more than 12 before an anchor hold its left side
 BLOCK_BYTES = 64 << 20  # of packed ranks in one task
 LAST_ID = 2**63 - 1
 RANK_BITS = np.uint64(24)  # low bits dropped from the ranks of the first round
@@ -208,9 +213,9 @@ def surroundings(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(triples, "rank bigint, k1 bigint, k2 bigint, ref bigint, doc bigint, pos bigint")
 
 
-def rank_pairs(texts: DataFrame) -> DataFrame:
-    """(k1, k2, ref, doc, pos): the rank pairs of all positions whose 50 bytes hold one
-    of the given anchors."""
+def side_pairs(texts: DataFrame) -> DataFrame:
+    """(k1, k2, ref, doc, pos, left): the rank pairs of the 38 bytes from each anchor on,
+    and with ``left`` of the 38 bytes up to its end."""
 
     def pairs(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -220,10 +225,43 @@ def rank_pairs(texts: DataFrame) -> DataFrame:
             )
             for ref, doc, text, places in rows:
                 rank = ranks(text)
-                marks = np.zeros(len(text) + 1, np.int64)
                 q = np.unique(np.array(places, np.int64))
-                np.add.at(marks, np.maximum(q - HALF, 0), 1)
-                np.subtract.at(marks, q + 1, 1)
+                before, behind = q[q >= SHIFT], q[q + SHIFT < len(rank)]
+                n = len(before) + len(behind)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([rank[before - SHIFT], rank[behind]]).view(np.int64)),
+                        pa.array(np.concatenate([rank[before], rank[behind + SHIFT]]).view(np.int64)),
+                        pa.array(np.full(n, ref), pa.int64()),
+                        pa.array(np.full(n, doc), pa.int64()),
+                        pa.array(np.concatenate([before, behind]), pa.int64()),
+                        pa.array(np.arange(n) < len(before)),
+                    ],
+                    names=["k1", "k2", "ref", "doc", "pos", "left"],
+                )
+
+    return texts.mapInArrow(
+        pairs, "k1 bigint, k2 bigint, ref bigint, doc bigint, pos bigint, left boolean"
+    )
+
+
+def rank_pairs(texts: DataFrame) -> DataFrame:
+    """(k1, k2, ref, doc, pos): the rank pairs of all positions whose 50 bytes hold one
+    of the given sides (``lefts`` and ``rights``, anchors)."""
+
+    def pairs(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            rows = zip(
+                batch.column("ref").to_pylist(), batch.column("doc").to_pylist(),
+                blobs(batch.column("text")), batch.column("lefts").to_pylist(),
+                batch.column("rights").to_pylist(), strict=True,
+            )
+            for ref, doc, text, lefts, rights in rows:
+                rank = ranks(text)
+                marks = np.zeros(len(text) + 1, np.int64)
+                before, behind = np.array(lefts, np.int64), np.array(rights, np.int64)
+                np.add.at(marks, np.maximum(np.concatenate([before - HALF, behind - SHIFT + 1]), 0), 1)
+                np.subtract.at(marks, np.concatenate([before - SHIFT + 1, behind + 1]), 1)
                 p = np.flatnonzero(np.cumsum(marks))
                 p = p[p <= len(text) - LENGTH]
                 yield pa.RecordBatch.from_arrays(
@@ -320,8 +358,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = firsts.join(edges.select("rank"), "rank", "left_semi").groupBy("ref").agg(
         F.collect_list("pos").alias("places")
     )
-    # Round 3: ranks at 50 bytes, where the surroundings differ.
-    pairs = materialize(rank_pairs(texts.join(places, "ref").select("ref", "doc", "text", "places")), "repeat-pairs")
+    # Round 3: ranks at 38 bytes, where the surroundings differ.
+    sides = materialize(side_pairs(texts.join(places, "ref").select("ref", "doc", "text", "places")), "repeat-sides")
+    two = sides.groupBy("k1", "k2", "left").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    open_sides = (
+        sides.join(two.select("k1", "k2", "left"), ["k1", "k2", "left"], "left_semi")
+        .groupBy("ref")
+        .agg(
+            F.collect_list(F.when(F.col("left"), F.col("pos"))).alias("lefts"),
+            F.collect_list(F.when(~F.col("left"), F.col("pos"))).alias("rights"),
+        )
+    )
+    # Round 4: ranks at 50 bytes.
+    around_sides = texts.join(open_sides, "ref").select("ref", "doc", "text", "lefts", "rights")
+    pairs = materialize(rank_pairs(around_sides), "repeat-pairs")
     near = smallest(pairs).where("doc > first").select("ref", "pos")
     marks = (
         wide.withColumn("wide", F.lit(True))
