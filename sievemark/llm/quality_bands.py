@@ -3,7 +3,9 @@
 Text that zstandard shrinks far more than prose is repetitive, text that it hardly
 shrinks is noise. Short texts compress worse than long ones, so every length has its
 own pair of limits; fixed chunks are judged as well, because a long clean text hides
-a repetitive stretch in its whole-text ratio.
+a repetitive stretch in its whole-text ratio. Chunks cover every byte of a text of at
+least one chunk: where they do not fill it, one more ends at its end and overlaps the
+one before.
 
 Cases: a null text counts as empty; an empty text has no words and fails the base
 rule; repeated rows get equal verdicts; an empty table gives an empty result; columns
@@ -105,8 +107,10 @@ def judge(data: bytes, rules: BandRules, compressor: zstandard.ZstdCompressor) -
     ratio = len(compressor.compress(data)) / len(data) if data else 0.0
     low, high = next(b[1:] for b in reversed(rules.bands) if len(data) >= b[0])
     size = rules.chunk_bytes
-    whole = range(0, len(data) - size + 1, size)
-    shares = [len(compressor.compress(data[i : i + size])) / size for i in whole]
+    starts = [*range(0, len(data) - size + 1, size)]
+    if starts and len(data) % size:
+        starts.append(len(data) - size)  # the rest, as a whole chunk
+    shares = [len(compressor.compress(data[i : i + size])) / size for i in starts]
     out = sum(not rules.chunk_band[0] <= x <= rules.chunk_band[1] for x in shares)
     kept = not failed and low <= ratio <= high and out <= rules.most_chunks_out * len(shares)
     return (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import itertools
 import json
@@ -104,6 +105,20 @@ def test_quality_bands(docs, nothing):
     assert judged[1][6] and judged[0][7] > judged[1][7]
 
 
+def test_chunks_cover_the_end_of_a_text():
+    rng = random.Random(5)
+    rules, compressor = quality_bands.BandRules(), quality_bands.zstandard.ZstdCompressor(level=3)
+    head = " ".join(rng.choices(VOCABULARY, k=600)).encode()[:2047] + b" "
+    noise = b" ".join(base64.b85encode(rng.randbytes(8)) for _ in range(200))[:2000]
+    noisy = quality_bands.judge(head + noise, rules, compressor)
+    low, high = next(b[1:] for b in reversed(rules.bands) if len(head + noise) >= b[0])
+    assert not noisy[5] and low <= noisy[7] <= high  # only the chunk at the end tells
+    assert noisy[6:7] + noisy[8:] == (False, 2, 1)
+    assert [quality_bands.judge(head[:1] * n, rules, compressor)[8] for n in (2047, 2048, 2049, 4096, 4097)] == [0, 1, 2, 2, 3]
+    clean = quality_bands.judge(" ".join(rng.choices(VOCABULARY, k=900)).encode()[:4048], rules, compressor)
+    assert clean[6:7] + clean[8:] == (True, 2, 0)
+
+
 def test_quality_trees(spark, docs, nothing):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(800, 5))
