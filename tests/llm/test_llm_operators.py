@@ -148,6 +148,17 @@ def test_quality_trees(spark, docs, nothing):
     assert quality_trees.score_quality(nothing, labels).count() == 0
 
 
+def test_word_shares_count_every_word():
+    shares = [quality_trees.FEATURES.index(n) for n in ("title_words", "marked_words")]
+    rng = random.Random(6)
+    texts = [["Word!" if i % 10 == 0 else "word" for i in range(20_000)], rng.choices(["One", "two#", "Three)", "é", "4"], k=9_001)]
+    texts += [["plain"] * 9_999 + ["Last!"], ["One", "two"]]
+    for words in ([w.encode() for w in t] for t in texts):
+        got = quality_trees.statistics(b" ".join(words))
+        ended = sum(quality_trees.MARK_AT_END.search(w) is not None for w in words)
+        assert [got[k] for k in shares] == [sum(map(bytes.istitle, words)) / len(words), ended / len(words)]
+
+
 def test_token_files(spark, docs, nothing, tmp_path):
     tokenizer = Tokenizer.from_file(WORDS)
     spec = token_files.TokenSpec(WORDS, 1, token_files.splits_at_space(WORDS))
