@@ -2,15 +2,15 @@
 
 Every text is scanned once for candidates. Their positions follow from the lengths of
 the matches and of the gaps between them, summed up per document. The candidates'
-hashes are then counted over the corpus by distinct repositories (documents) and owners
-(sources): a value that many owners have is a copied example, a value of one or two
-owners that also looks random is live. Base kinds are always reported; the added kind
+hashes are then counted over the corpus by distinct owners (sources): a value that many
+owners have is a copied example, a value of one or two owners that also looks random is
+live, in however many documents they have it. Base kinds are always reported; the added kind
 ``token`` (a long mixed run outside every base span) is reported only where live.
 
 Cases: a null text counts as empty; a text without candidates gets empty strings and
 zero counts; spans of different kinds may overlap, those of one kind never do; repeated
-rows are reported one by one but count as one repository; a null owner is an owner of
-its own; a null id is kept; an empty table gives an empty result; other columns are not
+rows are reported one by one but count as one owner; a null owner is an owner of its
+own; a null id is kept; an empty table gives an empty result; other columns are not
 read, except by ``redact``, which returns them. Values never leave the scan in clear.
 """
 
@@ -45,11 +45,10 @@ PLACEHOLDER = either_case("example|changeme|placeholder|your_|xxxx|sample|dummy"
 
 @dataclass(frozen=True)
 class Ownership:
-    """From how many owners or repositories on a value counts as widely copied, and
-    how many distinct characters a live value has."""
+    """From how many owners on a value counts as widely copied, and how many distinct
+    characters a live value has."""
 
     wide_owners: int = 3
-    wide_repositories: int = 50
     least_distinct: int = 8
 
 
@@ -126,16 +125,15 @@ def placed(scan: DataFrame) -> DataFrame:
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(hash, n_owners, n_repositories) over the corpus. The counts go through
-    (hash, owner, repository), so a value that a third of all documents have is spread
-    over as many keys as there are documents."""
+    """(hash, n_owners) over the corpus. Documents do not count: copies within one source
+    would make its key an example, and the more the larger the corpus. Every task combines
+    its rows to one per (hash, owner), so a value that a third of all documents have is no
+    hot key."""
     return (
-        spans.select("hash", "owner", "doc_id")
+        spans.select("hash", "owner")
         .distinct()
-        .groupBy("hash", "owner")
-        .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("hash")
-        .agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
+        .agg(F.count(F.lit(1)).alias("n_owners"))
     )
 
 
@@ -151,9 +149,7 @@ def secret_spans(
     scan = materialize(scanned(docs, id_col, text_col, owner_col, rules), "secret-scan")
     spans = materialize(placed(scan), "secret-spans")
     owners = ownership(spans)
-    wide = (F.col("n_owners") >= rules.wide_owners) | (
-        F.col("n_repositories") >= rules.wide_repositories
-    )
+    wide = F.col("n_owners") >= rules.wide_owners
     judged = (
         spans.join(owners, "hash")
         .withColumn("live", F.col("live") & ~wide)

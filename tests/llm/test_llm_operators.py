@@ -405,3 +405,19 @@ def test_secret_owners(spark, docs, nothing):
     assert cut[70] == "é [SECRET] x" and shared in cut[50]
     assert secret_owners.redact(docs).columns == docs.columns
     assert secret_owners.report(secret_owners.secret_spans(nothing)).count() == 0
+
+
+def test_owners_alone_tell_live_from_copied(spark):
+    token = "Zx8Cv6Bn4Mq2Wd0Rf9Tg7YhU"
+    cases = [("one", ["s1"]), ("null", [None]), ("two", ["s1", "s2"]), ("many", ["s1", "s2", "s3"])]
+    listed = [
+        (100 * c + i, f"{name}{token} or secret='{hashlib.md5(name.encode()).hexdigest()}' in {i}", owners[i % len(owners)])
+        for c, (name, owners) in enumerate(cases) for i in range(60)
+    ]
+    copied = spark.createDataFrame(listed, "doc_id bigint, text string, source string").repartition(4)
+    report = {r.doc_id: r for r in secret_owners.report(secret_owners.secret_spans(copied)).collect()}
+    cut = {r.doc_id: r.text for r in secret_owners.redact(copied).collect()}
+    for doc, text, _ in listed:
+        live = doc < 300  # the last value has three owners
+        assert (report[doc].n_token, report[doc].n_hex) == (int(live), 1)
+        assert cut[doc] == (f"[SECRET] or [SECRET]' in {doc % 100}" if live else text)
