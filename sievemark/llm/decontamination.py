@@ -88,7 +88,7 @@ def hits(
 ) -> DataFrame:
     """One row per document row: ``doc_id``, ``n_words``, ``covered`` (array of
     [from, to) word ranges that lie in occurrences, merged), ``n_hit``, ``n_items``,
-    ``items_sha256``, ``contaminated``."""
+    ``items_sha256``, ``contaminated``, ``text_key`` (hash of the text)."""
     windows = materialize(
         benchmark_windows(items, item_col, item_text_col, width), "benchmark-windows"
     )
@@ -112,6 +112,7 @@ def hits(
     words = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("doc_id"),
+        F.xxhash64(text_col).alias("text_key"),
         words_of(F.col(text_col)).alias("words"),
     )
     marker = F.array(
@@ -119,8 +120,8 @@ def hits(
     )
     probes = [window_probes(F.col("words"), n) for n in lengths]
     scanned = words.select(
-        "row", "doc_id", "words", F.explode(F.concat(marker, *probes)).alias("w")
-    ).select("row", "doc_id", "words", "w.*")
+        "row", "doc_id", "text_key", "words", F.explode(F.concat(marker, *probes)).alias("w")
+    ).select("row", "doc_id", "text_key", "words", "w.*")
     same = window_text(F.col("words"), F.col("start"), F.col("size")) == keyed["phrase"]
     met = (
         scanned.join(
@@ -135,6 +136,7 @@ def hits(
             "row",
             "doc_id",
             F.when(F.col("size") == 0, F.size("words")).alias("n_words"),
+            F.when(F.col("size") == 0, F.col("text_key")).alias("text_key"),
             F.when(F.col("size") > 0, F.struct(F.col("start").alias("from"), (F.col("start") + F.col("size")).alias("to"))).alias("range"),
             "class",
         )
@@ -142,6 +144,7 @@ def hits(
     # All rows of a document come from one task, so nothing but its own hits meets here.
     found = met.groupBy("row", "doc_id").agg(
         F.max("n_words").cast("long").alias("n_words"),
+        F.max("text_key").alias("text_key"),
         F.collect_set("range").alias("ranges"),
         F.collect_set("class").alias("classes"),
     )
@@ -159,14 +162,14 @@ def hits(
     )
     clean = found.where(F.size("classes") == 0).select(
         "doc_id", "n_words", "covered", F.lit(0).cast("long").alias("n_items"),
-        F.sha2(F.lit("").cast("binary"), 256).alias("items_sha256"),
+        F.sha2(F.lit("").cast("binary"), 256).alias("items_sha256"), "text_key",
     )
     marked = found.join(items_of, "row").select(
-        "doc_id", "n_words", "covered", F.col("n").alias("n_items"), F.col("sha").alias("items_sha256")
+        "doc_id", "n_words", "covered", F.col("n").alias("n_items"), F.col("sha").alias("items_sha256"), "text_key"
     )
     return clean.unionByName(marked).select(
         "doc_id", "n_words", "covered", n_hit.alias("n_hit"), "n_items", "items_sha256",
-        (F.size("covered") > 0).alias("contaminated"),
+        (F.size("covered") > 0).alias("contaminated"), "text_key",
     )
 
 
@@ -185,11 +188,15 @@ def merged(ranges: Column) -> Column:
     return F.aggregate(F.array_sort(ranges), empty, add)
 
 
-def remove_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents whose id has a contaminated text."""
-    found = hits(docs, items, id_col=id_col, **options)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+def remove_documents(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
+    """``docs`` without the rows whose text is contaminated; rows of one id with other
+    texts stay."""
+    found = hits(docs, items, id_col=id_col, text_col=text_col, **options)
+    bad = found.where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("text_key").alias("_key")).distinct()
+    same = docs[id_col].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs[text_col]) == bad["_key"])
+    return docs.join(bad, same, "left_anti")
 
 
 def remove_spans(

@@ -137,7 +137,7 @@ class Sketch:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, spec: MinHash) -> DataFrame:
-    """(row, doc_id, n_shingles, set_key, bands) of every row."""
+    """(row, doc_id, text_key, n_shingles, set_key, bands) of every row."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, sketch = Shingles(spec.shingle), Sketch(spec)
@@ -152,20 +152,23 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, spec: MinHash) -> Data
                 [
                     batch.column("row"),
                     batch.column("doc_id"),
+                    batch.column("text_key"),
                     pa.array(counts, pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
                 ],
-                names=["row", "doc_id", "n_shingles", "set_key", "bands"],
+                names=["row", "doc_id", "text_key", "n_shingles", "set_key", "bands"],
             )
 
     rows = bound_batches(docs).select(
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).cast("long").alias("doc_id"),
+        F.xxhash64(text_col).alias("text_key"),
         F.col(text_col).alias("text"),
     )
     return rows.mapInArrow(
-        batches, "row bigint, doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"
+        batches,
+        "row bigint, doc_id bigint, text_key bigint, n_shingles bigint, set_key binary, bands array<bigint>",
     )
 
 
@@ -305,10 +308,8 @@ def links_between_classes(classes: DataFrame, docs: DataFrame, id_col: str, text
         turn += 1
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: MinHash = MinHash()
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+def judged_rows(docs: DataFrame, id_col: str, text_col: str, spec: MinHash) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, kept) of every row of ``docs``."""
     rows = materialize(sketches(docs, id_col, text_col, spec), "near-sketches")
     classes = materialize(
         rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -331,7 +332,7 @@ def near_duplicates(
     of_set = placed.join(names, "root").select("set_key", "component_id")
     linked = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").join(of_set, "set_key")
     alone = rows.where("n_shingles = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", "n_shingles", "component_id"]
+    columns = ["doc_id", "text_key", "n_shingles", "component_id"]
     return (
         linked.select(*columns)
         .unionByName(alone.select(*columns))
@@ -339,10 +340,19 @@ def near_duplicates(
     )
 
 
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: MinHash = MinHash()
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+    return judged_rows(docs, id_col, text_col, spec).drop("text_key")
+
+
 def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: MinHash = MinHash()
 ) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id."""
-    found = near_duplicates(docs, id_col, text_col, spec)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """``docs`` with one document of each component: that with the smallest id. Rows of
+    one id with different texts are judged by their own text."""
+    found = judged_rows(docs, id_col, text_col, spec)
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
+    same = (docs[id_col] == gone["_gone"]) & (F.xxhash64(docs[text_col]) == gone["_key"])
+    return docs.join(gone, same, "left_anti")

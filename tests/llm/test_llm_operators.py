@@ -421,3 +421,16 @@ def test_owners_alone_tell_live_from_copied(spark):
         live = doc < 300  # the last value has three owners
         assert (report[doc].n_token, report[doc].n_hex) == (int(live), 1)
         assert cut[doc] == (f"[SECRET] or [SECRET]' in {doc % 100}" if live else text)
+
+
+def test_rows_of_one_id_are_removed_by_their_own_text(spark):
+    first, other = (" ".join(VOCABULARY[k : k + 60]) for k in (0, 100))
+    listed = [(1, first), (2, other + " " + PASSAGE), (4, first), (4, other), (4, other), (4, PASSAGE), (None, PASSAGE), (None, other)]
+    repeated = spark.createDataFrame(listed, "doc_id bigint, text string").repartition(3)
+    kept = near_dedup.drop_near_duplicates(repeated, spec=near_dedup.MinHash(shingle=5, percent=95, rows=5))
+    assert ordered(pairs(kept)) == ordered(r for r in listed if r != (4, first))
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id bigint, text string")
+    for bound in (500_000, 1):
+        clean = decontamination.remove_documents(repeated, items, broadcast_windows=bound)
+        assert clean.columns == repeated.columns
+        assert ordered(pairs(clean)) == ordered(r for r in listed if PASSAGE not in r[1])
