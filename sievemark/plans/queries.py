@@ -862,6 +862,10 @@ def csv_texts(spark, sf_dir):
     return back.groupBy(md5(strip(F.col("text"))).alias("md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# A file with one JSON array is read by one task: about so many bytes go into each.
+ARRAY_BYTES = 32 << 20
+
+
 @query
 def people_json(spark, sf_dir):
     """Person records written as files that each hold one JSON array, and read back."""
@@ -875,7 +879,10 @@ def people_json(spark, sf_dir):
             F.col("text").alias("naturalParagraph"),
         )
     )
-    docs = D.documents(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    docs = D.documents(spark, sf_dir)
+    n_bytes = docs.agg(F.sum(F.octet_length(person).cast("long"))).first()[0] or 0
+    parts = max(16, -(-n_bytes // ARRAY_BYTES))
+    docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
     # An empty first element, so that every other one can follow a comma.
     edges = docs.select("part").distinct()
     lines = (
@@ -883,7 +890,7 @@ def people_json(spark, sf_dir):
         .union(edges.select("part", F.lit(0), F.lit("[{}")))
         .union(edges.select("part", F.lit(2), F.lit("]")))
     )
-    ordered = lines.repartition("part").sortWithinPartitions("part", "place")
+    ordered = lines.repartition(parts, "part").sortWithinPartitions("part", "place")
     ordered.select("part", "line").write.partitionBy("part").text(path)
     people = readers.read_people(spark, path).where(F.col("name").isNotNull())
     return people.select(

@@ -55,3 +55,13 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry(spark):
     rows = entry_point.entry(spark).collect()
     assert rows and {r.model_key for r in rows} == {"email", "obvious", "cascade"}
+
+
+def test_people_arrays_grow_in_number(spark, tmp_path, monkeypatch):
+    from sievemark.plans import queries
+
+    monkeypatch.setattr(queries, "new_scratch_path", lambda *_: str(tmp_path / "people"))
+    monkeypatch.setattr(queries, "ARRAY_BYTES", 4096, raising=False)
+    rows = entry_point.queries()["people_json"](spark, DATA).collect()
+    assert len(rows) == spark.read.parquet(f"{DATA}/documents.parquet").count()
+    assert len(list((tmp_path / "people").glob("part=*"))) > 16
