@@ -11,6 +11,36 @@ def lower(e: str) -> str:
 
 BENCHMARK_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+
+
+def finite(vector: str) -> str:
+    """Condition: the vector is there and all its components are finite."""
+    return f"{vector} IS NOT NULL AND len(list_filter({vector}, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def floored(vector: str, scale: int) -> str:
+    return f"list_transform({vector}, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+def mean_rounds(rounds: int) -> str:
+    """Tables a0 .. a<rounds> (r, k, c, d): the nearest entry c of part k of row r at
+    distance d, from v (r, k, i, x) and b0 (k, c, i, x), entries averaged in between."""
+    steps = []
+    for n in range(rounds + 1):
+        if n:
+            steps.append(f"""s{n} AS MATERIALIZED (
+  SELECT k, c, i, sum(x)::HUGEINT AS s, count(*) AS n FROM v JOIN a{n - 1} USING (r, k) GROUP BY k, c, i),
+b{n} AS MATERIALIZED (
+  SELECT k, c, i, CASE WHEN n IS NULL THEN x ELSE CAST((s - ((s % n) + n) % n) // n AS BIGINT) END AS x
+  FROM b{n - 1} LEFT JOIN s{n} USING (k, c, i))""")
+        steps.append(f"""a{n} AS MATERIALIZED (
+  SELECT r, k, c, d FROM (
+    SELECT v.r, v.k, b.c, CAST(sum((v.x - b.x) * (v.x - b.x)) AS BIGINT) AS d
+    FROM v JOIN b{n} AS b USING (k, i) GROUP BY v.r, v.k, b.c)
+  QUALIFY row_number() OVER (PARTITION BY r, k ORDER BY d, c) = 1)""")
+    return ",\n".join(steps)
+
+
 ORACLES: dict[str, str] = {
     "op4_decontamination": f"""
 WITH d AS (
@@ -60,5 +90,32 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.b FROM
 c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM c LEFT JOIN n USING (doc_id)
+""",
+    "op11_vector_codes": f"""
+WITH p AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, {floored("embedding", 4096)} AS p
+  FROM embeddings WHERE {finite("embedding")}),
+e AS (SELECT r, p, unnest(range(len(p))) AS j FROM p),
+v AS MATERIALIZED (SELECT r, j // (len(p) // 8) AS k, j % (len(p) // 8) AS i, p[j + 1] AS x FROM e),
+b0 AS (SELECT k, r - 1 AS c, i, x FROM v WHERE r <= 16),
+{mean_rounds(6)},
+h AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY k, c, i)) AS codebooks_sha256 FROM b6),
+f AS (SELECT r, string_agg(printf('%02x', CAST(c AS INTEGER)), '' ORDER BY k) AS code, CAST(sum(d) AS BIGINT) AS error
+      FROM a6 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM f JOIN p USING (r), h
+""",
+    "op13_centroid_clusters": f"""
+WITH p AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) AS r, vec_id, {floored("embedding", 1024)} AS p
+  FROM embeddings WHERE {finite("embedding")} AND len(embedding) = 64),
+v AS MATERIALIZED (SELECT r, 0 AS k, unnest(range(64)) AS i, unnest(p) AS x FROM p),
+b0 AS (SELECT k, r - 1 AS c, i, x FROM v WHERE r <= 8),
+{mean_rounds(10)},
+h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM b10 GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance,
+       CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a10 JOIN p USING (r) JOIN h USING (c)
 """,
 }

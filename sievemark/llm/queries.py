@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.llm import (
+    centroid_clusters,
     decontamination,
     language_spans,
     near_dedup,
@@ -17,7 +18,9 @@ from sievemark.llm import (
     quality_trees,
     repeated_bytes,
     secret_owners,
+    sequence_packing,
     token_files,
+    vector_codes,
     warc_writer,
 )
 from sievemark.llm.common import new_scratch_path, table
@@ -27,6 +30,8 @@ QUERIES: dict[str, Query] = {}
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+SEQUENCE_END_ID = 2
 
 
 def query(function: Query) -> Query:
@@ -116,3 +121,20 @@ def op9_warc_writer(spark, sf_dir):
 def op10_secret_owners(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return secret_owners.report(secret_owners.secret_spans(docs))
+
+
+@query
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.code_report(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+@query
+def op12_sequence_packing(spark, sf_dir):
+    spec = sequence_packing.Packing(public_tokenizers.path(BYTE_TOKENIZER), SEQUENCE_END_ID)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sequence_packing.pack(docs, spec).drop("ids")
+
+
+@query
+def op13_centroid_clusters(spark, sf_dir):
+    return centroid_clusters.cluster_report(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
