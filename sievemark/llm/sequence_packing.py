@@ -29,11 +29,11 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,13 +45,14 @@ from tokenizers import Tokenizer
 
 from sievemark.llm.common import blobs, bound_batches, materialize, process_wide
 
-WORD = "A-Za-z0-9À-ÖØ-öø-ɏ"
+LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+WORD = f"0-9{LETTER}"
 MARK = r"!-/:-@\[-`{-~"
 BREAK = rf"(?:(?<=[{WORD}])(?=[{MARK}\s])|(?<=[!-~])(?= [!-~{WORD}])|(?<=\S\n)(?=[!-~{WORD}]))"
 UNIT = re.compile(rf" ?[{WORD}]+(?=[{MARK}\s]|\Z)|.+?(?:{BREAK}|\Z)", re.DOTALL)
-KNOWN_UNITS = 300_000
+LETTERS = re.compile(rf" ?[{LETTER}]+")
+KNOWN_UNITS = 400_000
 LONGEST_KNOWN = 64
-ENCODED_AT_ONCE = 4096
 TEXTS_AT_ONCE = 256
 
 
@@ -64,6 +65,14 @@ class Packing:
     capacity: int = 1024
 
 
+def byte_letters() -> dict[int, int]:
+    """The characters that byte-level tokenizers write for bytes, as a translation table:
+    printable ones stand for themselves, the others follow from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
 def cuts_like_bytes(config: dict) -> bool:
     """Whether a tokenizer's description has plain byte-level cutting and no other step."""
     cutting = config.get("pre_tokenizer") or {}
@@ -71,6 +80,34 @@ def cuts_like_bytes(config: dict) -> bool:
     return plain and not cutting.get("add_prefix_space") and not config.get("normalizer")
 
 
+class UnitIds(dict):
+    """Packed ids of units, remembered; what was used since the last turn stays at hand."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.byte_letters = byte_letters()
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, unit: str) -> bytes:
+        packed = self.old.get(unit)
+        if packed is None:
+            if LETTERS.fullmatch(unit):
+                # Cut no further: the tokenizer's model takes it, written in its letters.
+                written = unit.encode().decode("latin-1").translate(self.byte_letters)
+                ids = [token.id for token in self.model.tokenize(written)]
+            else:
+                ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(unit) <= LONGEST_KNOWN:
+            self[unit] = packed
+        return packed
+
+    def turn(self) -> None:
+        if len(self) > KNOWN_UNITS:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Texts to arrays of ids."""
 
@@ -83,37 +120,17 @@ class Encoder:
             self.by_unit = cuts_like_bytes(json.load(file))
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added)) if added else None
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def encoded(self, texts: list[str]) -> Iterator[bytes]:
-        """32-bit ids of the texts, packed."""
-        for first in range(0, len(texts), ENCODED_AT_ONCE):
-            some = texts[first : first + ENCODED_AT_ONCE]
-            for found in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
-                yield np.array(found.ids, "<u4").tobytes()
+        self.known = UnitIds(self.tokenizer)
 
-    def units(self, text: str) -> list[str] | None:
-        """Parts of the text that are encoded apart, none if it has to stay whole."""
+    def of(self, text: str) -> np.ndarray:
+        """The ids of a text; in one go where an added token stands in it."""
         if not self.by_unit or (self.added and self.added.search(text)):
-            return None
-        return UNIT.findall(text)
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, UNIT.findall(text))), "<u4")
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        parts = [self.units(text) for text in texts]
-        whole = self.encoded([t for t, units in zip(texts, parts, strict=True) if units is None])
-        known, old = self.known, self.old
-        fresh = set(chain.from_iterable(units for units in parts if units is not None)).difference(known)
-        for unit in old.keys() & fresh:
-            known[unit] = old[unit]
-        new = [unit for unit in fresh if unit not in old]
-        known.update(zip(new, self.encoded(new), strict=True))
-        for units in parts:
-            packed = next(whole) if units is None else b"".join(map(known.__getitem__, units))
-            yield np.frombuffer(packed, "<u4")
-        if len(known) > KNOWN_UNITS:
-            self.old = {unit: found for unit, found in known.items() if len(unit) <= LONGEST_KNOWN}
-            self.known = {}
+        yield from map(self.of, texts)
+        self.known.turn()
 
 
 def piece_bounds(total: int, capacity: int) -> list[tuple[int, int]]:
