@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.functions.answers import LABEL_UNPARSEABLE, json_text, label_of
+from sievemark.functions.answers import EMPTY_REASON, LABEL_UNPARSEABLE, json_text, label_of
 from sievemark.functions.guard import (
     PII_CATEGORY,
     categories_in,
@@ -32,6 +32,10 @@ from sievemark.session import require_columns, with_computed
 
 MODE_TOKENS, MODE_FULL = "token_by_token", "full_sequence_fallback"
 
+# Events of a moderated text.
+START, FALLBACK = "start_predict", "fallback_to_full_sequence"
+STEP_FAILED, EARLY_STOP = "token_step_failed", "early_stop_triggered_by_pii_category"
+
 # --- long table of steps -------------------------------------------------------
 
 
@@ -100,6 +104,78 @@ def early_stop_sparse(steps: DataFrame, id_col: str = "sample_id") -> DataFrame:
     )
 
 
+def reached_steps(steps: DataFrame, id_col: str = "sample_id") -> DataFrame:
+    """(id, reached): how many steps each text has from step 0 on without a gap.
+
+    The first gap is the smallest index that follows a step and is no step itself. Steps
+    meet their successors by id and index, so a text with very many steps is spread out.
+    """
+    have = steps.where("token_index IS NOT NULL").select(id_col, F.col("token_index").cast("bigint"))
+    follow = have.select(id_col, (F.col("token_index") + 1).alias("token_index"))
+    begin = have.select(id_col, F.lit(0).cast("bigint").alias("token_index")).distinct()
+    gaps = follow.unionByName(begin).join(have, [id_col, "token_index"], "left_anti")
+    return gaps.where("token_index >= 0").groupBy(id_col).agg(F.min("token_index").alias("reached"))
+
+
+def early_stop_contiguous(
+    steps: DataFrame, id_col: str = "sample_id", error_col: str | None = None
+) -> DataFrame:
+    """``early_stop`` for steps with gaps, where a step counts only once all steps before
+    it are there: a gap shows as not processed, a trigger behind it as not reached.
+
+    With ``error_col`` a failed step stops a text as well; fault_index and fault tell
+    which one did and why.
+    """
+    require_columns(steps, id_col, "token_index", "category")
+    index = F.col("token_index").cast("bigint")
+    error = F.col(error_col) if error_col else F.lit(None).cast("string")
+    fault = F.when(error.isNotNull(), F.struct(index.alias("at"), error.alias("text")))
+    seen = steps.groupBy(id_col).agg(
+        F.min(F.when(is_pii_category(F.col("category")), index)).alias("trigger"),
+        F.min(fault).alias("fault"),
+        (F.max(index) + 1).alias("total_tokens"),
+    )
+    trigger, at = F.col("trigger"), F.col("fault.at")
+    first = F.least(trigger, at)
+    stopped = F.coalesce(first < F.col("reached"), F.lit(False))
+    failed = stopped & F.coalesce(at == first, F.lit(False))
+    hit = stopped & ~failed
+    return seen.join(reached_steps(steps, id_col), id_col, "left").select(
+        id_col,
+        F.when(stopped, first + F.when(failed, 0).otherwise(1))
+        .otherwise(F.coalesce("reached", F.lit(0)))
+        .cast("bigint")
+        .alias("processed_tokens"),
+        "total_tokens",
+        F.when(hit, trigger).alias("trigger_index"),
+        hit.alias("early_stopped"),
+        F.when(failed, at).alias("fault_index"),
+        F.when(failed, F.col("fault.text")).alias("fault"),
+    )
+
+
+def step_events(
+    steps: DataFrame, id_col: str = "sample_id", error_col: str | None = None
+) -> DataFrame:
+    """(id, event, token_index, detail) of texts given as steps: the start of each, and
+    what it stops at: PII, a failed step 0 (fallback), a failed later step."""
+    stops = early_stop_contiguous(steps, id_col, error_col)
+    index, fault = F.col("trigger_index"), F.col("fault_index")
+    nothing = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+
+    def event(name: Column, at: Column, detail: Column) -> Column:
+        return F.struct(name.alias("event"), at.alias("token_index"), detail.alias("detail"))
+
+    kind = F.when(fault == 0, FALLBACK).otherwise(STEP_FAILED)
+    events = [
+        event(F.lit(START), *nothing),
+        F.when(index.isNotNull(), event(F.lit(EARLY_STOP), index, nothing[1])),
+        F.when(fault.isNotNull(), event(kind, fault, F.col("fault"))),
+    ]
+    listed = F.filter(F.array(*events), lambda e: e.isNotNull())
+    return stops.select(id_col, F.explode(listed).alias("e")).select(id_col, "e.*")
+
+
 # --- per-text arrays -------------------------------------------------------------
 
 
@@ -244,7 +320,8 @@ STREAM_FIELDS = (
 
 def with_guard_output(df: DataFrame) -> DataFrame:
     """Add contains_pii and output_json to moderated texts (``decision`` and the
-    stream columns), ready for the result rows and the run metrics."""
+    stream columns), ready for the result rows and the run metrics. An empty text, of
+    no tokens, gets the record that scorers give it."""
     d = {n: F.col(f"decision.{n}") for n in ("risk_level", "category", "refusal")}
     stream = {n: F.col(n) for n in STREAM_FIELDS}
     detail = json_text(**d, text_output=F.col("decision.text_output"), **stream)
@@ -265,10 +342,20 @@ def with_guard_output(df: DataFrame) -> DataFrame:
         reason=F.concat(F.lit("model_error: "), error),
         raw_text=F.lit(""),
     )
+    empty = json_text(
+        contains_pii=F.lit(None).cast("boolean"),
+        label=F.lit(LABEL_UNPARSEABLE),
+        confidence=F.lit(None).cast("double"),
+        reason=F.lit(EMPTY_REASON),
+        raw_text=F.lit(""),
+    )
+    no_text = F.col("total_tokens") == 0
+    written = F.when(error.isNotNull(), failed).when(no_text, empty).otherwise(record)
+    decided = F.when(error.isNull() & ~no_text, F.col("decision.contains_pii"))
     return (
         df.withColumn("__detail", detail)
-        .withColumn("contains_pii", F.when(error.isNull(), F.col("decision.contains_pii")))
-        .withColumn("output_json", F.when(error.isNull(), record).otherwise(failed))
+        .withColumn("contains_pii", decided)
+        .withColumn("output_json", written)
         .drop("__detail")
     )
 
@@ -305,18 +392,18 @@ def moderation_events(df: DataFrame, id_col: str = "sample_id") -> DataFrame:
         )
 
     none = F.lit(None)
-    events = [event("start_predict", F.col("total_tokens"), none, F.lit(True))]
+    events = [event(START, F.col("total_tokens"), none, F.lit(True))]
     if "stream_mode" in names:
         events.append(
-            event("fallback_to_full_sequence", none, none, F.col("stream_mode") == MODE_FULL)
+            event(FALLBACK, none, none, F.col("stream_mode") == MODE_FULL)
         )
     if "step_error" in names:
         events.append(
-            event("token_step_failed", none, F.col("step_error"), F.col("step_error").isNotNull())
+            event(STEP_FAILED, none, F.col("step_error"), F.col("step_error").isNotNull())
         )
     events.append(
         event(
-            "early_stop_triggered_by_pii_category",
+            EARLY_STOP,
             F.col("trigger_index"),
             none,
             F.col("early_stopped"),

@@ -8,18 +8,23 @@ Scoring is costly and may not repeat, so store scored rows before aggregating.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import suppress
 from dataclasses import dataclass, field
+from functools import partial, reduce
+from typing import TypeVar
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from sievemark.functions.answers import (
+    EMPTY_REASON,
     NORMALIZED_TYPE,
     free_text_decision,
     label_of,
@@ -28,9 +33,10 @@ from sievemark.functions.answers import (
 )
 from sievemark.functions.flags import DEFAULT_RULES, any_rule, has_obvious_pii
 from sievemark.functions.text import clean
-from sievemark.session import require_columns
+from sievemark.session import materialize, require_columns
 
-EMPTY_REASON = "empty content"
+T_ = TypeVar("T_")
+RAISED = re.compile(r"[A-Za-z_][\w.]*(Error|Exception|Interrupt|Exit|Warning)\b")
 ERROR_PREFIX = "model_error: "
 
 
@@ -76,6 +82,28 @@ class PythonScorer:
         pass
 
 
+class BatchScorer(PythonScorer):
+    """Base class of scorers that answer several texts per call.
+
+    A call gets texts of similar length: at most ``batch_texts`` of them, which padded to
+    the longest have at most ``batch_chars`` characters (one text may have more). It
+    returns one answer per text, in order; an exception in the place of an answer, or
+    raised for a call with one text, is the error of that text.
+    """
+
+    batch_texts = 64
+    batch_chars = 1 << 20
+
+    def score_batch(self, contents: list[str]) -> list[Answer | Exception]:
+        raise NotImplementedError
+
+    def score(self, content: str) -> Answer:
+        (answer,) = self.score_batch([content])
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+
 Scorer = RuleScorer | PythonScorer
 
 SCORED_COLUMNS = (
@@ -95,32 +123,86 @@ ANSWER_TYPE = T.StructType(
 )
 
 
+EMPTY_ANSWER = ("", 0, 0, 0.0, 0.0, None)
+
+
+def _row(answer: Answer | Exception, ms: float) -> tuple:
+    """An answer as a row; an exception becomes an error text, its time still counts."""
+    if isinstance(answer, Exception):
+        return ("", 0, 0, 0.0, ms, str(answer))
+    tokens = int(answer.prompt_tokens), int(answer.completion_tokens)
+    return (answer.raw_text, *tokens, float(answer.cost_usd), ms, None)
+
+
 def _timed_answer(scorer: PythonScorer, content: str) -> tuple:
-    """One answer as a row; an exception becomes an error text, its time still counts."""
     if not content:
-        return ("", 0, 0, 0.0, 0.0, None)
+        return EMPTY_ANSWER
     start = time.perf_counter()
+    answer: Answer | Exception
     try:
-        a = scorer.score(content)
-        row = (a.raw_text, int(a.prompt_tokens), int(a.completion_tokens), float(a.cost_usd))
-        error = None
+        answer = scorer.score(content)
     except Exception as e:  # noqa: BLE001 - any failure of user code stays with its row
-        row, error = ("", 0, 0, 0.0), str(e)
-    return (*row, (time.perf_counter() - start) * 1000.0, error)
-
-
-def _answers(scorer: PythonScorer) -> Callable:
+        answer = e
+    return _row(answer, (time.perf_counter() - start) * 1000.0)
+
+
+def batches_by_length(contents: Sequence[str], most: int, chars: int) -> list[list[int]]:
+    """Positions of the texts that are not empty, in batches of similar length."""
+    batches: list[list[int]] = []
+    for at in sorted((i for i, c in enumerate(contents) if c), key=lambda i: len(contents[i])):
+        # Ascending: the text that comes next is the one all others are padded to.
+        last = batches[-1] if batches else None
+        if last is None or len(last) >= most or (len(last) + 1) * len(contents[at]) > chars:
+            batches.append([])
+        batches[-1].append(at)
+    return batches
+
+
+def _timed_batch(scorer: BatchScorer, contents: list[str], spent_ms: float = 0.0) -> list[tuple]:
+    """The rows of one call. A call that fails is repeated for each half of its texts, so
+    only the text that is to blame keeps the error. A text's time is its share of all
+    calls that it took part in."""
+    start = time.perf_counter()
+    answers: list[Answer | Exception] | Exception
+    try:
+        answers = list(scorer.score_batch(contents))
+        if len(answers) != len(contents):
+            raise ValueError(f"{len(answers)} answers to {len(contents)} texts")
+    except Exception as e:  # noqa: BLE001 - any failure of user code stays with its row
+        answers = e
+    share = spent_ms + (time.perf_counter() - start) * 1000.0 / len(contents)
+    if not isinstance(answers, Exception):
+        return [_row(a, share) for a in answers]
+    if len(contents) == 1:
+        return [_row(answers, share)]
+    half = len(contents) // 2
+    return [r for part in (contents[:half], contents[half:]) for r in _timed_batch(scorer, part, share)]
+
+
+def _all_answers(scorer: PythonScorer, contents: list[str], pool: ThreadPoolExecutor) -> list[tuple]:
+    """One row per text, in order, whatever finishes first."""
+    if not isinstance(scorer, BatchScorer):
+        return list(pool.map(lambda c: _timed_answer(scorer, c), contents))
+    contents = [c or "" for c in contents]
+    batches = batches_by_length(contents, scorer.batch_texts, scorer.batch_chars)
+    rows = [EMPTY_ANSWER] * len(contents)
+    answered = pool.map(lambda batch: _timed_batch(scorer, [contents[i] for i in batch]), batches)
+    for batch, found in zip(batches, answered, strict=True):
+        for at, row in zip(batch, found, strict=True):
+            rows[at] = row
+    return rows
+
+
+def _answers(scorer: PythonScorer, threads: int) -> Callable:
     names = ANSWER_TYPE.fieldNames()
 
     @F.pandas_udf(ANSWER_TYPE)
     def answers(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer.open()
         try:
-            with ThreadPoolExecutor(max_workers=max(1, scorer.concurrency)) as pool:
+            with ThreadPoolExecutor(max_workers=threads) as pool:
                 for contents in batches:
-                    # map keeps the order of its input whatever finishes first
-                    rows = list(pool.map(lambda c: _timed_answer(scorer, c), contents))
-                    yield pd.DataFrame(rows, columns=names)
+                    yield pd.DataFrame(_all_answers(scorer, list(contents), pool), columns=names)
         finally:
             with suppress(Exception):  # answers already given stand
                 scorer.close()
@@ -139,20 +221,50 @@ def rule_record(flag: Column, content: Column) -> Column:
     )
 
 
+def _named(scorer: Scorer) -> dict[str, Column]:
+    return {
+        "model_key": F.lit(scorer.key),
+        "model_id": F.lit(scorer.model_id),
+        "provider": F.lit(scorer.provider),
+    }
+
+
+def _unread(reason: Column) -> Column:
+    """The record of a text without an answer."""
+    return F.struct(
+        F.lit(None).cast("boolean").alias("contains_pii"),
+        label_of(F.lit(None).cast("boolean")).alias("label"),
+        F.lit(None).cast("double").alias("confidence"),
+        reason.alias("reason"),
+        F.lit("").alias("raw_text"),
+    ).cast(NORMALIZED_TYPE)
+
+
+def bounded_calls(df: DataFrame, concurrency: int, max_calls: int) -> tuple[DataFrame, int]:
+    """(rows in few enough partitions, threads of each) for ``max_calls`` calls at once in
+    the whole job, wherever its tasks run. Partitions are put together without a shuffle."""
+    if max_calls < 1:
+        raise ValueError("at least one call at a time")
+    threads = min(max(1, concurrency), max_calls)
+    return df.coalesce(max_calls // threads), threads
+
+
 def score(
-    df: DataFrame, scorer: Scorer, content_col: str = "content", partitions: int | None = None
+    df: DataFrame,
+    scorer: Scorer,
+    content_col: str = "content",
+    partitions: int | None = None,
+    max_calls: int | None = None,
 ) -> DataFrame:
     """Add the scored columns of one scorer, plus model_key, model_id and provider.
 
     An empty text never reaches the scorer: no decision, no tokens, no cost, 0 ms.
-    ``partitions`` x ``concurrency`` bounds the parallel calls of a Python scorer.
+    ``concurrency`` bounds the threads of a partition; ``max_calls`` bounds the calls of a
+    Python scorer that are under way at any time, over all executors. ``partitions`` deals
+    the rows out evenly.
     """
     require_columns(df, content_col)
-    model = {
-        "model_key": F.lit(scorer.key),
-        "model_id": F.lit(scorer.model_id),
-        "provider": F.lit(scorer.provider),
-    }
+    model = _named(scorer)
     text = clean(F.col(content_col))
     if isinstance(scorer, RuleScorer):
         flag = F.when(text != "", scorer.expression(text))
@@ -169,8 +281,10 @@ def score(
                 **model,
             }
         )
-    rows = df.repartition(partitions) if partitions else df
-    answered = rows.withColumn("__answer", _answers(scorer)(text))
+    rows, threads = df.repartition(partitions) if partitions else df, max(1, scorer.concurrency)
+    if max_calls is not None:
+        rows, threads = bounded_calls(rows, threads, max_calls)
+    answered = rows.withColumn("__answer", _answers(scorer, threads)(text))
     answered = answered.withColumns(
         {
             "__raw": F.col("__answer.raw_text"),
@@ -180,15 +294,11 @@ def score(
     )
     normal = with_normalized(answered, "__raw", "__record")
     # No answer, no reading: empty and failed rows get a record of their own.
-    unread = F.struct(
-        F.lit(None).cast("boolean").alias("contains_pii"),
-        label_of(F.lit(None).cast("boolean")).alias("label"),
-        F.lit(None).cast("double").alias("confidence"),
-        F.when(F.col("__empty"), F.lit(EMPTY_REASON))
-        .otherwise(F.concat(F.lit(ERROR_PREFIX), F.col("__error")))
-        .alias("reason"),
-        F.lit("").alias("raw_text"),
-    ).cast(NORMALIZED_TYPE)
+    unread = _unread(
+        F.when(F.col("__empty"), F.lit(EMPTY_REASON)).otherwise(
+            F.concat(F.lit(ERROR_PREFIX), F.col("__error"))
+        )
+    )
     answered_ok = ~F.col("__empty") & F.col("__error").isNull()
     final = normal.withColumn("__final", F.when(answered_ok, F.col("__record")).otherwise(unread))
     return final.withColumns(
@@ -205,50 +315,117 @@ def score(
     ).drop("__answer", "__raw", "__error", "__empty", "__record", "__final")
 
 
-def score_all(df: DataFrame, scorers: Sequence[Scorer], content_col: str = "content") -> DataFrame:
+def _score_rules(df: DataFrame, rules: Sequence[RuleScorer], content_col: str) -> DataFrame:
+    """All rule scorers in one scan: flags side by side, unpivoted by an explode."""
+    text = clean(F.col(content_col))
+    fanned = F.array(
+        *[
+            F.struct(
+                *[value.alias(name) for name, value in _named(s).items()],
+                F.when(text != "", s.expression(text)).alias("contains_pii"),
+            )
+            for s in rules
+        ]
+    )
+    record = rule_record(F.col("__s.contains_pii"), text)
+    return df.select("*", F.explode(fanned).alias("__s")).select(
+        *df.columns,
+        F.col("__s.contains_pii"),
+        record_json(record).alias("output_json"),
+        F.lit(0).cast("bigint").alias("prompt_tokens"),
+        F.lit(0).cast("bigint").alias("completion_tokens"),
+        F.lit(0.0).alias("cost_usd"),
+        F.lit(None).cast("double").alias("latency_ms"),
+        F.lit(None).cast("string").alias("error"),
+        F.col("__s.model_key"),
+        F.col("__s.model_id"),
+        F.col("__s.provider"),
+    )
+
+
+def failed_rows(df: DataFrame, scorer: Scorer, error: str) -> DataFrame:
+    """Every text with the error of a scorer that failed as a whole."""
+    return df.withColumns(
+        {
+            "contains_pii": F.lit(None).cast("boolean"),
+            "output_json": record_json(_unread(F.lit(ERROR_PREFIX + error))),
+            "prompt_tokens": F.lit(0).cast("bigint"),
+            "completion_tokens": F.lit(0).cast("bigint"),
+            "cost_usd": F.lit(0.0),
+            "latency_ms": F.lit(None).cast("double"),
+            "error": F.lit(error),
+            **_named(scorer),
+        }
+    )
+
+
+def failure_text(error: Exception) -> str:
+    """What went wrong, in a line: of an error in a worker the last line of its traceback,
+    which names the exception of the user's code."""
+    lines = [line.strip() for line in str(error).splitlines() if line.strip()]
+    raised = [line for line in lines if RAISED.match(line)]
+    return raised[-1] if raised else lines[0] if lines else type(error).__name__
+
+
+def at_the_same_time(
+    spark: SparkSession, jobs: Sequence[tuple[str, Callable[[], T_]]], at_once: int
+) -> list[T_ | Exception]:
+    """The results of the jobs, or the exceptions they ended with, in their order. Each
+    job runs in a scheduler pool of its name, so that under the fair scheduler none waits
+    for the tasks of another."""
+
+    def run(job: tuple[str, Callable[[], T_]]) -> T_ | Exception:
+        name, work = job
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        try:
+            return work()
+        except Exception as e:  # noqa: BLE001 - a job's failure is its result
+            return e
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(jobs)))) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(run), job) for job in jobs]
+        return [s.result() for s in started]
+
+
+def score_all(
+    df: DataFrame,
+    scorers: Sequence[Scorer],
+    content_col: str = "content",
+    on_error: str = "raise",
+    at_once: int = 4,
+    max_calls: int | None = None,
+) -> DataFrame:
     """Samples x scorers, long form.
 
-    Rule scorers share one scan: their flags are computed side by side and unpivoted
-    by an explode. Each Python scorer adds a branch of its own.
+    Rule scorers share one scan, and each Python scorer adds a branch of its own. With
+    ``on_error="row"`` the branches are scored and stored at the same time, ``at_once`` of
+    them; a scorer that fails as a whole, say on opening, leaves its error on every one of
+    its rows and the others go on. ``max_calls`` holds for each Python scorer.
     """
+    if not scorers:
+        raise ValueError("no scorers given")
+    if on_error not in ("raise", "row"):
+        raise ValueError(f"on_error is 'raise' or 'row', not {on_error!r}")
     rules = [s for s in scorers if isinstance(s, RuleScorer)]
-    parts: list[DataFrame] = []
+    branches: list[tuple[str, Sequence[Scorer], DataFrame]] = []
     if rules:
-        text = clean(F.col(content_col))
-        fanned = F.array(
-            *[
-                F.struct(
-                    F.lit(s.key).alias("model_key"),
-                    F.lit(s.model_id).alias("model_id"),
-                    F.lit(s.provider).alias("provider"),
-                    F.when(text != "", s.expression(text)).alias("contains_pii"),
-                )
-                for s in rules
-            ]
-        )
-        record = rule_record(F.col("__s.contains_pii"), text)
-        parts.append(
-            df.select("*", F.explode(fanned).alias("__s")).select(
-                *df.columns,
-                F.col("__s.contains_pii"),
-                record_json(record).alias("output_json"),
-                F.lit(0).cast("bigint").alias("prompt_tokens"),
-                F.lit(0).cast("bigint").alias("completion_tokens"),
-                F.lit(0.0).alias("cost_usd"),
-                F.lit(None).cast("double").alias("latency_ms"),
-                F.lit(None).cast("string").alias("error"),
-                F.col("__s.model_key"),
-                F.col("__s.model_id"),
-                F.col("__s.provider"),
-            )
-        )
-    parts.extend(score(df, s, content_col) for s in scorers if isinstance(s, PythonScorer))
-    if not parts:
-        raise ValueError("no scorers given")
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+        branches.append(("rules", rules, _score_rules(df, rules, content_col)))
+    for s in scorers:
+        if isinstance(s, PythonScorer):
+            branches.append((s.key, [s], score(df, s, content_col, max_calls=max_calls)))
+    parts = [rows for _, _, rows in branches]
+    if on_error == "row":
+        jobs = [(key, partial(materialize, rows, f"scored-{key}")) for key, _, rows in branches]
+        parts = []
+        done = at_the_same_time(df.sparkSession, jobs, at_once)
+        for (_, members, _), found in zip(branches, done, strict=True):
+            if isinstance(found, Exception):
+                parts.extend(failed_rows(df, s, failure_text(found)) for s in members)
+            else:
+                parts.append(found)
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- registry ----------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from sievemark.operators.compare import comparison, history, leaderboard, with_p
 from sievemark.operators.evalset import build_eval_set
 from sievemark.operators.generation import Rewriter, generate_corpus
 from sievemark.operators.metrics import result_rows, run_id_of, run_metrics, with_run
-from sievemark.operators.scoring import Scorer, score
+from sievemark.operators.scoring import Scorer, at_the_same_time, score
 from sievemark.session import materialize
 from sievemark.sources.readers import METRICS_FILES, read_metrics
 from sievemark.sources.writers import (
@@ -54,12 +55,13 @@ def run_benchmark(
     append: bool = False,
     params: Mapping[str, float] | None = None,
     started: datetime | None = None,
+    at_once: int = 4,
 ) -> BenchmarkRun:
     """Evaluation set -> scores -> result rows -> metrics -> leaderboard, all stored.
 
     Every model's scores are written once and aggregated from storage, because
-    scoring again would cost again and may answer differently. A model that fails
-    adds one ``failed`` row and the others go on.
+    scoring again would cost again and may answer differently. ``at_once`` models score at
+    the same time. A model that fails adds one ``failed`` row and the others go on.
     """
     spark = source.sparkSession
     started = started or datetime.now()
@@ -68,12 +70,20 @@ def run_benchmark(
         build_eval_set(source, n, include_negative, non_pii, id_col, content_col), "eval-set"
     )
     results_path, metrics_path = f"{out_dir}/results", f"{out_dir}/metrics"
+
+    def scored_at(scorer: Scorer) -> tuple[DataFrame, datetime, datetime]:
+        begun = datetime.now()
+        rows = materialize(score(samples, scorer, "content"), f"scored-{scorer.key}")
+        return rows, begun, datetime.now()
+
+    begun = datetime.now()
+    jobs = [(s.key, partial(scored_at, s)) for s in scorers]
     metrics: list[DataFrame] = []
-    for scorer in scorers:
-        model_started = datetime.now()
+    for scorer, found in zip(scorers, at_the_same_time(spark, jobs, at_once), strict=True):
         try:
-            scored = materialize(score(samples, scorer, "content"), f"scored-{scorer.key}")
-            finished = datetime.now()
+            if isinstance(found, Exception):
+                raise found
+            scored, model_started, finished = found
             rows = with_run(result_rows(scored), started, model_started, finished)
             write_results(rows.drop("execution_time_sec"), results_path, append)
             # One row per model: pinned here so that a failure stays with its model.
@@ -81,7 +91,7 @@ def run_benchmark(
             metrics.append(spark.createDataFrame(row.collect(), row.schema))
         except Exception as e:  # noqa: BLE001 - one model must not end the run
             failed = _failed_row(spark, scorer, e)
-            metrics.append(with_run(failed, started, model_started, datetime.now()))
+            metrics.append(with_run(failed, started, begun, datetime.now()))
     table = with_params(history(*metrics), params)
     if "status" not in table.columns:
         table = table.withColumns(

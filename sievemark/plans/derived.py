@@ -23,6 +23,7 @@ from sievemark.operators.scoring import (
     EMAIL_SCORER,
     OBVIOUS_SCORER,
     Answer,
+    BatchScorer,
     PythonScorer,
 )
 
@@ -178,6 +179,20 @@ class AddressScorer(PythonScorer):
         return Answer(f"```json\n{body}\n```", len(content), 16, len(content) / 1048576)
 
 
+class AddressBatchScorer(BatchScorer):
+    """The same answers for batches of texts; a batch with a refused text fails."""
+
+    key = "address-batch"
+    model_id = "python/address-batch"
+
+    def open(self) -> None:
+        self.single = AddressScorer()
+        self.single.open()
+
+    def score_batch(self, contents: list[str]) -> list[Answer]:
+        return [self.single.score(c) for c in contents]
+
+
 class MaskingRewriter(Rewriter):
     """First returns the text as it is, then masks addresses, then keywords as well."""
 

@@ -207,6 +207,44 @@ trig AS (SELECT user_id, min(event_id) FILTER (event_type = 'error') AS trigger_
   FROM events GROUP BY user_id)
 """
 
+USER_STEPS = """
+steps AS (SELECT user_id AS sample_id, event_id, event_type = 'error' AS pii,
+  event_id % 101 = 5 AS broke,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events)
+"""
+
+# Steps that came; up to the first gap a step's index is its place.
+GAP_STEPS = f"""{USER_STEPS},
+came AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY i) - 1 AS place
+  FROM steps WHERE event_id % 50 <> 7),
+ends AS (SELECT sample_id, count(*) FILTER (i = place) AS reached, max(i) AS top,
+  min(i) FILTER (pii) AS hit FROM came GROUP BY sample_id),
+stops AS (SELECT sample_id, top + 1 AS total_tokens, coalesce(hit < reached, false) AS early_stopped,
+  CASE WHEN hit < reached THEN hit END AS trigger_index,
+  CASE WHEN hit < reached THEN hit + 1 ELSE reached END AS processed_tokens,
+  coalesce(hit, top) AS stop FROM ends)
+"""
+
+STEP_EVENTS = f"""WITH {USER_STEPS},
+f AS (SELECT sample_id, min(i) FILTER (pii) AS hit, min(i) FILTER (broke) AS fault FROM steps GROUP BY 1)
+SELECT sample_id, 'start_predict' AS event, NULL::BIGINT AS token_index, NULL::VARCHAR AS detail FROM f
+UNION ALL SELECT sample_id, 'early_stop_triggered_by_pii_category', hit, NULL FROM f
+  WHERE hit < coalesce(fault, hit + 1)
+UNION ALL SELECT sample_id, CASE WHEN fault = 0 THEN 'fallback_to_full_sequence' ELSE 'token_step_failed' END,
+  fault, 'step broke' FROM f WHERE fault <= coalesce(hit, fault)
+"""
+
+FALLBACK_ROWS = f"""WITH {STEPS}, s AS (SELECT s.*, {email('d.text')} AS whole
+  FROM stops s JOIN documents d USING (doc_id))
+SELECT doc_id, CASE WHEN lang = 'es' THEN 'full_sequence_fallback' ELSE 'token_by_token' END
+  AS stream_mode,
+  CASE WHEN lang = 'de' AND total_tokens >= 3 AND total_tokens < 100 THEN 'step broke' END
+  AS step_error, CASE WHEN lang = 'es' THEN 1 ELSE total_tokens END AS steps,
+  CASE WHEN lang <> 'es' THEN trigger_index WHEN whole THEN 0 END AS first_pii FROM s"""
+
+ORDERED_ROWS = f"""SELECT row_number() OVER (ORDER BY lang, doc_id) AS position, doc_id,
+  md5({strip('text')}) AS md5 FROM documents"""
+
 # --- prompts ---------------------------------------------------------------------------------------
 
 
@@ -450,13 +488,48 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, 'token_by_token' AS stream_mode, early_stopped, trigger_index,
           processed_tokens, total_tokens, false AS inferred_pii, early_stopped AS contains_pii,
           {_MODERATED_JSON} AS output_json FROM details""",
-    "fallback_moderation": f"""WITH {STEPS}, s AS (SELECT s.*, {email('d.text')} AS whole
-          FROM stops s JOIN documents d USING (doc_id))
-        SELECT doc_id, CASE WHEN lang = 'es' THEN 'full_sequence_fallback' ELSE 'token_by_token' END
-          AS stream_mode,
-          CASE WHEN lang = 'de' AND total_tokens >= 3 AND total_tokens < 100 THEN 'step broke' END
-          AS step_error, CASE WHEN lang = 'es' THEN 1 ELSE total_tokens END AS steps,
-          CASE WHEN lang <> 'es' THEN trigger_index WHEN whole THEN 0 END AS first_pii FROM s""",
+    "fallback_moderation": FALLBACK_ROWS,
+    "fallback_stream": f"{FALLBACK_ROWS} WHERE total_tokens > 0",
+    "moderate_empty": f"""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN hit END AS contains_pii,
+          CASE WHEN doc_id % 3 = 2 THEN n ELSE 0 END::BIGINT AS total_tokens,
+          CASE WHEN doc_id % 3 <> 2 THEN 'empty content' WHEN hit THEN 'risk_level=Unsafe; category=PII'
+            ELSE 'risk_level=Safe; category=None' END AS reason,
+          {label('CASE WHEN doc_id % 3 = 2 THEN hit END')} AS label
+        FROM (SELECT doc_id, len({tokens('text')}) AS n,
+            len(list_filter({tokens('text')}, lambda t: {email('t')})) > 0 AS hit FROM documents)""",
+    "early_stop_sessions_gaps": f"""WITH {GAP_STEPS} SELECT s.sample_id, processed_tokens, total_tokens,
+        trigger_index, early_stopped, false AS closed,
+        stop + 1 - (SELECT count(*) FROM came c WHERE c.sample_id = s.sample_id AND c.i <= s.stop)
+          AS missing_tokens FROM stops s""",
+    "early_stop_contiguous": f"""WITH {GAP_STEPS} SELECT sample_id, processed_tokens, total_tokens,
+        trigger_index, early_stopped FROM stops""",
+    "early_stop_sessions_late": f"""WITH {USER_STEPS} SELECT sample_id,
+        coalesce(min(i) FILTER (pii), max(i)) + 1 AS processed_tokens, max(i) + 1 AS total_tokens,
+        min(i) FILTER (pii) AS trigger_index, count(*) FILTER (pii) > 0 AS early_stopped, true AS closed
+        FROM steps GROUP BY sample_id""",
+    "moderation_event_stream": STEP_EVENTS,
+    "step_events": STEP_EVENTS,
+    "csv_row_positions": ORDERED_ROWS,
+    "first_rows_csv": f"""SELECT position * 3 AS sample_id, md5, true AS ground_truth FROM ({ORDERED_ROWS})
+        WHERE position <= {SAMPLES}""",
+    "score_batches": f"""WITH t AS (SELECT doc_id, {strip('text')} AS c FROM documents),
+        s AS (SELECT doc_id, c, regexp_matches(c, '[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}')
+          AS refused, {email('c')} AS hit FROM t)
+        SELECT doc_id, CASE WHEN NOT refused THEN hit END AS contains_pii,
+          (CASE WHEN refused THEN 0 ELSE length(c) END)::BIGINT AS prompt_tokens,
+          (CASE WHEN refused THEN 0 ELSE 16 END)::BIGINT AS completion_tokens,
+          CASE WHEN refused THEN 0 ELSE length(c) / 1048576 END::DOUBLE AS cost_usd,
+          CASE WHEN refused THEN 'not allowed' END AS error FROM s""",
+    "score_all_errors": f"""WITH t AS (SELECT lang, {strip('text')} AS text FROM documents),
+        a AS (SELECT *, regexp_matches(text, '[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}')
+          AS refused FROM t),
+        s AS (SELECT 'email' AS model_key, lang, {email('text')} AS p, false AS e FROM a
+          UNION ALL SELECT 'obvious', lang, {obvious('text')}, false FROM a
+          UNION ALL SELECT 'unavailable', lang, NULL, true FROM a
+          UNION ALL SELECT 'address', lang, NOT refused AND {email('text')}, refused FROM a)
+        SELECT model_key, lang, count(*) AS "rows", count(*) FILTER (p) AS flagged, count(*) FILTER (e) AS errors,
+          CASE WHEN model_key = 'unavailable' THEN 'model_error: RuntimeError: no such model' END AS reason
+        FROM s GROUP BY model_key, lang""",
     "inferred_triggers": f"""WITH {STEPS} SELECT doc_id, lang = 'fr' AS early_stopped,
         lang <> 'fr' AND trigger_index IS NOT NULL AS inferred_pii,
         CASE WHEN lang <> 'fr' THEN trigger_index END AS inferred_trigger_index FROM stops""",

@@ -30,7 +30,7 @@ from sievemark.operators import (
 )
 from sievemark.plans import benchmark
 from sievemark.plans import derived as D
-from sievemark.session import materialize, new_scratch_path
+from sievemark.session import materialize, new_scratch_path, small_or_materialized
 from sievemark.sources import readers, writers
 from sievemark.streaming import moderation as stream
 
@@ -299,6 +299,34 @@ def score_python(spark, sf_dir):
     )
 
 
+@query
+def score_batches(spark, sf_dir):
+    """A scorer that takes batches; those with a refused text are split until it is alone."""
+    samples = D.documents(spark, sf_dir).select("doc_id", F.col("text").alias("content"))
+    rows = scoring.score(samples, D.AddressBatchScorer())
+    return rows.select(
+        "doc_id", "contains_pii", "prompt_tokens", "completion_tokens", "cost_usd", "error"
+    )
+
+
+@query
+def score_all_errors(spark, sf_dir):
+    """Scorers at the same time, one of which cannot be opened; never more than 8 calls of
+    a scorer under way."""
+    samples = D.documents(spark, sf_dir).select(
+        "doc_id", F.col("text").alias("content"), "lang"
+    )
+    scorers = [*D.SCORERS[:2], _Unavailable(), D.AddressScorer()]
+    rows = scoring.score_all(samples, scorers, on_error="row", max_calls=8)
+    reason = F.get_json_object("output_json", "$.reason")
+    return rows.groupBy("model_key", "lang").agg(
+        F.count(F.lit(1)).alias("rows"),
+        count_true("contains_pii", "flagged"),
+        F.count("error").alias("errors"),
+        F.max(F.when(F.col("model_key") == "unavailable", reason)).alias("reason"),
+    )
+
+
 @query
 def score_all_totals(spark, sf_dir):
     samples = D.documents(spark, sf_dir).select(
@@ -548,6 +576,22 @@ def moderate_texts(spark, sf_dir):
     )
 
 
+@query
+def moderate_empty(spark, sf_dir):
+    """Every third text is empty, every third one blank: neither reaches the model."""
+    third = F.col("doc_id") % 3
+    content = F.when(third == 0, "").when(third == 1, " \n\t ").otherwise(F.col("text"))
+    docs = D.documents(spark, sf_dir).select("doc_id", content.alias("content"))
+    rows = moderation.with_guard_output(moderation.moderate_texts(docs, D.AddressSteps()))
+    return rows.select(
+        "doc_id",
+        "contains_pii",
+        "total_tokens",
+        F.get_json_object("output_json", "$.reason").alias("reason"),
+        F.get_json_object("output_json", "$.label").alias("label"),
+    )
+
+
 @query
 def fallback_moderation(spark, sf_dir):
     """Step 0 of Spanish texts fails, the third step of short German ones does."""
@@ -634,6 +678,116 @@ def early_stop_sessions_closed(spark, sf_dir):
     )
 
 
+def _user_steps(spark, sf_dir):
+    """Events as steps, numbered from 0 for each user; one in a hundred fails, and the last
+    one of each user carries the end marker."""
+    events = D.table(spark, sf_dir, "events").withColumn("place", F.struct("user_id", "event_id"))
+    numbered = materialize(ranks.number_rows(events, "place", "row").drop("place"), "numbered")
+    users = numbered.groupBy("user_id").agg(F.min("row").alias("low"), F.max("row").alias("high"))
+    return numbered.join(small_or_materialized(users), "user_id").select(
+        F.col("user_id").alias("sample_id"),
+        (F.col("row") - F.col("low")).alias("token_index"),
+        F.when(F.col("event_type") == "error", "PII").otherwise("None").alias("category"),
+        F.when(F.col("event_id") % 101 == 5, "step broke").alias("error"),
+        (F.col("row") == F.col("high")).alias("is_end"),
+        (F.col("high") - F.col("low")).alias("last"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        "event_id",
+    )
+
+
+def _arriving(spark, steps, path=None, files=16):
+    """The steps as a stream in which they arrive in no order, some files at a time."""
+    path = path or new_scratch_path(spark, "steps")
+    steps.repartition(files, F.xxhash64("sample_id", "token_index")).write.mode("append").parquet(path)
+    return spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", 6).parquet(path)
+
+
+@query
+def early_stop_sessions_gaps(spark, sf_dir):
+    """Steps out of order, some of which never come: what follows is not processed."""
+    steps = _user_steps(spark, sf_dir).where(F.col("event_id") % 50 != 7)
+    live = _arriving(spark, steps.select("sample_id", "token_index", "category"))
+    return stream.drain(stream.early_stop_sessions(live, unbounded=True, contiguous=True))
+
+
+@query
+def early_stop_contiguous(spark, sf_dir):
+    """The same steps in batch."""
+    steps = _user_steps(spark, sf_dir).where(F.col("event_id") % 50 != 7)
+    stops = moderation.early_stop_contiguous(steps)
+    return stops.select(
+        "sample_id", "processed_tokens", "total_tokens", "trigger_index", "early_stopped"
+    )
+
+
+@query
+def early_stop_sessions_late(spark, sf_dir):
+    """Sessions closed after two thirds of their steps; the others come later."""
+    steps = _user_steps(spark, sf_dir).withColumn("is_end", F.col("token_index") == F.floor(F.col("last") * 2 / 3))
+    path = new_scratch_path(spark, "late-steps")
+    columns = ["sample_id", "token_index", "category", "is_end", "ts"]
+    early = F.col("token_index") <= F.floor(F.col("last") * 2 / 3)
+    steps.where(early).select(columns).coalesce(6).write.parquet(path)
+    live = _arriving(spark, steps.where(~early).select(columns), path)
+    # No step is too late for the watermark.
+    sessions = stream.early_stop_sessions(
+        live, end_col="is_end", ts_col="ts", watermark="36500 days"
+    )
+    return stream.drain(sessions)
+
+
+@query
+def moderation_event_stream(spark, sf_dir):
+    """Events of a stream that is stopped half-way and started again."""
+    steps = _user_steps(spark, sf_dir).select("sample_id", "token_index", "category", "error")
+    names = ("step-files", "events", "event-state")
+    path, out, state = (new_scratch_path(spark, name) for name in names)
+    half = F.pmod(F.xxhash64("token_index", "sample_id"), F.lit(2))
+    for part in (0, 1):
+        live = _arriving(spark, steps.where(half == part), path)
+        events = stream.event_stream(live, error_col="error", unbounded=True)
+        stream.write_event_stream(events, out, state, available_now=True).awaitTermination()
+    return spark.read.schema(stream.EVENT_TYPE).json(out)
+
+
+@query
+def step_events(spark, sf_dir):
+    """The same events from the stored steps."""
+    return moderation.step_events(_user_steps(spark, sf_dir), error_col="error")
+
+
+@query
+def fallback_stream(spark, sf_dir):
+    """``fallback_moderation`` over a stream of the tokens of all texts."""
+    docs = D.documents(spark, sf_dir)
+    tokens = docs.select("doc_id", "lang", words(F.col("text")).alias("w")).select(
+        "doc_id", "lang", F.size("w").alias("n"), F.posexplode("w").alias("i", "token")
+    )
+    short = (F.col("lang") == "de") & (F.col("n") >= 3) & (F.col("n") < 100)
+    error = F.when((F.col("lang") == "es") & (F.col("i") == 0), "no stream").when(
+        short & (F.col("i") == 2), "step broke"
+    )
+    steps = tokens.select(
+        F.col("doc_id").alias("sample_id"),
+        F.col("i").cast("bigint").alias("token_index"),
+        F.when(D.email_token(F.col("token")), "PII").otherwise("None").alias("category"),
+        error.alias("error"),
+        (F.col("i") == F.col("n") - 1).alias("is_end"),
+    )
+    full = materialize(
+        docs.select(
+            F.col("doc_id").alias("sample_id"),
+            F.array(F.when(D.email_token(F.col("text")), "PII").otherwise("None")).alias("category"),
+        ),
+        "full-texts",
+    )
+    rows = stream.drain_rows(stream.fallback_stream(_arriving(spark, steps), full))
+    return rows.select(
+        F.col("sample_id").alias("doc_id"), "stream_mode", "step_error", "steps", "first_pii"
+    )
+
+
 # --- metrics ------------------------------------------------------------------------------------
 
 
@@ -862,7 +1016,33 @@ def csv_texts(spark, sf_dir):
     return back.groupBy(md5(strip(F.col("text"))).alias("md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# A file with one JSON array is read by one task: about so many bytes go into each.
+def _ordered_csv(spark, sf_dir):
+    """All texts written as CSV in the order of language and id, and read back."""
+    path = new_scratch_path(spark, "ordered")
+    docs = D.documents(spark, sf_dir).select("doc_id", "lang", "text").orderBy("lang", "doc_id")
+    writers.write_generated(docs, path, "csv")
+    return readers.read_texts(spark, path, "text")
+
+
+@query
+def csv_row_positions(spark, sf_dir):
+    """Rows of CSV files without ids are numbered in file order."""
+    return _ordered_csv(spark, sf_dir).select(
+        F.col("sample_id").alias("position"),
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        md5(strip(F.col("text"))).alias("md5"),
+    )
+
+
+@query
+def first_rows_csv(spark, sf_dir):
+    """An evaluation set of the first texts of CSV files, in file order."""
+    texts = _ordered_csv(spark, sf_dir)
+    built = evalset.build_eval_set(texts, SAMPLES, include_negative=False, content_col="text")
+    return built.select("sample_id", md5(strip(F.col("content"))).alias("md5"), "ground_truth")
+
+
+# Person records are written as JSON arrays of about so many bytes, one by each task.
 ARRAY_BYTES = 32 << 20
 
 

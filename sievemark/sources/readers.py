@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.operators.generation import STATUS_OK
-from sievemark.session import materialize, require_columns
+from sievemark.session import materialize, with_computed
+from sievemark.sources.split_records import ArrayObjects, CsvLines, PlainLines, split_records
 
 CONTENT = "naturalParagraph"
 
@@ -33,34 +34,32 @@ METRICS_SCHEMA = (
 
 
 def read_people(spark: SparkSession, path: str) -> DataFrame:
-    """Person records from files that each hold a JSON array."""
-    return spark.read.schema(PEOPLE_SCHEMA).option("multiLine", True).json(path)
+    """Person records from files that each hold a JSON array of objects. One file is read
+    by many tasks, however its array is laid out. What is nested becomes compact JSON."""
+    records = split_records(spark, path, ArrayObjects())
+    person = F.from_json(F.regexp_replace("text", r"^[\s,\[\x{FEFF}]+", ""), PEOPLE_SCHEMA)
+    return records.select(person.alias("p")).select("p.*")
 
 
-def _read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    # Quotes are doubled inside cells, and cells may hold line breaks.
+def _header(spark: SparkSession, path: str, multi_line: bool) -> list[str]:
+    """Column names: the first record of the first file."""
     reader = spark.read.option("header", True).option("escape", '"')
-    return reader.option("multiLine", multi_line).csv(path)
-
+    return reader.option("multiLine", multi_line).csv(path).columns
 
-def with_row_ids(df: DataFrame, id_col: str) -> DataFrame:
-    """Add an id to rows read from files, unless they have one.
 
-    It is a hash of the file name, the place of the split and the row's cells, plus a
-    count among equal rows of that split. It depends on the files alone, and no group
-    is larger than a split.
-    """
-    if id_col in df.columns:
-        return df
-    cells = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
-    place = [F.col("_metadata.file_name"), F.col("_metadata.file_block_start").cast("string")]
-    digest = F.substring(F.sha2(F.concat_ws("|", *place, cells), 256), 1, 24)
-    equal = Window.partitionBy("__digest").orderBy("__digest")
-    return (
-        df.withColumn("__digest", digest)
-        .withColumn(id_col, F.concat_ws("-", "__digest", F.row_number().over(equal)))
-        .select(id_col, *df.columns)
-    )
+def _read_csv(
+    spark: SparkSession, path: str, names: list[str], id_col: str, multi_line: bool
+) -> DataFrame:
+    """The columns as text, and an id where the files have none: the row's number in file
+    order, from 1, which depends on nothing but the files."""
+    # Quotes are doubled inside cells, and cells may hold line breaks.
+    records = split_records(spark, path, CsvLines() if multi_line else PlainLines(), header=True)
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    options = {"escape": '"', "multiLine": "true"}
+    line = F.regexp_replace("text", "\r$", "")
+    cells = with_computed(records, "cells", F.from_csv(line, schema, options))
+    own = [] if id_col in names else [(F.col("place") + 1).alias(id_col)]
+    return cells.select(*own, "cells.*")
 
 
 def read_texts(
@@ -71,14 +70,16 @@ def read_texts(
     id_col: str = "sample_id",
 ) -> DataFrame:
     """CSV with a header, all columns as text; the content column must exist. A file
-    without ids gets some.
+    without ids gets its row numbers as such, so the smallest ids are the first rows.
 
-    Cells with line breaks keep a file from being split, so one file is one task.
-    Turn ``multi_line`` off for large files known to have none.
+    Cells may hold line breaks, and still one file is read by many tasks. A quote belongs
+    around a whole cell, doubled inside; turn ``multi_line`` off for files whose cells
+    have no line breaks and may have stray quotes.
     """
-    df = _read_csv(spark, path, multi_line)
-    require_columns(df, content_col)
-    return with_row_ids(df, id_col)
+    names = _header(spark, path, multi_line)
+    if content_col not in names:
+        raise ValueError(f"missing columns {[content_col]}; available: {names}")
+    return _read_csv(spark, path, names, id_col, multi_line)
 
 
 def read_non_pii(
@@ -93,15 +94,15 @@ def read_non_pii(
     With a ``generation_status`` column only successful rows are kept.
     """
     try:
-        df = _read_csv(spark, path, multi_line)
+        names = _header(spark, path, multi_line)
     except AnalysisException as problem:
         if problem.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    if content_col not in df.columns:
+    if content_col not in names:
         return None
-    df = with_row_ids(df, id_col)
-    if "generation_status" in df.columns:
+    df = _read_csv(spark, path, names, id_col, multi_line)
+    if "generation_status" in names:
         df = df.where(F.col("generation_status") == STATUS_OK)
     return df.na.drop(subset=[content_col]).select(id_col, content_col)
 

@@ -1,14 +1,14 @@
-"""Early stop over a stream of steps (sample_id, token_index, category).
+"""Early stop, events and fallback over a stream of steps (sample_id, token_index, category).
 
 ``early_stop_stream`` is a built-in streaming aggregation: it combines inside each
 micro-batch before the shuffle, so one very long text is no hot spot, and arrival
-order does not matter. ``early_stop_sessions`` keeps custom state per text and lets
-it go at an end marker or after a quiet period.
+order does not matter. The other operators keep custom state per text: which steps are
+there, where it stops, what has been said of it. They let it go after a quiet period.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +16,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sievemark.functions.guard import is_pii_category
-from sievemark.operators.moderation import early_stop
+from sievemark.functions.guard import first_pii_index, is_pii_category, last_item
+from sievemark.operators.moderation import (
+    EARLY_STOP,
+    FALLBACK,
+    MODE_FULL,
+    MODE_TOKENS,
+    START,
+    STEP_FAILED,
+    early_stop,
+)
 from sievemark.session import new_scratch_path, require_columns
+from sievemark.streaming.steps import NONE, STATE_TYPE, Progress
 
 
 def early_stop_stream(
@@ -26,10 +35,11 @@ def early_stop_stream(
 ) -> DataFrame:
     """Running result per text; write it in update mode.
 
-    Same plan as the batch operator: smallest PII index, largest index. A trigger
-    that arrives late corrects the row of its text. The state of a text is two numbers,
-    but it is never released, so a stream that goes on for ever needs
-    ``early_stop_sessions``; ``unbounded`` states that this one ends or may grow.
+    Same plan as the batch operator: smallest PII index, largest index; a step that is
+    missing counts as processed. A trigger that arrives late corrects the row of its text.
+    The state of a text is two numbers, but it is never released, so a stream that goes
+    on for ever needs ``early_stop_sessions``; ``unbounded`` states that this one ends or
+    may grow.
     """
     if not steps.isStreaming:
         raise ValueError("early_stop_stream needs a streaming DataFrame")
@@ -38,98 +48,256 @@ def early_stop_stream(
     return early_stop(steps, id_col)
 
 
+# --- state per text ----------------------------------------------------------------
+
 SESSION_TYPE = (
     "sample_id bigint, processed_tokens bigint, total_tokens bigint, "
     "trigger_index bigint, early_stopped boolean, closed boolean"
 )
-STATE_TYPE = "trigger bigint, top bigint"
-
+GAP_TYPE = f"{SESSION_TYPE}, missing_tokens bigint"
+EVENT_TYPE = "sample_id bigint, event string, token_index bigint, detail string"
+OUTCOME_TYPE = (
+    "sample_id bigint, stream_mode string, step_error string, steps bigint, "
+    "first_pii bigint, last_category string"
+)
 
-def _result(sample_id: int, trigger: int, top: int, closed: bool) -> pd.DataFrame:
-    hit = trigger >= 0
-    return pd.DataFrame(
-        {
-            "sample_id": [sample_id],
-            "processed_tokens": [trigger + 1 if hit else top + 1],
-            "total_tokens": [top + 1],
-            "trigger_index": pd.array([trigger if hit else pd.NA], dtype="Int64"),
-            "early_stopped": [hit],
-            "closed": [closed],
-        }
-    )
+# (id, progress, whether it was closed for being quiet) -> rows to put out.
+Report = Callable[[int, Progress, bool], pd.DataFrame | None]
 
 
-def _advance(
-    key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    trigger, top = state.get if state.exists else (-1, -1)
-    if state.hasTimedOut:
-        state.remove()
-        yield _result(key[0], trigger, top, closed=True)
-        return
-    ended, latest = False, 0
-    for chunk in chunks:  # constant memory however many steps a text sends
-        top = max(top, int(chunk["token_index"].max()))
-        hits = chunk.loc[chunk["is_pii"], "token_index"]
-        if len(hits):
-            first = int(hits.min())
-            trigger = first if trigger < 0 else min(trigger, first)
-        ended = ended or bool(chunk["is_end"].any())
-        latest = max(latest, int(chunk["ts_ms"].max()))
-    if ended:
-        if state.exists:
-            state.remove()
-    else:
-        state.update((trigger, top))
-        quiet_ms = int(chunk["quiet_ms"].iloc[0])
-        if quiet_ms > 0:
-            watermark = state.getCurrentWatermarkMs()
-            state.setTimeoutTimestamp(max(latest + quiet_ms, watermark + 1))
-    yield _result(key[0], trigger, top, closed=ended)
+def known(index: int) -> pd.api.extensions.ExtensionArray:
+    """One index as a nullable column."""
+    return pd.array([pd.NA if index == NONE else index], dtype="Int64")
 
 
-def early_stop_sessions(
+def by_text(
     steps: DataFrame,
-    id_col: str = "sample_id",
-    end_col: str | None = None,
-    ts_col: str | None = None,
-    quiet_seconds: int = 600,
-    watermark: str = "10 minutes",
-    unbounded: bool = False,
+    report: Report,
+    out_type: str,
+    mode: str,
+    id_col: str,
+    error_col: str | None,
+    end_col: str | None,
+    ts_col: str | None,
+    quiet_seconds: int,
+    keep_closed_seconds: int,
+    watermark: str,
+    unbounded: bool,
+    intervals: bool = True,
 ) -> DataFrame:
-    """Early stop with session close; write it in update mode.
+    """Run ``report`` on the progress of every text that has new steps.
 
-    State per text is its smallest PII index and its largest index. It is released
-    at a step whose ``end_col`` is true, or, with ``ts_col``, once the watermark
-    passes ``quiet_seconds`` after the last step. One of the two must be given, unless
-    ``unbounded`` states that the stream ends or its state may grow.
+    A text is closed by a step whose ``end_col`` is true or, with ``ts_col``, once the
+    watermark passes ``quiet_seconds`` after its last step. With ``ts_col`` its state stays
+    for ``keep_closed_seconds`` of event time as a marker, so that late steps are merged
+    into it and do not start it anew. Without ``ts_col`` a text is let go when it is closed
+    and, with ``intervals``, no step before the end marker is missing. Steps without an
+    index are left out.
     """
     if end_col is None and ts_col is None and not unbounded:
         raise ValueError("state is never released: give end_col or ts_col, or set unbounded")
     require_columns(steps, id_col, "token_index", "category")
     timed = steps.withWatermark(ts_col, watermark) if ts_col else steps
     ts = F.unix_millis(F.col(ts_col).cast("timestamp")) if ts_col else F.lit(0).cast("bigint")
-    end = F.coalesce(F.col(end_col), F.lit(False)) if end_col else F.lit(False)
     columns = [
         F.col(id_col).cast("bigint").alias("sample_id"),
         F.col("token_index").cast("bigint").alias("token_index"),
-        is_pii_category(F.col("category")).alias("is_pii"),
-        end.alias("is_end"),
+        F.coalesce(is_pii_category(F.col("category")), F.lit(False)).alias("is_pii"),
+        F.col("category").cast("string").alias("category"),
+        (F.col(error_col) if error_col else F.lit(None)).cast("string").alias("error"),
+        (F.coalesce(F.col(end_col), F.lit(False)) if end_col else F.lit(False)).alias("is_end"),
         ts.alias("ts_ms"),
-        F.lit(quiet_seconds * 1000 if ts_col else 0).cast("bigint").alias("quiet_ms"),
     ]
     if ts_col:
         columns.append(F.col(ts_col))  # carries the watermark
+    quiet_ms, keep_ms = quiet_seconds * 1000, keep_closed_seconds * 1000
+
+    def advance(
+        key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        progress = Progress.of(state)
+        expired, latest = state.hasTimedOut, 0
+        if expired:
+            if progress.closed:
+                state.remove()  # the marker has been kept long enough
+                return
+            progress.closed = True
+        for chunk in chunks:  # constant memory however many steps a text sends
+            if len(chunk):
+                progress.add(chunk, intervals)
+                latest = max(latest, int(chunk["ts_ms"].max()))
+        progress.closed = progress.closed or progress.last != NONE
+        found = report(key[0], progress, expired)
+        if found is not None and len(found):
+            yield found
+        if ts_col:
+            state.update(progress.as_state())
+            now = state.getCurrentWatermarkMs()
+            wait = keep_ms if progress.closed else quiet_ms
+            state.setTimeoutTimestamp(max(max(latest, now) + wait, now + 1))
+        elif progress.complete if intervals else progress.closed:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(progress.as_state())
+
     timeout = GroupStateTimeout.EventTimeTimeout if ts_col else GroupStateTimeout.NoTimeout
     return (
-        timed.select(*columns)
+        timed.where(F.col("token_index").isNotNull())
+        .select(*columns)
         .groupBy("sample_id")
-        .applyInPandasWithState(_advance, SESSION_TYPE, STATE_TYPE, "update", timeout)
+        .applyInPandasWithState(advance, out_type, STATE_TYPE, mode, timeout)
     )
 
 
-def write_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Drain an update-mode stream into Parquet, one folder per micro-batch.
+def early_stop_sessions(
+    steps: DataFrame,
+    id_col: str = "sample_id",
+    end_col: str | None = None,
+    ts_col: str | None = None,
+    quiet_seconds: int = 600,
+    watermark: str = "10 minutes",
+    unbounded: bool = False,
+    contiguous: bool = False,
+    keep_closed_seconds: int = 86_400,
+) -> DataFrame:
+    """Early stop with session close; write it in update mode.
+
+    A text's result is its smallest PII index and its largest index. With ``contiguous``
+    a step counts only once all steps before it are there: a gap shows as not processed,
+    a trigger behind it as not reached, and ``missing_tokens`` says how many steps are
+    awaited. One of ``end_col`` and ``ts_col`` must be given, unless ``unbounded`` states
+    that the stream ends or its state may grow.
+
+    A late step of a closed text is merged: it may lower the trigger, raise the largest
+    index or fill a gap, and the text stays closed. ``latest`` merges in the same way
+    what a text without marker (no ``ts_col``, or older than ``keep_closed_seconds``)
+    has said before and after.
+    """
+
+    def report(sample_id: int, progress: Progress, expired: bool) -> pd.DataFrame:
+        reached = progress.reached if contiguous else progress.top + 1
+        hit = NONE < progress.trigger < reached
+        row = {
+            "sample_id": [sample_id],
+            "processed_tokens": [progress.trigger + 1 if hit else reached],
+            "total_tokens": [progress.top + 1],
+            "trigger_index": known(progress.trigger if hit else NONE),
+            "early_stopped": [hit],
+            "closed": [progress.closed],
+        }
+        return pd.DataFrame(row | ({"missing_tokens": [progress.missing]} if contiguous else {}))
+
+    return by_text(
+        steps, report, GAP_TYPE if contiguous else SESSION_TYPE, "update", id_col, None, end_col,
+        ts_col, quiet_seconds, keep_closed_seconds, watermark, unbounded, intervals=contiguous,
+    )
+
+
+def event_stream(
+    steps: DataFrame,
+    id_col: str = "sample_id",
+    error_col: str | None = None,
+    end_col: str | None = None,
+    ts_col: str | None = None,
+    quiet_seconds: int = 600,
+    keep_closed_seconds: int = 86_400,
+    watermark: str = "10 minutes",
+    unbounded: bool = False,
+) -> DataFrame:
+    """(sample_id, event, token_index, detail) in append mode, each event once per text;
+    write it with ``write_event_stream``.
+
+    A text starts with its first step to arrive. It stops early, falls back to the whole
+    sequence (step 0 failed) or fails (a later step did) as soon as that step and all
+    before it are there, which no later step can undo. What was said is part of the state,
+    so a restart and a step that comes twice repeat nothing, as long as the text is known:
+    with ``ts_col`` that is ``keep_closed_seconds`` after it was closed, otherwise until all
+    its steps have come. ``step_events`` in the batch operators gives the same rows.
+    """
+
+    def report(sample_id: int, progress: Progress, expired: bool) -> pd.DataFrame:
+        rows = []
+        if not progress.said & 1:
+            rows.append((sample_id, START, None, None))
+        if not progress.said & 2 and progress.stopped:
+            at, failed = progress.first, progress.fault == progress.first
+            kind = EARLY_STOP if not failed else FALLBACK if at == 0 else STEP_FAILED
+            rows.append((sample_id, kind, at, progress.fault_text if failed else None))
+            progress.said |= 2
+        progress.said |= 1
+        found = pd.DataFrame(rows, columns=["sample_id", "event", "token_index", "detail"])
+        return found.astype({"token_index": "Int64", "detail": object})
+
+    return by_text(
+        steps, report, EVENT_TYPE, "append", id_col, error_col, end_col, ts_col, quiet_seconds,
+        keep_closed_seconds, watermark, unbounded,
+    )
+
+
+def fallback_stream(
+    steps: DataFrame,
+    full: DataFrame,
+    id_col: str = "sample_id",
+    error_col: str = "error",
+    end_col: str = "is_end",
+    ts_col: str | None = None,
+    quiet_seconds: int = 600,
+    keep_closed_seconds: int = 86_400,
+    watermark: str = "10 minutes",
+    unbounded: bool = False,
+) -> DataFrame:
+    """One row per text, in append mode: (sample_id, stream_mode, step_error, steps,
+    first_pii, last_category). ``full`` is a stored table (id, ``category`` array).
+
+    A text whose step 0 failed takes its result from ``full`` as soon as that is known;
+    every other one is held until all steps up to its end marker are there. If a later
+    step failed, ``step_error`` is the error of the first that did; a text that went
+    quiet before all steps had come says how many are missing.
+    """
+
+    def report(sample_id: int, progress: Progress, expired: bool) -> pd.DataFrame | None:
+        falls_back = progress.fault == 0
+        if progress.said or not (falls_back or progress.complete or expired):
+            return None
+        progress.said = 1
+        error = None if progress.fault == NONE else progress.fault_text
+        if expired and error is None:
+            error = f"{progress.missing} steps missing"
+        row = {
+            "sample_id": [sample_id],
+            "stream_mode": [MODE_FULL if falls_back else MODE_TOKENS],
+            "step_error": [None if falls_back else error],
+            "steps": known(NONE if falls_back else progress.top + 1),
+            "first_pii": known(NONE if falls_back else progress.trigger),
+            "last_category": [None if falls_back else progress.top_category],
+        }
+        return pd.DataFrame(row).astype({"step_error": object, "last_category": object})
+
+    held = by_text(
+        steps, report, OUTCOME_TYPE, "append", id_col, error_col, end_col, ts_col, quiet_seconds,
+        keep_closed_seconds, watermark, unbounded,
+    )
+    whole = full.select(F.col(id_col).alias("__id"), F.col("category").alias("__full"))
+    falls_back, listed = F.col("__fallback"), F.col("__full")
+    marked = held.withColumn("__fallback", F.col("stream_mode") == MODE_FULL)
+    # Only rows that fall back look for a partner.
+    joined = marked.join(whole, falls_back & (F.col("sample_id") == F.col("__id")), "left")
+    return joined.select(
+        "sample_id",
+        "stream_mode",
+        "step_error",
+        F.when(falls_back, F.size(listed).cast("bigint")).otherwise(F.col("steps")).alias("steps"),
+        F.when(falls_back, first_pii_index(listed)).otherwise(F.col("first_pii")).alias("first_pii"),
+        F.when(falls_back, last_item(listed)).otherwise(F.col("last_category")).alias("last_category"),
+    )
+
+
+# --- sinks ---------------------------------------------------------------------------
+
+
+def write_updates(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
+    """Drain a stream into Parquet, one folder per micro-batch.
 
     A replayed micro-batch overwrites its own folder, so a restart adds nothing twice.
     """
@@ -138,7 +306,7 @@ def write_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     query = (
-        stream.writeStream.outputMode("update")
+        stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(sink)
@@ -161,11 +329,27 @@ def write_event_stream(
 
 
 def latest(spark: SparkSession, path: str, id_col: str = "sample_id") -> DataFrame:
-    """Last written row of every text."""
+    """The state of every text from its written rows: the last one, except for what only
+    grows. The trigger is the smallest one said, the total the largest, and a text once
+    closed stays so, even if a late step started it anew after its state was let go."""
     updates = spark.read.parquet(path)
-    fields = [c for c in updates.columns if c not in (id_col, "batch_id")]
-    newest = F.max_by(F.struct(*fields), F.col("batch_id")).alias("row")
-    return updates.groupBy(id_col).agg(newest).select(id_col, "row.*")
+    names = [c for c in updates.columns if c not in (id_col, "batch_id")]
+    newest = F.max_by(F.struct(*names), F.col("batch_id")).alias("row")
+    grown = {}
+    if {"trigger_index", "total_tokens", "processed_tokens"} <= set(names):
+        trigger = F.min("trigger_index")
+        grown = {
+            "trigger_index": trigger,
+            "total_tokens": F.max("total_tokens"),
+            "processed_tokens": F.coalesce(trigger + 1, F.max("processed_tokens")),
+            "early_stopped": trigger.isNotNull(),
+            "closed": F.bool_or("closed") if "closed" in names else F.lit(None),
+        }
+    aggregates = [newest, *[c.alias(f"__{n}") for n, c in grown.items() if n in names]]
+    merged = [
+        F.col(f"__{n}").alias(n) if n in grown else F.col(f"row.{n}") for n in names
+    ]
+    return updates.groupBy(id_col).agg(*aggregates).select(id_col, *merged)
 
 
 def drain(stream: DataFrame, id_col: str = "sample_id") -> DataFrame:
@@ -174,3 +358,11 @@ def drain(stream: DataFrame, id_col: str = "sample_id") -> DataFrame:
     path = new_scratch_path(spark, "stream-out")
     write_updates(stream, path, new_scratch_path(spark, "stream-state"))
     return latest(spark, path, id_col)
+
+
+def drain_rows(stream: DataFrame) -> DataFrame:
+    """Run an append-mode stream over all available input and return all its rows."""
+    spark = stream.sparkSession
+    path = new_scratch_path(spark, "stream-rows")
+    write_updates(stream, path, new_scratch_path(spark, "stream-state"), "append")
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch_id=*")
