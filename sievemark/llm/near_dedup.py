@@ -8,15 +8,20 @@
 3. Classes that share a band form a bucket. A bucket contributes a star, not all pairs:
    one member, its hub, is compared with every other one, on the full sets. The hub is
    the member that shares most bands with others, so it lies amid its copies.
-4. Links make components. Where a bucket still holds two components, further members
-   become hubs and are compared with the members of other components, until no bucket
-   has an untested pair across components that may be linked. Jaccard distance obeys the
-   triangle inequality: members whose distances to the first hub differ by more than
-   the threshold cannot be linked and are no pair. So links between spokes are not
-   lost, and pairs that cannot change the result are never listed.
+4. Links make components. Where the spokes of a bucket are still in several, they are
+   dealt into blocks of bounded size and blocks are compared with each other, so a large
+   bucket is spread over tasks. A block holds members of one large component or of many
+   small ones; two blocks of the same component are not compared. A pair is tested in
+   the first band it shares, and not if its members have met in one component by then.
+   So no link between spokes is lost, no pair is listed, and a bucket gives no more rows
+   than it has components.
+5. These links join the components of step 4. The number of steps does not depend on the
+   data, except for the logarithm of the longest chain of links.
 
 Full sets are compared exactly; the candidate search misses a pair at the threshold with
-a probability of (1 - 0.85^6)^40, about 6e-9.
+a probability of (1 - 0.85^6)^40, about 6e-9, if bins were independent. Texts of fewer
+shingles than bins have densified bins, which are not; their pairs are missed more often.
+Any length of text is taken whole.
 
 Cases: null and wordless texts have the empty set and are linked with nothing; a text of
 fewer words than a shingle has its whole word sequence as its only shingle; rows that
@@ -42,6 +47,10 @@ from sievemark.llm.components import connected_components
 FOLD = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 CACHE_WORDS = 300_000
 PAIRS_AT_ONCE = 256
+# A block holds so many shingles; a member counts for some even if it is short.
+BLOCK_SHINGLES = 1_500_000
+MEMBER_SHINGLES = 500
+ROWS_AT_ONCE = 256
 
 
 @dataclass(frozen=True)
@@ -52,7 +61,6 @@ class MinHash:
     percent: int = 85
     bands: int = 40
     rows: int = 6
-    hubs: int = 8
 
     @property
     def bins(self) -> int:
@@ -231,8 +239,9 @@ def ordered(one: str, n_one: str, other: str, n_other: str, spec: MinHash):
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")], near
 
 
-def links_between_classes(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, spec: MinHash) -> DataFrame:
-    """(a, b): links that connect exactly the classes that all links connect."""
+def star_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, spec: MinHash) -> tuple[DataFrame, ...]:
+    """(members, texts, links): the buckets with their hubs, the words of their members,
+    and the links between hubs and members."""
     banded = classes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = materialize(banded.join(sizes, "bucket"), "near-shared")
@@ -252,60 +261,148 @@ def links_between_classes(classes: DataFrame, docs: DataFrame, id_col: str, text
         needed_texts(docs, id_col, text_col, classes.join(needed, "node", "left_semi"), spec), "near-texts"
     )
     stars = materialize(measured(pairs, texts, spec), "near-stars")
-    links = stars.where("linked").select("a", "b")
+    return members, texts, stars.where("linked").select("a", "b")
 
-    tested, turn = pairs, 0
-    to_hub = members.where("node <> hub").select(
-        "bucket", "node", "n_shingles", F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")
+
+def open_blocks(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, xo, xp, yo, yp, side, node, root): the spokes of buckets that hold several
+    components, once for every pair of blocks (owner and part of each) they belong to."""
+    placed = (
+        members.where("node <> hub")
+        .select("bucket", "node", "n_shingles")
+        .join(roots, "node", "left")
+        .withColumn("root", F.coalesce("root", "node"))
+    )
+    weight = F.sum(F.col("n_shingles") + MEMBER_SHINGLES).alias("weight")
+    groups = placed.groupBy("bucket", "root").agg(weight)
+    several = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("bucket")
+    # Large components have blocks of their own, owned by their root; the others share.
+    owner = F.when(F.col("weight") * 2 > BLOCK_SHINGLES, F.col("root")).otherwise(F.lit(-1))
+    owned = materialize(groups.join(several, "bucket").withColumn("owner", owner), "near-groups")
+    parts = F.ceil(F.sum("weight") / BLOCK_SHINGLES)
+    sizes = materialize(owned.groupBy("bucket", "owner").agg(parts.alias("parts")), "near-blocks")
+    blocks = sizes.select("bucket", "owner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    x = blocks.select("bucket", F.col("owner").alias("xo"), F.col("part").alias("xp"))
+    y = blocks.select("bucket", F.col("owner").alias("yo"), F.col("part").alias("yp"))
+    one, other = F.struct("xo", "xp"), F.struct("yo", "yp")
+    same_root = (F.col("xo") == F.col("yo")) & (F.col("xo") >= 0)
+    pairs = x.join(y, "bucket").where((one <= other) & ~same_root)
+    sides = pairs.select("*", F.col("xo").alias("owner"), F.col("xp").alias("part"), F.lit(1).alias("side")).union(
+        pairs.where(one != other).select("*", F.col("yo").alias("owner"), F.col("yp").alias("part"), F.lit(2).alias("side"))
     )
-    rest = to_hub.join(stars.select("a", "b", "distance"), ["a", "b"], "left").drop("a", "b")
-    reach = 1 - spec.percent / 100 + 1e-9
-    may_link = F.coalesce(F.abs(F.col("distance") - F.col("hub_distance")) <= reach, F.lit(True))
-    while True:
-        roots = connected_components(links)
-        placed = rest.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        sizes = (
-            placed.groupBy("bucket")
-            .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
-            .where("low <> high")
-            .select("bucket", "size")
-        )
-        rest = materialize(placed.join(sizes, "bucket"), "near-rest")
-        if rest.isEmpty():
-            return links
-        # The next hubs are members of the bucket's largest component, one for certain and
-        # others drawn by hash: whoever links to one of them needs no further hub.
-        parts = rest.groupBy("bucket", "root").agg(
-            F.count(F.lit(1)).alias("size"), F.min("node").alias("node")
-        )
-        widest = parts.groupBy("bucket").agg(F.max(F.struct("size", "node", "root")).alias("most"))
-        every = F.greatest(F.lit(1), F.floor(F.col("size") / (spec.hubs * 4**turn)))
-        drawn = F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), every) == 0
-        marked = rest.join(widest, "bucket").withColumn(
-            "is_hub",
-            (F.col("node") == F.col("most.node")) | (drawn & (F.col("root") == F.col("most.root"))),
-        )
-        marked = materialize(marked.drop("most", "size"), "near-marked")
-        chosen = marked.where("is_hub").select(
-            "bucket",
-            F.col("node").alias("hub"),
-            F.col("n_shingles").alias("n_hub"),
-            F.col("root").alias("hub_root"),
-            F.col("distance").alias("hub_distance"),
-        )
-        fresh = (
-            marked.join(chosen, "bucket")
-            .where(near & may_link & (F.col("root") != F.col("hub_root")))
-            .select(*pair)
-            .distinct()
-            .join(tested, ["a", "b"], "left_anti")
-        )
-        fresh = materialize(fresh, "near-pairs")
-        found = measured(fresh, texts, spec).where("linked").select("a", "b")
-        links = materialize(links.union(found), "near-links")
-        tested = tested.union(fresh)
-        rest = marked.where("NOT is_hub").drop("is_hub")
-        turn += 1
+    dealt = (
+        placed.join(owned.select("bucket", "root", "owner"), ["bucket", "root"])
+        .join(sizes, ["bucket", "owner"])
+        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    )
+    return dealt.join(sides, ["bucket", "owner", "part"]).select(*BLOCK_KEY, "side", "node", "root")
+
+
+BLOCK_KEY = ("bucket", "xo", "xp", "yo", "yp")
+
+
+class BlockPair:
+    """Members of two blocks of a bucket, or of one, compared on their full sets."""
+
+    def __init__(self, spec: MinHash) -> None:
+        self.spec = spec
+        self.shingles, self.plain = Shingles(spec.shingle), zstandard.ZstdDecompressor()
+
+    def candidates(self, bucket: int, rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """(x, y): whether a pair may be linked and is to be tested in this bucket."""
+        size, root, bands = rows["n_shingles"], rows["root"], rows["bands"]
+        band = int(np.flatnonzero(bands[x[0]] == bucket)[0])
+        mask = np.empty((len(x), len(y)), bool)
+        for first in range(0, len(x), ROWS_AT_ONCE):
+            some = x[first : first + ROWS_AT_ONCE, None]
+            small, large = np.minimum(size[some], size[y]), np.maximum(size[some], size[y])
+            open_ = (root[some] != root[y]) & (100 * small >= self.spec.percent * large)
+            for earlier in range(band):
+                open_ &= bands[some, earlier] != bands[y, earlier]
+            mask[first : first + ROWS_AT_ONCE] = open_
+        return np.triu(mask, 1) if x is y else mask
+
+    def links(self, bucket: int, rows: dict[str, np.ndarray], packed: list[bytes]) -> list[tuple[int, int]]:
+        """Links between roots that connect all roots that pairs of these members connect."""
+        x = np.flatnonzero(rows["side"] == 1)
+        y = np.flatnonzero(rows["side"] == 2) if (rows["side"] == 2).any() else x
+        if not len(x):
+            return []
+        mask = self.candidates(bucket, rows, x, y)
+        used = np.unique(np.concatenate([x[mask.any(axis=1)], y[mask.any(axis=0)]]))
+        if not len(used):
+            return []
+        sets = {int(i): self.shingles.of(self.plain.decompress(packed[i])) for i in used}
+        _, column = np.unique(np.concatenate(list(sets.values())), return_inverse=True)
+        ends = np.cumsum([len(s) for s in sets.values()])
+        columns = dict(zip(sets, np.split(column, ends[:-1]), strict=True))
+        marked = np.zeros(int(column.max()) + 1, np.int32)
+        size, label, found = rows["n_shingles"], rows["root"].copy(), []
+        for at in np.flatnonzero(mask.any(axis=1)):
+            one = int(x[at])
+            others = y[mask[at]]
+            others = others[label[others] != label[one]]
+            if not len(others):
+                continue
+            marked[columns[one]] = 1
+            entries = [columns[int(o)] for o in others]
+            starts = np.cumsum([0, *map(len, entries[:-1])])
+            common = np.add.reduceat(marked[np.concatenate(entries)], starts).astype(np.int64)
+            marked[columns[one]] = 0
+            either = size[one] + size[others] - common
+            for other in others[100 * common >= self.spec.percent * either]:
+                if label[other] != label[one]:
+                    found.append((int(label[one]), int(label[other])))
+                    label[label == label[other]] = label[one]
+        return found
+
+
+def block_links(blocks: DataFrame, classes: DataFrame, texts: DataFrame, spec: MinHash) -> DataFrame:
+    """(a, b): the links between roots that the pairs of blocks show."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, key, held = BlockPair(spec), None, []
+
+        def found() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held)
+            rows = {c: whole.column(c).to_numpy() for c in ("side", "root", "n_shingles")}
+            flat = pa.concat_arrays([b.column("bands").flatten() for b in held])
+            rows["bands"] = flat.to_numpy().reshape(whole.num_rows, spec.bands)
+            links = pair.links(key[0], rows, whole.column("packed").to_pylist())
+            ends = [pa.array([link[i] for link in links], pa.int64()) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+        for batch in source:
+            keys = np.stack([batch.column(c).to_numpy() for c in BLOCK_KEY], axis=1)
+            edges = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
+            for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
+                if high > low:
+                    if held and key != tuple(keys[low].tolist()):
+                        yield found()
+                        held = []
+                    key = tuple(keys[low].tolist())
+                    held.append(batch.slice(low, high - low))
+        if held:
+            yield found()
+
+    payload = texts.join(classes.select("node", "n_shingles", "bands"), "node")
+    rows = blocks.join(payload, "node").select(*BLOCK_KEY, "side", "root", "n_shingles", "bands", "packed")
+    # Groups are bounded by two blocks, so a task holds no more than that.
+    dealt = rows.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
+    return dealt.mapInArrow(batches, "a bigint, b bigint")
+
+
+def linked_roots(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, spec: MinHash) -> DataFrame:
+    """(node, root) of the classes that are linked with another one."""
+    members, texts, links = star_links(classes, docs, id_col, text_col, spec)
+    roots = connected_components(links)
+    blocks = materialize(open_blocks(members, roots), "near-open")
+    more = connected_components(block_links(blocks, classes, texts, spec))
+    upper = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    below = roots.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    # Roots of a component of one class have not been nodes of a star link.
+    single = more.join(roots.select("node"), "node", "left_anti").select("node", "root")
+    return below.unionByName(single)
 
 
 def judged_rows(docs: DataFrame, id_col: str, text_col: str, spec: MinHash) -> DataFrame:
@@ -322,7 +419,7 @@ def judged_rows(docs: DataFrame, id_col: str, text_col: str, spec: MinHash) -> D
         ),
         "near-classes",
     )
-    roots = connected_components(links_between_classes(classes, docs, id_col, text_col, spec))
+    roots = linked_roots(classes, docs, id_col, text_col, spec)
     placed = (
         classes.select("set_key", "node", "label")
         .join(roots, "node", "left")

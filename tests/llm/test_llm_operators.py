@@ -434,3 +434,45 @@ def test_rows_of_one_id_are_removed_by_their_own_text(spark):
         clean = decontamination.remove_documents(repeated, items, broadcast_windows=bound)
         assert clean.columns == repeated.columns
         assert ordered(pairs(clean)) == ordered(r for r in listed if PASSAGE not in r[1])
+
+
+def template_rows(n, common, own, groups=1):
+    """Texts of a site: a common part and some words of their own; no two are linked,
+    but for those of one group that share half of their own words."""
+    page = [f"page{i}" for i in range(common)]
+    made = []
+    for i in range(n):
+        mine = [f"own{i}x{k}" for k in range(own)]
+        if i % groups:
+            mine[: own // 2] = [f"group{i % groups}x{k}" for k in range(own // 2)]
+        made.append((i, " ".join([*page, *mine])))
+    return made
+
+
+@pytest.mark.parametrize(("n", "groups", "block"), [(60, 1, 1 << 30), (150, 6, 1 << 30), (150, 6, 9_000), (90, 1, 5_000)])
+def test_texts_of_one_template(spark, monkeypatch, n, groups, block):
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", block)
+    listed = template_rows(n, 300, 36, groups)
+    df = spark.createDataFrame(listed, "doc_id bigint, text string").repartition(3)
+    roots = brute.components(listed, 3, 85)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {d: root for (d, _), root in zip(listed, roots, strict=True)}
+    assert len(set(roots)) > 1
+
+
+def test_copies_around_the_threshold_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 4_000)
+    draw = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    listed = []
+    for i in range(160):
+        words = list(base)
+        for k in draw.sample(range(120), draw.randint(1, 9)):
+            words[k] = f"x{i}y{k}" if draw.random() < 0.6 else f"z{k}"
+        listed.append((i, " ".join(words)))
+    df = spark.createDataFrame(listed, "doc_id bigint, text string").repartition(4)
+    for spec in (near_dedup.MinHash(), near_dedup.MinHash(shingle=5, percent=80, rows=5)):
+        roots = brute.components(listed, spec.shingle, spec.percent)
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, spec=spec).collect()}
+        assert got == {d: root for (d, _), root in zip(listed, roots, strict=True)}
+        assert 1 < len(set(roots)) < 160
