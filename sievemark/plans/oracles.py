@@ -234,14 +234,6 @@ UNION ALL SELECT sample_id, CASE WHEN fault = 0 THEN 'fallback_to_full_sequence'
   fault, 'step broke' FROM f WHERE fault <= coalesce(hit, fault)
 """
 
-FALLBACK_ROWS = f"""WITH {STEPS}, s AS (SELECT s.*, {email('d.text')} AS whole
-  FROM stops s JOIN documents d USING (doc_id))
-SELECT doc_id, CASE WHEN lang = 'es' THEN 'full_sequence_fallback' ELSE 'token_by_token' END
-  AS stream_mode,
-  CASE WHEN lang = 'de' AND total_tokens >= 3 AND total_tokens < 100 THEN 'step broke' END
-  AS step_error, CASE WHEN lang = 'es' THEN 1 ELSE total_tokens END AS steps,
-  CASE WHEN lang <> 'es' THEN trigger_index WHEN whole THEN 0 END AS first_pii FROM s"""
-
 ORDERED_ROWS = f"""SELECT row_number() OVER (ORDER BY lang, doc_id) AS position, doc_id,
   md5({strip('text')}) AS md5 FROM documents"""
 
@@ -488,8 +480,23 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, 'token_by_token' AS stream_mode, early_stopped, trigger_index,
           processed_tokens, total_tokens, false AS inferred_pii, early_stopped AS contains_pii,
           {_MODERATED_JSON} AS output_json FROM details""",
-    "fallback_moderation": FALLBACK_ROWS,
-    "fallback_stream": f"{FALLBACK_ROWS} WHERE total_tokens > 0",
+    "fallback_moderation": f"""WITH {STEPS}, s AS (SELECT s.*, {email('d.text')} AS whole
+  FROM stops s JOIN documents d USING (doc_id))
+SELECT doc_id, CASE WHEN lang = 'es' THEN 'full_sequence_fallback' ELSE 'token_by_token' END
+  AS stream_mode,
+  CASE WHEN lang = 'de' AND total_tokens >= 3 AND total_tokens < 100 THEN 'step broke' END
+  AS step_error, CASE WHEN lang = 'es' THEN 1 ELSE total_tokens END AS steps,
+  CASE WHEN lang <> 'es' THEN trigger_index WHEN whole THEN 0 END AS first_pii FROM s""",
+    "fallback_stream": f"""WITH {USER_STEPS},
+        u AS (SELECT sample_id, count(*) AS n, count(*) FILTER (pii) AS hits, min(i) FILTER (pii) AS hit,
+            min(i) FILTER (broke) AS fault, arg_max(pii, i) AS final, sample_id % 3 = 0 OR min(i) FILTER (broke) = 0 AS whole
+          FROM steps GROUP BY 1)
+        SELECT sample_id, CASE WHEN coalesce(whole, false) THEN 'full_sequence_fallback' ELSE 'token_by_token' END AS stream_mode,
+          CASE WHEN NOT coalesce(whole, false) AND fault IS NOT NULL THEN 'step broke' END AS step_error,
+          CASE WHEN whole THEN 1 ELSE n END::BIGINT AS steps,
+          CASE WHEN whole THEN CASE WHEN hits * 5 > n THEN 0 END ELSE hit END AS first_pii,
+          CASE WHEN CASE WHEN whole THEN hits * 5 > n ELSE final END THEN 'PII' ELSE 'None' END AS last_category
+        FROM u""",
     "moderate_empty": f"""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN hit END AS contains_pii,
           CASE WHEN doc_id % 3 = 2 THEN n ELSE 0 END::BIGINT AS total_tokens,
           CASE WHEN doc_id % 3 <> 2 THEN 'empty content' WHEN hit THEN 'risk_level=Unsafe; category=PII'

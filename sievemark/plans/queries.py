@@ -759,33 +759,18 @@ def step_events(spark, sf_dir):
 
 @query
 def fallback_stream(spark, sf_dir):
-    """``fallback_moderation`` over a stream of the tokens of all texts."""
-    docs = D.documents(spark, sf_dir)
-    tokens = docs.select("doc_id", "lang", words(F.col("text")).alias("w")).select(
-        "doc_id", "lang", F.size("w").alias("n"), F.posexplode("w").alias("i", "token")
-    )
-    short = (F.col("lang") == "de") & (F.col("n") >= 3) & (F.col("n") < 100)
-    error = F.when((F.col("lang") == "es") & (F.col("i") == 0), "no stream").when(
-        short & (F.col("i") == 2), "step broke"
-    )
-    steps = tokens.select(
-        F.col("doc_id").alias("sample_id"),
-        F.col("i").cast("bigint").alias("token_index"),
-        F.when(D.email_token(F.col("token")), "PII").otherwise("None").alias("category"),
-        error.alias("error"),
-        (F.col("i") == F.col("n") - 1).alias("is_end"),
-    )
+    """Users whose first event fails are judged by all their events at once; the others
+    wait for their last event, whatever comes before it."""
+    steps = _user_steps(spark, sf_dir)
+    first = (F.col("sample_id") % 3 == 0) & (F.col("token_index") == 0)
+    steps = steps.withColumn("error", F.when(first, "no stream").otherwise(F.col("error")))
+    many = F.count_if(F.col("category") == "PII") * 5 > F.count(F.lit(1))
     full = materialize(
-        docs.select(
-            F.col("doc_id").alias("sample_id"),
-            F.array(F.when(D.email_token(F.col("text")), "PII").otherwise("None")).alias("category"),
-        ),
-        "full-texts",
-    )
-    rows = stream.drain_rows(stream.fallback_stream(_arriving(spark, steps), full))
-    return rows.select(
-        F.col("sample_id").alias("doc_id"), "stream_mode", "step_error", "steps", "first_pii"
+        steps.groupBy("sample_id").agg(F.array(F.when(many, "PII").otherwise("None")).alias("category")),
+        "full-users",
     )
+    live = _arriving(spark, steps.select("sample_id", "token_index", "category", "error", "is_end"))
+    return stream.drain_rows(stream.fallback_stream(live, full))
 
 
 # --- metrics ------------------------------------------------------------------------------------

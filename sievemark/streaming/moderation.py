@@ -27,7 +27,7 @@ from sievemark.operators.moderation import (
     early_stop,
 )
 from sievemark.session import new_scratch_path, require_columns
-from sievemark.streaming.steps import NONE, STATE_TYPE, Progress
+from sievemark.streaming.steps import FAILED, IS_END, IS_PII, NONE, STATE_TYPE, Progress
 
 
 def early_stop_stream(
@@ -99,13 +99,17 @@ def by_text(
     require_columns(steps, id_col, "token_index", "category")
     timed = steps.withWatermark(ts_col, watermark) if ts_col else steps
     ts = F.unix_millis(F.col(ts_col).cast("timestamp")) if ts_col else F.lit(0).cast("bigint")
+    error = (F.col(error_col) if error_col else F.lit(None)).cast("string")
+    kinds = {IS_PII: is_pii_category(F.col("category")), FAILED: error.isNotNull()}
+    if end_col:
+        kinds[IS_END] = F.col(end_col)
+    flags = sum((F.when(holds, bit).otherwise(0) for bit, holds in kinds.items()), F.lit(0))
     columns = [
         F.col(id_col).cast("bigint").alias("sample_id"),
         F.col("token_index").cast("bigint").alias("token_index"),
-        F.coalesce(is_pii_category(F.col("category")), F.lit(False)).alias("is_pii"),
+        flags.alias("flags"),
         F.col("category").cast("string").alias("category"),
-        (F.col(error_col) if error_col else F.lit(None)).cast("string").alias("error"),
-        (F.coalesce(F.col(end_col), F.lit(False)) if end_col else F.lit(False)).alias("is_end"),
+        error.alias("error"),
         ts.alias("ts_ms"),
     ]
     if ts_col:
@@ -125,7 +129,8 @@ def by_text(
         for chunk in chunks:  # constant memory however many steps a text sends
             if len(chunk):
                 progress.add(chunk, intervals)
-                latest = max(latest, int(chunk["ts_ms"].max()))
+                if ts_col:
+                    latest = max(latest, int(chunk["ts_ms"].max()))
         progress.closed = progress.closed or progress.last != NONE
         found = report(key[0], progress, expired)
         if found is not None and len(found):

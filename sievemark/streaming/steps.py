@@ -9,6 +9,8 @@ import pandas as pd
 
 # Index of something that has not been seen.
 NONE = -1
+# What a step can be, as bits of one number.
+IS_PII, IS_END, FAILED = 1, 2, 4
 
 STATE_TYPE = (
     "starts array<bigint>, ends array<bigint>, trigger bigint, fault bigint, fault_text string, "
@@ -66,23 +68,23 @@ class Progress:
         )
 
     def add(self, chunk: pd.DataFrame, intervals: bool = True) -> None:
-        """Take in steps: token_index, is_pii, category, error, is_end."""
-        index = chunk["token_index"].to_numpy(np.int64)
+        """Take in steps: token_index, flags (of IS_PII, IS_END, FAILED), category, error."""
+        index, flags = chunk["token_index"].to_numpy(), chunk["flags"].to_numpy()
         highest = int(index.argmax())
         if index[highest] >= self.top:
             self.top = int(index[highest])
             self.top_category = str(chunk["category"].iloc[highest] or "")
-        hits = index[chunk["is_pii"].to_numpy(bool)]
-        if len(hits):
-            self.trigger = smaller(self.trigger, int(hits.min()))
-        failed = np.flatnonzero(chunk["error"].notna().to_numpy())
-        if len(failed):
-            first = failed[index[failed].argmin()]
-            if self.fault == NONE or index[first] < self.fault:
-                self.fault, self.fault_text = int(index[first]), str(chunk["error"].iloc[first])
-        marked = index[chunk["is_end"].to_numpy(bool)]
-        if len(marked):
-            self.last = max(self.last, int(marked.max()))
+        if flags.any():
+            hits, marked = index[flags & IS_PII > 0], index[flags & IS_END > 0]
+            if len(hits):
+                self.trigger = smaller(self.trigger, int(hits.min()))
+            if len(marked):
+                self.last = max(self.last, int(marked.max()))
+            failed = np.flatnonzero(flags & FAILED)
+            if len(failed):
+                first = failed[index[failed].argmin()]
+                if self.fault == NONE or index[first] < self.fault:
+                    self.fault, self.fault_text = int(index[first]), str(chunk["error"].iloc[first])
         if intervals:
             self.starts, self.ends = joined(self.starts, self.ends, index)
 
