@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -65,3 +67,15 @@ def test_people_arrays_grow_in_number(spark, tmp_path, monkeypatch):
     rows = entry_point.queries()["people_json"](spark, DATA).collect()
     assert len(rows) == spark.read.parquet(f"{DATA}/documents.parquet").count()
     assert len(list((tmp_path / "people").glob("part=*"))) > 16
+
+
+@pytest.mark.parametrize("blocked", ["zstandard", "sievemark.llm", "corpus_pipeline", "tokenizers"])
+def test_core_queries_without_the_optional_part(blocked):
+    code = (
+        f"import sys; sys.modules[{blocked!r}] = None; import __spark_entry__ as e; "
+        "from sievemark.plans.queries import REGISTRY; "
+        "assert set(e.queries()) == set(REGISTRY) == set(e.oracle_sql()), len(e.queries())"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=entry_point._ROOT, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    assert "left out" in done.stderr
