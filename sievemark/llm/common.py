@@ -62,12 +62,33 @@ def process_wide(key: tuple, make: Callable[[], T]) -> T:
     return store.__dict__[key]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The full URI of a folder, as Spark understands its path: one without a scheme lies
+    in the cluster's default file system, not on the disk of whoever opens it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = system.makeQualified(path).toString()
+    file_system(uri)  # a store that workers cannot open is an error here, not in a task
+    return uri
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a folder that all executors share."""
+    """File system and path of a folder that all executors share, from its full URI."""
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     if "://" not in uri:
-        uri = uri.removeprefix("file:")
         return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition("://")
+    # What Hadoop's connector calls s3a or s3n is s3.
+    return pafs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
 
 
 def is_local(system: pafs.FileSystem) -> bool:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import fold_case
+from sievemark.llm.common import fold_case, free_name
 from sievemark.session import materialize
 
 WIDTH = 10
@@ -194,8 +194,9 @@ def remove_documents(
     """``docs`` without the rows whose text is contaminated; rows of one id with other
     texts stay."""
     found = hits(docs, items, id_col=id_col, text_col=text_col, **options)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("text_key").alias("_key")).distinct()
-    same = docs[id_col].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs[text_col]) == bad["_key"])
+    id_, key = free_name(docs, "_bad"), free_name(docs, "_key")
+    bad = found.where("contaminated").select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct()
+    same = docs[id_col].eqNullSafe(bad[id_]) & (F.xxhash64(docs[text_col]) == bad[key])
     return docs.join(bad, same, "left_anti")
 
 
@@ -205,7 +206,8 @@ def remove_spans(
     """``docs`` with the covered words cut out of the text, each with the separators
     that follow it. Ids must be unique and not null."""
     found = hits(docs, items, id_col=id_col, text_col=text_col, **options)
-    cuts = found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("covered").alias("_cuts"))
+    id_, cuts_ = free_name(docs, "_id"), free_name(docs, "_cuts")
+    cuts = found.where("contaminated").select(F.col("doc_id").alias(id_), F.col("covered").alias(cuts_))
     # A word of the text as it stands may have upper-case letters.
     inside = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     outside = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -213,7 +215,7 @@ def remove_spans(
     head = F.regexp_extract(text, f"^{outside}*", 0)
     parts = F.regexp_extract_all(text, F.lit(f"{inside}+{outside}*"), F.lit(0))
     ends = F.concat(
-        F.transform("_cuts", lambda r: F.struct(r["from"].alias("from"), r["to"].alias("to"))),
+        F.transform(cuts_, lambda r: F.struct(r["from"].alias("from"), r["to"].alias("to"))),
         F.array(F.struct((F.size(parts) + 1).alias("from"), (F.size(parts) + 1).alias("to"))),
     )
     kept = F.aggregate(
@@ -226,7 +228,7 @@ def remove_spans(
             r["to"].alias("next"),
         ),
     )["text"]
-    joined = docs.join(cuts, docs[id_col] == cuts["_id"], "left")
+    joined = docs.join(cuts, docs[id_col] == cuts[id_], "left")
     return joined.withColumn(
-        text_col, F.when(F.col("_cuts").isNotNull(), kept).otherwise(text)
+        text_col, F.when(F.col(cuts_).isNotNull(), kept).otherwise(text)
     ).select(*docs.columns)

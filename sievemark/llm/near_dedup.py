@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import UPPER, blobs, bound_batches, materialize
+from sievemark.llm.common import UPPER, blobs, bound_batches, free_name, materialize
 from sievemark.llm.components import connected_components
 
 FOLD = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -450,6 +450,7 @@ def drop_near_duplicates(
     """``docs`` with one document of each component: that with the smallest id. Rows of
     one id with different texts are judged by their own text."""
     found = judged_rows(docs, id_col, text_col, spec)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
-    same = (docs[id_col] == gone["_gone"]) & (F.xxhash64(docs[text_col]) == gone["_key"])
+    id_, key = free_name(docs, "_gone"), free_name(docs, "_key")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct()
+    same = (docs[id_col] == gone[id_]) & (F.xxhash64(docs[text_col]) == gone[key])
     return docs.join(gone, same, "left_anti")

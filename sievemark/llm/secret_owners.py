@@ -2,15 +2,17 @@
 
 Every text is scanned once for candidates. Their positions follow from the lengths of
 the matches and of the gaps between them, summed up per document. The candidates'
-hashes are then counted over the corpus by distinct owners (sources): a value that many
-owners have is a copied example, a value of one or two owners that also looks random is
-live, in however many documents they have it. Base kinds are always reported; the added kind
+hashes are then counted over the corpus by distinct repositories (documents) and owners
+(sources): a value that several owners have in still more repositories is a copied example.
+Any other value that also looks random is live: that of one or two owners in however
+many documents, and that of some owners who have it once each. Base kinds are always
+reported; the added kind
 ``token`` (a long mixed run outside every base span) is reported only where live.
 
 Cases: a null text counts as empty; a text without candidates gets empty strings and
 zero counts; spans of different kinds may overlap, those of one kind never do; repeated
 rows are reported one by one but count as one owner; a null owner is an owner of its
-own; a null id is kept; an empty table gives an empty result; other columns are not
+own; a null id is kept; texts of any length are scanned whole; an empty table gives an empty result; other columns are not
 read, except by ``redact``, which returns them. Values never leave the scan in clear.
 """
 
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import materialize
+from sievemark.llm.common import free_name, materialize
 
 
 def either_case(words: str) -> str:
@@ -40,15 +42,18 @@ KINDS = ("assign", "access", "hex", "token")
 PATTERNS = (ASSIGN, "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}", "[A-Za-z0-9_-]{24,}")
 ASSIGN_VALUE_CHARS = 8
 BASE_KINDS = 3
+# A value with more than this share of the spans is hot; there can only be as many.
+HOT_SHARE = 1000
 PLACEHOLDER = either_case("example|changeme|placeholder|your_|xxxx|sample|dummy")
 
 
 @dataclass(frozen=True)
 class Ownership:
-    """From how many owners on a value counts as widely copied, and how many distinct
-    characters a live value has."""
+    """From how many owners and repositories on a value counts as widely copied, and how
+    many distinct characters a live value has."""
 
     wide_owners: int = 3
+    wide_repositories: int = 5
     least_distinct: int = 8
 
 
@@ -125,18 +130,47 @@ def placed(scan: DataFrame) -> DataFrame:
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(hash, n_owners) over the corpus. Documents do not count: copies within one source
-    would make its key an example, and the more the larger the corpus. Every task combines
-    its rows to one per (hash, owner), so a value that a third of all documents have is no
-    hot key."""
+    """(hash, n_owners, n_repositories, n_spans) over the corpus; every document is a
+    repository of its owner.
+
+    Every task combines its rows to one per (hash, owner, repository), and later to one
+    per (hash, owner), so a value that a third of all documents have is no hot key."""
     return (
-        spans.select("hash", "owner")
-        .distinct()
+        spans.groupBy("hash", "owner", "doc_id")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("hash", "owner")
+        .agg(F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("n"))
         .groupBy("hash")
-        .agg(F.count(F.lit(1)).alias("n_owners"))
+        .agg(
+            F.count(F.lit(1)).alias("n_owners"),
+            F.sum("repositories").alias("n_repositories"),
+            F.sum("n").alias("n_spans"),
+        )
     )
 
 
+def widely_copied(rules: Ownership) -> Column:
+    """Several owners have the value, in still more repositories. Many documents of one
+    owner make no example of its key, and neither do a few owners that have it once."""
+    return (F.col("n_owners") >= rules.wide_owners) & (F.col("n_repositories") >= rules.wide_repositories)
+
+
+def with_verdict(spans: DataFrame, rules: Ownership) -> DataFrame:
+    """``spans`` with the column ``wide``. Values with more than a thousandth of all spans,
+    of which there are fewer than a thousand, are broadcast; the others meet their verdict
+    in a shuffle join. So no task gets all spans of a copied value."""
+    owners = materialize(ownership(spans), "secret-owners")
+    total = owners.agg(F.sum("n_spans")).first()[0] or 0
+    verdict = owners.select(F.col("hash").alias("of_hash"), widely_copied(rules).alias("wide"), "n_spans")
+    hot = F.col("n_spans") * HOT_SHARE > total
+    same = F.col("hash") == F.col("of_hash")
+    common = F.broadcast(verdict.where(hot).select("of_hash", F.col("wide").alias("hot_wide")))
+    first = spans.join(common, same, "left").drop("of_hash")
+    rest = first.where("hot_wide IS NULL").drop("hot_wide").join(verdict.where(~hot).drop("n_spans"), same)
+    known = first.where("hot_wide IS NOT NULL").withColumnRenamed("hot_wide", "wide")
+    return known.unionByName(rest.drop("of_hash"))
+
+
 def secret_spans(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -148,11 +182,9 @@ def secret_spans(
     ``found``, an array of (start, kind, end, live) sorted by start, then kind."""
     scan = materialize(scanned(docs, id_col, text_col, owner_col, rules), "secret-scan")
     spans = materialize(placed(scan), "secret-spans")
-    owners = ownership(spans)
-    wide = F.col("n_owners") >= rules.wide_owners
     judged = (
-        spans.join(owners, "hash")
-        .withColumn("live", F.col("live") & ~wide)
+        with_verdict(spans, rules)
+        .withColumn("live", F.col("live") & ~F.col("wide"))
         .where((F.col("kind") < BASE_KINDS) | F.col("live"))
     )
     found = judged.groupBy("row").agg(
@@ -200,21 +232,22 @@ def redact(
 ) -> DataFrame:
     """``docs`` with every live span of the text replaced by ``mark``; copied examples
     stay. Columns are those of ``docs``."""
+    id_, key, cuts_ = (free_name(docs, n) for n in ("_id", "_key", "_cuts"))
     live = (
         secret_spans(docs, id_col, text_col, owner_col, rules)
         .select(
-            F.col("doc_id").alias("_id"),
-            F.col("text_key").alias("_key"),
-            F.filter("found", lambda s: s["live"]).alias("_cuts"),
+            F.col("doc_id").alias(id_),
+            F.col("text_key").alias(key),
+            F.filter("found", lambda s: s["live"]).alias(cuts_),
         )
-        .where(F.size("_cuts") > 0)
-        .dropDuplicates(["_id", "_key"])
+        .where(F.size(cuts_) > 0)
+        .dropDuplicates([id_, key])
     )
     text = F.col(text_col)
     size = F.length(text).cast("long")
     cuts = F.concat(
         F.transform(
-            "_cuts",
+            cuts_,
             lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(mark).alias("mark")),
         ),
         F.array(F.struct(size.alias("start"), size.alias("end"), F.lit("").alias("mark"))),
@@ -232,8 +265,8 @@ def redact(
 
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("next"))
     cleaned = F.aggregate(cuts, start, cut)["text"]
-    same = docs[id_col].eqNullSafe(live["_id"]) & (F.xxhash64(text_col) == live["_key"])
+    same = docs[id_col].eqNullSafe(live[id_]) & (F.xxhash64(text_col) == live[key])
     joined = docs.join(live, same, "left")
     return joined.withColumn(
-        text_col, F.when(F.col("_cuts").isNotNull(), cleaned).otherwise(text)
+        text_col, F.when(F.col(cuts_).isNotNull(), cleaned).otherwise(text)
     ).select(*docs.columns)

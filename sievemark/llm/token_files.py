@@ -46,6 +46,7 @@ from sievemark.llm.common import (
     file_system,
     is_local,
     process_wide,
+    qualified,
     write_manifest,
 )
 
@@ -138,7 +139,7 @@ def write_tokens(
     docs: DataFrame, folder: str, spec: TokenSpec, id_col: str = "doc_id", text_col: str = "text"
 ) -> dict:
     """Write the shards of ``docs`` and the manifest, which is returned as well."""
-    dtype = id_type(spec.tokenizer)
+    dtype, folder = id_type(spec.tokenizer), qualified(docs.sparkSession, folder)
     system, path = file_system(folder)
     system.create_dir(path, recursive=True)
 
@@ -198,7 +199,9 @@ def load(system, path: str, dtype: str) -> np.ndarray:
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, ids) of every document, from the files in ``folder``; ``ids`` is
-    binary, little-endian unsigned 32-bit integers."""
+    binary, little-endian unsigned 32-bit integers. A file that is missing or has another
+    size than the manifest says is an error."""
+    folder = qualified(spark, folder)
     system, path = file_system(folder)
     with system.open_input_file(f"{path}/manifest.json") as file:
         manifest = json.loads(file.read())
@@ -210,10 +213,12 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     def read(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, where = file_system(folder)
         for batch in source:
-            for shard, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for shard, base, n_docs, n_ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 name = f"{where}/shard-{shard:05d}"
                 ids, ends = load(files, f"{name}.bin", dtype), load(files, f"{name}.idx", "<i8")
                 keys = load(files, f"{name}.doc", "<i8")
+                if (len(keys), len(ends), len(ids)) != (n_docs, n_docs + 1, n_ids) or ends[-1] != n_ids:
+                    raise ValueError(f"incomplete {name}: not the {n_docs} documents and {n_ids} ids of the manifest")
                 for first in range(0, len(keys), READ_DOCS):
                     some = np.array(keys[first : first + READ_DOCS])
                     cut = np.array(ends[first : first + len(some) + 1])
@@ -229,8 +234,9 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                         names=["doc_id", "start", "ids"],
                     )
 
-    shards = [(s["shard"], s["base"]) for s in manifest["shards"]]
-    listed = spark.createDataFrame(shards, "shard int, base bigint").repartition(len(shards))
+    shards = [tuple(s[n] for n in ("shard", "base", "n_docs", "n_ids")) for s in manifest["shards"]]
+    listed = spark.createDataFrame(shards, "shard int, base bigint, n_docs bigint, n_ids bigint")
+    listed = listed.repartition(len(shards))
     return listed.mapInArrow(read, schema)
 
 

@@ -32,9 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import blobs, file_system, materialize, write_manifest
+from sievemark.llm.common import blobs, file_system, materialize, qualified, write_manifest
 
 LEAST_REVISIT_BYTES = 100
+# Read at once; what follows a record in a piece is copied with it.
+PIECE_BYTES = 1 << 16
 # A row of the table of repeated digests takes some 150 bytes when broadcast.
 BROADCAST_DIGESTS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -204,6 +206,7 @@ def write_warc(
 ) -> dict:
     """Write ``pages`` as WARC files and a manifest, which is returned as well."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
+    folder = qualified(pages.sparkSession, folder)
     system, path = file_system(folder)
     system.create_dir(path, recursive=True)
     starts = np.array(shard_starts(pages, id_col, payload, spec), np.int64)
@@ -244,23 +247,25 @@ def write_warc(
 
 
 def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of the records of a gzip stream, one after the other."""
-    unpacker, data = zlib.decompressobj(31), b""
-    while True:
+    """Headers and block of the records of a gzip stream, one after the other. A stream
+    that ends inside a record is an error."""
+    unpacker, parts = zlib.decompressobj(31), []
+    piece = stream.read(PIECE_BYTES)
+    while piece:
+        parts.append(unpacker.decompress(piece))
+        piece = unpacker.unused_data
         if unpacker.eof:
-            rest = unpacker.unused_data
-            head, _, tail = data.partition(b"\r\n\r\n")
+            head, _, tail = b"".join(parts).partition(b"\r\n\r\n")
             lines = [x.partition(": ") for x in head.decode("utf-8", "replace").split("\r\n")[1:]]
             headers = {k: v for k, _, v in lines}
-            yield headers, tail[: int(headers["Content-Length"])]
-            unpacker, data = zlib.decompressobj(31), b""
-            if rest:
-                data = unpacker.decompress(rest)
-            continue
-        piece = stream.read(1 << 20)
-        if not piece:
-            return
-        data += unpacker.decompress(piece)
+            size = int(headers["Content-Length"])
+            if len(tail) < size:
+                raise ValueError(f"incomplete block of {headers['WARC-Record-ID']}")
+            yield headers, tail[:size]
+            unpacker, parts = zlib.decompressobj(31), []
+        piece = piece or stream.read(PIECE_BYTES)
+    if parts:
+        raise ValueError("the file ends inside a record")
 
 
 def parsed(headers: dict[str, str], block: bytes) -> tuple | None:
@@ -294,11 +299,14 @@ READ_SCHEMA = (
 
 
 def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """The page records of all files of the manifest; digests are verified."""
+    """The page records of all files of the manifest; digests are verified. A file that is
+    missing, damaged, or has another size or number of records than the manifest says is
+    an error."""
+    folder = qualified(spark, folder)
     system, path = file_system(folder)
     with system.open_input_file(f"{path}/manifest.json") as file:
-        names = [f["name"] for f in json.loads(file.read())["files"]]
-    if not names:
+        listing = [(f["name"], f["records"], f["bytes"]) for f in json.loads(file.read())["files"]]
+    if not listing:
         return spark.createDataFrame([], READ_SCHEMA)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -311,20 +319,25 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFr
     def read(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, where = file_system(folder)
         for batch in source:
-            for name in batch.column(0).to_pylist():
-                rows, size = [], 0
+            for name, n_records, n_bytes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if files.get_file_info(f"{where}/{name}").size != n_bytes:
+                    raise ValueError(f"incomplete {name}: not the {n_bytes} bytes of the manifest")
+                rows, size, seen = [], 0, 0
                 with files.open_input_stream(f"{where}/{name}", compression=None) as stream:
                     for headers, block in records(stream):
                         row = parsed(headers, block)
                         if row is None:
                             continue
+                        seen += 1
                         rows.append(row if payloads else (*row[:-1], None))
                         size += len(block)
                         if size > 1 << 24:
                             yield batch_of(rows)
                             rows, size = [], 0
+                if seen != n_records:
+                    raise ValueError(f"incomplete {name}: {seen} of {n_records} records")
                 if rows:
                     yield batch_of(rows)
 
-    listed = spark.createDataFrame([(n,) for n in names], "name string")
-    return listed.repartition(min(len(names), 10_000)).mapInArrow(read, READ_SCHEMA)
+    listed = spark.createDataFrame(listing, "name string, records bigint, bytes bigint")
+    return listed.repartition(min(len(listing), 10_000)).mapInArrow(read, READ_SCHEMA)

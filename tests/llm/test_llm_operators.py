@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import itertools
 import json
 import random
@@ -33,7 +34,7 @@ from sievemark.llm.components import connected_components
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 # Names that the operators use inside.
-CLASHING = ("row", "ref", "bands", "node", "words", "start", "hash", "class", "found", "shard", "_bad", "sha", "key")
+CLASHING = ("row", "ref", "bands", "node", "words", "start", "hash", "class", "found", "shard", "_bad", "_Id", "_cuts", "_key", "_gone", "sha", "key")
 
 random.seed(11)
 VOCABULARY = [f"w{i}é" for i in range(400)]
@@ -423,6 +424,73 @@ def test_owners_alone_tell_live_from_copied(spark):
         assert cut[doc] == (f"[SECRET] or [SECRET]' in {doc % 100}" if live else text)
 
 
+def test_repositories_count_beside_owners(spark):
+    """(owner of each document with the value) -> whether it is live."""
+    cases = {
+        "oneOwner60Documents": (["s1"] * 60, True),
+        "threeOwners3Documents": (["s1", "s2", "s3"], True),
+        "threeOwners4Documents": (["s1", "s2", "s3", "s3"], True),
+        "threeOwners5Documents": (["s1", "s2", "s3", "s3", "s3"], False),
+        "twoOwners40Documents": (["s1", "s2"] * 20, True),
+        "manyOwners": ([f"s{i}" for i in range(30)], False),
+    }
+    listed = [
+        (100 * c + i, f"{name}Zx8Cv6Bn4Mq2Wd0Rf9 twice {name}Zx8Cv6Bn4Mq2Wd0Rf9", owner)
+        for c, (name, (owners, _)) in enumerate(cases.items()) for i, owner in enumerate(owners)
+    ]
+    df = spark.createDataFrame(listed, "doc_id bigint, text string, source string").repartition(4)
+    for share in (secret_owners.HOT_SHARE, 2):  # most values are hot, or hardly any
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(secret_owners, "HOT_SHARE", share)
+            for r in secret_owners.report(secret_owners.secret_spans(df)).collect():
+                live = list(cases.values())[r.doc_id // 100][1]
+                assert (r.n_token, r.n_live) == ((2, 2) if live else (0, 0))
+
+
+def damaged(path, name, how):
+    file = path / name
+    data = file.read_bytes()
+    file.unlink() if how == "gone" else file.write_bytes(data[: how(len(data))])
+    return file, data
+
+
+def test_damaged_files_are_errors(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>" * (20 + i)) for i in range(120)], "page_id bigint, url string, html string")
+    spec = warc_writer.WarcSpec(roll_bytes=2000, least_shard_bytes=9000)
+    manifest = warc_writer.write_warc(pages, str(tmp_path / "w"), spec)
+    assert warc_writer.read_warc(spark, str(tmp_path / "w")).count() == 120
+    name = manifest["files"][1]["name"]
+    first = len(warc_writer.member(warc_writer.info_record(name, spec)))
+    for how in (lambda n: n // 2, lambda n: n - 1, lambda n: first, lambda n: 0, "gone"):
+        file, data = damaged(tmp_path / "w", name, how)
+        with pytest.raises(Exception, match="incomplete|ends inside|No such file"):
+            warc_writer.read_warc(spark, str(tmp_path / "w")).collect()
+        file.write_bytes(data)
+    with pytest.raises(ValueError, match="ends inside"):
+        list(warc_writer.records(io.BytesIO(data[:-5])))
+    texts = spark.createDataFrame([(i, f"some text {i}") for i in range(60)], "doc_id bigint, text string")
+    tokens = token_files.TokenSpec(WORDS, 1, True)
+    token_files.write_tokens(texts.repartition(2), str(tmp_path / "t"), tokens)
+    assert token_files.read_tokens(spark, str(tmp_path / "t")).count() == 60
+    shard = sorted(f.name for f in (tmp_path / "t").glob("*.bin"))[0]
+    for suffix in (".bin", ".idx", ".doc"):
+        for how in (lambda n: n - 8, lambda n: n // 16 * 8, "gone"):
+            file, data = damaged(tmp_path / "t", shard.replace(".bin", suffix), how)
+            with pytest.raises(Exception, match="incomplete|No such file"):
+                token_files.read_tokens(spark, str(tmp_path / "t")).collect()
+            file.write_bytes(data)
+
+
+def test_paths_are_qualified(spark, tmp_path):
+    from sievemark.llm.common import file_system, qualified
+
+    assert qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    for uri in (f"file:{tmp_path}", f"file://{tmp_path}", str(tmp_path)):
+        assert file_system(uri)[1] == str(tmp_path)
+    with pytest.raises(Exception, match="Unrecognized"):
+        file_system("unknown://a/b")
+
+
 def test_rows_of_one_id_are_removed_by_their_own_text(spark):
     first, other = (" ".join(VOCABULARY[k : k + 60]) for k in (0, 100))
     listed = [(1, first), (2, other + " " + PASSAGE), (4, first), (4, other), (4, other), (4, PASSAGE), (None, PASSAGE), (None, other)]
