@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sievemark.llm.common import blobs, bound_batches, materialize, process_wide
+from sievemark.llm.common import blobs, bound_batches, byte_letters, materialize, process_wide
 
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 WORD = f"0-9{LETTER}"
@@ -65,14 +65,6 @@ class Packing:
     capacity: int = 1024
 
 
-def byte_letters() -> dict[int, int]:
-    """The characters that byte-level tokenizers write for bytes, as a translation table:
-    printable ones stand for themselves, the others follow from 256 on."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: 256 + i for i, b in enumerate(hidden)}
-
-
 def cuts_like_bytes(config: dict) -> bool:
     """Whether a tokenizer's description has plain byte-level cutting and no other step."""
     cutting = config.get("pre_tokenizer") or {}

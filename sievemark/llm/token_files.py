@@ -16,12 +16,13 @@ Readers map the files into memory.
 
 No token of a word tokenizer goes across white space, or from a letter to a mark, so a
 text is encoded piece by piece and frequent pieces are remembered. ``splits_at_space``
-says whether a tokenizer allows that; others get their texts whole.
+says, by its description, whether a tokenizer allows that; others get their texts whole,
+as does any text in which an added token stands.
 
 Cases: a null text counts as empty, an empty text has the end id alone; documents of
 equal id follow each other in the order of their texts' hashes; a null id comes first;
-an empty table gives a manifest without shards; columns other than id and text are not
-read.
+an empty table gives a manifest without shards; texts of any length are encoded whole; ids
+are whole numbers, others are an error; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,7 @@ from tokenizers import Tokenizer
 from sievemark.llm.common import (
     blobs,
     bound_batches,
+    byte_letters,
     file_system,
     is_local,
     process_wide,
@@ -51,10 +52,13 @@ from sievemark.llm.common import (
 )
 
 WORD_END = re.compile(rb"(?<=[A-Za-z0-9])(?=[!-/:-@\[-`{-~])")
+# Fixed value: how a word tokenizer of the known kind cuts a text.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Small letters of Latin-1, in UTF-8.
+SMALL_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
 NULL_ID = -(2**63)
 CACHE_PIECES = 300_000
 LONGEST_CACHED = 48
-ENCODED_AT_ONCE = 20_000
 WRITE_DOCS = 512
 READ_DOCS = 4096
 
@@ -69,16 +73,52 @@ class TokenSpec:
 
 
 def splits_at_space(path: str) -> bool:
-    """Whether the tokenizer drops white space and marks the ends of words."""
+    """Whether the tokenizer normalises character by character, drops white space, cuts
+    words as ``WORD_PATTERN`` does and marks their ends."""
     with open(path, encoding="utf-8") as file:
         config = json.load(file)
-    return bool((config.get("model") or {}).get("end_of_word_suffix"))
+    normalizer, cutting = config.get("normalizer") or {}, config.get("pre_tokenizer") or {}
+    steps = {n["type"] for n in normalizer.get("normalizers", [normalizer] if normalizer else [])}
+    first, *others = cutting.get("pretokenizers", [cutting]) or [{}]
+    by_word = first.get("type") == "Split" and first.get("pattern") == {"Regex": WORD_PATTERN} and first.get("invert")
+    plain = all(o["type"] == "ByteLevel" and not o["use_regex"] and not o["add_prefix_space"] for o in others)
+    marked = bool((config.get("model") or {}).get("end_of_word_suffix"))
+    return bool(marked and by_word and others and plain and steps <= {"NFC", "Replace", "Lowercase"})
 
 
 def id_type(path: str) -> str:
     return "<u2" if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 65_536 else "<u4"
 
 
+class PieceIds(dict):
+    """Packed ids of pieces, remembered; what was used since the last turn stays at hand."""
+
+    def __init__(self, tokenizer: Tokenizer, dtype: str) -> None:
+        self.tokenizer, self.model, self.dtype = tokenizer, tokenizer.model, dtype
+        self.letters = byte_letters()
+        self.old: dict[bytes, bytes] = {}
+
+    def __missing__(self, piece: bytes) -> bytes:
+        packed = self.old.get(piece)
+        if packed is None:
+            if SMALL_LETTERS.fullmatch(piece):
+                # One word, normal as it is: the tokenizer's model takes it, written in
+                # its letters.
+                written = piece.decode("latin-1").translate(self.letters)
+                ids = [token.id for token in self.model.tokenize(written)]
+            else:
+                ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
+            packed = np.array(ids, self.dtype).tobytes()
+        if len(piece) <= LONGEST_CACHED:
+            self[piece] = packed
+        return packed
+
+    def turn(self) -> None:
+        if len(self) > CACHE_PIECES:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Texts to packed ids."""
 
@@ -90,48 +130,31 @@ class Encoder:
         self.spec, self.dtype = spec, dtype
         with open(spec.tokenizer, encoding="utf-8") as file:
             self.lowers = '"Lowercase"' in json.dumps(json.load(file).get("normalizer"))
+        added = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # An added token may be found in the text as it is or as it is normalised.
+        self.added = re.compile(b"|".join(added), re.IGNORECASE) if added else None
         self.end = np.array([spec.end_id], dtype).tobytes()
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.known = PieceIds(self.tokenizer, dtype)
 
-    def packed(self, texts: list[bytes]) -> list[bytes]:
-        plain = [t.decode("utf-8", "replace") for t in texts]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(ids), self.dtype).tobytes()
-        ends = [0, *accumulate(len(x) * np.dtype(self.dtype).itemsize for x in ids)]
-        return [flat[a:b] for a, b in pairwise(ends)]
+    def whole(self, text: bytes) -> bytes:
+        plain = text.decode("utf-8", "replace")
+        return np.array(self.tokenizer.encode(plain, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def cut(self, text: bytes) -> list[bytes]:
         """The pieces of a text: at ASCII white space, and where a letter or digit meets
-        an ASCII mark, which no token goes across. A text in which a special token may
-        stand is one piece."""
-        if b"<|" in text:
-            return [text]
+        an ASCII mark, which no token goes across."""
         if self.lowers:  # the tokenizer does so as well: fewer different pieces
             text = text.lower()
         return WORD_END.sub(b" ", text).split()  # of bytes: at ASCII white space
 
     def documents(self, texts: list[bytes]) -> list[bytes]:
-        if not self.spec.pieces:
-            return [p + self.end for p in self.packed(texts)]
-        split = list(map(self.cut, texts))
-        known, old = self.known, self.old
-        fresh = set().union(*split).difference(known)
-        new = []
-        for piece in fresh:
-            if piece in old:
-                known[piece] = old[piece]
+        done = []
+        for text in texts:
+            if not self.spec.pieces or (self.added and self.added.search(text)):
+                done.append(self.whole(text) + self.end)
             else:
-                new.append(piece)
-        for first in range(0, len(new), ENCODED_AT_ONCE):
-            some = new[first : first + ENCODED_AT_ONCE]
-            known.update(zip(some, self.packed(some), strict=True))
-        done = [b"".join(map(known.__getitem__, pieces)) + self.end for pieces in split]
-        for piece in fresh:
-            if len(piece) > LONGEST_CACHED:
-                del known[piece]
-        if len(known) > CACHE_PIECES:  # what was used since the last time stays at hand
-            self.known, self.old = {}, known
+                done.append(b"".join(map(self.known.__getitem__, self.cut(text))) + self.end)
+        self.known.turn()
         return done
 
 

@@ -191,6 +191,32 @@ def test_pieces_of_texts_have_the_ids_of_whole_texts():
         assert got == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [1], text
 
 
+def test_other_word_tokenizers_get_whole_texts(tmp_path):
+    assert token_files.splits_at_space(WORDS)
+    assert not token_files.splits_at_space(public_tokenizers.path("byte_bpe_50k.json"))
+    with open(WORDS, encoding="utf-8") as file:
+        config = json.load(file)
+    text = b"one [SEP] two [sep]three</s> FOUR <|endoftext|>five"
+    for change in ("added", "cutting", "normal"):
+        made = json.loads(json.dumps(config))
+        if change == "added":
+            made["added_tokens"] += [
+                {"id": 49408 + i, "content": c, "single_word": False, "lstrip": False, "rstrip": False,
+                 "normalized": i == 0, "special": False} for i, c in enumerate(("[SEP]", "</s>"))
+            ]
+        elif change == "cutting":
+            made["pre_tokenizer"]["pretokenizers"][0] = {"type": "Whitespace"}
+        else:
+            made["normalizer"]["normalizers"].append({"type": "Strip", "strip_left": True, "strip_right": True})
+        path = tmp_path / f"{change}.json"
+        path.write_text(json.dumps(made), encoding="utf-8")
+        pieces = token_files.splits_at_space(str(path))
+        assert pieces == (change == "added")
+        encoder = token_files.Encoder(token_files.TokenSpec(str(path), 1, pieces), "<u2")
+        whole = Tokenizer.from_file(str(path)).encode(text.decode(), add_special_tokens=False).ids
+        assert np.frombuffer(encoder.documents([text])[0], "<u2").tolist() == whole + [1]
+
+
 def items_of(spark):
     return spark.createDataFrame(
         [(1, PASSAGE), (1, PASSAGE), (2, "one"), (3, None), (4, " .. "), (10, PASSAGE + " and more"), (5, "Мир это")],
