@@ -190,6 +190,24 @@ def guard_metrics(
     return with_guard_rates(counts).select(*by, *GUARD_COLUMNS)
 
 
+def model_metrics(
+    df: DataFrame,
+    pred: str = "contains_pii",
+    truth: str | None = "ground_truth",
+    latency: str = "latency_ms",
+    cost: str = "cost_usd",
+    by: Sequence[str] = ("model_key",),
+) -> DataFrame:
+    """Counts, both sets of rates, mean latency and cost per group, for comparisons that
+    need no percentile: one scan, one aggregation."""
+    columns = {
+        **confusion_columns(pred, truth),
+        "overhead_latency_ms_avg": _mean(latency),
+        **cost_columns(cost),
+    }
+    return with_binary_rates(with_guard_rates(_agg(df, by, columns)))
+
+
 def decision_disagreements(
     df: DataFrame, left: str, right: str, by: Sequence[str] = ()
 ) -> DataFrame:

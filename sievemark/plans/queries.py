@@ -89,11 +89,13 @@ SAMPLES = 100
 
 
 def _sources(spark, sf_dir):
-    """(positives, negatives), flagged in one pass and stored: the operators read ids and
-    texts several times."""
+    """(positives, negatives). Only ids and flags are stored; the operators choose by id and
+    then fetch the few texts they have chosen."""
     docs = D.documents(spark, sf_dir).select("doc_id", "text")
-    flagged = materialize(docs.withColumn("found", has_obvious_pii(F.col("text"))), "flagged")
-    return tuple(flagged.where(F.col("found") == found).drop("found") for found in (True, False))
+    flags = materialize(docs.select("doc_id", has_obvious_pii(F.col("text")).alias("found")), "flags")
+    return tuple(
+        docs.join(flags.where(F.col("found") == found), "doc_id", "left_semi") for found in (True, False)
+    )
 
 
 def _eval_columns(df):
@@ -890,15 +892,11 @@ _TIMES = (datetime(2024, 5, 1, 8, 0, 0), datetime(2024, 5, 1, 8, 0, 5), datetime
 
 
 def _model_metrics(spark, sf_dir):
-    rows = materialize(D.scored(spark, sf_dir), "scored")
-    counts = metrics.binary_metrics(rows, "contains_pii", "ground_truth", ["model_key"])
-    guard = metrics.guard_metrics(rows, by=["model_key"]).select(
-        "model_key", "tpr", "fpr", "overhead_latency_ms_avg", "cost_usd_total"
-    )
+    counts = metrics.model_metrics(D.scored(spark, sf_dir)).drop("cost_usd_avg")
     known = F.when(F.col("model_key") == "email", "granite4:tiny").when(
         F.col("model_key") == "obvious", "rules/obvious"
     )
-    return counts.join(guard, "model_key").withColumn("model_id", known)
+    return counts.withColumn("model_id", known)
 
 
 @query
