@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import suppress
 
@@ -222,6 +222,50 @@ def map_phrases(
     return _map_with_broadcast(df, col, phrases)
 
 
+Dictionary = Mapping[str, str] | DataFrame
+
+
+def _one_dictionary(group: Sequence[Dictionary]) -> Dictionary:
+    """The dictionaries of a group as one; what several of them have follows the first."""
+    if all(isinstance(d, Mapping) for d in group):
+        merged: dict[str, str] = {}
+        for d in reversed(group):
+            merged.update(d)
+        return merged
+    spark = next(d for d in group if isinstance(d, DataFrame)).sparkSession
+    ranked = None
+    for place, d in enumerate(group):
+        if isinstance(d, Mapping):
+            table = spark.createDataFrame(list(d.items()), "phrase string, target string")
+        else:
+            require_columns(d, "phrase", "target")
+            table = d.select("phrase", "target")
+        table = table.withColumn("place", F.lit(place))
+        ranked = table if ranked is None else ranked.unionByName(table)
+    entries = ranked.where(F.length("phrase") > 0).groupBy("phrase", "place")
+    once = materialize(entries.agg(F.count(F.lit(1)).alias("n"), F.first("target").alias("target")), "phrases")
+    if not once.where("n > 1").isEmpty():
+        raise ValueError("repeated phrases")
+    return once.groupBy("phrase").agg(F.min_by("target", "place").alias("target"))
+
+
+def convert_phrases(
+    df: DataFrame, col: str, stages: Sequence[Dictionary | Sequence[Dictionary]], **bounds: int
+) -> DataFrame:
+    """A chain of dictionaries: each stage maps the phrases of what the one before it has
+    made, from left to right, the longest match first.
+
+    A stage is a dictionary, or several that are searched together; a phrase that more than
+    one of these have is mapped by the first. Every stage takes the route that fits its
+    size, as in ``map_phrases``, whose bounds may be given.
+    """
+    for stage in stages:
+        group = [stage] if isinstance(stage, (Mapping, DataFrame)) else list(stage)
+        if group:
+            df = map_phrases(df, col, _one_dictionary(group), **bounds)
+    return df
+
+
 # --- rewrite, verify, retry --------------------------------------------------
 
 

@@ -497,6 +497,13 @@ SELECT doc_id, CASE WHEN lang = 'es' THEN 'full_sequence_fallback' ELSE 'token_b
           CASE WHEN whole THEN CASE WHEN hits * 5 > n THEN 0 END ELSE hit END AS first_pii,
           CASE WHEN CASE WHEN whole THEN hits * 5 > n ELSE final END THEN 'PII' ELSE 'None' END AS last_category
         FROM u""",
+    "phrase_stages": """SELECT doc_id, md5(replace(replace(replace(replace(replace(replace(replace(
+        text, 'tion', 'que'), 'ß', 'ss'), 'que', 'KE'), 's', 'z'), 'ier', 'ER'), 'KE', 'tion'), 'z', 's')) AS md5
+        FROM documents""",
+    "prompt_validation": f"""SELECT place::INTEGER AS place, task_id, task_id <> 'unheard-of' AS known,
+          CASE WHEN task_id <> 'unheard-of' THEN (SELECT count(*) FROM documents) ELSE 0 END AS prompts
+        FROM (SELECT unnest({[*reversed([t.task_id for t in prompts.TASKS]), "unheard-of"]}) AS task_id,
+          unnest(range({len(prompts.TASKS) + 1})) AS place)""",
     "moderate_empty": f"""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN hit END AS contains_pii,
           CASE WHEN doc_id % 3 = 2 THEN n ELSE 0 END::BIGINT AS total_tokens,
           CASE WHEN doc_id % 3 <> 2 THEN 'empty content' WHEN hit THEN 'risk_level=Unsafe; category=PII'

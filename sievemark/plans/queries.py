@@ -196,6 +196,24 @@ def phrase_map_join(spark, sf_dir):
     return mapped.select("doc_id", md5(F.col("text")).alias("md5"))
 
 
+# Each stage undoes, or goes on from, what the one before it has made.
+STAGES = (
+    {"tion": "que", "ß": "ss"},
+    ({"que": "KE", "s": "z"}, {"s": "never", "ier": "ER"}),
+    {"KE": "tion", "z": "s"},
+)
+
+
+@query
+def phrase_stages(spark, sf_dir):
+    """Three dictionaries in order; the second one is a group, its last part a table."""
+    docs = D.documents(spark, sf_dir).select("doc_id", "text")
+    first, (strong, weak), last = STAGES
+    table = spark.createDataFrame(list(weak.items()), "phrase string, target string")
+    mapped = generation.convert_phrases(docs, "text", [first, (strong, table), last])
+    return mapped.select("doc_id", md5(F.col("text")).alias("md5"))
+
+
 @query
 def resolve_attempts(spark, sf_dir):
     resolved = generation.resolve_attempts(D.attempts(spark, sf_dir))
@@ -264,6 +282,28 @@ def render_prompts(spark, sf_dir):
     )
 
 
+@query
+def prompt_validation(spark, sf_dir):
+    """Which of the wanted tasks are known, in the wanted order; one is not."""
+    tasks = [t.task_id for t in prompts.TASKS]
+    wanted = [*reversed(tasks), "unheard-of"]
+    rows = []
+    for place, name in enumerate(wanted):
+        try:
+            rows.append((place, name, prompts.known_tasks(prompts.TASKS, [name])[0].task_id == name))
+        except ValueError:
+            rows.append((place, name, False))
+    known = F.broadcast(spark.createDataFrame(rows, "place int, task_id string, known boolean"))
+    samples = D.documents(spark, sf_dir).select("doc_id", F.col("text").alias("content"))
+    ids = [name for _, name, good in rows if good]
+    rendered = prompts.render(samples, MODELS[:1], ids).groupBy("task_id").agg(
+        F.count(F.lit(1)).alias("prompts")
+    )
+    return known.join(rendered, "task_id", "left").select(
+        "place", "task_id", "known", F.coalesce("prompts", F.lit(0)).alias("prompts")
+    )
+
+
 @query
 def flatten_chat(spark, sf_dir):
     chat = prompts.messages(F.lit(prompts.SYSTEM_PROMPT), F.col("text"))

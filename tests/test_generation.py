@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +141,42 @@ def test_phrase_routes_agree_on_many_lengths(spark):
     ]
     assert results[0] == results[1]
     assert results[0][0] != text and results[0][2:4] == ["", None]
+
+
+CHAIN = [{"ab": "b", "b": "cc"}, [{"c": "d", "bc": "x"}, {"c": "never", "d": "e"}], {"dd": "ab", "x": ""}]
+
+
+def longest_first(text, phrases):
+    out, at = [], 0
+    while at < len(text):
+        hit = max((p for p in phrases if text.startswith(p, at)), key=len, default=None)
+        out.append(text[at] if hit is None else phrases[hit])
+        at += 1 if hit is None else len(hit)
+    return "".join(out)
+
+
+@pytest.mark.parametrize("bounds", [{}, {"literal_phrases": 0}, {"literal_phrases": 0, "broadcast_phrases": 0}])
+@pytest.mark.parametrize("as_table", [False, True])
+def test_stages_follow_each_other(spark, bounds, as_table):
+    draw = random.Random(5)
+    texts = ["".join(draw.choices("abcdx", k=draw.randint(0, 12))) for _ in range(60)] + [None, "", "abab"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    stages = list(CHAIN)
+    if as_table or "broadcast_phrases" in bounds:
+        table = lambda d: spark.createDataFrame(list(d.items()), "phrase string, target string")
+        stages = [table(CHAIN[0]), [CHAIN[1][0], table(CHAIN[1][1])], table(CHAIN[2])]
+    got = {r.id: r.text for r in G.convert_phrases(df, "text", stages, **bounds).collect()}
+    for i, text in enumerate(texts):
+        wanted = text
+        if text is not None:
+            for stage in (CHAIN[0], {**CHAIN[1][1], **CHAIN[1][0]}, CHAIN[2]):
+                wanted = longest_first(wanted, stage)
+        assert got[i] == wanted
+    assert G.convert_phrases(df, "text", []).collect() == df.collect()
+
+
+def test_repeated_phrases_of_a_stage_are_an_error(spark):
+    twice = spark.createDataFrame([("a", "b"), ("a", "c")], "phrase string, target string")
+    df = spark.createDataFrame([("a",)], "text string")
+    with pytest.raises(ValueError, match="repeated"):
+        G.convert_phrases(df, "text", [[{"x": "y"}, twice]])
