@@ -6,12 +6,15 @@ result as Parquet to the shared folder and rereads it as the next stage's input.
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.llm import decontamination, near_dedup, piece_nbest, quality_bands, secret_owners
-from sievemark.llm.common import materialize, table
+from sievemark.llm.common import table
+from sievemark.session import result_of
 
 # Near-duplicate documents share five-word shingles to 80 percent or more.
 NEAR = near_dedup.MinHash(shingle=5, percent=80, bands=40, rows=5)
@@ -70,8 +73,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the whole ``documents`` table."""
+    """The rows of the last stage over the whole ``documents`` table. What a stage needs on
+    the way goes when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{number}")
+        docs = result_of(spark, partial(stage, spark, docs, sf_dir), f"pipeline-{number}")
     return docs

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,6 +73,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def result_of(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, written and read back. Everything else that it has written to
+    scratch is removed."""
+    path = new_scratch_path(spark, name)
+    with owned_scratch(spark, f"{name}-work"):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small_or_materialized(df: DataFrame, name: str = "small") -> DataFrame:
     """Pin a table expected to be small (a dimension, one row per group, ...).
 

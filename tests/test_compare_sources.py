@@ -191,3 +191,21 @@ def test_build_corpus(spark, tmp_path):
     df = spark.createDataFrame([(1, "0"), (2, "1")], "sample_id bigint, content string")
     rows = B.build_corpus(df, 2, ScriptedRewriter(), str(tmp_path / "c")).orderBy("id").collect()
     assert [(r.id, r.content, r.retry_count) for r in rows] == [(1, "safe 0", 0), (2, "safe 1", 1)]
+
+
+def test_only_the_result_of_a_block_stays(spark, tmp_path, monkeypatch):
+    from sievemark import session
+
+    monkeypatch.setattr(session, "scratch_dir", lambda _: str(tmp_path))
+
+    def make():
+        some = session.materialize(spark.range(10).toDF("a"), "some")
+        more = session.materialize(some.where("a > 3"), "more")
+        return more.where("a < 8")
+
+    kept = session.result_of(spark, make, "kept")
+    assert sorted(r.a for r in kept.collect()) == [4, 5, 6, 7]
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["kept"]
+    with pytest.raises(ValueError):
+        session.result_of(spark, lambda: make().limit(int("x")), "lost")
+    assert len(list(tmp_path.iterdir())) == 1
