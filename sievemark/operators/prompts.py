@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame
@@ -12,15 +11,6 @@ from pyspark.sql import functions as F
 from sievemark.session import require_columns
 
 
-@dataclass(frozen=True)
-class TaskTemplate:
-    """A user prompt with ``{key}`` slots; ``{{`` and ``}}`` stand for single braces."""
-
-    task_id: str
-    template: str
-    required_keys: tuple[str, ...] = ("content",)
-
-
 # The shared system prompt and the four task templates.
 SYSTEM_PROMPT = """你是一個專業的內容安全守衛（Guardian）模型。
 你的任務是分析使用者提供的文字內容，識別並分類其中的敏感資訊與風險。
@@ -81,12 +71,13 @@ STREAM_SAFETY = """請即時判斷以下輸入片段是否安全、是否應繼
 - 回覆「safe」或「unsafe」
 - 若為 unsafe，簡短說明原因"""
 
-TASKS = (
-    TaskTemplate("pii_detection", PII_DETECTION),
-    TaskTemplate("pii_binary", PII_BINARY),
-    TaskTemplate("content_safety", CONTENT_SAFETY),
-    TaskTemplate("stream_safety", STREAM_SAFETY),
-)
+# Prompts by name. A slot is a column name in braces; doubled braces are plain ones.
+TASKS = {
+    "pii_detection": PII_DETECTION,
+    "pii_binary": PII_BINARY,
+    "content_safety": CONTENT_SAFETY,
+    "stream_safety": STREAM_SAFETY,
+}
 
 # The two rewrite instructions, and the request around them.
 REWRITE_STRICT = "你上一版可能仍含個資，這次請務必移除所有可識別個人、醫療、財務、交易與聯絡資訊。"
@@ -104,26 +95,27 @@ REWRITE_REQUEST = """
 """
 
 
-def known_tasks(tasks: Sequence[TaskTemplate], wanted: Sequence[str]) -> list[TaskTemplate]:
-    """The wanted templates in the wanted order; unknown names are an error."""
-    by_id = {t.task_id: t for t in tasks}
-    unknown = [t for t in wanted if t not in by_id]
+def known_tasks(prompts: Mapping[str, str], wanted: Sequence[str]) -> dict[str, str]:
+    """The wanted prompts in the wanted order; unknown names are an error."""
+    unknown = [name for name in wanted if name not in prompts]
     if unknown:
-        raise ValueError(f"unknown tasks {unknown}; known: {sorted(by_id)}")
-    return [by_id[t] for t in wanted]
+        raise ValueError(f"unknown tasks {unknown}; known: {sorted(prompts)}")
+    return {name: prompts[name] for name in wanted}
 
 
-def fill(template: TaskTemplate, columns: Sequence[str]) -> Column:
-    """Template with its slots filled from columns of the same name.
+def fill(prompt: str, columns: Sequence[str]) -> Column:
+    """The prompt with its slots filled from columns of the same name, all of which must
+    be there.
 
     The literal parts are cut out at plan time, so braces inside a text are plain
     text and one ``concat`` does the work.
     """
-    missing = [k for k in template.required_keys if k not in columns]
+    pieces = [(literal, slot) for literal, slot, _, _ in Formatter().parse(prompt)]
+    missing = sorted({slot for _, slot in pieces if slot is not None and slot not in columns})
     if missing:
-        raise ValueError(f"task {template.task_id!r} lacks columns {missing}")
+        raise ValueError(f"the prompt lacks columns {missing}")
     parts: list[Column] = []
-    for literal, slot, _, _ in Formatter().parse(template.template):
+    for literal, slot in pieces:
         if literal:
             parts.append(F.lit(literal))
         if slot is not None:
@@ -132,10 +124,10 @@ def fill(template: TaskTemplate, columns: Sequence[str]) -> Column:
 
 
 def render_user(
-    df: DataFrame, task_id: str, tasks: Sequence[TaskTemplate] = TASKS, out: str = "user"
+    df: DataFrame, task: str, prompts: Mapping[str, str] = TASKS, out: str = "user"
 ) -> DataFrame:
     """Add the user prompt of one task."""
-    return df.withColumn(out, fill(known_tasks(tasks, [task_id])[0], df.columns))
+    return df.withColumn(out, fill(known_tasks(prompts, [task])[task], df.columns))
 
 
 def render_system(
@@ -156,26 +148,26 @@ def render_system(
 def render(
     df: DataFrame,
     models: Sequence[str],
-    task_ids: Sequence[str],
+    tasks: Sequence[str],
     overrides: Mapping[str, str] | None = None,
-    tasks: Sequence[TaskTemplate] = TASKS,
+    prompts: Mapping[str, str] = TASKS,
 ) -> DataFrame:
     """Every sample x model x task with its (system, user) prompt pair.
 
     The fan-out is an explode of a literal array, planned without a join.
     """
-    chosen = known_tasks(tasks, task_ids)
+    chosen = known_tasks(prompts, tasks)
     pairs = F.array(
         *[
-            F.struct(F.lit(m).alias("model_id"), F.lit(t.task_id).alias("task_id"))
+            F.struct(F.lit(m).alias("model_id"), F.lit(name).alias("task_id"))
             for m in models
-            for t in chosen
+            for name in chosen
         ]
     )
     columns = df.columns
     user = F.lit(None).cast("string")
-    for template in chosen:
-        user = F.when(F.col("task_id") == template.task_id, fill(template, columns)).otherwise(user)
+    for name, prompt in chosen.items():
+        user = F.when(F.col("task_id") == name, fill(prompt, columns)).otherwise(user)
     fanned = df.select("*", F.explode(pairs).alias("__pair")).select(
         *columns, F.col("__pair.model_id"), F.col("__pair.task_id")
     )

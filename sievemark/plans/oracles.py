@@ -240,18 +240,18 @@ ORDERED_ROWS = f"""SELECT row_number() OVER (ORDER BY lang, doc_id) AS position,
 # --- prompts ---------------------------------------------------------------------------------------
 
 
-def _prompt(task: prompts.TaskTemplate) -> str:
-    before, after = task.template.split("{content}")
+def _prompt(prompt: str) -> str:
+    before, after = prompt.split("{content}")
     plain = [p.replace("{{", "{").replace("}}", "}") for p in (before, after)]
     return f"{q(plain[0])} || text || {q(plain[1])}"
 
 
 _RENDERED = " UNION ALL ".join(
-    f"SELECT doc_id, {q(m)} AS model_id, {q(t.task_id)} AS task_id, "
+    f"SELECT doc_id, {q(m)} AS model_id, {q(name)} AS task_id, "
     f"md5({q(OVERRIDES.get(m, prompts.SYSTEM_PROMPT))}) AS system_md5, "
     f"md5({_prompt(t)}) AS user_md5 FROM documents"
     for m in MODELS
-    for t in prompts.TASKS
+    for name, t in prompts.TASKS.items()
 )
 
 _PHRASES = "text"
@@ -502,7 +502,7 @@ SELECT doc_id, CASE WHEN lang = 'es' THEN 'full_sequence_fallback' ELSE 'token_b
         FROM documents""",
     "prompt_validation": f"""SELECT place::INTEGER AS place, task_id, task_id <> 'unheard-of' AS known,
           CASE WHEN task_id <> 'unheard-of' THEN (SELECT count(*) FROM documents) ELSE 0 END AS prompts
-        FROM (SELECT unnest({[*reversed([t.task_id for t in prompts.TASKS]), "unheard-of"]}) AS task_id,
+        FROM (SELECT unnest({[*reversed(prompts.TASKS), "unheard-of"]}) AS task_id,
           unnest(range({len(prompts.TASKS) + 1})) AS place)""",
     "moderate_empty": f"""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN hit END AS contains_pii,
           CASE WHEN doc_id % 3 = 2 THEN n ELSE 0 END::BIGINT AS total_tokens,

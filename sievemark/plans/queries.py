@@ -272,7 +272,7 @@ OVERRIDES = {"guard/own": "只輸出 JSON。"}
 @query
 def render_prompts(spark, sf_dir):
     samples = D.documents(spark, sf_dir).select("doc_id", F.col("text").alias("content"))
-    rendered = prompts.render(samples, MODELS, [t.task_id for t in prompts.TASKS], OVERRIDES)
+    rendered = prompts.render(samples, MODELS, list(prompts.TASKS), OVERRIDES)
     return rendered.select(
         "doc_id",
         "model_id",
@@ -285,12 +285,11 @@ def render_prompts(spark, sf_dir):
 @query
 def prompt_validation(spark, sf_dir):
     """Which of the wanted tasks are known, in the wanted order; one is not."""
-    tasks = [t.task_id for t in prompts.TASKS]
-    wanted = [*reversed(tasks), "unheard-of"]
+    wanted = [*reversed(prompts.TASKS), "unheard-of"]
     rows = []
     for place, name in enumerate(wanted):
         try:
-            rows.append((place, name, prompts.known_tasks(prompts.TASKS, [name])[0].task_id == name))
+            rows.append((place, name, name in prompts.known_tasks(prompts.TASKS, [name])))
         except ValueError:
             rows.append((place, name, False))
     known = F.broadcast(spark.createDataFrame(rows, "place int, task_id string, known boolean"))

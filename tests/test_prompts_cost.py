@@ -33,9 +33,9 @@ def test_prompt_errors(spark):
         P.render_user(df, "pii_binary")
     with pytest.raises(ValueError, match="pii_detection"):
         P.render_user(df, "nope")
-    own = P.TaskTemplate("own", "{a}-{{{b}}}", ("a", "b"))
+    own = {"own": "{a}-{{{b}}}"}
     two = df.select(F.lit("x{b}").alias("a"), F.lit("y").alias("b"))
-    assert P.render_user(two, "own", [own]).first().user == "x{b}-{y}"
+    assert P.render_user(two, "own", own).first().user == "x{b}-{y}"
 
 
 def test_messages(spark):
