@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from types import ModuleType
 from typing import TypeVar
 
@@ -58,6 +60,19 @@ def byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(hidden)}
 
 
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """Python's search for cycles is off inside the block. It would go over large caches
+    again and again; code that makes no cycles needs none."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def process_wide(key: tuple, make: Callable[[], T]) -> T:
     """A value kept for the life of a Python worker process, which serves many tasks.
 

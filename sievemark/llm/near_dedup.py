@@ -45,7 +45,7 @@ from sievemark.llm.common import UPPER, blobs, bound_batches, free_name, materia
 from sievemark.llm.components import connected_components
 
 FOLD = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 PAIRS_AT_ONCE = 256
 # A block holds so many shingles; a member counts for some even if it is short.
 BLOCK_SHINGLES = 1_500_000

@@ -35,12 +35,12 @@ import sentencepiece
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import blobs, process_wide
+from sievemark.llm.common import blobs, no_collection, process_wide
 
 SPACE = "▁"
 SCALE = 1_000_000
 BYTE_COST = 4.0  # of a byte piece, below the rarest piece, as a log probability
-CACHE_SEGMENTS = 150_000
+CACHE_SEGMENTS = 60_000
 TEXTS_AT_ONCE = 256
 LONGEST_CACHED = 64
 NEVER = np.iinfo(np.int64).max
@@ -56,6 +56,12 @@ def packed(*ids: int) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def char_class(chars: Iterable[str]) -> str:
+    """A pattern for one of the characters, empty for none."""
+    listed = "".join(re.escape(c) for c in sorted(chars))
+    return f"[{listed}]" if listed else ""
+
+
 class Pieces:
     """The pieces of a model with their ids and scores."""
 
@@ -90,9 +96,14 @@ class Pieces:
                 level = node[1]
             node[0] = (packed(i), score)
         self.neighbours = {name[k : k + 2] for name in known for k in range(len(name) - 1)}
-        alone = "".join(re.escape(c) for c in sorted(set("".join(known)) - {SPACE}))
+        chars = set("".join(known)) - {SPACE}
+        joined = {pair[1] for pair in self.neighbours if pair[0].isalnum()}
+        # Where a word meets a mark that no piece has behind a letter, no edge passes.
+        words = char_class(c for c in chars if c.isalnum())
+        loose = char_class(c for c in chars if not c.isalnum() and c not in joined)
+        word = f"{SPACE}*{words}++(?={loose})|" if words and loose else ""
         # A character of no piece stands alone between segments.
-        self.segment = re.compile(f"{SPACE}*[{alone}]+|{SPACE}+|[^{SPACE}]")
+        self.segment = re.compile(f"{word}{SPACE}*{char_class(chars)}+|{SPACE}+|[^{SPACE}]")
         if any(SPACE in p.lstrip(SPACE) for p in known):
             raise ValueError("pieces that go on behind a space are not supported")
 
@@ -291,9 +302,10 @@ class Segmenter:
             self.pieces.segment.findall(SPACE + t.decode("utf-8", "replace").replace(" ", SPACE)) if t else []
             for t in texts
         ]
-        self.learn(set().union(*split))
-        rows = [self.of_segments(segments) for segments in split]
-        self.forget()
+        with no_collection():
+            self.learn(set().union(*split))
+            rows = [self.of_segments(segments) for segments in split]
+            self.forget()
         return rows
 
     def of(self, text: bytes) -> tuple:
