@@ -677,10 +677,13 @@ def moderation_events(spark, sf_dir):
 
 
 def _stream_table(spark, sf_dir, name):
-    schema = D.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(
-        sf_dir
-    )
+    """A given table as a stream. A stream is read from a folder: the table's own, or, where
+    the table is one file, the folder that holds it."""
+    stored, file = D.table(spark, sf_dir, name), f"{name}.parquet"
+    live = spark.readStream.schema(stored.schema)
+    if any(path.endswith(f"/{file}") for path in stored.inputFiles()):
+        return live.option("pathGlobFilter", file).parquet(sf_dir)
+    return live.parquet(f"{sf_dir}/{file}")
 
 
 @query

@@ -173,3 +173,20 @@ def test_state_has_to_be_released(spark, tmp_path):
     _, stream = as_stream(spark, texts(3), str(tmp_path / "in"))
     with pytest.raises(ValueError, match="never released"):
         S.event_stream(stream)
+
+
+def test_a_table_is_streamed_from_a_file_or_a_folder(spark, tmp_path):
+    from sievemark.plans.queries import REGISTRY
+
+    rows = [(i, "a b" if i % 2 else "a x@example.com b") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/parts")
+    (part,) = (tmp_path / "parts").glob("*.parquet")
+    (tmp_path / "file").mkdir()
+    (tmp_path / "file" / "documents.parquet").write_bytes(part.read_bytes())
+    for kind in ("folder", "file"):
+        found = REGISTRY["early_stop_stream"](spark, f"{tmp_path}/{kind}")
+        assert {tuple(r) for r in found.select("doc_id", "processed_tokens", "total_tokens").collect()} == {
+            (i, 2, 2 if i % 2 else 3) for i in range(20)
+        }
