@@ -5,17 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 
 # Index of something that has not been seen.
 NONE = -1
 # What a step can be, as bits of one number.
 IS_PII, IS_END, FAILED = 1, 2, 4
 
-STATE_TYPE = (
-    "starts array<bigint>, ends array<bigint>, trigger bigint, fault bigint, fault_text string, "
+TEXT_TYPE = (
+    "sample_id bigint, until bigint, starts array<bigint>, ends array<bigint>, trigger bigint, fault bigint, fault_text string, "
     "top bigint, top_category string, last bigint, closed boolean, said bigint"
 )
+# The texts of a bucket, each with the time it may stay quiet until.
+STATE_TYPE = f"texts array<struct<{TEXT_TYPE.replace(' ', ': ').replace(',: ', ', ')}>>"
 
 
 def smaller(one: int, other: int) -> int:
@@ -55,10 +56,8 @@ class Progress:
     said: int = 0
 
     @classmethod
-    def of(cls, state) -> Progress:
-        if not state.exists:
-            return cls()
-        starts, ends, *rest = state.get
+    def of(cls, values: tuple) -> Progress:
+        starts, ends, *rest = values
         return cls(list(starts), list(ends), *rest)
 
     def as_state(self) -> tuple:
@@ -67,13 +66,15 @@ class Progress:
             self.top_category, self.last, self.closed, self.said,
         )
 
-    def add(self, chunk: pd.DataFrame, intervals: bool = True) -> None:
-        """Take in steps: token_index, flags (of IS_PII, IS_END, FAILED), category, error."""
-        index, flags = chunk["token_index"].to_numpy(), chunk["flags"].to_numpy()
+    def add(
+        self, index: np.ndarray, flags: np.ndarray, category: np.ndarray, error: np.ndarray,
+        intervals: bool = True,
+    ) -> None:
+        """Take in steps, of which ``flags`` say IS_PII, IS_END, FAILED."""
         highest = int(index.argmax())
         if index[highest] >= self.top:
             self.top = int(index[highest])
-            self.top_category = str(chunk["category"].iloc[highest] or "")
+            self.top_category = str(category[highest] or "")
         if flags.any():
             hits, marked = index[flags & IS_PII > 0], index[flags & IS_END > 0]
             if len(hits):
@@ -84,7 +85,7 @@ class Progress:
             if len(failed):
                 first = failed[index[failed].argmin()]
                 if self.fault == NONE or index[first] < self.fault:
-                    self.fault, self.fault_text = int(index[first]), str(chunk["error"].iloc[first])
+                    self.fault, self.fault_text = int(index[first]), str(error[first])
         if intervals:
             self.starts, self.ends = joined(self.starts, self.ends, index)
 

@@ -190,3 +190,19 @@ def test_a_table_is_streamed_from_a_file_or_a_folder(spark, tmp_path):
         assert {tuple(r) for r in found.select("doc_id", "processed_tokens", "total_tokens").collect()} == {
             (i, 2, 2 if i % 2 else 3) for i in range(20)
         }
+
+
+def test_calls_of_python_do_not_grow_with_the_texts(spark, tmp_path, monkeypatch):
+    """Ids of any size, null among them, share buckets; each keeps a state of its own."""
+    monkeypatch.setattr(S.by_text, "__defaults__", (*S.by_text.__defaults__[:-1], 4))
+    ids = [None, -1, 2**62 + 1, 2**62 + 2, *range(50)]
+    rows = [(i, at, "PII" if at == 2 else "None") for i in ids for at in range(4)]
+    steps = spark.createDataFrame(rows, "sample_id bigint, token_index bigint, category string")
+    steps.repartition(5).write.parquet(f"{tmp_path}/steps")
+    live = spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/steps")
+    held = S.early_stop_sessions(live, unbounded=True)
+    plan = held._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandasWithState advance" in plan and "[bucket" in plan
+    found = S.drain(held).collect()
+    assert sorted(map(str, (r.sample_id for r in found))) == sorted(map(str, ids))
+    assert {tuple(r)[1:] for r in found} == {(3, 4, 2, True, False)}
