@@ -132,7 +132,8 @@ def by_text(
         raise ValueError("state is never released: give end_col or ts_col, or set unbounded")
     require_columns(steps, id_col, "token_index", "category")
     timed = steps.withWatermark(ts_col, watermark) if ts_col else steps
-    ts = F.unix_millis(F.col(ts_col).cast("timestamp")) if ts_col else F.lit(0).cast("bigint")
+    none = F.lit(0).cast("bigint")
+    ts = F.coalesce(F.unix_millis(F.col(ts_col).cast("timestamp")), none) if ts_col else none
     error = (F.col(error_col) if error_col else F.lit(None)).cast("string")
     kinds = {IS_PII: is_pii_category(F.col("category")), FAILED: error.isNotNull()}
     if end_col:

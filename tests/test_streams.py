@@ -206,3 +206,14 @@ def test_calls_of_python_do_not_grow_with_the_texts(spark, tmp_path, monkeypatch
     found = S.drain(held).collect()
     assert sorted(map(str, (r.sample_id for r in found))) == sorted(map(str, ids))
     assert {tuple(r)[1:] for r in found} == {(3, 4, 2, True, False)}
+
+
+def test_steps_without_a_time_count(spark, tmp_path):
+    rows = [(i, at, "PII" if at == 1 else "None", at == 2, at != i % 3) for i in range(30) for at in range(3)]
+    steps = spark.createDataFrame(
+        rows, "sample_id bigint, token_index bigint, category string, is_end boolean, timed boolean"
+    ).withColumn("ts", F.when(F.col("timed"), F.timestamp_seconds(F.col("token_index"))))
+    steps.repartition(1).write.parquet(f"{tmp_path}/steps")
+    live = spark.readStream.schema(steps.schema).parquet(f"{tmp_path}/steps")
+    found = S.early_stop_sessions(live, end_col="is_end", ts_col="ts", watermark="36500 days")
+    assert {tuple(r)[1:] for r in S.drain(found).collect()} == {(2, 3, 1, True, True)}
