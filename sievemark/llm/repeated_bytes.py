@@ -21,7 +21,8 @@ Sorting every position of the corpus at every offset is not needed for that:
 
 What is left of one position after a round is 128 bits of rank, its document and place.
 Groups are reduced to their smallest document by partial aggregation and joined back, so
-no group is collected. Everything between the rounds is written to the shared folder.
+no group is collected. Everything between the rounds is written to the shared folder and
+removed, with the shuffle files it came from, once the next round has been written.
 
 Cases: a null text counts as empty; a text below 50 bytes keeps all bytes; rows that
 repeat an id never remove each other's bytes; a null id counts as the largest; an empty
@@ -39,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.llm.common import blobs, bound_batches, materialize
+from sievemark.session import new_scratch_path, owned_scratch, result_of, shuffles_removed
 
 HALF = 25
 LENGTH = 2 * HALF
@@ -278,6 +280,9 @@ def rank_pairs(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(pairs, "k1 bigint, k2 bigint, ref bigint, doc bigint, pos bigint")
 
 
+REDUCED_TYPE = "ref bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"
+
+
 def reduced(texts: DataFrame) -> DataFrame:
     """(ref, n_removed, n_spans, kept, kept_sha256) of texts with the arrays ``wide``
     (anchors whose 75 bytes go) and ``near`` (starts of 50 bytes that go)."""
@@ -305,9 +310,7 @@ def reduced(texts: DataFrame) -> DataFrame:
                 names=["ref", "n_removed", "n_spans", "kept", "kept_sha256"],
             )
 
-    return texts.mapInArrow(
-        apply, "ref bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"
-    )
+    return texts.mapInArrow(apply, REDUCED_TYPE)
 
 
 def smallest(rows: DataFrame) -> DataFrame:
@@ -319,6 +322,11 @@ def smallest(rows: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; ``kept`` is
     null where nothing was removed."""
+    with shuffles_removed(docs.sparkSession):
+        return _remove_repeats(docs, id_col, text_col)
+
+
+def _remove_repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     payload = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     source = bound_batches(docs).select(
         F.col(id_col).alias("doc_id"),
@@ -341,48 +349,70 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(2 * parts, total // 2 // BLOCK_BYTES)
+    done = new_scratch_path(spark, "repeat-reduced")
 
     # Round 1: ranks at 25 bytes.
     some = source.where(F.octet_length("text") >= LENGTH).select("ref", "text")
-    shared = materialize(shared_ranks(some, buckets), "repeat-shared")
-    wanted = rows.where(~F.col("copy")).select("ref", "doc", "sha").distinct().join(shared, "ref")
-    texts = materialize(
-        source.select("doc", "sha", "text").join(wanted, ["doc", "sha"]).dropDuplicates(["ref"]),
-        "repeat-texts",
-    )
+
+    def sharing() -> DataFrame:
+        shared = materialize(shared_ranks(some, buckets), "repeat-shared")
+        wanted = rows.where(~F.col("copy")).select("ref", "doc", "sha").distinct().join(shared, "ref")
+        return source.select("doc", "sha", "text").join(wanted, ["doc", "sha"]).dropDuplicates(["ref"])
+
     # Round 2: ranks at 75 bytes.
-    around = materialize(smallest(materialize(surroundings(texts), "repeat-anchors")), "repeat-around")
-    wide = around.where("doc > first").select("ref", "pos")
-    firsts = around.where("doc = first").select("rank", "ref", "doc", "pos")
-    edges = firsts.groupBy("rank").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    places = firsts.join(edges.select("rank"), "rank", "left_semi").groupBy("ref").agg(
-        F.collect_list("pos").alias("places")
-    )
+    def anchored() -> DataFrame:
+        found = smallest(materialize(surroundings(texts), "repeat-anchors"))
+        least = F.col("doc") == F.col("first")
+        # Only a smallest document goes on with its ranks.
+        return found.select(
+            "ref", F.col("pos").cast("int").alias("pos"), (F.col("doc") > F.col("first")).alias("later"),
+            F.when(least, F.col("rank")).alias("rank"), F.when(least, F.col("doc")).alias("doc"),
+        )
+
     # Round 3: ranks at 38 bytes, where the surroundings differ.
-    sides = materialize(side_pairs(texts.join(places, "ref").select("ref", "doc", "text", "places")), "repeat-sides")
-    two = sides.groupBy("k1", "k2", "left").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    open_sides = (
-        sides.join(two.select("k1", "k2", "left"), ["k1", "k2", "left"], "left_semi")
-        .groupBy("ref")
-        .agg(
-            F.collect_list(F.when(F.col("left"), F.col("pos"))).alias("lefts"),
-            F.collect_list(F.when(~F.col("left"), F.col("pos"))).alias("rights"),
+    def sided() -> DataFrame:
+        firsts = around.where(~F.col("later")).select("rank", "ref", "doc", "pos")
+        edges = firsts.groupBy("rank").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+        places = firsts.join(edges.select("rank"), "rank", "left_semi").groupBy("ref").agg(
+            F.collect_list("pos").alias("places")
         )
-    )
+        sides = materialize(side_pairs(texts.join(places, "ref").select("ref", "doc", "text", "places")), "repeat-sides")
+        two = sides.groupBy("k1", "k2", "left").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+        return (
+            sides.join(two.select("k1", "k2", "left"), ["k1", "k2", "left"], "left_semi")
+            .groupBy("ref")
+            .agg(
+                F.collect_list(F.when(F.col("left"), F.col("pos"))).alias("lefts"),
+                F.collect_list(F.when(~F.col("left"), F.col("pos"))).alias("rights"),
+            )
+        )
+
     # Round 4: ranks at 50 bytes.
-    around_sides = texts.join(open_sides, "ref").select("ref", "doc", "text", "lefts", "rights")
-    pairs = materialize(rank_pairs(around_sides), "repeat-pairs")
-    near = smallest(pairs).where("doc > first").select("ref", "pos")
-    marks = (
-        wide.withColumn("wide", F.lit(True))
-        .unionByName(near.withColumn("wide", F.lit(False)))
-        .groupBy("ref")
-        .agg(
-            F.collect_list(F.when(F.col("wide"), F.col("pos"))).alias("wide"),
-            F.collect_list(F.when(~F.col("wide"), F.col("pos"))).alias("near"),
+    def paired() -> DataFrame:
+        around_sides = texts.join(open_sides, "ref").select("ref", "doc", "text", "lefts", "rights")
+        pairs = materialize(rank_pairs(around_sides), "repeat-pairs")
+        return smallest(pairs).where("doc > first").select("ref", F.col("pos").cast("int").alias("pos"))
+
+    def reducing() -> DataFrame:
+        wide = around.where("later").select("ref", "pos")
+        marks = (
+            wide.withColumn("wide", F.lit(True))
+            .unionByName(near.withColumn("wide", F.lit(False)))
+            .groupBy("ref")
+            .agg(
+                F.collect_list(F.when(F.col("wide"), F.col("pos"))).alias("wide"),
+                F.collect_list(F.when(~F.col("wide"), F.col("pos"))).alias("near"),
+            )
         )
-    )
-    cut = reduced(texts.select("ref", "text").join(marks, "ref"))
+        return reduced(texts.select("ref", "text").join(marks, "ref"))
+
+    with owned_scratch(spark, "repeat-rounds"):
+        texts = result_of(spark, sharing, "repeat-texts")
+        around = result_of(spark, anchored, "repeat-around")
+        open_sides = result_of(spark, sided, "repeat-open")
+        near = result_of(spark, paired, "repeat-near")
+        reducing().write.parquet(done)
+    cut = spark.read.schema(REDUCED_TYPE).parquet(done)
     nothing = hashlib.sha256(b"").hexdigest()
     none = F.lit(0).cast("long")
     copies = rows.where("copy").select(

@@ -17,6 +17,14 @@ from pyspark.sql import functions as F
 SMALL_TABLE_ROWS = 10_000
 SMALL_TABLE_BYTES = 8 << 20
 
+# Arrow batches of whole texts end at this size. A Python worker holds a batch several times
+# over, as strings and with what is made of them. Bounds that this library has not set stay.
+TEXT_BATCH_BYTES = 4 << 20
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_DEFAULTS = ("67108864b", str(16 << 20))  # Spark's, and that of the training-data operators
+
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # Folders of the owners that are open, innermost last.
 _owned: list[str] = []
 
@@ -83,6 +91,21 @@ def result_of(spark: SparkSession, make: Callable[[], DataFrame], name: str) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside the block, the shuffle files of a query go when it has ended. Without that
+    they stay until the driver happens to collect garbage."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def small_or_materialized(df: DataFrame, name: str = "small") -> DataFrame:
     """Pin a table expected to be small (a dimension, one row per group, ...).
 
@@ -98,6 +121,15 @@ def small_or_materialized(df: DataFrame, name: str = "small") -> DataFrame:
     return materialize(df, name)
 
 
+def bound_text_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session with small Arrow batches, so that what a Python worker holds does
+    not grow with the partitions."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY) in BATCH_DEFAULTS:
+        conf.set(BATCH_KEY, str(TEXT_BATCH_BYTES))
+    return df
+
+
 def require_columns(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
