@@ -23,7 +23,7 @@ from sievemark.operators.prompts import (
     REWRITE_SYSTEM,
 )
 from sievemark.operators.ranks import number_rows
-from sievemark.session import materialize, require_columns, with_computed
+from sievemark.session import bound_text_batches, materialize, require_columns, with_computed
 
 STATUS_OK, STATUS_FAILED = "ok", "failed"
 
@@ -92,22 +92,23 @@ def _map_with_broadcast(df: DataFrame, col: str, phrases: Mapping[str, str]) ->
         for texts in batches:
             yield texts.map(lambda t: _longest_match(t, by_length, starts), na_action="ignore")
 
-    return df.withColumn(col, convert(F.col(col)))
+    return bound_text_batches(df).withColumn(col, convert(F.col(col)))
 
 
-def _weave(text: str, hits: list | None) -> str:
+def _weave(text: str, places: Sequence[int], lengths: Sequence[int], targets: Sequence[str]) -> str:
     """Put the targets of the left-most, longest hits in place."""
     out, at = [], 0
-    for hit in sorted(hits if hits is not None else (), key=lambda h: (h["at"], -h["len"])):
-        if hit["at"] >= at:
-            out += [text[at : hit["at"]], hit["target"]]
-            at = hit["at"] + hit["len"]
+    for place, length, target in sorted(zip(places, lengths, targets), key=lambda h: (h[0], -h[1])):
+        if place >= at:
+            out += [text[at:place], target]
+            at = place + length
     return "".join(out) + text[at:]
 
 
 @F.pandas_udf(T.StringType())
-def _weave_all(texts: pd.Series, hits: pd.Series) -> pd.Series:
-    return pd.Series([_weave(t, h) for t, h in zip(texts, hits)], dtype="object")
+def _weave_all(texts: pd.Series, places: pd.Series, lengths: pd.Series, targets: pd.Series) -> pd.Series:
+    """Hits come as three arrays: as structs each would be a dictionary in Python."""
+    return pd.Series([_weave(*row) for row in zip(texts, places, lengths, targets)], dtype="object")
 
 
 # Phrases are found by their first 1, 2, 4, 8 or 16 characters, the most they have.
@@ -173,7 +174,8 @@ def _map_with_join(df: DataFrame, col: str, mapping: DataFrame) -> DataFrame:
         .groupBy(key)
         .agg(F.collect_list(F.struct("at", F.length("phrase").alias("len"), "target")).alias("hits"))
     )
-    converted = texts.join(hits, key).select(key, _weave_all("text", "hits").alias("__converted"))
+    woven = _weave_all("text", "hits.at", "hits.len", "hits.target")
+    converted = bound_text_batches(texts.join(hits, key)).select(key, woven.alias("__converted"))
     return (
         df.withColumn(key, F.sha2(F.col(col), 256))
         .join(converted, key, "left")
