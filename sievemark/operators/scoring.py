@@ -33,7 +33,7 @@ from sievemark.functions.answers import (
 )
 from sievemark.functions.flags import DEFAULT_RULES, any_rule, has_obvious_pii
 from sievemark.functions.text import clean
-from sievemark.session import materialize, require_columns
+from sievemark.session import bound_text_batches, materialize, require_columns
 
 T_ = TypeVar("T_")
 RAISED = re.compile(r"[A-Za-z_][\w.]*(Error|Exception|Interrupt|Exit|Warning)\b")
@@ -242,11 +242,15 @@ def _unread(reason: Column) -> Column:
 
 def bounded_calls(df: DataFrame, concurrency: int, max_calls: int) -> tuple[DataFrame, int]:
     """(rows in few enough partitions, threads of each) for ``max_calls`` calls at once in
-    the whole job, wherever its tasks run. Partitions are put together without a shuffle."""
+    the whole job, wherever its tasks run. Partitions are put together without a shuffle.
+
+    A partition per call as far as there are cores, and threads only for the calls that are
+    left: the more partitions, the less of the table one task has to read.
+    """
     if max_calls < 1:
         raise ValueError("at least one call at a time")
-    threads = min(max(1, concurrency), max_calls)
-    return df.coalesce(max_calls // threads), threads
+    tasks = min(max_calls, max(1, df.sparkSession.sparkContext.defaultParallelism))
+    return df.coalesce(tasks), min(max(1, concurrency), max_calls // tasks)
 
 
 def score(
@@ -281,6 +285,7 @@ def score(
                 **model,
             }
         )
+    df = bound_text_batches(df)
     rows, threads = df.repartition(partitions) if partitions else df, max(1, scorer.concurrency)
     if max_calls is not None:
         rows, threads = bounded_calls(rows, threads, max_calls)

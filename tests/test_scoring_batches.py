@@ -141,3 +141,27 @@ def test_scorers_run_at_the_same_time(spark, texts):
     assert time.time() - start < 60
     (a, b), (c, d) = spans["slow"], spans["slower"]
     assert max(a, c) < min(b, d)
+
+
+@pytest.mark.parametrize(("calls", "concurrency"), [(1, 4), (3, 4), (6, 1), (8, 4), (100, 4)])
+def test_bounded_calls_are_dealt_over_many_tasks(texts, calls, concurrency):
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    many = texts.repartition(200)
+    rows, threads = S.bounded_calls(many, concurrency, calls)
+    assert rows.rdd.getNumPartitions() == min(calls, cores)
+    assert 1 <= threads <= concurrency and threads * rows.rdd.getNumPartitions() <= calls
+
+
+class BatchSizes(S.BatchScorer):
+    key = model_id = "sizes"
+    batch_texts, batch_chars = 1 << 30, 1 << 60
+
+    def score_batch(self, contents):
+        return [S.Answer(str(sum(map(len, contents))))] * len(contents)
+
+
+def test_what_python_holds_does_not_grow_with_the_partitions(spark):
+    long = spark.range(4000).coalesce(1).select(F.repeat(F.lit("abcdefgh"), 500).alias("content"))
+    raw = F.get_json_object("output_json", "$.raw_text").cast("long")
+    most = S.score(long, BatchSizes()).agg(F.max(raw)).first()[0]
+    assert most <= 5 << 20
