@@ -106,6 +106,18 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
+@contextmanager
+def small_text_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside the block, Arrow batches end at ``TEXT_BATCH_BYTES``. For work that ends in it."""
+    before = spark.conf.get(BATCH_KEY)
+    if before in BATCH_DEFAULTS:
+        spark.conf.set(BATCH_KEY, str(TEXT_BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_KEY, before)
+
+
 def small_or_materialized(df: DataFrame, name: str = "small") -> DataFrame:
     """Pin a table expected to be small (a dimension, one row per group, ...).
 

@@ -330,6 +330,21 @@ def test_repeated_bytes(spark, docs, nothing):
     assert repeated_bytes.remove_repeats(nothing).count() == 0
 
 
+def test_repeated_bytes_blocks(spark):
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choices(VOCABULARY, k=400))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "ref bigint, text string")
+    sizes = {}
+    for r in repeated_bytes.packed_ranks(docs, 8).collect():
+        sizes[r.bucket] = sizes.get(r.bucket, 0) + len(r.ranks)
+    assert len(sizes) == 8 and max(sizes.values()) < 1.5 * sum(sizes.values()) / 8
+    # What all documents have is sent once a batch.
+    same = spark.createDataFrame([(i, texts[0][1]) for i in range(60)], "ref bigint, text string").coalesce(1)
+    sent = sum(len(r.ranks) for r in repeated_bytes.packed_ranks(same, 8).collect() if not r.known)
+    alone = sum(len(r.ranks) for r in repeated_bytes.packed_ranks(same.limit(1), 8).collect())
+    assert sent == alone
+
+
 def test_language_spans(spark, docs, nothing):
     rng = np.random.default_rng(3)
     for _ in range(150):
