@@ -30,6 +30,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,7 +52,8 @@ from sievemark.llm.common import (
     write_manifest,
 )
 
-WORD_END = re.compile(rb"(?<=[A-Za-z0-9])(?=[!-/:-@\[-`{-~])")
+# A mark behind a letter or digit. It begins with the marks, so most letters are passed over.
+WORD_END = re.compile(rb"([!-/:-@\[-`{-~])(?<=[A-Za-z0-9].)")
 # Fixed value: how a word tokenizer of the known kind cuts a text.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Small letters of Latin-1, in UTF-8.
@@ -96,19 +98,21 @@ class PieceIds(dict):
     def __init__(self, tokenizer: Tokenizer, dtype: str) -> None:
         self.tokenizer, self.model, self.dtype = tokenizer, tokenizer.model, dtype
         self.letters = byte_letters()
+        self.code = "H" if dtype == "<u2" else "I"
         self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, piece: bytes) -> bytes:
         packed = self.old.get(piece)
         if packed is None:
-            if SMALL_LETTERS.fullmatch(piece):
-                # One word, normal as it is: the tokenizer's model takes it, written in
-                # its letters.
+            # One word, normal as it is: the tokenizer's model takes it, written in its letters.
+            if piece.isalpha() and piece.islower():  # of bytes: a-z, which stand for themselves
+                ids = [token.id for token in self.model.tokenize(piece.decode("ascii"))]
+            elif SMALL_LETTERS.fullmatch(piece):
                 written = piece.decode("latin-1").translate(self.letters)
                 ids = [token.id for token in self.model.tokenize(written)]
             else:
                 ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
-            packed = np.array(ids, self.dtype).tobytes()
+            packed = struct.pack(f"<{len(ids)}{self.code}", *ids)
         if len(piece) <= LONGEST_CACHED:
             self[piece] = packed
         return packed
@@ -145,7 +149,7 @@ class Encoder:
         an ASCII mark, which no token goes across."""
         if self.lowers:  # the tokenizer does so as well: fewer different pieces
             text = text.lower()
-        return WORD_END.sub(b" ", text).split()  # of bytes: at ASCII white space
+        return WORD_END.sub(rb" \1", text).split()  # of bytes: at ASCII white space
 
     def documents(self, texts: list[bytes]) -> list[bytes]:
         done = []

@@ -8,6 +8,7 @@ import io
 import itertools
 import json
 import random
+import re
 import zlib
 
 import brute
@@ -330,6 +331,19 @@ def test_repeated_bytes(spark, docs, nothing):
     assert repeated_bytes.remove_repeats(nothing).count() == 0
 
 
+def test_word_ends_keep_the_cut():
+    encoder = token_files.Encoder(token_files.TokenSpec(WORDS, 1, True), "<u2")
+    plain = re.compile(rb"(?<=[A-Za-z0-9])(?=[!-/:-@\[-`{-~])")
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choices("abZ19.,'\"!{~é… \n", k=120)).encode()
+        lowered = text.lower() if encoder.lowers else text
+        assert encoder.cut(text) == plain.sub(b" ", lowered).split()
+        assert encoder.documents([text]) == [encoder.whole(text) + encoder.end]
+    # The expression starts with a set of marks, which the search looks for first.
+    assert token_files.WORD_END.pattern.startswith(b"([!-/")
+
+
 def test_repeated_bytes_blocks(spark):
     rng = random.Random(3)
     texts = [(i, " ".join(rng.choices(VOCABULARY, k=400))) for i in range(60)]
