@@ -277,6 +277,38 @@ def test_pieces(spark, docs, nothing):
     assert nothing.select(piece_nbest.n_best_pieces(F.col("text"), PIECES)).count() == 0
 
 
+def test_pieces_side_by_side():
+    segmenter = piece_nbest.Segmenter(PIECES, 4)
+    words = ["".join(random.choices("theoncionéèvlr,.", k=random.randint(1, 40))) for _ in range(500)]
+    texts = sorted({piece_nbest.SPACE + w for w in words})
+    fit = segmenter.columns.fit([*texts, "漢\n"])
+    assert fit.tolist() == [len(t) <= piece_nbest.SIDE_BY_SIDE for t in texts] + [False]
+    short = [t for t, f in zip(texts, fit, strict=False) if f]
+    ids, sizes, scores, seconds = segmenter.columns.best(short)
+    ends = np.cumsum(sizes)
+    for text, a, b, score, second in zip(short, ends - sizes, ends, scores, seconds, strict=True):
+        assert segmenter.pieces.best_of_all([text])[text] == (ids[a:b].tobytes(), score, second, 0)
+
+
+def test_pieces_of_chunks(monkeypatch):
+    """What a chunk gives does not depend on what lies around it or is remembered."""
+    kinds = ["the", "of", " ", "  ", "Hello", "ción", ",", ";", ".", "\n", "\0", "▁", "foo-bar", "漢", "ɮ", "x" * 70]
+    texts = ["".join(random.choices(kinds, k=random.randint(0, 30))).encode() for _ in range(200)]
+    texts += [b"caf\xc3 \xff, \xe2\x96", b""]
+    alone = [piece_nbest.Segmenter.of_all(s, [t])[0] for s in [piece_nbest.Segmenter(PIECES, 4)] for t in texts]
+    monkeypatch.setattr(piece_nbest, "CACHE_CHUNKS", 40)
+    together = piece_nbest.Segmenter(PIECES, 4)
+    assert together.of_all(texts) == alone == together.of_all(texts)
+    assert len(together.known.names) <= 40
+    pieces, table = together.pieces, together.pieces.texts()
+    for text, (ids, _, spelled, scores, _) in zip(texts, alone, strict=True):
+        clean = text.decode("utf-8", "replace").replace(piece_nbest.SPACE, " ")
+        assert piece_nbest.decode(ids, table) == clean
+        segments = pieces.segment.findall(piece_nbest.SPACE + clean.replace(" ", piece_nbest.SPACE)) if text else []
+        best = [pieces.best_of_all([s])[s] for s in segments]
+        assert (ids, scores[0], spelled) == (b"".join(b[0] for b in best), sum(b[1] for b in best), sum(b[3] for b in best))
+
+
 def near_rows():
     base = random.choices(VOCABULARY, k=150)
     made = [(i, text) for i, (text) in enumerate([" ".join(base)] * 3)]
