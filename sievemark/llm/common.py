@@ -23,7 +23,7 @@ T = TypeVar("T")
 
 # Arrow batches of long texts end at this size: Spark's own bound of 64 MB is held several
 # times over by a Python worker. A session that has set another bound keeps it.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_DEFAULT = "67108864b"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

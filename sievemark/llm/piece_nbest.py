@@ -680,7 +680,8 @@ def n_best_pieces(text: Column, model: str, n: int = 4) -> Column:
 
     @F.arrow_udf(RESULT)
     def segmented(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        segmenter = process_wide(("segmenter", model, n), lambda: Segmenter(model, n))
+        # Goes with its task: workers take turns, and idle ones would hold one each.
+        segmenter = Segmenter(model, n)
         for batch in batches:
             for texts in _groups(_binary(batch)):
                 rows = segmenter.of_all(texts)

@@ -14,11 +14,13 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sievemark.llm import (
+    common,
     decontamination,
     language_spans,
     near_dedup,
@@ -309,6 +311,23 @@ def test_pieces_of_chunks(monkeypatch):
         assert (ids, scores[0], spelled) == (b"".join(b[0] for b in best), sum(b[1] for b in best), sum(b[3] for b in best))
 
 
+def test_idle_workers_hold_no_segmenter(spark, docs):
+    """Batches are small, and what a task has built goes with it."""
+    docs.select(piece_nbest.n_best_pieces(F.col("text"), PIECES)).collect()
+
+    def held(batches):
+        import sys
+
+        store = vars(sys.modules.get("_sievemark_process", sys))
+        names = [str(key) for key in store if isinstance(key, tuple) and key[0] == "segmenter"]
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+
+    found = spark.range(64).repartition(8).mapInArrow(held, "name string")
+    assert found.collect() == []
+    assert common.BATCH_BYTES <= 4 << 20
+
+
 def near_rows():
     base = random.choices(VOCABULARY, k=150)
     made = [(i, text) for i, (text) in enumerate([" ".join(base)] * 3)]
