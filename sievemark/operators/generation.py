@@ -16,6 +16,7 @@ from sievemark.functions.answers import with_json_object
 from sievemark.functions.flags import has_obvious_pii
 from sievemark.functions.text import clean, strip
 from sievemark.operators.evalset import take_first
+from sievemark.operators.phrase_join import replace_phrases
 from sievemark.operators.prompts import (
     REWRITE_NORMAL,
     REWRITE_REQUEST,
@@ -32,8 +33,6 @@ STATUS_OK, STATUS_FAILED = "ok", "failed"
 LITERAL_PHRASES = 500
 BROADCAST_PHRASES = 500_000
 BROADCAST_CHARS = 20_000_000
-# First characters of phrases that starts are filtered by before they are joined.
-FIRST_CHARS = 5_000
 
 
 # --- phrase mapping -----------------------------------------------------------
@@ -95,95 +94,6 @@ def _map_with_broadcast(df: DataFrame, col: str, phrases: Mapping[str, str]) ->
     return bound_text_batches(df).withColumn(col, convert(F.col(col)))
 
 
-def _weave(text: str, places: Sequence[int], lengths: Sequence[int], targets: Sequence[str]) -> str:
-    """Put the targets of the left-most, longest hits in place."""
-    out, at = [], 0
-    for place, length, target in sorted(zip(places, lengths, targets), key=lambda h: (h[0], -h[1])):
-        if place >= at:
-            out += [text[at:place], target]
-            at = place + length
-    return "".join(out) + text[at:]
-
-
-@F.pandas_udf(T.StringType())
-def _weave_all(texts: pd.Series, places: pd.Series, lengths: pd.Series, targets: pd.Series) -> pd.Series:
-    """Hits come as three arrays: as structs each would be a dictionary in Python."""
-    return pd.Series([_weave(*row) for row in zip(texts, places, lengths, targets)], dtype="object")
-
-
-# Phrases are found by their first 1, 2, 4, 8 or 16 characters, the most they have.
-HEADS = (1, 2, 4, 8, 16)
-
-
-def _head_length(phrase: Column) -> Column:
-    length = F.length(phrase)
-    size = F.lit(HEADS[0])
-    for n in HEADS[1:]:
-        size = F.when(length >= n, F.lit(n)).otherwise(size)
-    return size
-
-
-def _doubled(grams: Column, half: int) -> Column:
-    """Grams of 2 x ``half`` characters, put together from those of ``half``, so that
-    none is cut out of the text anew."""
-    last = F.size(grams) - half - 1
-    return F.when(
-        last >= 0,
-        F.transform(
-            F.sequence(F.lit(0), last), lambda i: F.concat(F.get(grams, i), F.get(grams, i + half))
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-
-
-def _placed(grams: Column) -> Column:
-    return F.transform(grams, lambda head, at: F.struct(at.alias("at"), head.alias("head")))
-
-
-def _map_with_join(df: DataFrame, col: str, mapping: DataFrame) -> DataFrame:
-    """The mapping as a shuffled table: every text lists its starts with the few
-    characters after them, a join finds the phrases that begin so, and those that
-    go on like the text are hits. A repeated text is looked up once.
-    """
-    key = "__text_key"
-    phrases = mapping.select(
-        "phrase", "target", F.substring("phrase", F.lit(1), _head_length(F.col("phrase"))).alias("head")
-    )
-    sizes = {r[0] for r in phrases.select(F.length("head")).distinct().collect()}  # of HEADS
-    first = F.substring("head", 1, 1)
-    starts = [r[0] for r in phrases.select(first).distinct().limit(FIRST_CHARS + 1).collect()]
-    texts = (
-        df.select(F.sha2(F.col(col), 256).alias(key), F.col(col).alias("text"))
-        .where(F.length("text") > 0)
-        .dropDuplicates([key])
-    )
-    grams = texts.select(key, F.split("text", "").alias("g1"))
-    for n in HEADS[1:]:
-        if n <= max(sizes):
-            grams = grams.withColumn(f"g{n}", _doubled(F.col(f"g{n // 2}"), n // 2))
-    listed = F.concat(*[_placed(F.col(f"g{n}")) for n in sorted(sizes)])
-    places = grams.select(key, F.inline(listed))
-    if len(starts) <= FIRST_CHARS:  # else the join alone decides
-        places = places.where(first.isin(starts))
-    hit = F.substring("text", F.col("at") + 1, F.length("phrase")) == F.col("phrase")
-    # One entry per hit of one text: bounded by the length of that text.
-    hits = (
-        places.join(phrases, "head")
-        .select(key, "at", "phrase", "target")
-        .join(texts, key)
-        .where(hit)
-        .groupBy(key)
-        .agg(F.collect_list(F.struct("at", F.length("phrase").alias("len"), "target")).alias("hits"))
-    )
-    woven = _weave_all("text", "hits.at", "hits.len", "hits.target")
-    converted = bound_text_batches(texts.join(hits, key)).select(key, woven.alias("__converted"))
-    return (
-        df.withColumn(key, F.sha2(F.col(col), 256))
-        .join(converted, key, "left")
-        .withColumn(col, F.coalesce("__converted", F.col(col)))
-        .drop(key, "__converted")
-    )
-
-
 def map_phrases(
     df: DataFrame,
     col: str,
@@ -211,7 +121,7 @@ def map_phrases(
         if not table.groupBy("phrase").count().where("count > 1").isEmpty():
             raise ValueError("repeated phrases")
         if facts["n"] > broadcast_phrases or facts["chars"] > broadcast_chars:
-            return _map_with_join(df, col, table)
+            return replace_phrases(df, col, table)
         phrases = {r["phrase"]: r["target"] for r in table.collect()}
     else:
         phrases = {k: v for k, v in mapping.items() if k}
